@@ -6,16 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetgraph.llm import langid, mixing, simhash
+from sheetgraph.llm import chat, decontam, langid, mixing, quality, simhash, topk, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.query,
+        "op2_url_filters": url_filter.query,
+        "op3_decontamination": decontam.query,
         "op4_language_id": langid.query,
+        "op5_quality": quality.query,
         "op6_simhash_golay": simhash.query,
+        "op7_chat_formatting": chat.query,
+        "op8_topk_search": topk.query,
         "op10_source_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mixing": mixing.ORACLE.format(docs="documents")}
+    return {
+        "op7_chat_formatting": chat.ORACLE,
+        "op8_topk_search": topk.ORACLE,
+        "op10_source_mixing": mixing.ORACLE.format(docs="documents"),
+    }
