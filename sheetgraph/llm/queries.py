@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetgraph.llm import chat, decontam, langid, mixing, quality, simhash, topk, toxicity, url_filter
+from sheetgraph.llm import chat, decontam, langid, lm_mixing, mixing, quality, simhash, topk, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash_golay": simhash.query,
         "op7_chat_formatting": chat.query,
         "op8_topk_search": topk.query,
+        "op9_lm_scoring": lm_mixing.query,
         "op10_source_mixing": mixing.query,
     }
 

@@ -250,9 +250,19 @@ def near_duplicates(docs: DataFrame, run: int = RUN) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest id; rows with that id again are dropped."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
+    """Of every group of near-duplicates the document with the smallest id stays, one row of it.
+
+    Rows with a null id can't be named and stay. Texts are shuffled once at most: those to drop are found by id, and
+    only ids that several rows share are deduplicated by row.
+    """
+    found = near_duplicates(docs.where("doc_id is not null"))
+    ids = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count("*").alias("rows")))
+    out = docs.join(ids.where("not keep").select("_id"), F.col("doc_id") == F.col("_id"), "left_anti")
+    again = ids.where("keep and rows > 1").select("_id")
+    if again.isEmpty():
+        return out
+    once = out.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return out.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
