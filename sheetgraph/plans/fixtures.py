@@ -67,10 +67,10 @@ FX: dict[str, str] = {
         f"WHEN {i} THEN {t}"
         for i, t in enumerate(
             [
-                "'PIN NAME NO. TYPE DESCRIPTION'", "'NAME D, PW DSBGA I/O DESCRIPTION'", "'SDA ' || CAST(line_no % 24 + 1 AS VARCHAR(20)) || ' I/O Serial data'", "CAST(line_no % 24 + 1 AS VARCHAR(20)) || ' GND G Ground'",
-                "'OUT ' || CAST(line_no % 24 + 1 AS VARCHAR(20)) || ' B' || CAST(line_no % 9 + 1 AS VARCHAR(20)) || ' O Output U12 and R7'", "'VDD ' || CAST(line_no % 24 + 1 AS VARCHAR(20)) || ' PWR supply'", "'EP Exposed thermal pad'", "'7 Specifications'",
+                "'PIN NAME NO. TYPE DESCRIPTION'", "'NAME  D, PW  DSBGA  I/O  DESCRIPTION'", "'SDA ' || CAST(line_no % 24 + 1 AS VARCHAR(20)) || ' I/O Serial data'", "CAST(line_no % 24 + 1 AS VARCHAR(20)) || ' GND G Ground'",
+                "'OUT ' || CAST(line_no % 24 + 1 AS VARCHAR(20)) || ' B' || CAST(line_no % 9 + 1 AS VARCHAR(20)) || ' O Output U12 and R7'", "'VDD ' || CAST(line_no % 24 + 1 AS VARCHAR(20)) || ' PWR supply'", "'EP Exposed thermal pad'", "'MECHANICAL DATA package outline U3 C14 GND +3.3V SDA'",
                 "'Figure ' || CAST(line_no % 9 + 1 AS VARCHAR(20)) || '. Functional Block Diagram'", "'Figure ' || CAST(line_no % 9 + 1 AS VARCHAR(20)) || '. Typical Application vs Temperature'", "'Figure ' || CAST(line_no % 9 + 1 AS VARCHAR(20)) || '. Pin Configuration'",
-                "'Functional Block Diagram'", "'Typical Application'", "'MECHANICAL DATA package outline U3 C14 GND +3.3V SDA'",
+                "'Functional Block Diagram'", "'Typical Application'", "'7 Specifications'",
             ]
         )
     )
