@@ -95,14 +95,16 @@ def segments(msgs: DataFrame) -> DataFrame:
     step = F.when(F.col("p").isNotNull() & (siblings == 1), F.col("p"))
     ptr = cut(known.select("tree_id", "id", F.coalesce(step, F.col("id")).alias("head"), F.when(step.isNotNull(), 1).otherwise(0).cast("long").alias("dist"), step.isNull().alias("done")))
     for _ in range(64):  # doubles each time; what is left then is on a cycle
-        if ptr.where("not done").isEmpty():
-            return ptr.drop("done")
+        open_ = ptr.where("not done")
+        left = open_.count()
+        if not left:
+            break
         up = ptr.select(F.col("tree_id").alias("t"), F.col("id").alias("i"), F.col("head").alias("up"), F.col("dist").alias("more"), F.col("done").alias("up_done"))
-        joined = ptr.join(up, ptr["tree_id"].eqNullSafe(up["t"]) & (ptr["head"] == up["i"]))
-        new = cut(joined.select("tree_id", "id", F.col("up").alias("head"), (F.col("dist") + F.col("more")).alias("dist"), (F.col("done") | F.col("up_done")).alias("done")))
-        if new.where("not done").count() == ptr.where("not done").count():
-            return new.where("done").drop("done")
-        ptr = new
+        joined = open_.join(up, open_["tree_id"].eqNullSafe(up["t"]) & (open_["head"] == up["i"]))
+        moved = joined.select("tree_id", "id", F.col("up").alias("head"), (F.col("dist") + F.col("more")).alias("dist"), F.col("up_done").alias("done"))
+        ptr = cut(ptr.where("done").union(moved))
+        if ptr.where("not done").count() == left:
+            break
     return ptr.where("done").drop("done")
 
 
