@@ -1,13 +1,13 @@
 """Exact top-k inner products with an impact-ordered index, score at a time.
 
 Vectors become integers floor(256 x). Blocks of vectors are indexed: in each dimension the values are quantised to
-LEVELS impacts, and a posting segment lists the rows of one impact. A query meets each block: a segment's impact for
-it is |weight| times the distance of the level from the worst value of the dimension, and segments are processed by
-descending impact, adding to the rows' accumulators. At checkpoints the bounds are drawn: a row whose segment in a
-dimension has been processed adds its level's upper end there, any other the end of the best level left. The best
-rows so far are scored exactly, which gives a threshold; processing stops only when the rows whose bound reaches the
-threshold are few enough to score them all, or no segment is left. Those possible members are then scored exactly,
-and every other row is proved to be below the k-th score. The best k of the blocks are merged by a window.
+LEVELS levels, and a posting segment lists the rows of one level. A segment's impact for a query is the weight times
+the better end of its level. A query processes a block's segments by descending impact, in rounds, adding to the rows'
+accumulators. After a round the bounds are drawn: a row adds, in each dimension whose segment with it has not come
+yet, at most the next impact there. The best rows by bound are scored exactly, which gives a threshold; processing
+stops only when the rows whose bound reaches the threshold are few enough to score them all, or no segment is left.
+Those possible members are then scored exactly, and every other row is proved to be below the k-th score. The best k
+of the blocks are merged by a window.
 
 Queries meet vectors in blocks of fixed size (a stated query set against all rows), so a task's memory is bounded.
 
@@ -29,12 +29,13 @@ from pyspark.sql import functions as F
 from sheetgraph.llm.common import table
 
 SCALE = 256
-LEVELS = 16
+LEVELS = 32
+#: Rounds of descending impact; bounds are drawn after each from the half on.
+ROUNDS = 10
 BLOCK = 16_384
 QUERY_BLOCK = 512
 #: A query stops for a block when this share of its rows, or fewer, may still be members.
-POSSIBLE = 0.02
-CHECKS = 8
+POSSIBLE = 0.05
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -60,49 +61,49 @@ class Index:
     def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
         low, high = vectors.min(0), vectors.max(0)
-        width = np.maximum(1, -(-(high - low + 1) // LEVELS))
-        self.level = ((vectors - low) // width).astype(np.int8)
-        self.low, self.width = low, width
-        self.ids, self.cuts = [], []
+        self.low, self.width = low, np.maximum(1, -(-(high - low + 1) // LEVELS))
+        self.level = ((vectors - low) // self.width).astype(np.int8)
+        self.ids, self.values, self.cuts = [], [], []
         for d in range(vectors.shape[1]):
             order = np.argsort(self.level[:, d], kind="stable")
             self.ids.append(order)
+            self.values.append(vectors[order, d])
             self.cuts.append(np.searchsorted(self.level[order, d], np.arange(LEVELS + 1)))
 
     def possible(self, q: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that may be among the k best (own rows aside), and their exact scores."""
         n, dims = self.vectors.shape
-        weight, up = np.abs(q), q > 0
-        # Most that level l adds in dimension d: its better end times the weight.
-        l = np.arange(LEVELS)
-        ends = self.low[:, None] + self.width[:, None] * (l[None, :] + up[:, None]) - up[:, None]
-        most = q[:, None] * ends
-        impact = weight[:, None] * self.width[:, None] * np.where(up[:, None], l[None, :], LEVELS - 1 - l[None, :])
-        order = np.argsort(-impact, axis=None, kind="stable")
-        order = order[np.repeat(weight > 0, LEVELS)[order]]
-        added = np.zeros(n, np.int64)
-        passed = np.zeros(dims, np.int64)  # levels processed in each dimension, from the better end
-        floor_ = -(1 << 62)
-        marks = {len(order) * (c + 1) // CHECKS for c in range(CHECKS // 2 - 1, CHECKS)}
-        rows = np.arange(n)
-        for i, s in enumerate(order):
-            d, lev = divmod(int(s), LEVELS)
-            passed[d] += 1
-            a, b = self.cuts[d][lev], self.cuts[d][lev + 1]
-            if a < b:
-                added[self.ids[d][a:b]] += most[d, lev]
-            if i + 1 in marks:
-                # In a dimension with all levels passed nothing is unseen; else the next level bounds the unseen.
-                nxt = np.where(up, LEVELS - 1 - passed, passed).clip(0, LEVELS - 1)
-                rest = np.where(passed < LEVELS, most[np.arange(dims), nxt], 0) * (weight > 0)
-                unseen = np.where(up, self.level <= nxt, self.level >= nxt) & (passed < LEVELS) & (weight > 0)
-                bound = added + unseen.astype(np.float64) @ rest.astype(np.float64)
-                bound[own] = -np.inf
-                top = np.argpartition(-bound, min(4 * k, n - 1))[: 4 * k]
-                top = top[~own[top]]
-                if len(top) >= k:
-                    floor_ = max(floor_, int(np.partition(self.vectors[top] @ q, len(top) - k)[len(top) - k]))
-                rows = np.flatnonzero(bound >= floor_ - 1e-6 * abs(floor_))
+        up = q > 0
+        # What a level adds at most: the weight times its better end; levels counted from the better end of a dimension.
+        far = np.arange(LEVELS)[None, :]
+        level = np.where(up[:, None], LEVELS - 1 - far, far)
+        most = q[:, None] * (self.low[:, None] + self.width[:, None] * (level + up[:, None]) - up[:, None])
+        most[q == 0] = 0
+        impacts = np.sort(most[q != 0], axis=None)[::-1]
+        passed, added, floor_, rows = np.zeros(dims, np.int64), np.zeros(n, np.int64), None, np.arange(n)
+        for r in range(1, ROUNDS + 1) if len(impacts) else ():
+            least = impacts[len(impacts) * r // ROUNDS - 1]
+            now = np.where(q != 0, (most >= least).sum(1), LEVELS)
+            for d in np.flatnonzero((now > passed) & (q != 0)):
+                c = self.cuts[d]
+                a, b = (c[LEVELS - now[d]], c[LEVELS - passed[d]]) if up[d] else (c[passed[d]], c[now[d]])
+                added[self.ids[d][a:b]] += q[d] * self.values[d][a:b]
+            passed = now
+            if 2 * r < ROUNDS:
+                continue
+            # A row whose level in a dimension has not come yet adds at most the next level's impact there.
+            rest = np.where(passed < LEVELS, most[np.arange(dims), np.minimum(passed, LEVELS - 1)], 0).astype(np.float32)
+            edge = np.where(up, LEVELS - passed, passed).astype(np.int8)
+            unseen = (self.level < edge) == up
+            bound = added + unseen.astype(np.float32) @ rest
+            bound[own] = -np.inf
+            top = np.argpartition(-bound, min(4 * k, n - 1))[: 4 * k]
+            top = top[~own[top]]
+            if len(top) >= k:
+                kth = int(np.partition(self.vectors[top] @ q, len(top) - k)[len(top) - k])
+                floor_ = kth if floor_ is None else max(floor_, kth)
+            if floor_ is not None:
+                rows = np.flatnonzero(bound >= floor_ - 1 - 1e-4 * abs(floor_))  # float32 rounds
                 if len(rows) <= max(4 * k, POSSIBLE * n):
                     break
         rows = rows[~own[rows]]
