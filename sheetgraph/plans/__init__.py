@@ -4,7 +4,7 @@ from importlib import import_module
 
 from sheetgraph.plans.registry import ORACLES, QUERIES
 
-MODULES = ("netlist", "checks", "layout", "census", "cleaning", "review")
+MODULES = ("netlist", "checks", "layout", "census", "cleaning", "review", "geometry")
 for _name in MODULES:
     import_module(f"sheetgraph.plans.{_name}")
 
