@@ -14,7 +14,10 @@ from sheetgraph.operators.review import lifecycle_step, scope_key
 
 
 def replay(spark: SparkSession, df: DataFrame, folder: str, files: int = 4) -> DataFrame:
-    """A stream of a table's rows. They are written part after part in order of ts, and read in that order."""
+    """A stream of a table's rows. They are written part after part in order of ts, a file each, and read in that order.
+
+    For batch tables played as streams; `files` sets how large a file gets.
+    """
     path = f"{folder}/{uuid.uuid4().hex}"
     df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     at = F.unix_micros("ts")
@@ -22,7 +25,7 @@ def replay(spark: SparkSession, df: DataFrame, folder: str, files: int = 4) -> D
     edges = [None, *sorted(set(cuts)), None]
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         part = df if low is None else df.where(at >= low)
-        (part if high is None else part.where(at < high)).write.mode("append").parquet(path)
+        (part if high is None else part.where(at < high)).coalesce(1).write.mode("append").parquet(path)
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
