@@ -144,3 +144,18 @@ def test_lm_without_training(spark):
 
     got = lm_mixing.score(docs.withColumn("held_out", F.lit(True)), m, counts).collect()
     assert len(got) == len(ODD) and all(r["n_known"] == 0 and r["score"] < 0 for r in got)
+
+
+def test_lm_reads_the_order_of_words(spark):
+    """Two held-out texts of the same words: the one in an order of the corpus scores better."""
+    import random
+
+    fluent = "the quick brown fox jumps over a lazy dog while seven grey wolves watch from that hill"
+    words, rng = fluent.split(), random.Random(3)
+    rows = [(i, fluent) for i in range(200)]
+    shuffled = [" ".join(rng.sample(words, len(words))) for _ in range(20)]
+    m, counts = lm_mixing.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    ask = spark.createDataFrame([(1000 + i, t, True) for i, t in enumerate([fluent, *shuffled])], "doc_id long, text string, held_out boolean")
+    got = {r["doc_id"]: r["score"] for r in lm_mixing.score(ask, m, counts).collect()}
+    best = got.pop(1000)
+    assert all(s < 1.2 * best for s in got.values())
