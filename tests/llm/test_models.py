@@ -159,3 +159,16 @@ def test_lm_reads_the_order_of_words(spark):
     got = {r["doc_id"]: r["score"] for r in lm_mixing.score(ask, m, counts).collect()}
     best = got.pop(1000)
     assert all(s < 1.2 * best for s in got.values())
+
+
+def test_lm_own_counts_of_a_long_text():
+    """A document's own counts are those of a dict, however many contexts it has."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    context, bit = rng.integers(0, 1 << 63, 60_000, dtype=np.uint64)[rng.integers(0, 60_000, 200_000)], rng.integers(0, 2, 200_000)
+    n0, n1 = lm_mixing.own_counts(context, bit)
+    seen = Counter()
+    for k, (c, b) in enumerate(zip(context.tolist(), bit.tolist(), strict=True)):
+        assert (n0[k], n1[k]) == (seen[c, 0], seen[c, 1])
+        seen[c, b] += 1
