@@ -172,3 +172,37 @@ def test_lm_own_counts_of_a_long_text():
     for k, (c, b) in enumerate(zip(context.tolist(), bit.tolist(), strict=True)):
         assert (n0[k], n1[k]) == (seen[c, 0], seen[c, 1])
         seen[c, b] += 1
+
+
+def test_lm_moves_weights_within_short_texts():
+    """Texts mixed side by side give what each gives alone, decision spans taken one by one; short ones move weights too."""
+    import numpy as np
+
+    rng, sizes = np.random.default_rng(9), np.array([70, 0, 300, 64, 1000])
+    n = sizes.sum()
+    odds = rng.integers(-60, 60, (n, lm_mixing.ORDERS)).astype(np.int8)
+    pair, own = rng.integers(-60, 60, n).astype(np.int8), rng.normal(size=n).astype(np.float32)
+    gate, bit = rng.integers(0, lm_mixing.GATES, n).astype(np.uint8), (rng.random(n) < 0.8).astype(np.uint8)
+    w0 = np.full((lm_mixing.INPUTS, lm_mixing.GATES), 0.25, np.float32)
+    m0 = np.tile(np.linspace(0.02, 0.98, lm_mixing.STEPS), lm_mixing.GATES).astype(np.float32)
+    c = lm_mixing.Texts(sizes, odds.view(np.uint32).ravel(), pair, own, gate, bit)
+    got = lm_mixing.code_lengths(c, w0.copy(), m0.copy())
+    at, gate = 0, gate.astype(int)
+    for size, total in zip(sizes, got, strict=True):
+        w, m, want = w0.astype(float), m0.astype(float), 0.0
+        for k in range(at, at + size, 64):
+            dw, dm, hits = np.zeros_like(w), np.zeros_like(m), np.zeros_like(m)
+            for i in range(k, min(k + 64, at + size)):
+                x = np.array([*(odds[i] / 15.0), pair[i] / 15.0, own[i], 0.3])
+                dot = w[:, gate[i]] @ x
+                p = 1 / (1 + math.exp(-dot))
+                key = int(min(max(dot * 1.5 + 12, 0), 23)) + gate[i] * 24
+                mixed = min(max((p + m[key]) / 2, 1e-5), 1 - 1e-5)
+                want += math.log(mixed if bit[i] else 1 - mixed)
+                dw[:, gate[i]] += (bit[i] - p) * x
+                dm[key] += bit[i] - m[key]
+                hits[key] += 1
+            w += lm_mixing.RATE * dw / (np.bincount(gate[k : min(k + 64, at + size)], minlength=24) + 256)
+            m += dm / (hits + 200)
+        assert math.isclose(total, want, rel_tol=1e-4, abs_tol=1e-9)
+        at += size
