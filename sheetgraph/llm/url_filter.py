@@ -3,8 +3,7 @@
 Lists are kept as dated entries: on a day, a list adds or removes a value of a kind (`host` covers the host and
 everything below it, `prefix` covers host and path from the left). Entries become validity intervals: per (list,
 kind, value) the last entry of a day counts, and an entry lasts until the next day that has one. A capture is looked
-up under every suffix of its host and every prefix of its path (at most MAX_KEYS each, longer ones are looked up by
-their shortest), and an as-of join keeps the intervals that hold at its fetch time. `allow` lists win over `block`
+up under every suffix of its host and every prefix of its path, however deep, and an as-of join keeps the intervals that hold at its fetch time. `allow` lists win over `block`
 lists.
 
 The join is by key. Keys that many captures share are split: their intervals are repeated over SALTS salts. Those
@@ -25,7 +24,6 @@ from sheetgraph.llm.common import cut, table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
-MAX_KEYS = 8
 HOT_SHARE = 200
 SALTS = 16
 
@@ -35,22 +33,25 @@ def host(url: Column) -> Column:
 
 
 def lookup_keys(url: Column) -> Column:
-    """Array of keys: `host:` with each suffix of at least two labels, `prefix:` with each path prefix."""
+    """Array of keys: `host:` with each suffix of the host, `prefix:` with the host and each path prefix, none included."""
     labels = F.split(host(url), r"\.")
     n = F.size(labels)
-    suffix = lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, n - k + 1, k), "."))
-    hosts = F.when(n >= 2, F.transform(F.sequence(F.lit(2), F.least(n, F.lit(MAX_KEYS + 1))), suffix)).otherwise(F.array().cast("array<string>"))
-    parts = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda p: p != "")
-    m = F.least(F.size(parts), F.lit(MAX_KEYS))
-    prefix = lambda k: F.concat(F.lit("prefix:"), host(url), F.lit("/"), F.array_join(F.slice(parts, 1, k), "/"))
-    prefixes = F.when(m >= 1, F.transform(F.sequence(F.lit(1), m), prefix)).otherwise(F.array().cast("array<string>"))
+    hosts = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("host:"), F.array_join(F.slice(labels, n - k + 1, k), ".")))
+    parts = F.concat(F.array(host(url)), F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda p: p != ""))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.lit("prefix:"), F.array_join(F.slice(parts, 1, k), "/")))
     return F.when(F.length(host(url)) > 0, F.concat(hosts, prefixes)).otherwise(F.array().cast("array<string>"))
 
 
+def entry_key(kind: Column, value: Column) -> Column:
+    """The key of an entry, written as those of captures: host in lower case, path as it is, no empty segments."""
+    parts = F.filter(F.split(value, "/"), lambda p: p != "")
+    return F.concat_ws(":", kind, F.array_join(F.concat(F.array(F.lower(F.get(parts, F.lit(0)))), F.slice(parts, 2, F.size(parts))), "/"))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list_id, action, kind, value, op, day) -> (list_id, action, key, valid_from, valid_to); valid_to null: still active."""
     e = entries.where("list_id is not null and value is not null and day is not null")
-    key = F.concat_ws(":", "kind", F.lower("value"))
+    key = entry_key(F.col("kind"), F.col("value"))
     e = e.groupBy("list_id", "action", key.alias("key"), "day").agg(F.bool_and(F.col("op") == "add").alias("adds"))
     until = F.lead("day").over(W.partitionBy("list_id", "action", "key").orderBy("day"))
     e = e.withColumn("valid_to", until).where("adds")
@@ -92,11 +93,15 @@ def fetch_day(page_id: Column) -> Column:
 def derived_entries(pages: DataFrame) -> DataFrame:
     """Dated list entries made from the hosts and sections of the pages table: adds, removals, and adds again.
 
-    Three lists: `spam` and `adult` block hosts, and `press` allows sections of hosts.
+    Three lists: `spam` and `adult` block hosts, and `press` allows sections of hosts and whole paths, as deep and in the
+    case they have.
     """
     h, section = host(F.col("url")), F.concat(host(F.col("url")), F.lit("/"), F.regexp_extract("url", r"^[a-z]+://[^/]+/([a-z]+)/", 1))
     hosts = pages.select(h.alias("value")).where("value <> ''").distinct().select("value", F.lit("host").alias("kind"))
     sections = pages.select(section.alias("value")).where("value not like '%/' and value not like '/%'").distinct().select("value", F.lit("prefix").alias("kind"))
+    path = F.regexp_replace(F.regexp_extract("url", PATH, 1), "/+$", "")
+    deep = pages.select(F.concat(host(F.col("url")), path).alias("value")).where("value like '_%/%' and value not like '%//%'").distinct().select("value", F.lit("prefix").alias("kind"))
+    sections = sections.union(deep).distinct()
     n = F.crc32(F.col("value").cast("binary"))
     day = lambda k: F.date_add(F.lit("2020-01-01").cast("date"), F.pmod(n * k, F.lit(1200)).cast("int"))
     rows = F.array(*(F.struct(F.lit(op).alias("op"), day(k).alias("day")) for op, k in (("add", 1), ("remove", 3), ("add", 7))))

@@ -142,3 +142,17 @@ def test_pipeline(spark):
 def test_one_query_for_each_operator():
     names = sorted(int(n[2:].split("_")[0]) for n in llm.queries())
     assert names == list(range(1, 11)) and set(llm.oracle_sql()) <= set(llm.queries())
+
+
+def test_url_lists_deep_and_mixed_case(spark):
+    """Entries of any depth match, hosts in any case, paths in their own; a closing slash says nothing."""
+    deep, far = ".".join("abcdefghijk") + ".example.com", "/".join(f"p{k}" for k in range(12))
+    asks = [
+        ("host", deep, f"http://x.{deep}/", "drop"), ("host", "com", "http://one.com/", "drop"), ("host", "localhost", "http://localhost:80/x", "drop"), ("prefix", f"h.org/{far}", f"http://h.org/{far}/end", "drop"),
+        ("prefix", "Host.org/News/X", "http://hOST.org/News/X/1", "drop"), ("prefix", "host.org/news/X", "http://host.org/News/X/1", "keep"), ("prefix", "h.org/a/", "http://h.org/a", "drop"), ("prefix", "h.org/", "http://h.org/b", "drop"),
+    ]
+    day = dt.date(2020, 1, 5)
+    for kind, value, url, verdict in asks:
+        lists = spark.createDataFrame([("l", "block", kind, value, "add", day)], "list_id string, action string, kind string, value string, op string, day date")
+        caps = spark.createDataFrame([(1, url, day)], "page_id long, url string, fetched date")
+        assert url_filter.evaluate(caps, lists).first()["verdict"] == verdict, (kind, value)
