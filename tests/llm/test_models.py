@@ -100,7 +100,8 @@ def test_base_score(spark):
     rows = [(i, t) for i, t in enumerate(["The cat the", "cat\tdog", None, "", "THE cat é", "unseen dog dog", "the end"])] + [(20 + i, "the cat sat") for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", fold_of())
     m, counts = lm_mixing.fit(docs.where("not held_out"))
-    m.frequent = {w: c for w, c in m.frequent.items() if w == b"the"}  # the others go through the join
+    the = m.lexicon.ids[b"the"]
+    m.lexicon.n = [n if k == the else 0 for k, n in enumerate(m.lexicon.n)]  # the others go through the join
     got = {(r["doc_id"]): r for r in lm_mixing.score(docs, m, counts).collect()}
     held = {r["doc_id"]: r["held_out"] for r in docs.collect()}
     words = {i: (t or "").lower().split() + ["\n"] for i, t in rows}
@@ -121,20 +122,44 @@ def fold_of():
 
 
 def test_probabilities_sum_to_one(spark):
-    """After any start of a word, the probabilities of all next bytes (escapes included) sum to 1."""
+    """Every tree is full, so the chances of its decisions multiply to a distribution over words and an escape, or over
+    the next bytes and an escape."""
     import numpy as np
 
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["abc abd abc xyz", "abd ab", "zz abc"] * 5)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["abc abd abc xyz", "abd ab", "zz abc q", "once"] * 5 + ["other rare words"])], "doc_id long, text string")
     m, _ = lm_mixing.fit(docs)
     t = m.trees
+    assert (t.escape_start >= 0).any()
     for ctx in np.flatnonzero(t.escape_start >= 0):
         ways = [t.size[ctx * 256 + s] for s in range(256) if t.start[ctx * 256 + s] >= 0] + [t.escape_size[ctx]]
-        assert math.isclose(sum(2.0 ** -int(n) for n in ways), 1.0)  # a full tree: decisions' chances multiply to a distribution
+        assert math.isclose(sum(2.0 ** -int(n) for n in ways), 1.0)
+    lex = m.lexicon
+    assert len(lex.size) == len(lex.ids) + 1 and math.isclose(sum(2.0 ** -int(n) for n in lex.size), 1.0)
+    chance = {}
+    for k in range(len(lex.size)):
+        path = range(lex.start[k], lex.start[k] + lex.size[k])
+        chance[k] = math.prod(1 / (1 + math.exp(-lex.odds[lex.node[i]] * (1 if lex.bit[i] else -1))) for i in path)
+    assert math.isclose(sum(chance.values()), 1.0, rel_tol=1e-5)
+    learnt = Counter(w for r in docs.collect() for w in [*lm_mixing.split_words(pa_array([r["text"]]))[0].to_pylist()])
+    assert chance[lex.ids[b"abc"]] > chance[lex.ids[b"ab"]] and learnt["abc"] == 15  # by how often they are learnt
+
+
+def pa_array(texts):
+    import pyarrow as pa
+
+    return pa.array(texts, pa.string())
+
+
+def test_split_words():
+    texts = ["", None, " a  B\tc ", "\x0bÉé\x1fx\x0c", "one\n", "\u00a0 y"]
+    words, n = lm_mixing.split_words(pa_array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert n.tolist() == [len(w) for w in want] and [w.encode() for w in words.to_pylist()] == [x for w in want for x in w]
 
 
 def test_model_beats_words_on_held_out_text(spark, tables):
     out = lm_mixing.query(spark, SF).where("held_out").toPandas()
-    assert out.score.sum() > 1.35 * out.base_score.sum() and out.score.corr(out.base_score) > 0.98 and (out.score < 0).all()
+    assert out.score.sum() > 0.9 * out.base_score.sum() and (out.score < 0).all()
 
 
 def test_lm_without_training(spark):
@@ -161,48 +186,188 @@ def test_lm_reads_the_order_of_words(spark):
     assert all(s < 1.2 * best for s in got.values())
 
 
-def test_lm_own_counts_of_a_long_text():
-    """A document's own counts are those of a dict, however many contexts it has."""
+def test_lm_own_counts_of_long_texts():
+    """Texts' own counts are those of a dict, however many contexts they have."""
     import numpy as np
 
     rng = np.random.default_rng(5)
     context, bit = rng.integers(0, 1 << 63, 60_000, dtype=np.uint64)[rng.integers(0, 60_000, 200_000)], rng.integers(0, 2, 200_000)
-    n0, n1 = lm_mixing.own_counts(context, bit)
-    seen = Counter()
-    for k, (c, b) in enumerate(zip(context.tolist(), bit.tolist(), strict=True)):
-        assert (n0[k], n1[k]) == (seen[c, 0], seen[c, 1])
-        seen[c, b] += 1
+    for texts in (1, 3, 1000):
+        text = rng.integers(0, texts, 200_000)
+        n0, n1 = lm_mixing.own_counts(context, bit, text)
+        seen = Counter()
+        for k, (c, b, t) in enumerate(zip(context.tolist(), bit.tolist(), text.tolist(), strict=True)):
+            assert (n0[k], n1[k]) == (seen[t, c, 0], seen[t, c, 1])
+            seen[t, c, b] += 1
+
+
+def test_lm_mixes_decision_by_decision():
+    """Chances of texts mixed side by side against a plain loop over each text alone; short ones move weights too."""
+    import numpy as np
+
+    rng, sizes = np.random.default_rng(9), np.array([70, 1, 300, 128, 1000])
+    n = sizes.sum()
+    x = rng.normal(scale=2, size=(lm_mixing.INPUTS, n)).astype(np.float32)
+    gate, bit = rng.integers(0, lm_mixing.GATES, n), (rng.random(n) < 0.8).astype(np.uint8)
+    w0 = rng.normal(size=(lm_mixing.INPUTS, lm_mixing.GATES)).astype(np.float32)
+    m0 = np.tile(1 / (1 + np.exp(12 - np.arange(lm_mixing.STEPS))), lm_mixing.GATES).astype(np.float32)
+    turns = lm_mixing.turns_of(sizes)
+    assert sorted(turns.at.tolist()) == list(range(n))
+    logs = np.empty(n)
+    logs[turns.at] = lm_mixing.mix(x[:, turns.at], gate[turns.at], bit[turns.at], turns, w0.copy(), m0.copy())
+    at = 0
+    for size in sizes.tolist():
+        w, m, span = w0.astype(float), m0.astype(float), lm_mixing.SPAN
+        for k in range(at, at + size, span):
+            dw, dm = np.zeros_like(w), np.zeros_like(m)
+            for i in range(k, min(k + span, at + size)):
+                dot = min(max(w[:, gate[i]] @ x[:, i], -11.4), 11.4)
+                p, key = 1 / (1 + math.exp(-dot)), round(dot) + 12 + gate[i] * 24
+                mixed = max((p + m[key]) / 2 if bit[i] else 1 - (p + m[key]) / 2, 1e-5)
+                assert math.isclose(logs[i], math.log(mixed), rel_tol=1e-2, abs_tol=1e-3)
+                dw[:, gate[i]] += lm_mixing.RATE * (bit[i] - p) * x[:, i]
+                dm[key] += lm_mixing.MAP_RATE * (bit[i] - m[key])
+            w, m = w + dw, m + dm
+        at += size
+
+
+def test_lm_inputs_begin_at_the_training_words(spark):
+    """A context that the document hasn't seen says what the training words say."""
+    import numpy as np
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat sat on the mat", "a dog sat", "the dog ran off"] * 9)], "doc_id long, text string")
+    m, _ = lm_mixing.fit(docs)
+    words, each = lm_mixing._numbered(["the dog sat unheard", "the"])
+    c = lm_mixing.coded_of(words, m).texts(each)
+    x, gate = lm_mixing.inputs_of(c, m.tables[-1])
+    first = np.array([len({(t, k) for t, k in zip(c.turns.lane[:i].tolist(), c.context[:i].tolist(), strict=True)} & {(int(c.turns.lane[i]), int(c.context[i]))}) == 0 for i in range(len(c.bit))])
+    assert np.allclose(x[2][first], x[0][first], atol=1e-3) and not np.allclose(x[2], x[0], atol=1e-2) and gate.max() < lm_mixing.GATES
+
 
+def words_and_sizes(texts):
+    import numpy as np
+
+    return np.concatenate([lm_mixing.hashes_of(t) for t in texts]), np.array([len(t) for t in texts])
+
+
+def test_passages():
+    """Passages of texts taken together are those of each alone, bounded, and cut alike wherever they stand."""
+    import random
+
+    import numpy as np
+
+    from sheetgraph.llm import passages
+
+    rng = random.Random(8)
+    vocabulary = [f"w{k}".encode() for k in range(300)]
+    core = [rng.choice(vocabulary) for _ in range(400)]
+    texts = [core + [b"\n"], [rng.choice(vocabulary) for _ in range(77)] + core + [b"\n"], [b"\n"], [b"a"] * 500 + [b"\n"], core[:100] * 3 + [b"\n"]]
+    pair, prev, times, again, cuts, n = passages.passages_of(*words_and_sizes(texts))
+    assert n.sum() == len(pair) and (np.diff(cuts) <= passages.MOST).all()
+    ends = np.cumsum(n)
+    for k, t in enumerate(texts):
+        p, q, c, a, _, m = passages.passages_of(*words_and_sizes([t]))
+        own = slice(ends[k] - n[k], ends[k])
+        assert m[0] == n[k] and (pair[own] == p).all() and (prev[own] == q).all() and (times[own] == c).all() and (again[own] == a).all()
+        seen, first, count = Counter(), Counter(), Counter(p.tolist())
+        for x, y, z, w in zip(p.tolist(), q.tolist(), c.tolist(), a.tolist(), strict=True):
+            assert z == (0 if seen[x] else count[x])
+            assert w == -math.inf if not seen[x] else math.isclose(w, math.log(seen[x] / first[y]), abs_tol=1e-5)
+            seen[x] += 1
+            first[y] += 1
+    assert len(set(pair[: n[0]]) & set(pair[n[0] : n[0] + n[1]])) > 0.8 * n[0]
+
+
+@pytest.mark.parametrize("least", [1000, 1])
+def test_passages_seen_elsewhere(spark, monkeypatch, least):
+    """Counts elsewhere against a plain loop; a hot pair is broadcast and gives the same."""
+    import random
 
-def test_lm_moves_weights_within_short_texts():
-    """Texts mixed side by side give what each gives alone, decision spans taken one by one; short ones move weights too."""
+    from sheetgraph.llm import passages
+
+    monkeypatch.setattr(passages, "HOT_LEAST", least)
+    rng = random.Random(4)
+    rows = []
+    for row in range(60):
+        passed, p = [], int(passages.START)
+        for _ in range(rng.randint(1, 9)):
+            q = rng.randint(10, 14)
+            passed.append((p, q))
+            p = q
+        n, seen, parts = Counter(passed), set(), ([], [], [])
+        for a in passed:
+            for part, v in zip(parts, (a[0] * 100 + a[1], a[0], 0 if a in seen else n[a]), strict=True):
+                part.append(v)
+            seen.add(a)
+        rows.append((row, row % 7 == 0, *parts))
+    df = spark.createDataFrame(rows, "row long, held_out boolean, pair array<long>, prev array<long>, own array<int>")
+    got = {(r["row"], r["pair"]): r["log_p"] for r in passages.seen_elsewhere(df).collect()}
+    total, texts, after = Counter(), Counter(), Counter()
+    for _, held, pair, _, own in rows:
+        for a, k in zip(pair, own, strict=True):
+            total[a] += 0 if held else k
+            texts[a] += k > 0
+    for a, k in total.items():
+        after[a // 100] += k if texts[a] > 1 else 0
+    after[int(passages.START)] = sum(not r[1] for r in rows)
+    want = {}
+    for row, held, pair, _, own in rows:
+        for a, k in zip(pair, own, strict=True):
+            mine = 0 if held else k
+            if k and texts[a] > 1 and total[a] > mine:
+                want[row, a] = math.log((total[a] - mine) / max(after[a // 100] - mine, total[a] - mine))
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
+
+
+def test_follow():
+    """Nats of texts taken together against a plain loop over each."""
     import numpy as np
 
-    rng, sizes = np.random.default_rng(9), np.array([70, 0, 300, 64, 1000])
+    from sheetgraph.llm import passages
+
+    rng = np.random.default_rng(2)
+    sizes = np.array([3, 1, 40, 12])
     n = sizes.sum()
-    odds = rng.integers(-60, 60, (n, lm_mixing.ORDERS)).astype(np.int8)
-    pair, own = rng.integers(-60, 60, n).astype(np.int8), rng.normal(size=n).astype(np.float32)
-    gate, bit = rng.integers(0, lm_mixing.GATES, n).astype(np.uint8), (rng.random(n) < 0.8).astype(np.uint8)
-    w0 = np.full((lm_mixing.INPUTS, lm_mixing.GATES), 0.25, np.float32)
-    m0 = np.tile(np.linspace(0.02, 0.98, lm_mixing.STEPS), lm_mixing.GATES).astype(np.float32)
-    c = lm_mixing.Texts(sizes, odds.view(np.uint32).ravel(), pair, own, gate, bit)
-    got = lm_mixing.code_lengths(c, w0.copy(), m0.copy())
-    at, gate = 0, gate.astype(int)
-    for size, total in zip(sizes, got, strict=True):
-        w, m, want = w0.astype(float), m0.astype(float), 0.0
-        for k in range(at, at + size, 64):
-            dw, dm, hits = np.zeros_like(w), np.zeros_like(m), np.zeros_like(m)
-            for i in range(k, min(k + 64, at + size)):
-                x = np.array([*(odds[i] / 15.0), pair[i] / 15.0, own[i], 0.3])
-                dot = w[:, gate[i]] @ x
-                p = 1 / (1 + math.exp(-dot))
-                key = int(min(max(dot * 1.5 + 12, 0), 23)) + gate[i] * 24
-                mixed = min(max((p + m[key]) / 2, 1e-5), 1 - 1e-5)
-                want += math.log(mixed if bit[i] else 1 - mixed)
-                dw[:, gate[i]] += (bit[i] - p) * x
-                dm[key] += bit[i] - m[key]
-                hits[key] += 1
-            w += lm_mixing.RATE * dw / (np.bincount(gate[k : min(k + 64, at + size)], minlength=24) + 256)
-            m += dm / (hits + 200)
-        assert math.isclose(total, want, rel_tol=1e-4, abs_tol=1e-9)
+    nats, log_p = rng.uniform(5, 200, n), np.where(rng.random(n) < 0.6, -rng.random(n), -np.inf)
+    again = np.where(rng.random(n) < 0.2, -rng.random(n), -np.inf)
+    got, at = passages.follow(nats, log_p, again, sizes), 0
+    for total, size in zip(got, sizes.tolist(), strict=True):
+        tables, weights = [t.ravel().astype(float).copy() for t in (passages.BY_LAST, passages.BY_RUN, passages.BY_SHARE)], [0.45] * 3
+        last = before = run = ones = 0
+        want = 0.0
+        for t in range(size):
+            share = 0 if ones == 0 else 1 + min(4 * ones // (t + 1), 3)
+            keys = (3 * last + before, 4 * (last == 2) + min(run, 3), share)
+            x = [math.log(tb[k] / (1 - tb[k])) for tb, k in zip(tables, keys, strict=True)]
+            p = min(max(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, weights, strict=True)))), 1e-4), 1 - 1e-4)
+            ways = [math.exp(v) for v in (log_p[at + t], again[at + t]) if v > -math.inf]
+            there = p * sum(ways) / max(len(ways), 1)
+            chance = there + (1 - p) * math.exp(-nats[at + t])
+            want -= math.log(chance)
+            bit = there / chance
+            weights = [w + 0.02 * (bit - p) * a for w, a in zip(weights, x, strict=True)]
+            for tb, k in zip(tables, keys, strict=True):
+                tb[k] = min(max(tb[k] + 0.1 * (bit - tb[k]), 1e-4), 1 - 1e-4)
+            one = bit > 0.5
+            run = run + 1 if (last == 2) == one else 0
+            before, last = last, 2 if one else 1
+            ones += one
+        assert math.isclose(total, want, rel_tol=1e-6)
         at += size
+
+
+def test_lm_knows_a_text_that_stands_twice(spark):
+    """A text with a copy elsewhere in the corpus is cheap, one that stands once is not, held out or not."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("n", "r", "st", "x")]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[i]) for i in range(5)] + [(200, texts[30])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.col("doc_id").isin(40, 41, 200))
+    m, counts = lm_mixing.fit(docs.where("not held_out"))
+    got = {r["doc_id"]: r["bits_per_byte"] for r in lm_mixing.score(docs, m, counts).collect()}
+    twice = {*range(5), *range(100, 105), 200}  # 30 is only repeated in a held-out row
+    assert max(got[i] for i in twice) < 0.3 < 1 < min(got[i] for i in got if i not in twice)
