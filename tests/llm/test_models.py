@@ -96,12 +96,12 @@ def test_forward_backward():
     assert math.isclose(good[3], 1 / (1 + math.exp(-0.5)))
 
 
-def test_base_score(spark):
+def test_base_score(spark, monkeypatch):
+    monkeypatch.setattr(lm_mixing, "FREQUENT", 2)  # the others go through the join
     rows = [(i, t) for i, t in enumerate(["The cat the", "cat\tdog", None, "", "THE cat é", "unseen dog dog", "the end"])] + [(20 + i, "the cat sat") for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", fold_of())
     m, counts = lm_mixing.fit(docs.where("not held_out"))
-    the = m.lexicon.ids[b"the"]
-    m.lexicon.n = [n if k == the else 0 for k, n in enumerate(m.lexicon.n)]  # the others go through the join
+    assert len(m.lexicon.words) <= 2
     got = {(r["doc_id"]): r for r in lm_mixing.score(docs, m, counts).collect()}
     held = {r["doc_id"]: r["held_out"] for r in docs.collect()}
     words = {i: (t or "").lower().split() + ["\n"] for i, t in rows}
@@ -134,14 +134,14 @@ def test_probabilities_sum_to_one(spark):
         ways = [t.size[ctx * 256 + s] for s in range(256) if t.start[ctx * 256 + s] >= 0] + [t.escape_size[ctx]]
         assert math.isclose(sum(2.0 ** -int(n) for n in ways), 1.0)
     lex = m.lexicon
-    assert len(lex.size) == len(lex.ids) + 1 and math.isclose(sum(2.0 ** -int(n) for n in lex.size), 1.0)
+    assert len(lex.size) == len(lex.words) + 1 and math.isclose(sum(2.0 ** -int(n) for n in lex.size), 1.0)
     chance = {}
     for k in range(len(lex.size)):
         path = range(lex.start[k], lex.start[k] + lex.size[k])
         chance[k] = math.prod(1 / (1 + math.exp(-lex.odds[lex.node[i]] * (1 if lex.bit[i] else -1))) for i in path)
     assert math.isclose(sum(chance.values()), 1.0, rel_tol=1e-5)
     learnt = Counter(w for r in docs.collect() for w in [*lm_mixing.split_words(pa_array([r["text"]]))[0].to_pylist()])
-    assert chance[lex.ids[b"abc"]] > chance[lex.ids[b"ab"]] and learnt["abc"] == 15  # by how often they are learnt
+    assert chance[lex.words.index(b"abc")] > chance[lex.words.index(b"ab")] and learnt["abc"] == 15  # by how often they are learnt
 
 
 def pa_array(texts):
@@ -191,7 +191,7 @@ def test_lm_own_counts_of_long_texts():
     import numpy as np
 
     rng = np.random.default_rng(5)
-    context, bit = rng.integers(0, 1 << 63, 60_000, dtype=np.uint64)[rng.integers(0, 60_000, 200_000)], rng.integers(0, 2, 200_000)
+    context, bit = rng.integers(0, 1 << 32, 60_000, dtype=np.uint32)[rng.integers(0, 60_000, 200_000)], rng.integers(0, 2, 200_000)
     for texts in (1, 3, 1000):
         text = rng.integers(0, texts, 200_000)
         n0, n1 = lm_mixing.own_counts(context, bit, text)
@@ -211,13 +211,15 @@ def test_lm_mixes_decision_by_decision():
     gate, bit = rng.integers(0, lm_mixing.GATES, n), (rng.random(n) < 0.8).astype(np.uint8)
     w0 = rng.normal(size=(lm_mixing.INPUTS, lm_mixing.GATES)).astype(np.float32)
     m0 = np.tile(1 / (1 + np.exp(12 - np.arange(lm_mixing.STEPS))), lm_mixing.GATES).astype(np.float32)
-    turns = lm_mixing.turns_of(sizes)
-    assert sorted(turns.at.tolist()) == list(range(n))
-    logs = np.empty(n)
-    logs[turns.at] = lm_mixing.mix(x[:, turns.at], gate[turns.at], bit[turns.at], turns, w0.copy(), m0.copy())
+    span = 50
+    place = np.concatenate([np.arange(k) for k in sizes])
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.lexsort((text, place // span))
+    ends, logs = np.cumsum(np.bincount(place // span)), np.empty(n)
+    logs[at] = lm_mixing.mix(x[:, at], gate[at], bit[at], text[at], ends, w0.copy(), m0.copy())
     at = 0
     for size in sizes.tolist():
-        w, m, span = w0.astype(float), m0.astype(float), lm_mixing.SPAN
+        w, m = w0.astype(float), m0.astype(float)
         for k in range(at, at + size, span):
             dw, dm = np.zeros_like(w), np.zeros_like(m)
             for i in range(k, min(k + span, at + size)):
@@ -237,13 +239,51 @@ def test_lm_inputs_begin_at_the_training_words(spark):
 
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat sat on the mat", "a dog sat", "the dog ran off"] * 9)], "doc_id long, text string")
     m, _ = lm_mixing.fit(docs)
-    words, each = lm_mixing._numbered(["the dog sat unheard", "the"])
-    c = lm_mixing.coded_of(words, m).texts(each)
+    reader, coder = lm_mixing.Reader(m.lexicon), lm_mixing.Coder(m)
+    ids, n, rare = reader(["the dog sat unheard", "the"])
+    c = lm_mixing.texts_of(ids, n, coder(rare), reader.end)
     x, gate = lm_mixing.inputs_of(c, m.tables[-1])
-    first = np.array([len({(t, k) for t, k in zip(c.turns.lane[:i].tolist(), c.context[:i].tolist(), strict=True)} & {(int(c.turns.lane[i]), int(c.context[i]))}) == 0 for i in range(len(c.bit))])
+    seen, first = set(), []
+    for k in zip(c.lane.tolist(), c.context.tolist(), strict=True):
+        first.append(k not in seen)
+        seen.add(k)
+    first = np.array(first)
     assert np.allclose(x[2][first], x[0][first], atol=1e-3) and not np.allclose(x[2], x[0], atol=1e-2) and gate.max() < lm_mixing.GATES
 
 
+def test_lm_turns():
+    """SPAN words of each text in turn, the longest first; every decision once, after the right word."""
+    import numpy as np
+
+    size = np.array([2, 1, 0, 3])
+    c = lm_mixing.Coded(np.cumsum(size) - size, size, *(np.arange(6, dtype=t) for t in (np.float32, np.uint32, np.uint8)), np.arange(4, dtype=np.int32) + 10, None, None)
+    rng = np.random.default_rng(1)
+    words = np.array([3, 40, 1, 17])
+    ids = rng.integers(0, 4, words.sum())
+    ids[np.cumsum(words) - 1] = 0  # the end mark
+    t = lm_mixing.texts_of(ids, words, c, 0)
+    text = np.repeat(np.arange(4), words)
+    place = np.concatenate([np.arange(k) for k in words])
+    rank = np.array([2, 0, 3, 1])
+    want = sorted(range(len(ids)), key=lambda k: (place[k] // lm_mixing.SPAN, rank[text[k]], place[k]))
+    assert t.order.tolist() == want
+    starts = [0, 2, 3, 3]
+    assert t.context.tolist() == [starts[ids[k]] + i for k in want for i in range(size[ids[k]])]
+    assert t.lane.tolist() == [rank[text[k]] for k in want for _ in range(size[ids[k]])]
+    assert t.before.tolist() == [10 + (ids[k - 1] if place[k] else 0) for k in want for _ in range(size[ids[k]])]
+    assert t.ends[-1] == len(t.odds) and len(t.ends) == 5
+
+
+def test_lm_reader():
+    """Leaves of the lexicon, then words in no leaf; only A-Z are lower-cased."""
+    import numpy as np
+
+    n = np.array([5.0, 3.0, 1.0, 9.0])
+    reader = lm_mixing.Reader(lm_mixing.lexicon_of([b"the", b"cat", "é".encode(), b"\n"], n, n, 2.0))
+    ids, sizes, rare = reader(["The cat x", "", " é É y x"])
+    assert ids.tolist() == [0, 1, 4, 3, 3, 2, 5, 6, 4, 3] and sizes.tolist() == [4, 1, 5] and rare == [b"x", "É".encode(), b"y"]
+
+
 def words_and_sizes(texts):
     import numpy as np
 
@@ -283,9 +323,9 @@ def test_passages_seen_elsewhere(spark, monkeypatch, least):
     """Counts elsewhere against a plain loop; a hot pair is broadcast and gives the same."""
     import random
 
-    from sheetgraph.llm import passages
+    from sheetgraph.llm import common, passages
 
-    monkeypatch.setattr(passages, "HOT_LEAST", least)
+    monkeypatch.setattr(common, "HOT_LEAST", least)
     rng = random.Random(4)
     rows = []
     for row in range(60):
