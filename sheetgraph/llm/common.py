@@ -38,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def whole_rows(docs: DataFrame, *names: str) -> DataFrame:
     """docs as one struct column `row`, and some of its columns beside it, so that no other name can clash."""
     return docs.select(F.struct("*").alias("row"), *(F.col(f"`{n}`").alias(n) for n in names))
