@@ -18,7 +18,8 @@ handed back and split into pairs of blocks over further tasks, so a task holds a
 one fingerprint and take part once. Components come from iterative joins.
 
 Defined cases: a text without words (null or empty) has fingerprint zero and links like any other; fewer than four
-words make one shingle; a null doc_id is kept, and its component is that of its fingerprint; repeated rows are kept.
+words make one shingle; a null doc_id is kept, and its component is that of its fingerprint; repeated rows are kept
+(all but one in `keep_one`); other columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetgraph.llm.common import cut, table
+from sheetgraph.llm.common import cut, join_counted, table, text_key, whole_rows
 from sheetgraph.llm.graph import components
 
 SHINGLE = 4
@@ -238,31 +239,49 @@ def links(fps: DataFrame, run: int = RUN) -> DataFrame:
     return near
 
 
+def components_of(marked: DataFrame, run: int = RUN) -> DataFrame:
+    """(fp, ...) -> (fp, root, n): for each different fingerprint a fingerprint that names its group, and its rows."""
+    fps = cut(marked.groupBy("fp").agg(F.count("*").alias("n")))
+    roots = components(links(fps.select("fp"), run))
+    return fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "n")
+
+
+def _first_of_group(marked: DataFrame, groups: DataFrame, first: Column, rows: int) -> DataFrame:
+    """(fp, n, first): the least `first` of any row of the fingerprint's group."""
+    least = marked.groupBy("fp").agg(F.min(first).alias("least"))
+    grouped = cut(groups.join(least, "fp"))
+    lowest = grouped.groupBy("root").agg(F.min("least").alias("first"), F.count("*").alias("members"))
+    return join_counted(grouped.select("fp", "n", "root"), lowest, "root", "members", rows).drop("root")
+
+
 def near_duplicates(docs: DataFrame, run: int = RUN) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp, component_id): the smallest doc_id that links lead to."""
     marked = cut(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")))
-    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(fps.select("fp"), run))
-    grouped = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(grouped.join(lowest, "root").select(F.col("fp").alias("_fp"), "component_id"))
-    return marked.join(named, marked["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+    rows = marked.count()
+    named = cut(_first_of_group(marked, components_of(marked, run), F.col("doc_id"), rows))
+    return join_counted(marked, named, "fp", "n", rows).select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest id stays, one row of it.
+    """Of every group of near-duplicates the row with the smallest doc_id stays; null ids come last, and rows of one id
+    are ordered by a hash of their texts. Of rows alike in both one stays.
 
-    Rows with a null id can't be named and stay. Texts are shuffled once at most: those to drop are found by id, and
-    only ids that several rows share are deduplicated by row.
+    Texts are shuffled once at most: rows to drop are found by id and hash, and only rows that repeat are put together.
     """
-    found = near_duplicates(docs.where("doc_id is not null"))
-    ids = cut(found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("keep"), F.count("*").alias("rows")))
-    out = docs.join(ids.where("not keep").select("_id"), F.col("doc_id") == F.col("_id"), "left_anti")
-    again = ids.where("keep and rows > 1").select("_id")
-    if again.isEmpty():
-        return out
-    once = out.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    marked = cut(docs.select("doc_id", text_key(F.col("text")).alias("th"), fingerprints(F.col("text")).alias("fp")))
+    rows = marked.count()
+    named = cut(_first_of_group(marked, components_of(marked), key, rows))
+    keys = join_counted(marked, named, "fp", "n", rows).groupBy("doc_id", "th").agg(F.first("first").alias("first"), F.count("*").alias("rows"))
+    keys = cut(keys.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), (F.col("first") == key).alias("keep"), "rows"))
+    own = whole_rows(docs, "doc_id", "text").select("row", "doc_id", text_key(F.col("text")).alias("th"))
+    on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))
+    out = own.join(keys.where("not keep").select("d", "h"), on, "left_anti")
+    again = keys.where("keep and rows > 1").select("d", "h")
+    if not again.isEmpty():
+        once = out.join(again, on, "left_semi").groupBy("doc_id", "th").agg(F.first("row").alias("row"))
+        out = out.join(again, on, "left_anti").select("row").union(once.select("row"))
+    return out.select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
