@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetgraph.llm import chars
@@ -199,21 +199,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     gbt = gbt.setRawPredictionCol("_tox_raw").setProbabilityCol("_tox_p")
     trees = gbt.fit(train.where(fitting))
-    p = trees.transform(train).select("y", "weight", vector_to_array("_tox_p")[1].alias("p"))
+    # Rows that the trees were not fitted on show what their values are worth; too small a sample has to do with all.
+    unseen = train.where(~fitting)
+    unseen = unseen if unseen.select("y").distinct().count() == 2 else train
+    p = trees.transform(unseen).select("y", "weight", vector_to_array("_tox_p")[1].alias("p"))
     curve = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="weight", predictionCol="_tox_iso").fit(p)
     trees = trees.setFeaturesCol("_tox_x")
     return Model(both, trees, curve.setFeaturesCol("_tox_p1"), prior)
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
-    """docs and the probability that a text is toxic. Steps of the calibration are told apart by the trees' own order."""
+    """docs and the calibrated probability that a text is toxic; a column of that name is replaced, others are kept."""
+    kept = [F.col("_tox_row")[c].alias(c) for c in docs.columns if c.lower() != name.lower()]
     if model.trees is None:
-        return docs.withColumn(name, F.lit(float(model.prior)))
+        return docs.select(F.struct("*").alias("_tox_row")).select(*kept, F.lit(float(model.prior)).alias(name))
     x = _features_udf(docs.sparkSession, [model.lexicon])(F.col(text), F.lit(0))
     out = model.trees.transform(docs.select(F.struct("*").alias("_tox_row"), array_to_vector(x).alias("_tox_x")))
     out = model.curve.transform(out.select("_tox_row", vector_to_array("_tox_p")[1].alias("_tox_p1")))
-    mixed: Column = 0.98 * F.least(F.greatest("_tox_iso", F.lit(0.0)), F.lit(1.0)) + 0.02 * F.col("_tox_p1")
-    return out.select("_tox_row.*", mixed.alias("_tox_score")).withColumn(name, F.col("_tox_score")).drop("_tox_score")
+    return out.select(*kept, F.least(F.greatest("_tox_iso", F.lit(0.0)), F.lit(1.0)).alias(name))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
