@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetgraph.llm import chars
-from sheetgraph.llm.common import fold, table, text_chunks
+from sheetgraph.llm.common import fold, table, text_chunks, text_key
 from sheetgraph.llm.labelled import sample
 
 FIT_DOCS = 5_000
@@ -81,8 +81,9 @@ def with_neighbours(base: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
     return np.hstack([base, before, after, ends, np.ones((len(base), 1), np.float32)])
 
 
-def marginals(score: np.ndarray, n_lines: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(good) of every line, log Z of every text, and the expected number of each pair of neighbouring states.
+def marginals(score: np.ndarray, n_lines: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(good) of every line, log Z of every text, and the expected number of each pair of neighbouring states, each
+    text counted by its weight (1 without any).
 
     score is that of `good`, `bad` has 0. All texts step forward together, longest first, so that texts that have
     ended are at the back.
@@ -117,10 +118,22 @@ def marginals(score: np.ndarray, n_lines: np.ndarray, trans: np.ndarray) -> tupl
     pairs = np.zeros((2, 2))
     for a in range(2):
         for b in range(2):
-            pairs[a, b] = np.exp(alpha[at - 1, a] + trans[a, b] + emit[at, b] + beta[at, b] - z).sum()
+            each = np.exp(alpha[at - 1, a] + trans[a, b] + emit[at, b] + beta[at, b] - z)
+            pairs[a, b] = each.sum() if weight is None else (each * np.repeat(weight, n_lines)[at]).sum()
     return good, log_z, pairs
 
 
+def likelihood(x: np.ndarray, y: np.ndarray, n_lines: np.ndarray, weight: np.ndarray, p: np.ndarray) -> tuple[float, np.ndarray]:
+    """Minus the conditional log likelihood of all lines having their text's label, texts counted by weight, and its
+    gradient. p: weights of the features, then the four of neighbouring states."""
+    trans, score = p[-4:].reshape(2, 2), x @ p[:-4]
+    good, log_z, pairs = marginals(score, n_lines, trans, weight)
+    y_line, w_line, inner = np.repeat(y, n_lines), np.repeat(weight, n_lines), weight * (n_lines - 1)
+    have = np.array([(inner * (1 - y)).sum(), 0, 0, (inner * y).sum()])
+    loss = (weight * log_z).sum() - (w_line * y_line * score).sum() - (have * p[-4:]).sum()
+    return float(loss), np.concatenate([x.T @ (w_line * (good - y_line)), pairs.ravel() - have])
+
+
 @dataclass
 class Model:
     weights: np.ndarray | None
@@ -157,16 +170,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 base, size, n_lines = base_features(texts)
                 cuts = np.cumsum(n_lines)[:-1]
                 part = pdf.iloc[first : first + len(texts)]
-                rows = pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "y": part["y"].to_numpy(), "weight": part["weight"].to_numpy(), "base": [b.ravel() for b in np.split(base, cuts)], "size": np.split(size, cuts)})
+                rows = part[["doc_id", "th", "y", "weight"]].assign(base=[b.ravel() for b in np.split(base, cuts)], size=np.split(size, cuts))
                 yield rows[n_lines <= FIT_LINES]
 
     got = sample(docs, labels, "quality", FIT_DOCS, FIT_DOCS)
-    rows = got.mapInPandas(features, "doc_id long, y int, weight double, base array<float>, size array<long>").toPandas().sort_values("doc_id").reset_index(drop=True)
+    layout = "doc_id long, th long, y int, weight double, base array<float>, size array<long>"
+    rows = got.withColumn("th", text_key(F.col("text"))).mapInPandas(features, layout).toPandas().sort_values(["doc_id", "th"]).reset_index(drop=True)
     prior = float((rows["y"] * rows["weight"]).sum() / rows["weight"].sum()) if len(rows) else 0.0
     model = Model(None, np.zeros((2, 2)), (1.0, 0.0), prior)
     if rows["y"].nunique() < 2:
         return model
-    held = np.arange(len(rows)) % 4 == 3
+    held = np.arange(len(rows)) % 4 == 3  # rows alike in id and text are alike in all, so their order says nothing
     parts = []
     for part in (rows[~held], rows[held]):
         base = np.concatenate([np.asarray(b, np.float32) for b in part["base"]]).reshape(-1, N_BASE)
@@ -174,16 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         parts.append((base, size, part["size"].map(len).to_numpy(), part["y"].to_numpy(float), part["weight"].to_numpy()))
     base, _, n_lines, y, weight = parts[0]
     x = with_neighbours(base, n_lines).astype(np.float64)
-    y_line, w_line = np.repeat(y, n_lines), np.repeat(weight, n_lines)
-    scale = w_line.sum()
-    inner = np.repeat(n_lines, n_lines) > 1
-    inner[np.cumsum(n_lines) - n_lines] = False
+    scale = (weight * n_lines).sum()
 
     def grad(p: np.ndarray) -> np.ndarray:
-        good, _, pairs = marginals(x @ p[:-4], n_lines, p[-4:].reshape(2, 2))
-        g = x.T @ (w_line * (good - y_line)) / scale
-        have = np.array([((1 - y_line) * inner).sum(), 0, 0, (y_line * inner).sum()])
-        return np.concatenate([g, (pairs.ravel() - have) / len(x)]) + RIDGE * p
+        return likelihood(x, y, n_lines, weight, p)[1] / scale + RIDGE * p
 
     p = _descend(grad, np.zeros(x.shape[1] + 4), ROUNDS, STEP)
     model = Model(p[:-4], p[-4:].reshape(2, 2), (1.0, 0.0), prior)
