@@ -7,7 +7,7 @@ scored by gathering its rows in numpy.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0.0; documents with a null lang are not
 learnt from; without any training document everything is `und`; a tie goes to the language first by code point;
-repeated rows are predicted alike. The score is the posterior of the predicted language.
+repeated rows are predicted alike; more than MOST_LANGS values of lang raise an error. The score is the posterior of the predicted language.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.5
 PAD = " " * max(ORDERS)
+#: Languages a model may have: its matrix then takes MOST_LANGS x BUCKETS x 4 bytes at most.
+MOST_LANGS = 512
+#: N-grams that are scored at once.
+SLICE = 1 << 16
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
 _letters: np.ndarray | None = None
 
@@ -89,6 +93,8 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """Learn from every row of docs with a text and a lang."""
     known = docs.where("text is not null and lang is not null").select("text", "lang")
+    if known.select("lang").distinct().limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} values of lang: these are no languages")
     sums = known.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique())
     logp, prior = np.zeros((BUCKETS, len(langs)), np.float32), np.zeros(len(langs))
@@ -112,9 +118,10 @@ def _score(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray
         for at, h in orders:
             if not len(at):
                 continue
-            doc = np.searchsorted(starts, at, side="right") - 1
-            new = np.flatnonzero(np.diff(doc, prepend=-1))
-            total[doc[new]] += np.add.reduceat(model.logp[h], new, axis=0, dtype=np.float64)
+            for k in range(0, len(at), SLICE):
+                doc = np.searchsorted(starts, at[k : k + SLICE], side="right") - 1
+                new = np.flatnonzero(np.diff(doc, prepend=-1))
+                total[doc[new]] += np.add.reduceat(model.logp[h[k : k + SLICE]], new, axis=0, dtype=np.float64)
         best = total.argmax(1)
         p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         for i in np.flatnonzero(has):
