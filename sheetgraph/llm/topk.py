@@ -9,10 +9,11 @@ stops only when the rows whose bound reaches the threshold are few enough to sco
 Those possible members are then scored exactly, and every other row is proved to be below the k-th score. The best k
 of the blocks are merged by a window.
 
-Queries meet vectors in blocks of fixed size (a stated query set against all rows), so a task's memory is bounded.
+Queries meet vectors in blocks of bounded size (a stated query set against all rows), so a task's memory is bounded.
+Vectors of like width share blocks, and wider ones have fewer rows a block.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as
-padded with zeros; a query's own rows are all rows of its id; repeated rows of an id are candidates each but one
+Defined cases: vectors that are null or hold null or non-finite components take no part, nor rows without an id;
+shorter vectors count as padded with zeros; components are held to +-LIMIT, which keeps scores exact; a query's own rows are all rows of its id; repeated rows of an id are candidates each but one
 query; ties go to the smaller id; fewer than k other rows give fewer results; empty tables give an empty result.
 """
 
@@ -33,14 +34,19 @@ LEVELS = 32
 #: Rounds of descending impact; bounds are drawn after each from the half on.
 ROUNDS = 10
 BLOCK = 16_384
-QUERY_BLOCK = 512
+QUERY_BLOCK = 4096
+#: Vectors of up to this width have BLOCK rows a block; from there on, rows times width stay below their product.
+WIDE = 1024
+#: Integer components are held to this: inner products of up to 2^14 components fit in a long.
+LIMIT = 1 << 24
 #: A query stops for a block when this share of its rows, or fewer, may still be members.
 POSSIBLE = 0.05
 OUT = "query_id long, vec_id long, score long"
 
 
 def quantised(embedding: Column) -> Column:
-    return F.transform(embedding, lambda x: F.floor(F.lit(SCALE) * x.cast("double")))
+    most = F.lit(float(LIMIT))
+    return F.transform(embedding, lambda x: F.floor(F.least(most, F.greatest(-most, F.lit(SCALE) * x.cast("double")))))
 
 
 def finite(embedding: Column) -> Column:
@@ -51,7 +57,7 @@ def finite(embedding: Column) -> Column:
 def matrix(vectors: pd.Series, dims: int) -> np.ndarray:
     out = np.zeros((len(vectors), dims), np.int64)
     for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+        out[i, : min(len(v), dims)] = v[:dims]
     return out
 
 
@@ -93,6 +99,7 @@ class Index:
                 continue
             # A row whose level in a dimension has not come yet adds at most the next level's impact there.
             rest = np.where(passed < LEVELS, most[np.arange(dims), np.minimum(passed, LEVELS - 1)], 0).astype(np.float32)
+            slack = float(np.abs(rest).sum(dtype=np.float64)) * dims * 2.0**-22  # more than float32 can round off
             edge = np.where(up, LEVELS - passed, passed).astype(np.int8)
             unseen = (self.level < edge) == up
             bound = added + unseen.astype(np.float32) @ rest
@@ -103,7 +110,7 @@ class Index:
                 kth = int(np.partition(self.vectors[top] @ q, len(top) - k)[len(top) - k])
                 floor_ = kth if floor_ is None else max(floor_, kth)
             if floor_ is not None:
-                rows = np.flatnonzero(bound >= floor_ - 1 - 1e-4 * abs(floor_))  # float32 rounds
+                rows = np.flatnonzero(bound >= floor_ - 1 - slack)
                 if len(rows) <= max(4 * k, POSSIBLE * n):
                     break
         rows = rows[~own[rows]]
@@ -112,17 +119,22 @@ class Index:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(vec_id, v) against (query_id, q), both with integer arrays: each query's k best rows with another id."""
-    n, nq = vectors.count(), queries.count()
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-nq // QUERY_BLOCK))
-    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = vectors.select(block("vec_id", blocks).alias("vb"), every(query_blocks).alias("qb"), "vec_id", "v")
-    right = queries.select(every(blocks).alias("vb"), block("query_id", query_blocks).alias("qb"), "query_id", "q")
+    vectors, queries = vectors.where("vec_id is not null"), queries.where("query_id is not null")
+    wide = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size("v"), F.lit(1)) / F.lit(WIDE)))).cast("int")  # 0, or doublings beyond WIDE
+    counts = vectors.groupBy(wide.alias("wide")).agg(F.count("*").alias("n")).collect()  # 32 at most
+    blocks = {r["wide"]: max(1, -(-r["n"] // max(1, BLOCK >> r["wide"]))) for r in counts} or {0: 1}
+    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    part = lambda c, m: F.pmod(F.xxhash64(c), m).cast("int")
+    own = F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), F.col("wide"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
+    left = vectors.withColumn("wide", wide).select((F.col("wide") * F.lit(1 << 24) + part("vec_id", own)).alias("vb"), every.alias("qb"), "vec_id", "v")
+    all_blocks = F.explode(F.flatten(F.array(*(F.sequence(F.lit(w << 24), F.lit((w << 24) + m - 1)) for w, m in blocks.items()))))
+    right = queries.select(all_blocks.alias("vb"), part("query_id", F.lit(query_blocks)).alias("qb"), "query_id", "q")
 
     def meet(_key, vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if vs.empty or qs.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        dims = max(vs["v"].map(len).max(), qs["q"].map(len).max(), 1)
+        dims = max(vs["v"].map(len).max(), 1)  # beyond it every product is zero
         index, ids = Index(matrix(vs["v"], dims)), vs["vec_id"].to_numpy()
         out = []
         for qid, q in zip(qs["query_id"], matrix(qs["q"], dims), strict=True):
@@ -137,7 +149,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(finite(F.col("embedding")))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(finite(F.col("embedding")) & F.col("vec_id").isNotNull())
     vectors = e.select("vec_id", quantised(F.col("embedding")).alias("v"))
     queries = vectors.where("vec_id % 50 = 0").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
     return search(vectors, queries)
@@ -145,7 +157,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v::DOUBLE[], e.v::DOUBLE[])::BIGINT AS score
   FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
