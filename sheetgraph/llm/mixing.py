@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sheetgraph.llm.common import WORD, cut
+from sheetgraph.llm.common import WORD, cut, table, whole_rows
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -62,29 +62,33 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
 def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """docs and size, source_size, target, copies, taken."""
     added = ("size", "source_size", "target", "copies", "taken")
-    kept = [c for c in docs.columns if c not in added]
-    docs = docs.select(*kept, words(F.col("text")).alias("size"))
-    targets = cut(source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
-    t = targets.withColumnRenamed("source", "_source")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in added]
+    return _planned(docs, weights, cap, seed).select(*kept, *added)
+
+
+def _planned(docs: DataFrame, weights: Sequence[int], cap: int, seed: str) -> DataFrame:
+    """(row, size, source_size, target, copies, taken)."""
+    d = whole_rows(docs, "doc_id", "source", "text").withColumn("size", words(F.col("text"))).drop("text")
+    targets = cut(source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
+    t = targets.withColumnRenamed("source", "s")
     chars = targets.agg(F.sum(F.length(F.coalesce("source", F.lit(""))) + 32)).first()[0] or 0
     if chars <= BROADCAST_CHARS:
-        out = docs.join(F.broadcast(t), docs["source"].eqNullSafe(t["_source"]), "left")
+        out = d.join(F.broadcast(t), F.col("source").eqNullSafe(F.col("s")), "left")
     else:
-        salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-        t = t.withColumn("_salt", F.explode(salts))
-        d = docs.withColumn("_dsalt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        out = d.join(t, d["source"].eqNullSafe(t["_source"]) & (d["_dsalt"] == t["_salt"]), "left")
+        t = t.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        d = d.withColumn("own_salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+        out = d.join(t, F.col("source").eqNullSafe(F.col("s")) & (F.col("own_salt") == F.col("salt")), "left")
     whole = F.floor("rate").cast("long")
     more = (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
     copies = F.least(whole + more, F.lit(cap).cast("long"))
-    return out.select(*kept, "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    out = out.select("row", "size", "source_size", "target", copies.alias("copies"))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mixture: every document as often as the plan says, with the columns of docs."""
-    plan = mix_plan(docs.select("*", F.struct("*").alias("_row")), weights, cap, seed).where("copies > 0")
-    plan = plan.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return plan.select("_row.*")
+    plan = _planned(docs, weights, cap, seed).where("copies > 0")
+    return plan.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 ORACLE = r"""
@@ -105,6 +109,4 @@ LATERAL (SELECT least(floor(r.rate)::BIGINT + CASE WHEN ('0x' || substr(md5('mix
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from sheetgraph.llm.common import table
-
     return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
