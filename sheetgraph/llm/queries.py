@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_filters": url_filter.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
         "op8_topk_search": topk.ORACLE,
         "op10_source_mixing": mixing.ORACLE.format(docs="documents"),

@@ -3,11 +3,13 @@
 Lists are kept as dated entries: on a day, a list adds or removes a value of a kind (`host` covers the host and
 everything below it, `prefix` covers host and path from the left). Entries become validity intervals: per (list,
 kind, value) the last entry of a day counts, and an entry lasts until the next day that has one. A capture is looked
-up under every suffix of its host and every prefix of its path, however deep, and an as-of join keeps the intervals that hold at its fetch time. `allow` lists win over `block`
+up under every suffix of its host and every prefix of its path, however deep, and an as-of join keeps the intervals
+that hold at its fetch time. `allow` lists win over `block`
 lists.
 
-The join is by key. Keys that many captures share are split: their intervals are repeated over SALTS salts. Those
-keys are few whatever the input (each holds over 1/HOT_SHARE of all lookups), so that list alone is broadcast.
+The join is by key. Keys that many captures share are split into as many parts as they are too large, and their
+intervals are repeated for each. Those keys are few whatever the input (each holds over 1/HOT_SHARE of all lookups, so
+they have 2 x HOT_SHARE parts together at most), so that list alone is broadcast.
 
 Defined cases: a null or unparsable url has no host, no key and verdict `keep`; entries with a null list, value or
 date are ignored; two entries of one day and value: a `remove` wins; a capture without a fetch time matches nothing;
@@ -24,8 +26,8 @@ from sheetgraph.llm.common import cut, table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
-HOT_SHARE = 200
-SALTS = 16
+#: A key with more lookups than both is split.
+HOT_LEAST, HOT_SHARE = 1000, 200
 
 
 def host(url: Column) -> Column:
@@ -63,15 +65,18 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     n_active counts the active entries that match, since is the latest day one of them began.
     """
-    caps = captures.select("page_id", "url", "fetched").withColumn("_row", F.xxhash64("page_id", "url", "fetched"))
-    keyed = caps.select("_row", "fetched", F.explode(F.array_distinct(lookup_keys(F.col("url")))).alias("key"))
+    key = F.concat(F.hex(F.xxhash64("page_id", "url", "fetched")), F.hex(F.xxhash64(F.lit(1), "url", "fetched", "page_id")))
+    caps = captures.select("page_id", "url", "fetched").withColumn("_row", key)
+    keyed = caps.distinct().select("_row", "fetched", F.explode(F.array_distinct(lookup_keys(F.col("url")))).alias("key"))
+    keyed = cut(keyed)
     counts = keyed.groupBy("key").count()
-    total = keyed.count()
-    hot = counts.where(F.col("count") > max(1000, total // HOT_SHARE)).select(F.col("key").alias("_hot"))
-    keyed = keyed.distinct().join(F.broadcast(hot), F.col("key") == F.col("_hot"), "left")
-    keyed = keyed.withColumn("salt", F.when(F.col("_hot").isNotNull(), F.pmod("_row", F.lit(SALTS)).cast("int")).otherwise(0))
+    least = max(HOT_LEAST, keyed.count() // HOT_SHARE)
+    salts = F.ceil(F.col("count") / least).cast("int")  # a part has about as many lookups as a key that is just not hot
+    hot = cut(counts.where(F.col("count") > least).select(F.col("key").alias("_hot"), salts.alias("salts")))
+    keyed = keyed.join(F.broadcast(hot), F.col("key") == F.col("_hot"), "left")
+    keyed = keyed.withColumn("salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64("_row"), F.col("salts")).cast("int")).otherwise(0))
     spans = intervals(entries).join(F.broadcast(hot), F.col("key") == F.col("_hot"), "left")
-    spread = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.lit(0)))
     spans = spans.select("list_id", "action", F.col("key").alias("k"), "valid_from", "valid_to", F.explode(spread).alias("s"))
     live = (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
     hits = keyed.join(spans, (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")) & live)
@@ -102,7 +107,7 @@ def derived_entries(pages: DataFrame) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract("url", PATH, 1), "/+$", "")
     deep = pages.select(F.concat(host(F.col("url")), path).alias("value")).where("value like '_%/%' and value not like '%//%'").distinct().select("value", F.lit("prefix").alias("kind"))
     sections = sections.union(deep).distinct()
-    n = F.crc32(F.col("value").cast("binary"))
+    n = F.conv(F.substring(F.md5(F.col("value").cast("binary")), 1, 8), 16, 10).cast("long")
     day = lambda k: F.date_add(F.lit("2020-01-01").cast("date"), F.pmod(n * k, F.lit(1200)).cast("int"))
     rows = F.array(*(F.struct(F.lit(op).alias("op"), day(k).alias("day")) for op, k in (("add", 1), ("remove", 3), ("add", 7))))
     lists = F.when(F.col("kind") == "prefix", "press").when(n % 2 == 0, "spam").otherwise("adult")
@@ -115,3 +120,35 @@ def query(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.select("page_id", "url", fetch_day(F.col("page_id")).alias("fetched"))
     return evaluate(captures, cut(derived_entries(pages)))
+
+
+ORACLE = rf"""
+WITH p AS (SELECT page_id, url, DATE '2020-01-01' + CAST((page_id * 7919) % 1461 AS INTEGER) AS fetched,
+  lower(regexp_extract(url, '{HOST}', 1)) AS host, regexp_extract(url, '{PATH}', 1) AS path FROM pages),
+picked AS (
+  SELECT 'host' AS kind, value FROM (SELECT DISTINCT host AS value FROM p WHERE host <> '')
+  WHERE ('0x' || substr(md5(value), 1, 8))::BIGINT % 3 <> 0
+  UNION ALL SELECT 'prefix', value FROM (
+    SELECT host || '/' || regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS value FROM p
+    UNION SELECT host || regexp_replace(path, '/+$', '') FROM p)
+  WHERE value LIKE '_%/_%' AND value NOT LIKE '%//%' AND value NOT LIKE '%/' AND ('0x' || substr(md5(value), 1, 8))::BIGINT % 4 = 0),
+entries AS (SELECT kind || ':' || value AS key, CASE WHEN kind = 'prefix' THEN 'allow' ELSE 'block' END AS action,
+    CASE WHEN kind = 'prefix' THEN 'press' WHEN n % 2 = 0 THEN 'spam' ELSE 'adult' END AS list_id,
+    DATE '2020-01-01' + CAST(n * o.k % 1200 AS INTEGER) AS day, bool_and(o.op = 'add') AS adds
+  FROM (SELECT *, ('0x' || substr(md5(value), 1, 8))::BIGINT AS n FROM picked) CROSS JOIN (VALUES ('add', 1), ('remove', 3), ('add', 7)) AS o(op, k)
+  GROUP BY ALL),
+spans AS (SELECT *, lead(day) OVER (PARTITION BY list_id, action, key ORDER BY day) AS until FROM entries QUALIFY adds),
+parts AS (SELECT DISTINCT page_id, url, fetched, host, string_split(host, '.') AS labels,
+  list_concat([host], list_filter(string_split(path, '/'), lambda x: x <> '')) AS steps FROM p WHERE host <> ''),
+keys AS (SELECT page_id, url, fetched, unnest(list_distinct(list_concat(
+  list_transform(range(1, len(labels) + 1), lambda k: 'host:' || array_to_string(labels[len(labels) - k + 1:], '.')),
+  list_transform(range(1, len(steps) + 1), lambda k: 'prefix:' || array_to_string(steps[1:k], '/'))))) AS key FROM parts),
+found AS (SELECT page_id, url, fetched, count(*) AS n, max(day) AS since,
+    coalesce(string_agg(DISTINCT list_id, ',' ORDER BY list_id) FILTER (action = 'block'), '') AS block_lists,
+    coalesce(string_agg(DISTINCT list_id, ',' ORDER BY list_id) FILTER (action = 'allow'), '') AS allow_lists
+  FROM keys JOIN spans USING (key) WHERE fetched >= day AND (until IS NULL OR fetched < until) GROUP BY 1, 2, 3)
+SELECT p.page_id, p.url, p.fetched, p.host, coalesce(n, 0) AS n_active, coalesce(block_lists, '') AS block_lists,
+  coalesce(allow_lists, '') AS allow_lists, since,
+  CASE WHEN coalesce(block_lists, '') <> '' AND coalesce(allow_lists, '') = '' THEN 'drop' ELSE 'keep' END AS verdict
+FROM p LEFT JOIN found f ON f.page_id IS NOT DISTINCT FROM p.page_id AND f.url IS NOT DISTINCT FROM p.url AND f.fetched IS NOT DISTINCT FROM p.fetched
+"""
