@@ -6,14 +6,13 @@ folder and reads it again for the next stage. All stages but the last return the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetgraph.llm import decontam, mixing, quality, simhash, toxicity
-from sheetgraph.llm.common import table
+from sheetgraph.llm.common import remove, shared_folder, table, whole_rows
 
 #: Not expressible in SQL: the first stages are trained models.
 ORACLE_SQL = None
@@ -22,8 +21,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity reaches the threshold go."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.with_score(docs, model, name="_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    scored = toxicity.with_score(whole_rows(docs, "text"), model)
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +56,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stages-")
-    folder = f"{base}/stages-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table. A stage's result goes once the next one is written."""
+    folder = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    docs, done = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if done:
+            remove(spark, done)
+        done = f"{folder}/{name}"
+        docs = spark.read.parquet(done)
     return docs
