@@ -99,19 +99,43 @@ def _long(packages: DataFrame, fields: list[str]) -> DataFrame:
     return packages.unpivot(["package_id", "family"], fields, "field", "raw")
 
 
-def field_provenance(packages: DataFrame) -> DataFrame:
-    """(package_id, field, source, raw, value): missing fields get defaults, those out of range are clamped.
+def field_provenance(packages: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:
+    """(package_id, family, field, source, raw, value, reviewer): missing fields get defaults, those out of range are
+    clamped, a pin count that isn't whole is invalid; what reviewers set stands if it is in range. Fields that a family
+    has no use for are not_applicable when missing.
 
-    packages carries its family.
+    packages carries its family; reviewed: (package_id, field, value, reviewer).
     """
-    ranges = F.create_map(*[x for k, v in FIELDS.items() for x in (F.lit(k), F.struct(*(F.lit(float(y)).alias(n) for n, y in zip(("least", "most", "default"), v, strict=True))))])
-    r = F.element_at(ranges, F.col("field"))
+    row = lambda v: F.struct(*(F.lit(float(y)).alias(n) for n, y in zip(("least", "most", "default"), v, strict=True)))
+    r = F.element_at(F.create_map(*[x for k, v in FIELDS.items() for x in (F.lit(k), row(v))]), F.col("field"))
     default = r["default"]
     for k, v in QFN_DEFAULTS.items():
         default = F.when((F.col("family") == "qfn") & (F.col("field") == k), v).otherwise(default)
-    source = F.when(F.col("raw").isNull(), "missing").when((F.col("raw") < r["least"]) | (F.col("raw") > r["most"]), "clamped").otherwise("datasheet")
-    value = F.when(F.col("raw").isNull(), default).otherwise(F.least(r["most"], F.greatest(r["least"], F.col("raw"))))
-    return _long(packages, list(FIELDS)).select("package_id", "family", "field", source.alias("source"), "raw", value.alias("value"))
+    long = _long(packages, list(FIELDS))
+    if reviewed is not None:
+        edits = reviewed.select("package_id", "field", F.col("value").alias("edited"), F.coalesce("reviewer", F.lit("")).alias("reviewer"))
+        long = long.join(edits, ["package_id", "field"], "left")
+    else:
+        long = long.select("*", F.lit(None).cast("double").alias("edited"), F.lit(None).cast("string").alias("reviewer"))
+    by_hand = F.col("reviewer").isNotNull()
+    given = F.when(by_hand, F.col("edited")).otherwise(F.col("raw"))
+    outside = (given < r["least"]) | (given > r["most"])
+    useless = ~F.array_contains(relevant_fields(), F.col("field"))
+    source = (
+        F.when(by_hand, F.when(given.isNull() | outside, "clamped").otherwise("reviewer"))
+        .when(given.isNull(), F.when(useless, "not_applicable").otherwise("missing")).when(F.isnan(given), "invalid").when(outside, "clamped").otherwise("datasheet")
+    )
+    value = F.when(given.isNull() | F.isnan(given), default).otherwise(F.least(r["most"], F.greatest(r["least"], given)))
+    who = F.nullif(F.col("reviewer"), F.lit(""))
+    return long.select("package_id", "family", "field", source.alias("source"), "raw", value.alias("value"), who.alias("reviewer"))
+
+
+def relevant_fields() -> Column:
+    """The fields that a package's family needs."""
+    need = F.lit(None).cast("array<string>")
+    for family, fields in CRITICAL.items():
+        need = F.when(F.col("family") == family, F.array(*map(F.lit, fields))).otherwise(need)
+    return F.coalesce(need, F.array(*map(F.lit, CRITICAL_ELSE)))
 
 
 def optional_fields(packages: DataFrame, fields: dict[str, tuple[float, float]]) -> DataFrame:
@@ -136,20 +160,27 @@ def land_pattern(packages: DataFrame) -> DataFrame:
 
 
 def critical_missing(provenance: DataFrame) -> DataFrame:
-    """Fields that a family needs and that are missing or clamped."""
-    need = F.lit(None).cast("array<string>")
-    for family, fields in CRITICAL.items():
-        need = F.when(F.col("family") == family, F.array(*map(F.lit, fields))).otherwise(need)
-    need = F.coalesce(need, F.array(*map(F.lit, CRITICAL_ELSE)))
-    bad = provenance.where(F.col("source").isin("missing", "clamped") & F.array_contains(need, F.col("field")))
+    """Fields that a family needs and that are missing, clamped, invalid, or edited by nobody known."""
+    unsigned = (F.col("source") == "reviewer") & F.col("reviewer").isNull()
+    bad = provenance.where((F.col("source").isin("missing", "clamped", "invalid") | unsigned) & F.array_contains(relevant_fields(), F.col("field")))
     return bad.groupBy("package_id").agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
 
 
-def symbol_groups(pins: DataFrame) -> DataFrame:
-    """Packages whose pins are alike by number, name and type share a symbol: its number and how many share it."""
+def symbol_groups(pins: DataFrame, packages: DataFrame) -> DataFrame:
+    """Packages of a part whose pins are alike by number, name and type share a symbol: (package_id, part, fingerprint,
+    sharers, symbol). A part's first symbol has its name, others the type of their first package with it.
+
+    packages: (package_id, part, type, place), place being its order within the part.
+    """
     pin = F.concat_ws("|", "number", "name", "type")
     prints = pins.groupBy("package_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(pin)), "\n"), 256).alias("fingerprint"))
-    return prints.select("package_id", "fingerprint", F.count("*").over(W.partitionBy("fingerprint")).alias("sharers"))
+    own = packages.select("package_id", "part", "type", "place").join(prints, "package_id")
+    symbols = own.groupBy("part", "fingerprint").agg(F.count("*").alias("sharers"), F.min(F.struct("place", "type")).alias("first"))
+    k = F.row_number().over(W.partitionBy("part").orderBy("first.place"))
+    tag = F.upper(F.regexp_replace("first.type", r"\W+", ""))
+    name = F.when(k == 1, F.col("part")).otherwise(F.concat_ws("_", "part", F.when(tag == "", "ALT").otherwise(tag)))
+    symbols = symbols.select("part", "fingerprint", "sharers", name.alias("symbol"))
+    return own.join(symbols, ["part", "fingerprint"]).select("package_id", "part", "fingerprint", "sharers", "symbol")
 
 
 def active_low_name(name: Column) -> Column:

@@ -27,16 +27,19 @@ def line_boxes(items: DataFrame) -> DataFrame:
     item = F.struct("base", "left", "item_no", "str", "right", "h")
     pages = items.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
     line = "struct<text:string,left:double,right:double,base:double,h:double>"
+    start = F.struct(F.array().cast(f"array<{line}>").alias("done"), F.lit(None).cast(line).alias("open"))
 
     def add(acc: Column, it: Column) -> Column:
-        old = F.try_element_at(acc, F.lit(-1))
-        same = (F.size(acc) > 0) & (F.abs(old["base"] - it["base"]) < F.greatest(F.lit(2.5), it["h"] * 0.5))
+        old = acc["open"]
+        same = old.isNotNull() & (F.abs(old["base"] - it["base"]) < F.greatest(F.lit(2.5), it["h"] * 0.5))
         glue = F.when(it["left"] - old["right"] > it["h"] * 0.6, "  ").otherwise(" ")
         grown = F.struct(F.concat(old["text"], glue, it["str"]).alias("text"), F.least(old["left"], it["left"]).alias("left"), F.greatest(old["right"], it["right"]).alias("right"), old["base"].alias("base"), F.greatest(old["h"], it["h"]).alias("h"))
         new = F.struct(it["str"].alias("text"), it["left"].alias("left"), it["right"].alias("right"), it["base"].alias("base"), it["h"].alias("h"))
-        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
+        closed = F.when(same | old.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(old)))
+        return F.struct(closed.alias("done"), F.when(same, grown).otherwise(new).alias("open"))
 
-    out = pages.select("doc_id", "page", F.posexplode(F.aggregate("items", F.array().cast(f"array<{line}>"), add)).alias("line_no", "l"))
+    lines = F.aggregate("items", start, add, lambda a: F.concat(a["done"], F.array(a["open"])))
+    out = pages.select("doc_id", "page", F.posexplode(lines).alias("line_no", "l"))
     top, bottom = F.col("l.base") - F.col("l.h"), F.col("l.base") + F.col("l.h") * 0.25
     return out.select("doc_id", "page", "line_no", clean_line_text(F.col("l.text")).alias("text"), "l.left", "l.right", top.alias("top"), bottom.alias("bottom"))
 
@@ -98,11 +101,14 @@ def batch_anonymous_nets(rows: DataFrame, transitive: bool = False) -> DataFrame
 
 
 def enrich_batches(batches: DataFrame, extract: Callable[[list[str]], list[tuple[str, str]]], most: int = 220) -> DataFrame:
-    """An extractor's (ref, value) rows for each batch of references; it gets at most `most` references at a time.
+    """An extractor's (ref, value) rows for each batch of references; a call gets at most `most` references, and a batch
+    of more takes several calls.
 
     batches: (design_id, batch_no, ref). Filter to what needs extraction before this: filters don't pass it.
     """
-    grouped = batches.groupBy("design_id", "batch_no").agg(F.slice(F.array_sort(F.collect_list("ref")), 1, most).alias("refs"))
+    place = F.row_number().over(W.partitionBy("design_id", "batch_no").orderBy("ref"))
+    part = batches.select("design_id", "batch_no", "ref", F.floor((place - 1) / most).alias("part"))
+    grouped = part.groupBy("design_id", "batch_no", "part").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
 
     def run(frames):
         for pdf in frames:

@@ -61,16 +61,19 @@ def assemble_lines(items: DataFrame) -> DataFrame:
     item = F.struct((-F.col("y")).alias("down"), "x", "item_no", "str", "y", "x1", "h")
     pages = items.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
     line = "struct<text:string,x:double,y:double,x1:double,h:double>"
+    start = F.struct(F.array().cast(f"array<{line}>").alias("done"), F.lit(None).cast(line).alias("open"))
 
     def add(acc: Column, it: Column) -> Column:
+        old = acc["open"]
         new = F.struct(it["str"].alias("text"), it["x"].alias("x"), it["y"].alias("y"), it["x1"].alias("x1"), it["h"].alias("h"))
-        same = (F.size(acc) > 0) & (F.abs(F.try_element_at(acc, F.lit(-1))["y"] - it["y"]) < F.greatest(F.lit(2.5), it["h"] * 0.5))
-        old = F.try_element_at(acc, F.lit(-1))
+        same = old.isNotNull() & (F.abs(old["y"] - it["y"]) < F.greatest(F.lit(2.5), it["h"] * 0.5))
         glue = F.when(it["x"] - old["x1"] > it["h"] * 0.6, "  ").otherwise(" ")
         grown = F.struct(F.concat(old["text"], glue, it["str"]).alias("text"), old["x"].alias("x"), old["y"].alias("y"), F.greatest(old["x1"], it["x1"]).alias("x1"), F.greatest(old["h"], it["h"]).alias("h"))
-        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
+        closed = F.when(same | old.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(old)))
+        return F.struct(closed.alias("done"), F.when(same, grown).otherwise(new).alias("open"))
 
-    folded = pages.select("doc_id", "page", F.posexplode(F.aggregate("items", F.array().cast(f"array<{line}>"), add)).alias("line_no", "l"))
+    lines = F.aggregate("items", start, add, lambda a: F.concat(a["done"], F.array(a["open"])))
+    folded = pages.select("doc_id", "page", F.posexplode(lines).alias("line_no", "l"))
     return folded.select("doc_id", "page", "line_no", clean_line_text(F.col("l.text")).alias("text"), "l.x", "l.y", "l.x1", "l.h")
 
 
@@ -283,12 +286,14 @@ def bigrams(text: Column) -> Column:
 def caption_match(titles: DataFrame, lines: DataFrame) -> DataFrame:
     """For each title the most similar line of its page: equal 1, contained 0.92, else the share of common bigrams; at least 0.58."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
-    t = titles.select("doc_id", "page", "title", plain(F.col("title")).alias("a")).where("a <> ''")
-    x = lines.select("doc_id", "page", "line_no", plain(F.col("text")).alias("b")).where("b <> ''")
-    j = t.join(x, ["doc_id", "page"])
-    common = F.size(F.array_intersect(bigrams(F.col("a")), bigrams(F.col("b"))))
-    dice = 2.0 * common / (F.size(bigrams(F.col("a"))) + F.size(bigrams(F.col("b"))))
-    score = F.when(F.col("a") == F.col("b"), 1.0).when(F.contains("a", "b") | F.contains("b", "a"), 0.92).otherwise(dice)
+    t = titles.select("doc_id", "page", "title", plain(F.col("title")).alias("a")).where("a <> ''").withColumn("a2", bigrams(F.col("a")))
+    x = lines.select("doc_id", "page", "line_no", plain(F.col("text")).alias("b")).where("b <> ''").withColumn("b2", bigrams(F.col("b")))
+    # Bigrams are made once a row, before the join; pairs whose sizes can't reach the least score don't meet.
+    near = 2.0 * F.least(F.size("a2"), F.size("b2")) >= 0.58 * (F.size("a2") + F.size("b2"))
+    inside = F.contains("a", "b") | F.contains("b", "a")
+    j = t.join(x, ["doc_id", "page"]).where(near | inside)
+    dice = 2.0 * F.size(F.array_intersect("a2", "b2")) / (F.size("a2") + F.size("b2"))
+    score = F.when(F.col("a") == F.col("b"), 1.0).when(inside, 0.92).otherwise(dice)
     best = j.select("doc_id", "page", "title", "line_no", score.alias("score")).where("score >= 0.58")
     return best.groupBy("doc_id", "page", "title").agg(F.max("score").alias("score"), F.max_by("line_no", F.struct("score", -F.col("line_no"))).alias("line_no"))
 

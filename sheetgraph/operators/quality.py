@@ -27,39 +27,96 @@ def coverage(source: DataFrame, actual: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.col("matched") / F.col("source"))
 
 
+def plain(c: Column) -> Column:
+    return F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z0-9]", "")
+
+
 def known_part_match(comps: DataFrame) -> DataFrame:
-    """Components whose value or reference is an alias of a known part."""
-    alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
-    plain = lambda c: F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
-    part = F.coalesce(F.try_element_at(alias, plain("value")), F.try_element_at(alias, plain("ref")))
+    """Components whose part number, value or reference is an alias of a known part; the first part of the list counts."""
+    fields = F.array(*(plain(F.col(c)) for c in ("mpn", "value", "ref")))
+    part = None
+    for name in KNOWN_PINS:
+        hit = F.arrays_overlap(fields, F.array(*(F.lit(a) for a, p in ALIASES.items() if p == name)))
+        part = F.when(hit, name) if part is None else part.when(hit, name)
     return comps.select("design_id", "ref", part.alias("part")).where("part is not null")
 
 
 def known_pin_reconcile(matched: DataFrame, pins: DataFrame) -> DataFrame:
-    """Per known component: pins compared, mismatched in name or type, missing, and extra. The canonical map wins."""
+    """Pins of known components after the canonical map is applied, which wins:
+    (design_id, ref, part, number, name, type, conf_pct, result, was_name, was_type).
+
+    result: kept, corrected, added or extra. Canonical pins are 98 % sure at least, extra ones 40 % at most.
+    """
     rows = [(p, no, name, kind) for p, v in KNOWN_PINS.items() for no, name, kind in v]
     canon = F.broadcast(pins.sparkSession.createDataFrame(rows, "part string, number string, c_name string, c_type string"))  # a fixed list
-    want = matched.join(canon, "part").withColumn("want", F.lit(1))
-    have = matched.join(pins.select("design_id", "ref", "number", "name", "type"), ["design_id", "ref"])
+    want = matched.join(canon, "part")
+    have = matched.join(pins.select("design_id", "ref", "number", "name", "type", "conf_pct", F.lit(True).alias("have")), ["design_id", "ref"])
     both = want.join(have, ["design_id", "ref", "part", "number"], "full")
-    differs = F.col("want").isNotNull() & F.col("name").isNotNull() & ((F.upper("name") != F.col("c_name")) | (F.col("type") != F.col("c_type")))
-    out = both.groupBy("design_id", "ref", "part").agg(
-        F.count_if(F.col("want").isNotNull() & F.col("name").isNotNull()).alias("compared"), F.count_if(differs).alias("mismatched"),
-        F.count_if(F.col("name").isNull()).alias("missing"), F.count_if(F.col("want").isNull()).alias("extra"),
+    bare = lambda c: F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"[^A-Z0-9+\-/]", "")
+    same = (bare(F.col("name")) == bare(F.col("c_name"))) & F.coalesce(F.col("type") == F.col("c_type"), F.lit(False))
+    result = F.when(F.col("c_name").isNull(), "extra").when(F.col("have").isNull(), "added").when(same, "kept").otherwise("corrected")
+    conf = F.when(result == "extra", F.least(F.coalesce("conf_pct", F.lit(50)), F.lit(40))).otherwise(F.greatest(F.coalesce("conf_pct", F.lit(0)), F.lit(98)))
+    return both.select(
+        "design_id", "ref", "part", "number", F.coalesce("c_name", "name").alias("name"), F.coalesce("c_type", "type").alias("type"), conf.cast("long").alias("conf_pct"),
+        result.alias("result"), F.col("name").alias("was_name"), F.col("type").alias("was_type"),
     )
-    return out
+
+
+def known_pin_checks(reconciled: DataFrame) -> DataFrame:
+    """Of each known component how many pins were compared, differed, were missing and are extra, and how many of those
+    compared were right."""
+    n = lambda *r: F.count_if(F.col("result").isin(*r))
+    out = reconciled.groupBy("design_id", "ref", "part").agg(n("kept", "corrected").alias("compared"), n("corrected").alias("mismatched"), n("added").alias("missing"), n("extra").alias("extra"))
+    accuracy = F.when(F.col("compared") > 0, (F.col("compared") - F.col("mismatched")) / F.col("compared")).otherwise(0.0)
+    return out.withColumn("accuracy", accuracy)
 
 
 def ref_reconcile(hints: DataFrame, comps: DataFrame) -> DataFrame:
-    """Renames: a sure hint's reference is absent, and just one component, itself no source reference, has its value.
+    """Renames (design_id, from_ref, to_ref): a sure hint's reference is absent, and just one component, itself no source
+    reference, has the hinted value as part number, value or reference.
 
-    hints: (design_id, ref, value, confidence), the source references of the design.
+    hints: (design_id, ref, value, confidence), the source references of the design; comps: (design_id, ref, value, mpn).
+    """
+    source = hints.select("design_id", F.upper("ref").alias("ref")).distinct()
+    have = comps.select("design_id", F.upper("ref").alias("ref")).distinct()
+    sure = hints.where("confidence >= 0.66").select("design_id", F.upper("ref").alias("ref"), plain(F.col("value")).alias("v")).where("v <> '' and ref <> ''")
+    sure = sure.join(have, ["design_id", "ref"], "left_anti")
+    names = F.array_distinct(F.array(*(plain(F.col(c)) for c in ("mpn", "value", "ref"))))
+    lone = comps.select("design_id", "ref", F.explode(names).alias("v")).groupBy("design_id", "v").agg(F.count("*").alias("n"), F.min("ref").alias("from_ref")).where("n = 1 and v <> ''")
+    lone = lone.join(source.withColumnRenamed("ref", "r"), (lone["design_id"] == source["design_id"]) & (F.upper("from_ref") == F.col("r")), "left_anti")
+    hit = sure.join(lone.drop("n"), ["design_id", "v"])
+    first = hit.groupBy("design_id", "from_ref").agg(F.min("ref").alias("to_ref"))
+    return first.groupBy("design_id", "to_ref").agg(F.min("from_ref").alias("from_ref")).select("design_id", "from_ref", "to_ref")
+
+
+def ref_rename(table: DataFrame, renames: DataFrame) -> DataFrame:
+    """A table of a netlist (components, endpoints or no-connects) after renames."""
+    r = renames.select("design_id", F.col("from_ref").alias("ref"), "to_ref")
+    out = table.join(r, ["design_id", "ref"], "left")
+    return out.select(*(F.coalesce("to_ref", "ref").alias("ref") if c == "ref" else c for c in table.columns))
+
+
+def quality_signals(refs: DataFrame, labels: DataFrame, comps: DataFrame, nets: DataFrame, checks: DataFrame, health: DataFrame, renames: DataFrame) -> DataFrame:
+    """One row a design with all that score and gate need.
+
+    refs, labels: (design_id, value) of the source; comps, nets: (design_id, value) reconstructed; checks: known_pin_checks;
+    health: (design_id, error, warning, review); renames: ref_reconcile.
     """
-    sure = hints.where("confidence >= 0.66").join(comps.select("design_id", "ref"), ["design_id", "ref"], "left_anti")
-    foreign = comps.join(hints.select("design_id", "ref"), ["design_id", "ref"], "left_anti")
-    lone = foreign.groupBy("design_id", F.upper("value").alias("v")).agg(F.count("*").alias("n"), F.min("ref").alias("from_ref")).where("n = 1")
-    hit = sure.withColumn("v", F.upper("value")).join(lone, ["design_id", "v"])
-    return hit.groupBy("design_id", "from_ref").agg(F.min("ref").alias("to_ref"))
+    by = lambda df, name: df.groupBy("design_id").agg(F.count("*").alias(name))
+    cover = lambda src, act, a, b: coverage(src, act).select("design_id", F.col("source").alias(a), F.col("ratio").alias(b))
+    known = checks.groupBy("design_id").agg(
+        F.sum("compared").alias("compared"), F.sum("mismatched").alias("mismatched"), F.sum("missing").alias("missing"), F.sum("extra").alias("extra"),
+        F.count_if((F.col("compared") >= 3) & (F.col("accuracy") < 0.8)).alias("conflicts"), F.count_if(F.col("extra") > 0).alias("unresolved"),
+    )
+    out = by(comps, "n_comps")
+    for df in (by(nets, "n_nets"), cover(refs, comps, "n_refs", "components"), cover(labels, nets, "n_labels", "nets"), known, health.select("design_id", "error", "warning", "review"), by(renames, "renames")):
+        out = out.join(df, "design_id", "left")
+    whole = ("n_nets", "n_refs", "n_labels", "compared", "mismatched", "missing", "extra", "conflicts", "unresolved", "error", "warning", "review", "renames")
+    out = out.na.fill(0, list(whole))
+    pins = F.when(F.col("compared") > 0, (F.col("compared") - F.col("mismatched")) / F.col("compared"))
+    size = F.greatest(F.lit(8), F.col("n_comps") + F.col("n_nets"))
+    graph = 1 - (F.col("error") * 2 + F.col("warning") * F.lit(0.45) + F.col("review") * F.lit(0.2)) / size
+    return out.select("*", pins.alias("pins"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), graph)).alias("graph"))
 
 
 def quality_score(signals: DataFrame) -> DataFrame:
@@ -69,29 +126,52 @@ def quality_score(signals: DataFrame) -> DataFrame:
     return signals.select("design_id", F.when(weight > 0, F.floor(100 * top / weight + 0.5)).otherwise(0).cast("long").alias("score"))
 
 
-def gate_reasons(n_refs: Column, comp: Column, n_labels: Column, net: Column) -> list[tuple[str, Column]]:
-    return [("COMPONENT_COVERAGE_LOW", (n_refs >= 4) & (F.coalesce(comp, F.lit(1.0)) < 0.7)), ("NAMED_NET_COVERAGE_LOW", (n_labels >= 3) & (F.coalesce(net, F.lit(1.0)) < 0.7))]
+#: Issues that the gate finds, with what tells them in a row of signals; those of the first list reject.
+REJECTING = [
+    ("COMPONENT_COVERAGE_LOW", "n_refs >= 4 AND coalesce(components, 1.0D) < 0.7D"), ("VISIBLE_NETS_BUT_ZERO_RECONSTRUCTED", "n_labels >= 3 AND n_nets = 0"),
+    ("NAMED_NET_COVERAGE_LOW", "n_labels >= 3 AND coalesce(nets, 1.0D) < 0.7D"), ("KNOWN_PINMAP_CONFLICT", "conflicts > 0"), ("KNOWN_PINMAP_EXTRA_PINS", "unresolved > 0"),
+]
+FINDINGS = [*((code, "error", cond) for code, cond in REJECTING if code != "KNOWN_PINMAP_CONFLICT"), ("REFERENCE_RECONCILED", "review", "renames > 0"), ("KNOWN_PINMAP_RECONCILED", "review", "mismatched + missing > 0")]
 
 
-def quality_gate(rows: DataFrame) -> DataFrame:
-    """Reasons to reject, and the status. rows: (design_id, score, n_refs, comp_ratio, n_labels, net_ratio, changes)."""
-    reasons = F.array_compact(F.array(*(F.when(c, name) for name, c in gate_reasons(F.col("n_refs"), F.col("comp_ratio"), F.col("n_labels"), F.col("net_ratio")))))
-    unsure = (F.col("score") < 85) | (F.col("changes") > 0) | ((F.col("n_refs") + F.col("n_labels") == 0) & (F.col("score") < 90))
+def quality_gate(signals: DataFrame) -> DataFrame:
+    """(design_id, score, reasons, status, export_allowed) by quality_signals: rejected with a reason, review if something is
+    unsure or was mended, else accepted."""
+    rows = signals.join(quality_score(signals), "design_id")
+    reasons = F.array_compact(F.array(*(F.when(F.expr(cond), code) for code, cond in REJECTING)))
+    unsure = (F.col("score") < 85) | (F.col("renames") + F.col("mismatched") + F.col("missing") > 0) | ((F.col("n_refs") + F.col("n_labels") == 0) & (F.col("score") < 90))
     status = F.when(F.size(reasons) > 0, "rejected").when(unsure, "review").otherwise("accepted")
-    return rows.select("design_id", F.array_join(reasons, ",").alias("reasons"), status.alias("status"), (status != "rejected").alias("export_allowed"))
+    return rows.select("design_id", "score", F.array_join(reasons, ",").alias("reasons"), status.alias("status"), (status != "rejected").alias("export_allowed"))
+
+
+def quality_issues(signals: DataFrame) -> DataFrame:
+    """(design_id, code, severity): the gate's findings as issues."""
+    found = F.array_compact(F.array(*(F.when(F.expr(cond), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))) for code, severity, cond in FINDINGS)))
+    return signals.select("design_id", F.explode(found).alias("i")).select("design_id", "i.*")
+
 
+def quality_health(signals: DataFrame) -> DataFrame:
+    """Counts of issues per severity with the gate's findings among them."""
+    own = quality_issues(signals).groupBy("design_id").agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "review").alias("r"))
+    out = signals.join(own, "design_id", "left").na.fill(0, ["e", "r"])
+    return out.select("design_id", (F.col("error") + F.col("e")).alias("error"), "warning", (F.col("review") + F.col("r")).alias("review"))
 
-def quality_issues(rows: DataFrame) -> DataFrame:
-    """The gate's findings as issues: an error for each reason, a review for changes."""
-    found = [*gate_reasons(F.col("n_refs"), F.col("comp_ratio"), F.col("n_labels"), F.col("net_ratio")), ("KNOWN_PINMAP_RECONCILED", F.col("changes") > 0)]
-    code = F.explode(F.array_compact(F.array(*(F.when(c, name) for name, c in found))))
-    out = rows.select("design_id", code.alias("code"))
-    return out.withColumn("severity", F.when(F.col("code") == "KNOWN_PINMAP_RECONCILED", "review").otherwise("error"))
 
+TARGETS = {"ref": 0.95, "net": 0.95, "pin": 1.0}
 
-def golden_recall(expected: DataFrame, actual: DataFrame, target: float = 0.95) -> DataFrame:
-    """Share of expected values (kind, value) that a design has, and whether it meets the target."""
-    designs = actual.select("design_id").distinct()
-    hit = designs.crossJoin(F.broadcast(expected)).join(actual.select("design_id", "kind", "value", F.lit(1.0).alias("hit")).distinct(), ["design_id", "kind", "value"], "left")
-    out = hit.groupBy("design_id", "kind").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall"))
-    return out.withColumn("meets", F.col("recall") >= target)
+
+def golden_recall(expected: DataFrame, actual: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """Share of expected values (kind, value) that each design has, and whether it meets the kind's target.
+
+    Kinds: `ref`, `net`, and `pin` as `ref.number=name`, whose share is the accuracy of the pin maps.
+    """
+    targets = targets or TARGETS
+    want = expected.select("kind", "value").distinct()
+    found = actual.select("design_id", "kind", "value").distinct().join(want, ["kind", "value"]).groupBy("design_id", "kind").agg(F.count("*").alias("hits"))
+    # Kinds are few, so all of them with their numbers are one row.
+    totals = want.groupBy("kind").agg(F.count("*").alias("total")).agg(F.collect_list(F.struct("kind", "total")).alias("all"))
+    every = actual.select("design_id").distinct().crossJoin(F.broadcast(totals)).select("design_id", F.explode("all").alias("t")).select("design_id", "t.*")
+    out = every.join(found, ["design_id", "kind"], "left")
+    recall = F.coalesce("hits", F.lit(0)) / F.col("total")
+    target = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv]), F.col("kind")), F.lit(0.95))
+    return out.select("design_id", "kind", recall.alias("recall"), (recall >= target).alias("meets"))

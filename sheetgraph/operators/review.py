@@ -18,21 +18,62 @@ TRANSITIONS = {
     "published": {"publish": "published", "approve": "published", "edit": "edited", "revoke": "revoked"},
 }
 IMPLIES = {"publisher": ("publisher", "reviewer", "editor", "viewer"), "reviewer": ("reviewer", "editor", "viewer"), "editor": ("editor", "viewer"), "viewer": ("viewer",)}
-TEXT_FIELDS = ("part/mpn", "part/title", "pins/name", "figures/title")
+TEXT_FIELDS = ("part/mpn", "part/manufacturer", "part/title", "pins/name", "pins/number", "pins/description", "figures/title")
+#: Further numbers: (least, most, whole, may be null).
+MORE_FIELDS = {"pin_count": (2, 256, True, False), "lead_width": (0.05, 5, False, True), "ep_length": (0.1, 60, False, True), "ep_width": (0.1, 60, False, True)}
+FIGURE_KINDS = ("block_diagram", "application", "pin_configuration", "package_outline")
+EVIDENCE_KEYS = ("page", "bbox", "quotedText", "documentSha256", "sourceType", "confidence", "note")
+
+
+def is_box(box: Column) -> Column:
+    """Four numbers from 0 to 1, the first two below the others."""
+    inside = F.forall(box, lambda x: x.isNotNull() & (x >= 0) & (x <= 1))
+    return F.coalesce((F.size(box) == 4) & inside & (F.get(box, F.lit(0)) < F.get(box, F.lit(2))) & (F.get(box, F.lit(1)) < F.get(box, F.lit(3))), F.lit(False))
+
+
+def is_count(n: Column) -> Column:
+    return F.coalesce((n >= 1) & (n == F.floor(n)), F.lit(False))
+
+
+def evidence_error(evidence: Column) -> Column:
+    """What is wrong with an edit's evidence, a JSON object; null if there is none or nothing is wrong."""
+    keys = F.json_object_keys(evidence)
+    ev = F.from_json(evidence, "page double, bbox array<double>")
+    return (
+        F.when(evidence.isNotNull() & keys.isNull(), "evidence_not_an_object")
+        .when(F.size(F.array_except(keys, F.array(*map(F.lit, EVIDENCE_KEYS)))) > 0, "evidence_unknown_field")
+        .when(F.array_contains(keys, "page") & ~is_count(ev["page"]), "evidence_page")
+        .when(F.array_contains(keys, "bbox") & ~is_box(ev["bbox"]), "evidence_bbox")
+    )
 
 
 def patch_validate(edits: DataFrame) -> DataFrame:
-    """(event_id, job_id, path, error): what is wrong with an edit, or null. Nothing is clamped."""
-    ranges = F.create_map(*[x for k, v in FIELDS.items() for x in (F.lit(f"packages/{k}"), F.array(F.lit(float(v[0])), F.lit(float(v[1]))))])
-    r, n = F.try_element_at(ranges, F.col("path")), F.expr("try_cast(value as double)")
-    known = r.isNotNull() | F.col("path").isin(*TEXT_FIELDS, "pins/type", "figures/bbox")
+    """(event_id, job_id, path, value, error): what is wrong with an edit, or null. Nothing is clamped.
+
+    edits: (event_id, job_id, path, value, reason, evidence); a page, quote or note as evidence stands for a reason.
+    """
+    spec = {k: (v[0], v[1], False, False) for k, v in FIELDS.items()} | MORE_FIELDS
+    row = lambda v: F.struct(F.lit(float(v[0])).alias("least"), F.lit(float(v[1])).alias("most"), F.lit(v[2]).alias("whole"), F.lit(v[3]).alias("nullable"))
+    ranges = F.create_map(*[x for k, v in spec.items() for x in (F.lit(f"packages/{k}"), row(v))])
+    path, value = F.col("path"), F.col("value")
+    r, n = F.try_element_at(ranges, path), F.expr("try_cast(value as double)")
+    known = r.isNotNull() | path.isin(*TEXT_FIELDS, "pins/type", "figures/bbox", "figures/kind", "figures/page", "figures/confirmed")
+    said = F.from_json("evidence", "page double, quotedText string, note string")
+    confirmed = (said["page"] > 0) | (F.coalesce(said["quotedText"], F.lit("")) != "") | (F.coalesce(said["note"], F.lit("")) != "")
+    number = r.isNotNull() & ~(value.isNull() & r["nullable"])
+    finite = n.isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf"))
     error = (
         F.when(~known, "unknown_field")
-        .when(F.trim(F.coalesce("reason", F.lit(""))) == "", "reason_missing")
-        .when(r.isNotNull() & n.isNull(), "not_a_number")
-        .when(r.isNotNull() & ((n < r[0]) | (n > r[1])), "out_of_range")
-        .when((F.col("path") == "pins/type") & ~F.col("value").isin(*PIN_TYPES), "unknown_type")
-        .when(F.col("path") == "figures/bbox", "not_a_box")
+        .when(evidence_error(F.col("evidence")).isNotNull(), evidence_error(F.col("evidence")))
+        .when((F.trim(F.coalesce("reason", F.lit(""))) == "") & ~F.coalesce(confirmed, F.lit(False)), "reason_missing")
+        .when(number & ~finite, "not_a_number")
+        .when(number & r["whole"] & (n != F.floor(n)), "not_whole")
+        .when(number & ((n < r["least"]) | (n > r["most"])), "out_of_range")
+        .when((path == "pins/type") & ~F.coalesce(value.isin(*PIN_TYPES), F.lit(False)), "unknown_type")
+        .when((path == "figures/kind") & ~F.coalesce(value.isin(*FIGURE_KINDS), F.lit(False)), "unknown_kind")
+        .when((path == "figures/confirmed") & ~F.coalesce(value.isin("true", "false"), F.lit(False)), "not_a_boolean")
+        .when((path == "figures/page") & ~is_count(n), "not_a_page")
+        .when((path == "figures/bbox") & ~is_box(F.from_json(value, "array<double>")), "not_a_box")
     )
     return edits.select("event_id", "job_id", "path", "value", error.alias("error"))
 
@@ -88,18 +129,26 @@ def lifecycle_state(events: DataFrame) -> DataFrame:
     return jobs.select("job_id", F.aggregate("e", start, step).alias("s")).select("job_id", "s.*")
 
 
-def approvals_invalidated(changes: DataFrame, packages: DataFrame) -> DataFrame:
-    """Asset keys that changed paths touch. changes: (path), packages: (package_id, pinset_id)."""
+def approvals_invalidated(changes: DataFrame, packages: DataFrame, approvals: DataFrame) -> DataFrame:
+    """(job_id, key): approvals that changed paths make lapse.
+
+    changes: (job_id, path), packages: (job_id, package_id, pinset_id), approvals: (job_id, key). A package's change touches
+    its footprint and 3D model, and a change of its pin set every symbol; a pin set's its symbol and the packages that
+    use it; a figure's itself; one of the part everything.
+    """
     kind, ident = F.regexp_extract("path", r"^(\w+)", 1), F.regexp_extract("path", r"^\w+\[([^\]]+)\]", 1)
-    c = changes.select(kind.alias("kind"), ident.alias("id"))
-    both = lambda df: df.select(F.explode(F.array(F.concat(F.lit("footprint:"), "id"), F.concat(F.lit("model3d:"), "id"))).alias("key"))
-    pk = packages.select(F.col("package_id").cast("string").alias("id"), F.col("pinset_id").cast("string").alias("ps"))
-    own = both(c.where("kind = 'packages'").select("id"))
-    sym = c.where("kind = 'pinsets'").select(F.concat(F.lit("symbol:"), "id").alias("key"))
-    users = both(c.where("kind = 'pinsets'").withColumnRenamed("id", "ps").join(pk, "ps").select("id"))
-    figs = c.where("kind = 'figures'").select(F.concat(F.lit("figure:"), "id").alias("key"))
-    everything = c.where("kind = 'part'").limit(1).crossJoin(asset_keys(packages.select("pinset_id").distinct(), packages.select("package_id"), packages.limit(0).select("package_id")).select("key")).select("key")
-    return own.union(sym).union(users).union(figs).union(everything).distinct()
+    c = changes.select("job_id", kind.alias("kind"), ident.alias("id"), F.col("path").endswith(".pinset_id").alias("moved")).distinct()
+    pk = packages.select("job_id", F.col("package_id").cast("string").alias("package"), F.col("pinset_id").cast("string").alias("id"))
+    users = c.where("kind = 'pinsets' and id <> ''").join(pk, ["job_id", "id"]).select("job_id", F.lit("packages").alias("kind"), F.col("package").alias("id"))
+    kinds = F.create_map(*map(F.lit, ("packages", "footprint model3d", "pinsets", "symbol", "figures", "figure")))
+    named = c.where("id <> ''").select("job_id", "kind", "id").union(users)
+    named = named.select("job_id", F.explode(F.split(F.try_element_at(kinds, F.col("kind")), " ")).alias("asset"), "id")
+    named = named.select("job_id", F.concat_ws(":", "asset", "id").alias("key"))
+    whole = c.where("kind = 'part'").select("job_id", F.lit("").alias("prefix"))
+    symbols = c.where("kind = 'packages' and moved").select("job_id", F.lit("symbol:").alias("prefix"))
+    broad = whole.union(symbols).distinct()
+    lapsed = approvals.join(named, ["job_id", "key"], "left_semi").select("job_id", "key")
+    return lapsed.union(approvals.join(broad, "job_id").where(F.col("key").startswith(F.col("prefix"))).select("job_id", "key")).distinct()
 
 
 def approval_valid(approvals: DataFrame, current: DataFrame) -> DataFrame:

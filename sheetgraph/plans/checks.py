@@ -53,7 +53,7 @@ query(
     V,
 )(lambda t: c.interface_complete(_ifaces(t)))
 query("power_rails", "SELECT * FROM rails", V)(lambda t: c.power_rails(_ctx(t)))
-query("erc_nc_connected", "SELECT design_id, 'NC_CONNECTED' AS code, 'error' AS severity, ref AS refs, net AS nets FROM ctx c WHERE EXISTS (SELECT 1 FROM ncs n WHERE n.design_id = c.design_id AND n.ref = c.ref AND n.pin = c.pin)")(lambda t: c.erc_nc_connected(_ctx(t), t.ncs))
+query("erc_nc_connected", "SELECT design_id, 'NC_CONNECTED' AS code, 'error' AS severity, ref AS refs, net AS nets FROM ctx c SEMI JOIN ncs n ON n.design_id = c.design_id AND n.ref = c.ref AND n.pin = c.pin")(lambda t: c.erc_nc_connected(_ctx(t), t.ncs))
 _SHARED = "SELECT f.design_id, f.net_id FROM firsts f JOIN drv d ON f.design_id = d.design_id AND f.net_id = d.net_id WHERE f.type = 'SPI' AND f.role = 'MISO' AND d.n > 1"
 
 
@@ -70,7 +70,7 @@ query("erc_low_conf_net", "SELECT design_id, 'LOW_CONFIDENCE_NET' AS code, 'revi
 query("erc_pin_multi_net", "SELECT design_id, 'PIN_MULTI_NET' AS code, 'error' AS severity, ref || '.' || pin AS refs, string_agg(DISTINCT net, ',' ORDER BY net) AS nets FROM ctx GROUP BY design_id, ref, pin HAVING count(DISTINCT net_id) > 1")(lambda t: c.erc_pin_multi_net(_ctx(t)))
 query(
     "erc_unconnected",
-    "SELECT design_id, code, CASE WHEN code = 'PIN_LOW_CONFIDENCE' THEN 'review' ELSE 'warning' END AS severity, ref || '.' || number AS refs, '' AS nets FROM (SELECT *, CASE WHEN type = 'power_in' THEN 'POWER_INPUT_UNCONNECTED' WHEN type = 'input' AND conf_pct >= 60 THEN 'INPUT_UNCONNECTED' WHEN conf_pct < 50 THEN 'PIN_LOW_CONFIDENCE' END AS code FROM pins p WHERE type <> 'no_connect' AND NOT EXISTS (SELECT 1 FROM eps e WHERE e.design_id = p.design_id AND e.ref = p.ref AND e.pin = p.number) AND NOT EXISTS (SELECT 1 FROM ncs e WHERE e.design_id = p.design_id AND e.ref = p.ref AND e.pin = p.number)) WHERE code IS NOT NULL",
+    "SELECT design_id, code, CASE WHEN code = 'PIN_LOW_CONFIDENCE' THEN 'review' ELSE 'warning' END AS severity, ref || '.' || number AS refs, '' AS nets FROM (SELECT *, CASE WHEN type = 'power_in' THEN 'POWER_INPUT_UNCONNECTED' WHEN type = 'input' AND conf_pct >= 60 THEN 'INPUT_UNCONNECTED' WHEN conf_pct < 50 THEN 'PIN_LOW_CONFIDENCE' END AS code FROM pins p ANTI JOIN eps e ON e.design_id = p.design_id AND e.ref = p.ref AND e.pin = p.number ANTI JOIN ncs x ON x.design_id = p.design_id AND x.ref = p.ref AND x.pin = p.number WHERE type <> 'no_connect') WHERE code IS NOT NULL",
 )(lambda t: c.erc_unconnected(t.pins, t.eps, t.ncs))
 query("erc_power_source", "SELECT design_id, 'POWER_SOURCE_MISSING' AS code, 'warning' AS severity, load_refs AS refs, net AS nets FROM rails WHERE NOT ground AND loads <> '' AND sources = '' AND connectors = ''", V)(lambda t: c.erc_power_source(c.power_rails(_ctx(t))))
 _SOME = "net_id % 3 <> design_id % 3"
@@ -139,13 +139,10 @@ def flagship(t):
     return c.health_score(issues, t.nets, t.comps)
 
 
-query(
-    "health_score",
-    f"""SELECT design_id, error, warning, review, greatest(0, size - error) AS passed, greatest(0, 100 - error * 18 - warning * 6 - review * 2) AS score FROM (
+HEALTH = f"""SELECT design_id, error, warning, review, greatest(0, size - error) AS passed, greatest(0, 100 - error * 18 - warning * 6 - review * 2) AS score FROM (
       SELECT s.design_id, s.size, count(*) FILTER (i.severity = 'error') AS error, count(*) FILTER (i.severity = 'warning') AS warning, count(*) FILTER (i.severity = 'review') AS review
       FROM (SELECT design_id, count(*) AS size FROM (SELECT design_id FROM nets UNION ALL SELECT design_id FROM comps) GROUP BY 1) s LEFT JOIN (
         SELECT design_id, 'error' AS severity FROM ctx c WHERE type IN ('output', 'power_out') AND NOT EXISTS (SELECT 1 FROM ({_SHARED}) x WHERE x.design_id = c.design_id AND x.net_id = c.net_id) GROUP BY design_id, net_id HAVING count(*) > 1
         UNION ALL SELECT design_id, 'review' FROM ctx WHERE net_conf < 65 GROUP BY design_id, net_id
-        UNION ALL SELECT design_id, 'warning' FROM rails WHERE NOT ground AND loads <> '' AND sources = '' AND connectors = '') i ON i.design_id = s.design_id GROUP BY 1, 2)""",
-    V,
-)(flagship)
+        UNION ALL SELECT design_id, 'warning' FROM rails WHERE NOT ground AND loads <> '' AND sources = '' AND connectors = '') i ON i.design_id = s.design_id GROUP BY 1, 2)"""
+query("health_score", HEALTH, V)(flagship)

@@ -11,14 +11,21 @@ from sheetgraph.plans.registry import query
 _TYPES = ", ".join(f"'{x}'" for x in PIN_TYPES)
 _FAM = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in o.FAMILY_RULES)
 _EP = o.EP_ALIAS
+_IN = lambda fields: "field IN (" + ", ".join(f"'{f}'" for f in fields) + ")"
+#: Whether a family needs a field, and the default of a field.
+REL = "CASE family " + " ".join(f"WHEN '{k}' THEN {_IN(v)}" for k, v in o.CRITICAL.items()) + f" ELSE {_IN(o.CRITICAL_ELSE)} END"
+DEF = "CASE " + " ".join(f"WHEN family = 'qfn' AND field = '{k}' THEN {v}" for k, v in o.QFN_DEFAULTS.items()) + " ELSE def END"
 V = {
     "ex": f"SELECT *, row_number() OVER (PARTITION BY package_id, upper(number) ORDER BY pos, part) AS seen FROM (SELECT package_id, pos, z[1] - 1 AS part, z[2] AS number, name, type FROM (SELECT package_id, pos, unnest(list_zip(range(1, len(s) + 1), s)) AS z, CASE WHEN trim(coalesce(name, '')) = '' THEN 'NC' ELSE trim(name) END AS name, CASE WHEN type IN ({_TYPES}) THEN type ELSE 'unspecified' END AS type FROM (SELECT *, list_filter(regexp_split_to_array(number, '{o.SPLIT}'), lambda x: x <> '') AS s FROM raw_pins WHERE number IS NOT NULL)))",
     "clean": "SELECT package_id, pos, CAST(part AS INT) AS part, number, name, type FROM ex WHERE seen = 1",
     "fam0": f"SELECT *, CASE WHEN regexp_matches(t, '{o.BGA}') AND NOT regexp_matches(t, 'LFCSP') THEN 'bga' ELSE CASE {_FAM} ELSE 'unknown' END END AS f FROM (SELECT *, upper(type) AS t FROM packages)",
     "fam": "SELECT *, CASE WHEN f = 'sot23' AND pin_count <> 3 THEN 'dual' ELSE f END AS family FROM fam0",
-    "prov": "SELECT package_id, family, field, CASE WHEN raw IS NULL THEN 'missing' WHEN raw < lo OR raw > hi THEN 'clamped' ELSE 'datasheet' END AS source, raw, CASE WHEN raw IS NULL THEN CASE WHEN family = 'qfn' AND field = 'pitch' THEN 0.5 WHEN family = 'qfn' AND field = 'lead_length' THEN 0.4 ELSE def END ELSE least(hi, greatest(lo, raw)) END AS value FROM ("
-    + " UNION ALL ".join(f"SELECT package_id, family, '{k}' AS field, {k} AS raw, {lo}::DOUBLE AS lo, {hi}::DOUBLE AS hi, {d}::DOUBLE AS def FROM fam" for k, (lo, hi, d) in o.FIELDS.items())
-    + ")",
+    "longs": " UNION ALL ".join(
+        f"SELECT package_id, family, '{k}' AS field, {k} AS raw, {lo}::DOUBLE AS lo, {hi}::DOUBLE AS hi, {d}::DOUBLE AS def FROM fam" for k, (lo, hi, d) in o.FIELDS.items()
+    ),
+    "prov": f"SELECT package_id, family, field, CASE WHEN raw IS NULL THEN CASE WHEN {REL} THEN 'missing' ELSE 'not_applicable' END"
+    f" WHEN raw < lo OR raw > hi THEN 'clamped' ELSE 'datasheet' END AS source, raw, CASE WHEN raw IS NULL THEN {DEF} ELSE least(hi, greatest(lo, raw)) END AS value,"
+    " NULL::VARCHAR AS reviewer FROM longs",
 }
 
 
@@ -46,7 +53,32 @@ query(
     V | {"ed": f"SELECT package_id, CASE WHEN pos = 8 THEN '88' ELSE pos::VARCHAR END AS number, {_ED} AS action, 'R' || pos::VARCHAR AS name FROM raw_pins WHERE {_ED} IS NOT NULL"},
 )(lambda t: o.pinset_overlay(o.sanitize_pins(t.raw_pins), t.raw_pins.selectExpr("package_id", "CASE WHEN pos = 8 THEN '88' ELSE CAST(pos AS STRING) END AS number", f"{_ED} AS action", "'R' || pos AS name").where("action is not null")))
 query("package_family", "SELECT package_id, type, family, family IN ('dual', 'qfn', 'dip', 'sot23') AS supported FROM fam", V)(lambda t: o.package_family(t.packages))
-query("field_provenance", "SELECT * FROM prov", V)(lambda t: o.field_provenance(_pk(t)))
+# Some values are no numbers, some are set by reviewers: one within range, one beyond, and one by nobody known.
+_ODD = "CASE WHEN field = 'body_width' AND package_id % 37 = 0 THEN CAST('NaN' AS DOUBLE) ELSE raw END"
+REVIEWED = [("pitch", 4, "0.8", "'ann'"), ("height", 5, "99.0", "'bob'"), ("body_length", 6, "3.0", "NULL")]
+_REV = " UNION ALL ".join(f"SELECT package_id, '{f}' AS field, {v}::DOUBLE AS edited, TRUE AS by_hand, {who}::VARCHAR AS reviewer FROM packages WHERE package_id % 13 = {k}" for f, k, v, who in REVIEWED)
+_PROV = f"""
+SELECT package_id, family, field, CASE WHEN by_hand THEN CASE WHEN g < lo OR g > hi THEN 'clamped' ELSE 'reviewer' END
+  WHEN g IS NULL THEN CASE WHEN {REL} THEN 'missing' ELSE 'not_applicable' END WHEN isnan(g) THEN 'invalid' WHEN g < lo OR g > hi THEN 'clamped' ELSE 'datasheet' END AS source,
+  raw, CASE WHEN g IS NULL OR isnan(g) THEN {DEF} ELSE least(hi, greatest(lo, g)) END AS value, reviewer
+FROM (SELECT l.package_id, family, l.field, l.raw, lo, hi, def, by_hand, reviewer, CASE WHEN by_hand THEN edited ELSE l.raw END AS g
+  FROM (SELECT * REPLACE ({_ODD} AS raw) FROM longs) l LEFT JOIN rev r ON r.package_id = l.package_id AND r.field = l.field)
+"""
+
+
+PROV_SQL, REV_SQL = _PROV, _REV
+
+
+def reviewed(t):
+    rows = [t.packages.where(f"package_id % 13 = {k}").selectExpr("package_id", f"'{f}' AS field", f"CAST({v} AS DOUBLE) AS value", f"CAST({who} AS STRING) AS reviewer") for f, k, v, who in REVIEWED]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+def _odd(t):
+    return _pk(t).withColumn("body_width", F.expr("CASE WHEN package_id % 37 = 0 THEN CAST('NaN' AS DOUBLE) ELSE body_width END"))
+
+
+query("field_provenance", _PROV, V | {"rev": _REV})(lambda t: o.field_provenance(_odd(t), reviewed(t)))
 query(
     "optional_fields",
     "SELECT package_id, field, CASE WHEN raw IS NULL OR raw = 0 THEN 'absent' WHEN raw < lo OR raw > hi THEN 'clamped' ELSE 'datasheet' END AS source, CASE WHEN raw IS NOT NULL AND raw <> 0 THEN least(hi, greatest(lo, raw)) END AS value FROM (SELECT package_id, 'pad_w' AS field, pad_w AS raw, 0.05::DOUBLE AS lo, 0.6::DOUBLE AS hi FROM packages UNION ALL SELECT package_id, 'pad_l', pad_l, 0.1::DOUBLE, 1.2::DOUBLE FROM packages)",
@@ -54,12 +86,33 @@ query(
 query("land_pattern", "SELECT package_id, kept, CASE WHEN kept THEN 'datasheet' ELSE 'derived_by_rules' END AS source, void FROM (SELECT package_id, v AS void, NOT v AND pad_w IS NOT NULL AND pad_l IS NOT NULL AND lp_row_span IS NOT NULL AS kept FROM (SELECT *, coalesce(pad_w < 0.1 OR pad_w > 5, FALSE) OR coalesce(pad_l < 0.1 OR pad_l > 6, FALSE) OR coalesce(lp_row_span < 1 OR lp_row_span > 90, FALSE) AS v FROM packages))")(lambda t: o.land_pattern(t.packages))
 query(
     "critical_missing",
-    "SELECT package_id, string_agg(field, ',' ORDER BY field) AS fields FROM prov WHERE source IN ('missing', 'clamped') AND CASE family WHEN 'dip' THEN field IN ('pitch', 'body_length', 'body_width', 'row_span', 'height') WHEN 'qfn' THEN field IN ('pitch', 'body_length', 'body_width', 'lead_length', 'height') ELSE field IN ('pitch', 'body_length', 'body_width', 'lead_span', 'height') END GROUP BY 1",
-    V,
-)(lambda t: o.critical_missing(o.field_provenance(_pk(t))))
-query("symbol_groups", "SELECT package_id, fingerprint, count(*) OVER (PARTITION BY fingerprint) AS sharers FROM (SELECT package_id, sha256(string_agg(p, chr(10) ORDER BY p)) AS fingerprint FROM (SELECT package_id % 50 AS package_id, number || '|' || name || '|' || type AS p FROM clean WHERE package_id < 100 AND pos < 4) GROUP BY 1)", V)(
-    lambda t: o.symbol_groups(o.sanitize_pins(t.raw_pins).where("package_id < 100 and pos < 4").withColumn("package_id", F.col("package_id") % 50))
-)
+    f"SELECT package_id, string_agg(field, ',' ORDER BY field) AS fields FROM ({_PROV}) WHERE (source IN ('missing', 'clamped', 'invalid') OR (source = 'reviewer' AND reviewer IS NULL)) AND {REL} GROUP BY 1",
+    V | {"rev": _REV},
+)(lambda t: o.critical_missing(o.field_provenance(_odd(t), reviewed(t))))
+# Packages of a part, and some whose pins repeat those of the part's first package
+_PART = "'P' || CAST(CAST(floor(package_id / 4) AS BIGINT) AS VARCHAR(20))"
+_LIKE = "CASE WHEN package_id % 4 = 1 THEN package_id - 1 ELSE package_id END"
+query(
+    "symbol_groups",
+    f"""SELECT package_id, part, fingerprint, sharers, CASE WHEN k = 1 THEN part ELSE part || '_' || CASE WHEN tag = '' THEN 'ALT' ELSE tag END END AS symbol FROM own JOIN (
+      SELECT part, fingerprint, count(*) AS sharers, row_number() OVER (PARTITION BY part ORDER BY min(package_id)) AS k, upper(regexp_replace(arg_min(type, package_id), '\\W+', '', 'g')) AS tag
+      FROM own GROUP BY 1, 2) USING (part, fingerprint)""",
+    V
+    | {
+        "own": f"SELECT p.package_id, {_PART.replace('package_id', 'p.package_id')} AS part, p.type, f.fingerprint FROM packages p JOIN ("
+        "SELECT package_id, sha256(string_agg(p, chr(10) ORDER BY p)) AS fingerprint FROM (SELECT package_id, number || '|' || name || '|' || type AS p FROM clean) GROUP BY 1"
+        f") f ON f.package_id = {_LIKE.replace('package_id', 'p.package_id')}"
+    },
+)(lambda t: o.symbol_groups(_shared_pins(t), t.packages.selectExpr("package_id", f"{_PART} AS part", "type", "package_id AS place")))
+
+
+def _shared_pins(t):
+    """Cleaned pins, every fourth package having those of the one before."""
+    pins = o.sanitize_pins(t.raw_pins).drop("package_id_2")
+    ids = t.packages.selectExpr("package_id AS own", f"{_LIKE} AS like_id")
+    return pins.join(ids, pins["package_id"] == ids["like_id"]).select(F.col("own").alias("package_id"), "number", "name", "type")
+
+
 query("active_low_name", "SELECT package_id, pos, part, CASE WHEN regexp_matches(name, '^[/~].+$|^.+#$') THEN '~{{' || regexp_replace(name, '^[/~]|#$', '', 'g') || '}}' ELSE name END AS name FROM clean".replace("{{", "{").replace("}}", "}"), V)(lambda t: o.sanitize_pins(t.raw_pins).select("package_id", "pos", "part", o.active_low_name(F.col("name")).alias("name")))
 _URL = "CASE page_id % 6 WHEN 0 THEN replace(url, 'http', 'ftp') WHEN 1 THEN 'http://192.168.0.1/x' WHEN 2 THEN 'no link' ELSE url END"
 query("url_check", f"SELECT page_id, u AS url, CASE WHEN regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) = '' OR regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = '' THEN 'invalid' WHEN lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) NOT IN ('http', 'https') THEN 'scheme' WHEN regexp_matches(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '(?i){o.PRIVATE}') THEN 'private_host' ELSE 'ok' END AS result FROM (SELECT page_id, {_URL} AS u FROM pages)")(lambda t: o.url_check(t.pages.withColumn("url", F.expr(_URL))))

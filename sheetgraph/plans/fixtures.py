@@ -60,7 +60,13 @@ FX: dict[str, str] = {
     "ledger": "SELECT user_id AS principal, ts, event_id, CASE event_type WHEN 'signup' THEN 'topup' WHEN 'click' THEN 'reserve' WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'refund' END AS op, CASE event_type WHEN 'signup' THEN 10 + k % 20 WHEN 'click' THEN 1 + k % 5 ELSE 0 END AS amount FROM ev WHERE event_type IN ('signup', 'click', 'purchase', 'error')",
     "lifecycle": "SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'click' THEN 'edit' WHEN 'view' THEN 'review' WHEN 'purchase' THEN 'approve' WHEN 'signup' THEN 'publish' WHEN 'error' THEN 'revoke' END AS action FROM ev WHERE event_type IN ('click', 'view', 'purchase', 'signup') OR (event_type = 'error' AND k = 0)",
     "requests": "SELECT event_id, ts, user_id % 5 AS tenant, user_id AS owner, event_type AS operation, k % 10 AS doc, k % 4 AS key FROM ev",
-    "edits": "SELECT event_id, ts, user_id AS job_id, " + pick("event_id % 9", "packages/pitch", "packages/body_length", "pins/name", "pins/type", "figures/title", "figures/bbox", "part/mpn", "part/title", "packages/unknown") + " AS path, CASE event_id % 4 WHEN 0 THEN '0.5' WHEN 1 THEN '250' WHEN 2 THEN 'input' ELSE 'text' END AS value, CASE WHEN k % 10 = 0 THEN '' ELSE 'seen on page ' || CAST(k AS VARCHAR(20)) END AS reason, k % 7 AS expected_revision FROM ev",
+    "edits": "SELECT event_id, ts, user_id AS job_id, "
+    + pick("event_id % 14", "packages/pitch", "packages/body_length", "pins/name", "pins/type", "figures/title", "figures/bbox", "part/mpn", "part/title", "packages/unknown", "figures/page", "figures/kind", "figures/confirmed", "packages/pin_count", "packages/lead_width")
+    + " AS path, "
+    + pick("k % 11", "0.5", "250", "input", "text", "[0.1, 0.2, 0.3, 0.4]", "[0.5, 0.2, 0.3, 0.4]", "3", "true", "application", "[0.1, 0.2, 0.3]")
+    + " AS value, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'seen on page ' || CAST(k AS VARCHAR(20)) END AS reason, "
+    + pick("(event_id + k) % 13", '{"page": 3}', '{"page": 0}', '{"bbox": [0, 0, 1, 1]}', '{"bbox": [0, 0, 2, 1]}', '{"note": "seen"}', '{"colour": 1}', "[1]")
+    + " AS evidence, k % 7 AS expected_revision FROM ev",
     # Lines of text
     "lines": "SELECT doc_id, line_no, " + div("line_no", 40) + " + 1 AS page, CAST(770 - 18 * (line_no % 40) AS DOUBLE) AS y, CASE (doc_id * 7 + line_no * 5) % 23 "
     + " ".join(
@@ -111,7 +117,7 @@ def duck_sql(sql: str, extra: dict[str, str] | None = None) -> str:
     """sql for DuckDB with the views it reads before it."""
     extra = extra or {}
     fill = lambda s: s.replace("{split}", DUCK["split"]).replace("{tokens}", DUCK["tokens"]).replace("{k}", DUCK["k"])
-    with_ = ",\n".join(f"{n} AS ({fill({**FX, **extra}[n])})" for n in needed(sql, extra))
+    with_ = ",\n".join(f"{n} AS MATERIALIZED ({fill({**FX, **extra}[n])})" for n in needed(sql, extra))
     return f"WITH {with_}\n{sql}" if with_ else sql
 
 

@@ -21,7 +21,11 @@ FIELDS = list(cleaning.FIELDS)
 
 def folder(t) -> str:
     """Where a query writes what it reads again: the session's shared folder."""
-    return t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sheetgraph-")
+    sc = t.spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named is None and sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="sheetgraph-")
 
 
 def _norm(t) -> DataFrame:
@@ -107,7 +111,7 @@ query("ink_bounds", f"SELECT g.page_id, g.range_id, count(*) AS cells, min(i.c)
     lambda t: raster.ink_bounds(raster.ink_grid(_px(t)), t.pages.select("page_id", F.explode(F.expr("array(0L, 1L, 2L, 3L)")).alias("range_id")).selectExpr("page_id", "range_id", "range_id * 4 AS r0", "range_id * 4 + page_id % 5 AS r1"))
 )
 query("ink_grow")(lambda t: raster.ink_grow(raster.ink_grid(_px(t)), t.pages.select("page_id", F.expr("page_id % 20").alias("anchor"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("dir")).selectExpr("*", "CASE WHEN page_id % 3 = 0 THEN anchor + 6 * dir END AS stop")))
-query("figure_fit")(lambda t: raster.figure_fit(raster.ink_grid(_px(t)), t.pages.where("page_id % 4 <> 0").selectExpr("page_id", "1L AS fig_no", "page_id % 20 AS row"), t.pages.selectExpr("page_id", "1L AS fig_no", "page_id % 9 AS r0", "page_id % 9 + 5 AS r1", "20L AS rows")))
+query("figure_fit")(lambda t: raster.figure_fit(raster.ink_grid(_px(t)), t.pages.selectExpr("page_id", "1L AS fig_no", "page_id % 20 AS row"), t.pages.selectExpr("page_id", "1L AS fig_no", "page_id % 9 AS r0", "page_id % 9 + 5 AS r1", "20L AS rows")))
 
 # Folds
 query("line_boxes")(lambda t: folds.line_boxes(_items(t).selectExpr("doc_id", "page", "item_no", "str", "x AS left", "x + w AS right", "792 - y AS base", "greatest(abs(h), 8D) AS h")))
@@ -115,7 +119,7 @@ query("figure_filter")(lambda t: folds.figure_filter(layout.figure_candidates(t.
 query("batch_anonymous_nets")(lambda t: folds.batch_anonymous_nets(t.batch_eps))
 query("enrich_batches")(lambda t: folds.enrich_batches(focus_batches(t.comps), lambda refs: [(r, f"value of {r}") for r in refs]))
 query("figure_image_bind", "SELECT e.event_id AS upload_id, e.k AS fig_id, CASE WHEN e.k >= 60 THEN 'unknown_figure' WHEN e.event_id % 3 <> e.k % 3 THEN 'revision_conflict' ELSE 'bound' END AS result, CASE WHEN e.k < 60 AND e.event_id % 3 = e.k % 3 THEN 'figure:' || e.k::VARCHAR END AS lapsed FROM ev e")(
-    lambda t: folds.figure_image_bind(t.spark.range(60).selectExpr("id AS fig_id", "id % 3 AS revision"), t.ev.selectExpr("event_id AS upload_id", "k AS fig_id", "event_id % 3 AS expected_revision", "'s' AS sha"))
+    lambda t: folds.figure_image_bind(t.packages.selectExpr("package_id % 60 AS fig_id", "package_id % 60 % 3 AS revision").distinct(), t.ev.selectExpr("event_id AS upload_id", "k AS fig_id", "event_id % 3 AS expected_revision", "'s' AS sha"))
 )
 
 # Records
@@ -149,8 +153,10 @@ def _written(t) -> DataFrame:
     import uuid
 
     path = f"{folder(t)}/jobs-{uuid.uuid4().hex}"
-    records.job_write({"jobs": t.jobs.select("tenant", "job_id", "status"), "audit": t.lifecycle.selectExpr("job_id % 5 AS tenant", "job_id", "action")}, path)
-    return t.spark.read.parquet(f"{path}/jobs").groupBy(F.col("tenant").cast("long").alias("tenant"), "status").agg(F.count("*").alias("n"), F.sum("job_id").alias("ids"))
+    frames = {"jobs": t.jobs.selectExpr("tenant", "job_id", "job_id % 3 AS revision", "status"), "audit": t.lifecycle.selectExpr("job_id % 5 AS tenant", "job_id", "event_id AS revision", "action")}
+    records.job_write(frames, path, 1)
+    records.job_write(frames, path, 1)  # as after a failure
+    return records.job_read(t.spark, path, "jobs").groupBy(F.col("tenant").cast("long").alias("tenant"), "status").agg(F.count("*").alias("n"), F.sum("job_id").alias("ids"))
 
 
 query("job_write", "SELECT tenant, status, count(*) AS n, CAST(sum(job_id) AS BIGINT) AS ids FROM jobs GROUP BY 1, 2")(_written)

@@ -93,7 +93,10 @@ query(
 
 query(
     "no_connects",
-    "SELECT design_id, ref, number AS pin, CASE WHEN nc THEN 'no_connect' ELSE 'unconnected_low_confidence' END AS kind FROM (SELECT *, type = 'no_connect' OR EXISTS (SELECT 1 FROM ncs x WHERE x.design_id = p.design_id AND x.ref = p.ref AND x.pin = p.number) AS nc, EXISTS (SELECT 1 FROM eps e WHERE e.design_id = p.design_id AND e.ref = p.ref AND e.pin = p.number) AS con FROM pins p) WHERE nc OR (NOT con AND conf_pct < 50)",
+    "SELECT design_id, ref, number AS pin, CASE WHEN nc THEN 'no_connect' ELSE 'unconnected_low_confidence' END AS kind FROM ("
+    "SELECT p.*, p.type = 'no_connect' OR x.pin IS NOT NULL AS nc, e.pin IS NOT NULL AS con FROM pins p"
+    " LEFT JOIN (SELECT DISTINCT design_id, ref, pin FROM ncs) x ON x.design_id = p.design_id AND x.ref = p.ref AND x.pin = p.number"
+    " LEFT JOIN (SELECT DISTINCT design_id, ref, pin FROM eps) e ON e.design_id = p.design_id AND e.ref = p.ref AND e.pin = p.number) WHERE nc OR (NOT con AND conf_pct < 50)",
 )(lambda t: n.no_connects(t.pins, t.ncs, t.eps))
 
 query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 IR_SCHEMA = "components array<struct<ref:string,value:string>>, nets array<struct<name:string,endpoints:array<struct<ref:string,pin:string>>>>, _corrupt string"
@@ -32,10 +32,17 @@ def lenient_json(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where(good).select("id", "ir.components", "ir.nets"), parsed.where(~F.coalesce(good, F.lit(False))).select("id", "text")
 
 
-def job_write(frames: dict[str, DataFrame], path: str) -> None:
-    """Each table of a job, partitioned by tenant. Revisions are rows, so a table only grows."""
+def job_write(frames: dict[str, DataFrame], path: str, batch: str | int) -> None:
+    """Each table of some jobs' revisions, partitioned by tenant. Rows carry job_id and revision and are never changed, so a
+    table only grows. A batch has a folder of its own: written again, after a failure or by a replay, it replaces itself."""
     for name, df in frames.items():
-        df.write.mode("append").partitionBy("tenant").parquet(f"{path}/{name}")
+        df.write.mode("overwrite").partitionBy("tenant").parquet(f"{path}/{name}/batch={batch}")
+
+
+def job_read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table as job_write left it; a revision that came in several batches counts once."""
+    rows = spark.read.parquet(f"{path}/{name}").drop("batch")
+    return rows.distinct()
 
 
 def object_key(files: DataFrame) -> DataFrame:

@@ -124,7 +124,45 @@ def test_five_pin_package(spark):
 
 
 def test_jobs_are_written_once_a_revision(spark, tmp_path):
-    df = spark.createDataFrame([(1, 5, "a"), (2, 6, "b")], "tenant long, job_id long, status string")
-    records.job_write({"jobs": df}, str(tmp_path))
-    records.job_write({"jobs": df}, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/jobs").count() == 4 and sorted(p.name for p in (tmp_path / "jobs").iterdir() if p.is_dir()) == ["tenant=1", "tenant=2"]
+    """A batch that is written again replaces itself; a revision that comes in two batches counts once."""
+    jobs_of = lambda rows: {"jobs": spark.createDataFrame(rows, "tenant long, job_id long, revision long, status string")}
+    first = jobs_of([(1, 5, 1, "a"), (2, 6, 1, "b")])
+    for batch in (1, 1, 2):
+        records.job_write(first, str(tmp_path), batch)
+    records.job_write(jobs_of([(1, 5, 2, "c")]), str(tmp_path), 3)
+    got = records.job_read(spark, str(tmp_path), "jobs")
+    assert sorted((r["tenant"], r["job_id"], r["revision"], r["status"]) for r in got.collect()) == [(1, 5, 1, "a"), (1, 5, 2, "c"), (2, 6, 1, "b")]
+    assert (tmp_path / "jobs" / "batch=1" / "tenant=1").is_dir()
+
+
+def test_no_reference_is_dropped(spark):
+    df = spark.createDataFrame([(1, 0, f"R{i}") for i in range(500)] + [(2, 0, "U1")], "design_id long, batch_no long, ref string")
+    calls = lambda refs: [(r, str(len(refs))) for r in refs]
+    got = {(r["design_id"], r["ref"]): int(r["value"]) for r in folds.enrich_batches(df, calls).collect()}
+    assert len(got) == 501 and max(got.values()) == 220 and got[2, "U1"] == 1
+
+
+def test_edits_of_boxes_and_evidence(spark):
+    ask = [
+        ("figures/bbox", "[0.1,0.2,0.3,0.4]", "x", None, None), ("figures/bbox", "[0.3,0.2,0.1,0.4]", "x", None, "not_a_box"), ("figures/bbox", "[0,0,1,1.5]", "x", None, "not_a_box"),
+        ("figures/bbox", "[0,0,1]", "x", None, "not_a_box"), ("figures/bbox", "no", "x", None, "not_a_box"), ("figures/bbox", None, "x", None, "not_a_box"), ("pins/type", None, "x", None, "unknown_type"),
+        ("pins/type", "input", "", None, "reason_missing"), ("pins/type", "input", "", '{"page": 2}', None), ("pins/type", "input", " ", '{"note": ""}', "reason_missing"),
+        ("packages/pitch", "0.5", "x", '{"page": 1.5}', "evidence_page"), ("packages/pitch", "0.5", "x", '{"bbox": [0,0,1,1], "quotedText": "q"}', None), ("packages/pitch", "0.5", "x", '{"bbox": [1,0,0,1]}', "evidence_bbox"),
+        ("packages/pitch", "0.5", "x", "nonsense", "evidence_not_an_object"), ("packages/pin_count", "8.5", "x", None, "not_whole"), ("packages/pin_count", "300", "x", None, "out_of_range"),
+        ("packages/lead_width", None, "x", None, None), ("packages/pitch", None, "x", None, "not_a_number"), ("packages/pitch", "NaN", "x", None, "not_a_number"), ("figures/page", "0", "x", None, "not_a_page"),
+    ]
+    df = spark.createDataFrame([(i, 1, *a[:4]) for i, a in enumerate(ask)], "event_id long, job_id long, path string, value string, reason string, evidence string")
+    got = {r["event_id"]: r["error"] for r in review.patch_validate(df).collect()}
+    assert [got[i] for i in range(len(ask))] == [a[4] for a in ask]
+
+
+def test_approvals_lapse(spark):
+    frame = lambda rows, s: spark.createDataFrame(rows, s)
+    changes = frame([(1, "part.mpn"), (2, "pinsets[a].pin[1].name"), (3, "packages[p].pinset_id"), (4, "partial"), (4, "figures[f].title")], "job_id long, path string")
+    packages = frame([(2, "p", "a"), (2, "q", "b"), (3, "p", "a")], "job_id long, package_id string, pinset_id string")
+    keys = ["symbol:a", "symbol:b", "footprint:p", "footprint:q", "model3d:p", "figure:f", "figure:g"]
+    approvals = frame([(j, k) for j in range(1, 5) for k in keys], "job_id long, key string")
+    got = {}
+    for r in review.approvals_invalidated(changes, packages, approvals).collect():
+        got.setdefault(r["job_id"], set()).add(r["key"])
+    assert got == {1: set(keys), 2: {"symbol:a", "footprint:p", "model3d:p"}, 3: {"symbol:a", "symbol:b", "footprint:p", "model3d:p"}, 4: {"figure:f"}}
