@@ -23,10 +23,13 @@ def tokens(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.explode(F.split(F.trim("text"), r"\s+")).alias("token")).where("token <> ''")
 
 
-def census_refs(lines: DataFrame) -> DataFrame:
-    """Distinct references of each document, upper-cased, from anywhere in its lines."""
+def census_refs(lines: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """Distinct references of each document, upper-cased: from anywhere in its lines, and items (doc_id, text) that are one."""
     scan = F.regexp_extract_all("text", F.lit("(?i)(" + ascii_boundaries(rf"\b{REF_BODY}\b") + ")"), 1)
-    return lines.select("doc_id", F.explode(scan).alias("r")).select("doc_id", F.upper("r").alias("ref")).distinct()
+    found = lines.select("doc_id", F.explode(scan).alias("r"))
+    if items is not None:
+        found = found.union(items.where(matches(F.trim("text"), f"^{REF_BODY}$", True)).select("doc_id", F.trim("text")))
+    return found.select("doc_id", F.upper("r").alias("ref")).distinct()
 
 
 def census_prefix_counts(refs: DataFrame) -> DataFrame:

@@ -37,6 +37,10 @@ BARE_APPLICATION = r"(?i)simplified\s+schematic|典型应用|应用电路|应用
 PIN_PAGE = r"(?i)Pin (Configuration and )?Functions?"
 MECHANICAL_PAGE = r"(?i)(PACKAGE OUTLINE|MECHANICAL DATA|PACKAGE OPTION ADDENDUM|LAND PATTERN|PLASTIC QUAD|SMALL OUTLINE|Package Information|Mechanical, Packaging)"
 CATEGORY = r"(?i)(multiplexer|switch|amplifier|regulator|converter|controller|driver|sensor|transceiver|comparator|MOSFET|microcontroller|translator|monitor)"
+VENDORS = (
+    r"(?i)(Texas Instruments|Analog Devices|STMicroelectronics|NXP|Infineon|onsemi|ON Semiconductor|Microchip|Renesas|Toshiba|ROHM|"
+    r"Diodes Incorporated|Nexperia|Vishay|Silicon Labs|Skyworks|Qorvo|TDK|Murata)"
+)
 PART_LINE = r"^[A-Z]{2,}[A-Z0-9\-]{3,}(\s*,\s*[A-Z0-9\-]+)*$"
 
 
@@ -96,13 +100,23 @@ def ocr_merge(lines: DataFrame, recognized: DataFrame, wanted: DataFrame) -> Dat
     return out.select("doc_id", "page", (F.col("own") + F.col("more")).alias("n_lines"), status.alias("status"))
 
 
-def part_info(lines: DataFrame, height: float = 792.0) -> DataFrame:
-    """Part number from an upper-case token line and title from a line with a category word, in the top of page 1."""
-    top = lines.where((F.col("page") == 1) & (F.col("y") > height * 0.55))
-    part = F.when(matches(F.col("text"), PART_LINE), F.regexp_extract("text", r"^[^\s,]+", 0))
-    title = F.when((F.length("text") > 25) & (F.length("text") < 160) & matches(F.col("text"), CATEGORY), F.col("text"))
+def part_info(lines: DataFrame, links: DataFrame, height: float = 792.0) -> DataFrame:
+    """(doc_id, mpn, title, manufacturer): the part number from the link's file name, else from an upper-case token line;
+    the title from a line with a category word, both in the top of page 1; the first vendor named on page 1.
+
+    links: (doc_id, url).
+    """
+    first_page = lines.where(F.col("page") == 1)
+    on_top = F.col("y") > height * 0.55
+    part = F.when(on_top & matches(F.col("text"), PART_LINE), F.regexp_extract("text", r"^[^\s,]+", 0))
+    title = F.when(on_top & (F.length("text") > 25) & (F.length("text") < 160) & matches(F.col("text"), CATEGORY), F.col("text"))
     first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("line_no")))
-    return top.groupBy("doc_id").agg(F.coalesce(first(part), F.lit("")).alias("mpn"), F.coalesce(first(title), F.lit("")).alias("title"))
+    page = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ")
+    found = first_page.groupBy("doc_id").agg(first(part).alias("part"), first(title).alias("title"), F.regexp_extract(page, VENDORS, 1).alias("manufacturer"))
+    named = links.groupBy("doc_id").agg(F.upper(F.max(F.regexp_extract("url", r"(?i)([A-Za-z][A-Za-z0-9\-]{4,})\.pdf", 1))).alias("named"))
+    out = found.join(named, "doc_id", "left")
+    none = F.lit("")
+    return out.select("doc_id", F.coalesce(F.nullif(F.col("named"), none), "part", none).alias("mpn"), F.coalesce("title", none).alias("title"), "manufacturer")
 
 
 def is_column_head(text: Column) -> Column:
@@ -218,17 +232,24 @@ def figure_candidates(lines: DataFrame) -> DataFrame:
 
 
 def figure_region(lines: DataFrame, height: float = 792.0, h: float = 9.0) -> DataFrame:
-    """Top and bottom (from the page's top, 0 to 1) of the figure above each caption.
+    """Top and bottom (from the page's top, 0 to 1) of the figure of each caption and bare heading.
 
-    Above is the nearest substantial line within half a page, else 45 % of a page up.
+    A caption's figure is above it, up to the nearest substantial line within half a page, else 45 % of a page up. A bare
+    heading in the lower part of a page is taken like a caption; one in the upper part has its figure below, down to the
+    next substantial line within half a page. Captions end the figure of a caption, but not of a heading.
     """
-    text = F.col("text")
-    substantial = (F.length(text) > 60) | matches(text, r"^\d+(\.\d+)*\s+[A-Z]") | matches(text, r"^Figure\s+\d+", True)
-    above = W.partitionBy("doc_id", "page").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    marked = lines.withColumn("above", F.last(F.when(substantial, F.col("y")), ignorenulls=True).over(above))
-    caps = figure_candidates(marked).where("caption").select("doc_id", "line_no").join(marked, ["doc_id", "line_no"])
-    top = F.when(F.col("above") - F.col("y") <= height * 0.5, F.col("above") - h * 1.2).otherwise(F.least(F.lit(height * 0.94), F.col("y") + height * 0.45))
-    return caps.select("doc_id", "page", "line_no", (1 - top / height).alias("y0"), F.least(F.lit(0.98), 1 - (F.col("y") - h * 1.6) / height).alias("y1"))
+    text, y = F.col("text"), F.col("y")
+    long = (F.length(text) > 60) | matches(text, r"^\d+(\.\d+)*\s+[A-Z]")
+    page = W.partitionBy("doc_id", "page").orderBy("line_no")
+    before, after = page.rowsBetween(W.unboundedPreceding, -1), page.rowsBetween(1, W.unboundedFollowing)
+    near = lambda cond: F.last(F.when(cond, y), ignorenulls=True).over(before)
+    marked = lines.select("*", near(long | matches(text, r"^Figure\s+\d+", True)).alias("above"), near(long).alias("above_long"), F.first(F.when(long, y), ignorenulls=True).over(after).alias("below_long"))
+    found = figure_candidates(lines).select("doc_id", "line_no", "caption").join(marked, ["doc_id", "line_no"])
+    half, up, down = height * 0.5, F.least(F.lit(height * 0.94), y + height * 0.45), F.greatest(F.lit(height * 0.06), y - height * 0.45)
+    caption, low = F.col("caption"), y < height * 0.55
+    top = F.when(caption, F.when(F.col("above") - y <= half, F.col("above") - h * 1.2).otherwise(up)).when(low, F.when(F.col("above_long") - y <= half, F.least(up, F.col("above_long") - h * 1.2)).otherwise(up)).otherwise(y - h * 0.4)
+    bottom = F.when(caption | low, y - h * 1.6).otherwise(F.when(y - F.col("below_long") <= half, F.col("below_long") + h * 0.6).otherwise(down))
+    return found.select("doc_id", "page", "line_no", (1 - top / height).alias("y0"), F.least(F.lit(0.98), 1 - bottom / height).alias("y1"))
 
 
 def figure_finalize(figures: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:

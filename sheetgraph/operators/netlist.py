@@ -69,11 +69,15 @@ def batch_named_nets(rows: DataFrame) -> DataFrame:
     return ends.groupBy("design_id", "net").agg(F.count("*").alias("n_endpoints"), F.max("conf_pct").alias("conf_pct"), F.sum("conf_pct").alias("sum_pct"))
 
 
-def batch_rollup(nets: DataFrame) -> DataFrame:
-    """Confidence of a merged design from its number of nets, in thousandths: 550 + min(350, 5 n), at most 950, 350 without nets."""
-    n = F.col("n")
+def batch_rollup(nets: DataFrame, ncs: DataFrame, warnings: DataFrame) -> DataFrame:
+    """Of a merged design: its nets, distinct no-connects (design_id, ref, pin) and distinct warnings (design_id, text), and
+    its confidence in thousandths: 550 + min(350, 5 n) for n nets, at most 950, 350 without nets."""
+    n = F.col("n_nets")
     conf = F.when(n > 0, F.least(F.lit(950), 550 + F.least(F.lit(350), n * 5))).otherwise(350)
-    return nets.groupBy("design_id").agg(F.count("*").alias("n")).select("design_id", F.col("n").alias("n_nets"), conf.cast("long").alias("conf_mille"))
+    count = lambda df, name: df.distinct().groupBy("design_id").agg(F.count("*").alias(name))
+    ends = ncs.select("design_id", F.upper("ref").alias("ref"), "pin")
+    out = nets.groupBy("design_id").agg(F.count("*").alias("n_nets")).join(count(ends, "n_no_connects"), "design_id", "full").join(count(warnings.select("design_id", "text"), "n_warnings"), "design_id", "full")
+    return out.na.fill(0).select("design_id", "n_nets", conf.cast("long").alias("conf_mille"), "n_no_connects", "n_warnings")
 
 
 def dedupe_refs(rows: DataFrame) -> DataFrame:

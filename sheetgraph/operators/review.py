@@ -93,15 +93,21 @@ def patch_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def patch_apply(old: DataFrame, edits: DataFrame) -> DataFrame:
-    """The long table after the edits (id, field, op, value, seq); the latest edit of a field wins."""
-    last = edits.groupBy("id", "field").agg(F.max_by(F.struct("op", "value"), "seq").alias("e")).select("id", "field", F.col("e.op").alias("op"), F.col("e.value").alias("new"))
-    out = old.join(last, ["id", "field"], "full").where("op is null or op <> 'remove'")
-    return out.select("id", "field", F.when(F.col("op").isNotNull(), F.col("new")).otherwise(F.col("value")).alias("value"), F.col("op").isNotNull().alias("reviewed"))
+    """The long table after the edits (id, field, op, value, seq, reviewer, reason, page); the latest edit of a field wins and
+    leaves its reviewer's anchor: (id, field, value, reviewed, source_type, reviewer, reason, page)."""
+    said = F.struct("op", "value", "reviewer", "reason", "page")
+    last = edits.groupBy("id", "field").agg(F.max_by(said, "seq").alias("e"))
+    out = old.join(last, ["id", "field"], "full").where("e is null or e.op <> 'remove'")
+    hit = F.col("e").isNotNull()
+    return out.select(
+        "id", "field", F.when(hit, F.col("e.value")).otherwise(F.col("value")).alias("value"), hit.alias("reviewed"), F.when(hit, "reviewer").alias("source_type"),
+        "e.reviewer", F.when(hit, F.coalesce("e.reason", F.lit(""))).alias("reason"), "e.page",
+    )
 
 
 def change_log(old: DataFrame, edits: DataFrame) -> DataFrame:
     """Before and after of each field that the edits change."""
-    new = patch_apply(old, edits)
+    new = patch_apply(old, edits).select("id", "field", "value")
     return patch_diff(old, new)
 
 
@@ -159,9 +165,18 @@ def approval_valid(approvals: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def asset_versions(keys: DataFrame, published: DataFrame) -> DataFrame:
-    """Version rows `key@rN`, and whether one is not unique."""
-    out = published.join(keys, "key", "left_semi").groupBy("key", "revision").agg(F.count("*").alias("n"))
-    return out.select(F.concat(F.col("key"), F.lit("@r"), F.col("revision").cast("string")).alias("version"), "revision", (F.col("n") > 1).alias("conflict"))
+    """(job_id, version, revision, approved, conflict): version rows `key@rN` of a job, and whether one is not unique.
+
+    keys: (job_id, key), published: (job_id, key, revision, approved).
+    """
+    out = published.join(keys, ["job_id", "key"], "left_semi").groupBy("job_id", "key", "revision").agg(F.count("*").alias("n"), F.bool_and("approved").alias("approved"))
+    return out.select("job_id", F.concat(F.col("key"), F.lit("@r"), F.col("revision").cast("string")).alias("version"), "revision", "approved", (F.col("n") > 1).alias("conflict"))
+
+
+def asset_fork(versions: DataFrame, forks: DataFrame) -> DataFrame:
+    """Versions with those of forked jobs (job_id, new_job_id) again under the new job, which has to approve them anew."""
+    copies = versions.join(forks, "job_id").select(F.col("new_job_id").alias("job_id"), "version", "revision", F.lit(False).alias("approved"), "conflict")
+    return versions.union(copies)
 
 
 def asset_hashes(files: DataFrame) -> DataFrame:
@@ -207,11 +222,16 @@ def reap_expired(jobs: DataFrame, now: str) -> DataFrame:
     return jobs.select("job_id", F.when(over, "expired").otherwise(F.col("status")).alias("status"))
 
 
-def manifest_check(manifest: DataFrame, files: DataFrame) -> DataFrame:
-    """Differences of a manifest and the files, both (path, sha): missing, extra or changed."""
-    m, f = manifest.select("path", F.col("sha").alias("m")), files.select("path", F.col("sha").alias("f"))
-    out = m.join(f, "path", "full").where(~F.col("m").eqNullSafe(F.col("f")))
-    return out.select("path", F.when(F.col("f").isNull(), "missing").when(F.col("m").isNull(), "extra").otherwise("changed").alias("problem"))
+def manifest_check(manifest: DataFrame, files: DataFrame, bundle: DataFrame, data: DataFrame) -> DataFrame:
+    """(area, path, problem): differences of a manifest and the files, both (path, sha), and of what a bundle says and the
+    data, both (path, value) with a row a field: missing, extra or changed."""
+
+    def differences(area: str, want: DataFrame, have: DataFrame) -> DataFrame:
+        m, f = (df.select(F.col(df.columns[0]).alias("path"), F.col(df.columns[1]).alias(n), F.lit(True).alias(f"has_{n}")) for df, n in ((want, "m"), (have, "f")))
+        out = m.join(f, "path", "full").where(F.col("has_m").isNull() | F.col("has_f").isNull() | ~F.col("m").eqNullSafe(F.col("f")))
+        return out.select(F.lit(area).alias("area"), "path", F.when(F.col("has_f").isNull(), "missing").when(F.col("has_m").isNull(), "extra").otherwise("changed").alias("problem"))
+
+    return differences("files", manifest, files).union(differences("data", bundle, data))
 
 
 def audit_trail(events: DataFrame) -> DataFrame:

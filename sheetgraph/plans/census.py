@@ -20,7 +20,13 @@ def _sheet(t):
     return ref.union(t.comps.selectExpr("design_id", "ref_no % 2 + 1", "ref_no * 2 + 1", "value", "CAST(ref_no % 8 * 120 + 4 AS DOUBLE)", "CAST(floor(ref_no / 8) * 110 - 30 + design_id % 7 * 9 AS DOUBLE)", "CAST(6 * length(value) AS DOUBLE)"))
 
 
-query("census_refs", "SELECT * FROM refs", V)(lambda t: o.census_refs(t.lines))
+# Items of a page that its lines don't show, such as text beside a drawing
+_ITEM = "CASE (doc_id + line_no) % 5 WHEN 0 THEN ' u' || CAST(line_no AS VARCHAR(9)) || ' ' WHEN 1 THEN 'see R7' WHEN 2 THEN 'XQ' || CAST(line_no AS VARCHAR(9)) ELSE 'tp' || CAST(doc_id % 50 AS VARCHAR(9)) END"
+query(
+    "census_refs",
+    f"SELECT * FROM refs UNION SELECT doc_id, upper(trim(x)) FROM (SELECT doc_id, {_ITEM} AS x FROM lines) WHERE regexp_matches(trim(x), '(?i)^{_P['REF_BODY']}$')",
+    V,
+)(lambda t: o.census_refs(t.lines, t.lines.selectExpr("doc_id", f"{_ITEM} AS text")))
 query("census_prefix_counts", "SELECT doc_id, regexp_extract(ref, '^([A-Z]+)[0-9]', 1) AS prefix, count(*) AS n FROM refs GROUP BY 1, 2", V)(lambda t: o.census_prefix_counts(o.census_refs(t.lines)))
 query("census_labels", "SELECT * FROM labels", V)(lambda t: o.census_labels(t.lines))
 query("census_gate_labels", f"SELECT doc_id, label FROM labels WHERE n >= 2 OR regexp_matches(label, '{_P['ALWAYS']}')", V)(lambda t: o.census_gate_labels(o.census_labels(t.lines)))

@@ -12,6 +12,8 @@ from sheetgraph.operators.netlist import focus_batches
 from sheetgraph.plans.cleaning import V as CV
 from sheetgraph.plans.cleaning import _pk
 from sheetgraph.plans.layout import _items
+from sheetgraph.plans.folds import ASSEMBLED, FIGURE_FILTER, FILTERED, LEDGER, LEDGER_SQL, LIFECYCLE, LIFECYCLE_STREAM, LINE_BOXES
+from sheetgraph.plans.layout import V as LV
 from sheetgraph.plans.registry import query
 from sheetgraph.sources import records
 from sheetgraph.streaming import jobs
@@ -50,16 +52,18 @@ V = CV | {
     "g4": "SELECT *, CASE WHEN st THEN round(rw + pitch * 1.2::DOUBLE, 2) ELSE bl END AS bl2, family = 'dual' AND NOT lead_span > bw + 0.6::DOUBLE AS sh FROM g3",
     "g5": "SELECT *, CASE WHEN sh THEN round(bw + 2.0, 2) ELSE lead_span END AS ls1 FROM g4",
     "g6": "SELECT *, family = 'dual' AND ls1 > bw + 8 AS lg, family = 'dip' AND row_span < bw * 0.85::DOUBLE AS na, (pin_count / 4 - 1) * pitch + greatest(0.8, pitch) AS sd FROM g5",
-    "px": "SELECT page_id, x, y, CASE WHEN (CAST(floor(x / 10) AS BIGINT) + CAST(floor(y / 16) AS BIGINT) + page_id) % 3 = 0 AND NOT (y BETWEEN 20 + page_id % 5 * 4 AND 45 AND page_id % 2 = 0) THEN 0 ELSE 255 END AS luma FROM pages CROSS JOIN (SELECT unnest(range(60)) AS x) CROSS JOIN (SELECT unnest(range(80)) AS y)",
+    # A page's source as a raster: 60 characters a row, 80 rows, dark where a tag begins or ends
+    "pxrows": "SELECT page_id, y, substr(html, y * 60 + 1, 60) AS row FROM pages CROSS JOIN (SELECT unnest(range(80)) AS y)",
+    "px": "SELECT page_id, x, y, CASE WHEN substr(row, x + 1, 1) IN ('<', '>') THEN 0 ELSE 255 END AS luma FROM pxrows CROSS JOIN (SELECT unnest(range(60)) AS x)",
     "ink": "SELECT DISTINCT page_id, CAST(floor(y / 4) AS BIGINT) AS r, CAST(floor(x / 4) AS BIGINT) AS c FROM px WHERE luma < 236",
     "inkrows": "SELECT page_id, r, count(*) AS cells FROM ink GROUP BY 1, 2",
 }
 
 
 def _px(t) -> DataFrame:
-    p = t.pages.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("y"))
-    dark = "(floor(x / 10) + floor(y / 16) + page_id) % 3 = 0 AND NOT (y BETWEEN 20 + page_id % 5 * 4 AND 45 AND page_id % 2 = 0)"
-    return p.selectExpr("page_id", "x", "y", f"CASE WHEN {dark} THEN 0 ELSE 255 END AS luma")
+    rows = t.pages.select("page_id", "html", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("y")).selectExpr("page_id", "y", "substr(html, y * 60 + 1, 60) AS row")
+    pixels = rows.select("page_id", "y", "row", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("x"))
+    return pixels.selectExpr("page_id", "x", "y", "CASE WHEN substr(row, x + 1, 1) IN ('<', '>') THEN 0 ELSE 255 END AS luma")
 
 
 query("geometry_priors", f"SELECT * FROM priors WHERE after IS NOT NULL AND (before IS NULL OR before < after * {geometry.LOW}::DOUBLE OR before > after * {geometry.HIGH}::DOUBLE)", V)(lambda t: geometry.geometry_priors(_pk(t)))
@@ -114,10 +118,10 @@ query("ink_grow")(lambda t: raster.ink_grow(raster.ink_grid(_px(t)), t.pages.sel
 query("figure_fit")(lambda t: raster.figure_fit(raster.ink_grid(_px(t)), t.pages.selectExpr("page_id", "1L AS fig_no", "page_id % 20 AS row"), t.pages.selectExpr("page_id", "1L AS fig_no", "page_id % 9 AS r0", "page_id % 9 + 5 AS r1", "20L AS rows")))
 
 # Folds
-query("line_boxes")(lambda t: folds.line_boxes(_items(t).selectExpr("doc_id", "page", "item_no", "str", "x AS left", "x + w AS right", "792 - y AS base", "greatest(abs(h), 8D) AS h")))
-query("figure_filter")(lambda t: folds.figure_filter(layout.figure_candidates(t.lines).selectExpr("doc_id", "line_no AS fig_no", "kind", "title", "page", "1 - y / 792 AS y0")))
+query("line_boxes", LINE_BOXES, LV | ASSEMBLED)(lambda t: folds.line_boxes(_items(t).selectExpr("doc_id", "page", "item_no", "str", "x AS left", "x + w AS right", "792 - y AS base", "greatest(abs(h), 8D) AS h")))
+query("figure_filter", FIGURE_FILTER, LV | FILTERED)(lambda t: folds.figure_filter(layout.figure_candidates(t.lines).selectExpr("doc_id", "line_no AS fig_no", "kind", "title", "page", "1 - y / 792 AS y0")))
 query("batch_anonymous_nets")(lambda t: folds.batch_anonymous_nets(t.batch_eps))
-query("enrich_batches")(lambda t: folds.enrich_batches(focus_batches(t.comps), lambda refs: [(r, f"value of {r}") for r in refs]))
+query("enrich_batches", "SELECT design_id, CAST(floor((row_number() OVER (PARTITION BY design_id ORDER BY ref) - 1) / 18) AS BIGINT) AS batch_no, ref, 'value of ' || ref AS value FROM comps")(lambda t: folds.enrich_batches(focus_batches(t.comps), lambda refs: [(r, f"value of {r}") for r in refs]))
 query("figure_image_bind", "SELECT e.event_id AS upload_id, e.k AS fig_id, CASE WHEN e.k >= 60 THEN 'unknown_figure' WHEN e.event_id % 3 <> e.k % 3 THEN 'revision_conflict' ELSE 'bound' END AS result, CASE WHEN e.k < 60 AND e.event_id % 3 = e.k % 3 THEN 'figure:' || e.k::VARCHAR END AS lapsed FROM ev e")(
     lambda t: folds.figure_image_bind(t.packages.selectExpr("package_id % 60 AS fig_id", "package_id % 60 % 3 AS revision").distinct(), t.ev.selectExpr("event_id AS upload_id", "k AS fig_id", "event_id % 3 AS expected_revision", "'s' AS sha"))
 )
@@ -132,8 +136,8 @@ query(
     "safe_names",
     f"SELECT doc_id AS id, {_SAFE.format(f=_FILE('n'), d='unnamed')} AS file_name, coalesce(nullif(array_to_string(list_transform(list_filter(string_split(n, '/'), lambda p: p NOT IN ('', '.', '..')), lambda p: {_SAFE.format(f=_FILE('p'), d='file')}), '/'), ''), 'file') AS path FROM (SELECT doc_id, coalesce({_NAME}, '') AS n FROM documents)",
 )(lambda t: records.safe_names(t.documents.selectExpr("doc_id AS id", f"{_NAME} AS name")))
-query("text_safety", r"SELECT doc_id AS id, substr(v, 1, 200) AS value, substr(v, 1, 200) <> t AS changed, length(v) > 200 AS truncated, regexp_matches(t, '[\x00-\x1F\x7F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]') AS had_control FROM (SELECT doc_id, t, trim(regexp_replace(regexp_replace(t, '[\x00-\x1F\x7F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS v FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")(
-    lambda t: records.text_safety(t.documents.select(F.col("doc_id").alias("id"), "text"))
+query("text_safety", r"SELECT doc_id AS id, substr(v, 1, 200) AS value, substr(v, 1, 200) <> t AS changed, length(v) > 200 AS truncated, regexp_matches(t, '[\x00-\x1F\x7F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]') AS had_control, CASE WHEN regexp_matches(t, '[\x00-\x1F\x7F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]') THEN 'control' WHEN length(t) > 64 THEN 'too_long' WHEN trim(t) = '' THEN 'empty' END AS strict_error FROM (SELECT doc_id, t, trim(regexp_replace(regexp_replace(t, '[\x00-\x1F\x7F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS v FROM (SELECT doc_id, coalesce(substr(text, 1, 20 + doc_id % 100), '') AS t FROM documents UNION ALL SELECT -doc_id - 1, CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE text END FROM documents))")(
+    lambda t: records.text_safety(t.documents.selectExpr("doc_id AS id", "substr(text, 1, CAST(20 + doc_id % 100 AS INT)) AS text").union(t.documents.selectExpr("-doc_id - 1", "CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE text END")))
 )
 query("object_key", "SELECT job_id AS file_id, tenant::VARCHAR || '/' || job_id::VARCHAR || '/figure/' || substr(sha256(job_id::VARCHAR), 1, 2) || '/' || sha256(job_id::VARCHAR) || '.png' AS key FROM jobs")(lambda t: records.object_key(t.jobs.selectExpr("job_id AS file_id", "tenant", "job_id", "'figure' AS kind", "sha2(CAST(job_id AS STRING), 256) AS sha", "'png' AS ext")))
 query("file_manifest", "SELECT 'docs/' || doc_id::VARCHAR || '.txt' AS path, sha256(coalesce(text, '')) AS sha, octet_length(encode(coalesce(text, ''))) AS bytes FROM documents")(lambda t: records.file_manifest(t.documents.selectExpr("'docs/../' || doc_id || '.txt' AS path", "coalesce(text, '') AS content")))
@@ -170,9 +174,16 @@ def _stream(t, df: DataFrame) -> DataFrame:
 query("stream_idempotent_jobs", "SELECT scope, count(*) AS jobs FROM (SELECT DISTINCT tenant, owner, operation, sha256(concat_ws(chr(0), tenant::VARCHAR, owner::VARCHAR, operation, doc::VARCHAR, key::VARCHAR)) AS scope FROM requests) GROUP BY 1")(
     lambda t: jobs.run_to_end(jobs.stream_idempotent_jobs(_stream(t, t.requests), "3650 days"), folder(t)).groupBy("scope").agg(F.count("*").alias("jobs"))
 )
-query("stream_lifecycle")(lambda t: jobs.run_to_end(jobs.stream_lifecycle(_stream(t, t.lifecycle)), folder(t), "job_id", "update"))
-query("stream_ledger")(lambda t: jobs.run_to_end(jobs.stream_ledger(_stream(t, t.ledger)), folder(t), "principal", "update"))
+def _lifecycle(t) -> DataFrame:
+    """Where the jobs are at the end, and the actions that were refused on the way."""
+    rows = jobs.run_to_end(jobs.stream_lifecycle(_stream(t, t.lifecycle)), folder(t))
+    now = jobs.lifecycle_current(rows).selectExpr("'job' AS what", "job_id", "0L AS event_id", "state", "applied", "rejected")
+    return now.union(jobs.lifecycle_rejected(rows).selectExpr("'refused'", "job_id", "event_id", "state", "0L", "0L"))
+
+
+query("stream_lifecycle", LIFECYCLE_STREAM, LIFECYCLE)(_lifecycle)
+query("stream_ledger", LEDGER_SQL, LEDGER)(lambda t: jobs.run_to_end(jobs.stream_ledger(_stream(t, t.ledger)), folder(t), "principal", "update"))
 query(
     "stream_batches",
     "SELECT design_id, net, count(*) AS n_endpoints, max(c) AS conf_pct, CAST(sum(c) AS BIGINT) AS sum_pct FROM (SELECT design_id, upper(trim(name)) AS net, ref, pin, arg_max(conf_pct, batch_no) AS c FROM (SELECT *, count(*) OVER (PARTITION BY design_id, batch_no, net_id) AS n FROM batch_eps WHERE trim(name) <> '') WHERE n >= 2 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2",
-)(lambda t: jobs.stream_batches(_stream(t, t.batch_eps.withColumn("ts", F.timestamp_seconds(F.lit(2) - F.col("batch_no")))), folder(t)))
+)(lambda t: jobs.latest_nets(jobs.stream_batches(_stream(t, t.batch_eps.withColumn("ts", F.timestamp_seconds(F.lit(2) - F.col("batch_no")))), folder(t))))

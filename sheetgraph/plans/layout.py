@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheetgraph.functions.rx import matches  # noqa: F401
 from sheetgraph.operators import layout as o
+from sheetgraph.plans.folds import ASSEMBLE, ASSEMBLED, PADS, PIN_EP, final_figures
 from sheetgraph.plans.registry import query
 
 
@@ -28,7 +29,7 @@ V = {
     "kinded": f"SELECT *, CASE {_KIND} END AS k FROM titled",
     "figs": f"SELECT doc_id, page, line_no, y, title, caption, k AS kind FROM kinded WHERE k IS NOT NULL AND CASE WHEN caption THEN NOT regexp_matches(title, '{_q(o.CURVE)}') ELSE length(text) < 60 AND NOT regexp_matches(text, '{_q(o.POINTER)}') AND k <> 'pin_configuration' AND (k <> 'application' OR regexp_matches(text, '{_q(o.BARE_APPLICATION)}')) END",
     "relpages": f"SELECT doc_id, page FROM lines GROUP BY 1, 2 HAVING page = 1 OR bool_or(regexp_matches(text, '{_q(o.PIN_PAGE)}') OR (regexp_matches(text, '\\bPIN\\b') AND regexp_matches(text, '(?i)\\bDESCRIPTION\\b')) OR regexp_matches(text, '{_q(o.MECHANICAL_PAGE)}')) UNION SELECT doc_id, page FROM figs",
-    "rfig": "SELECT doc_id, line_no AS fig_no, CASE WHEN line_no % 5 = 0 THEN NULL ELSE 'application' END AS kind, CAST((doc_id * 7 + line_no) % 130 - 10 AS DOUBLE) / 100.0 AS x0, CAST((doc_id * 11 + line_no * 3) % 100 AS DOUBLE) / 100.0 AS y0, CAST((doc_id * 13 + line_no * 5) % 120 AS DOUBLE) / 100.0 AS x1, CAST((doc_id * 11 + line_no * 3 + line_no % 3) % 100 AS DOUBLE) / 100.0 AS y1 FROM lines WHERE line_no < 20",
+    "rfig": "SELECT doc_id, line_no AS fig_no, CASE WHEN line_no % 5 = 0 THEN NULL ELSE 'application' END AS kind, CAST((doc_id * 7 + line_no) % 130 - 10 AS DOUBLE) / 100.0 AS x0, CAST((doc_id * 11 + line_no * 3) % 100 AS DOUBLE) / 100.0 AS y0, CAST((doc_id * 13 + line_no * 5) % 120 AS DOUBLE) / 100.0 AS x1, CAST((doc_id * 11 + line_no * 3 + line_no % 3) % 100 AS DOUBLE) / 100.0 AS y1 FROM lines",
 }
 
 
@@ -37,7 +38,7 @@ def _items(t):
 
 
 def _rfig(t):
-    return t.lines.where("line_no < 20").selectExpr(
+    return t.lines.selectExpr(
         "doc_id", "line_no AS fig_no", "CASE WHEN line_no % 5 = 0 THEN NULL ELSE 'application' END AS kind", "CAST((doc_id * 7 + line_no) % 130 - 10 AS DOUBLE) / 100.0D AS x0", "CAST((doc_id * 11 + line_no * 3) % 100 AS DOUBLE) / 100.0D AS y0",
         "CAST((doc_id * 13 + line_no * 5) % 120 AS DOUBLE) / 100.0D AS x1", "CAST((doc_id * 11 + line_no * 3 + line_no % 3) % 100 AS DOUBLE) / 100.0D AS y1",
     )
@@ -47,21 +48,34 @@ query("load_items", "SELECT doc_id, page, item_no, str, x, y, x + w AS x1, coale
 query("normalize_parser", "SELECT doc_id, CAST(greatest(1, floor(coalesce(CASE WHEN line_no % 9 = 0 THEN NULL ELSE line_no / 4.0 - 2 END, 1.0) + 0.5)) AS BIGINT) AS page, text AS str, coalesce(CASE WHEN line_no % 4 = 0 THEN NULL ELSE 60.0 END, 0.0)::DOUBLE AS x, y FROM lines")(
     lambda t: o.normalize_parser(t.lines.selectExpr("doc_id", "CASE WHEN line_no % 9 = 0 THEN NULL ELSE line_no / 4.0D - 2 END AS page", "text AS str", "CASE WHEN line_no % 4 = 0 THEN NULL ELSE 60.0D END AS x", "y"))
 )
-query("assemble_lines")(lambda t: o.assemble_lines(o.load_items(_items(t))))
+query("assemble_lines", ASSEMBLE, V | ASSEMBLED)(lambda t: o.assemble_lines(o.load_items(_items(t))))
 query("clean_line_text", r"SELECT doc_id, line_no, trim(regexp_replace(text, '\s{3,}', '  ', 'g'), ' ') AS text FROM lines")(lambda t: t.lines.select("doc_id", "line_no", o.clean_line_text(F.col("text")).alias("text")))
 query("sparse_pages", "SELECT doc_id, count(*) AS n_lines, count(*) <= 20 AS needs_ocr FROM lines GROUP BY 1")(lambda t: o.sparse_pages(t.lines))
-query("ocr_merge", "SELECT coalesce(a.doc_id, w.doc_id) AS doc_id, coalesce(a.page, w.page) AS page, coalesce(a.n, 0) AS n_lines, CASE WHEN w.page IS NULL THEN 'not_needed' WHEN a.m > 0 THEN 'done' ELSE 'pending_no_worker' END AS status FROM (SELECT doc_id, page, count(*) AS n, count(*) FILTER (line_no % 5 = 0) AS m FROM lines WHERE line_no % 5 = 0 OR line_no % 2 = 1 GROUP BY 1, 2) a FULL JOIN (SELECT DISTINCT doc_id, page + 1 AS page FROM lines WHERE doc_id % 2 = 0) w ON a.doc_id = w.doc_id AND a.page = w.page")(
-    lambda t: o.ocr_merge(t.lines.where("line_no % 2 = 1 and line_no % 5 <> 0"), t.lines.where("line_no % 5 = 0"), t.lines.where("doc_id % 2 = 0").selectExpr("doc_id", "page + 1 AS page"))
-)
-_UP = "CASE WHEN (doc_id + line_no) % 9 = 0 THEN 'ADM8829, ADM8828' WHEN (doc_id + line_no) % 7 = 0 THEN 'A precise low power switch for ' || line_no::VARCHAR || ' channels' ELSE text END"
-query("part_info", f"SELECT doc_id, coalesce(arg_min(m, line_no) FILTER (m IS NOT NULL), '') AS mpn, coalesce(arg_min(ti, line_no) FILTER (ti IS NOT NULL), '') AS title FROM (SELECT *, CASE WHEN regexp_matches(text, '{_q(o.PART_LINE)}') THEN regexp_extract(text, '^[^\\s,]+', 0) END AS m, CASE WHEN length(text) > 25 AND length(text) < 160 AND regexp_matches(text, '{_q(o.CATEGORY)}') THEN text END AS ti FROM (SELECT doc_id, page, line_no, y, {_UP} AS text FROM lines) WHERE page = 1 AND y > 792 * 0.55) GROUP BY 1")(
-    lambda t: o.part_info(t.lines.withColumn("text", F.expr(_UP.replace("::VARCHAR", ""))))
+query(
+    "ocr_merge",
+    "SELECT coalesce(a.doc_id, w.doc_id) AS doc_id, coalesce(a.page, w.page) AS page, coalesce(a.n, 0) AS n_lines, CASE WHEN w.page IS NULL THEN 'not_needed' WHEN a.m > 0 THEN 'done' ELSE 'pending_no_worker' END AS status"
+    " FROM (SELECT doc_id, page, count(*) AS n, count(*) FILTER (line_no % 5 = 0) AS m FROM lines GROUP BY 1, 2) a"
+    " FULL JOIN (SELECT DISTINCT doc_id, page + 1 AS page FROM lines WHERE doc_id % 2 = 0) w ON a.doc_id = w.doc_id AND a.page = w.page",
+)(lambda t: o.ocr_merge(t.lines.where("line_no % 5 <> 0"), t.lines.where("line_no % 5 = 0"), t.lines.where("doc_id % 2 = 0").selectExpr("doc_id", "page + 1 AS page")))
+_UP = (
+    "CASE WHEN (doc_id + line_no) % 9 = 0 THEN 'ADM8829, ADM8828' WHEN (doc_id + line_no) % 7 = 0 THEN 'A precise low power switch for ' || line_no::VARCHAR || ' channels'"
+    " WHEN (doc_id + line_no) % 31 = 0 THEN 'made by onsemi and NXP' WHEN (doc_id + line_no) % 29 = 0 THEN 'Texas Instruments' ELSE text END"
 )
+_LINK = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'https://parts.example/lit/ds' || CAST(doc_id AS VARCHAR(20)) || 'x.PDF' WHEN 1 THEN 'https://parts.example/a.pdf' WHEN 2 THEN 'https://parts.example/' END AS url FROM documents"
+query(
+    "part_info",
+    f"""SELECT l.doc_id, coalesce(nullif(upper(regexp_extract(k.url, '(?i)([A-Za-z][A-Za-z0-9\\-]{{4,}})\\.pdf', 1)), ''), m, '') AS mpn, coalesce(ti, '') AS title, regexp_extract(whole, '{o.VENDORS}', 1) AS manufacturer FROM (
+      SELECT doc_id, arg_min(m, line_no) FILTER (m IS NOT NULL) AS m, arg_min(ti, line_no) FILTER (ti IS NOT NULL) AS ti, string_agg(text, ' ' ORDER BY line_no) AS whole FROM (
+        SELECT *, CASE WHEN y > 792 * 0.55 AND regexp_matches(text, '{_q(o.PART_LINE)}') THEN regexp_extract(text, '^[^\\s,]+', 0) END AS m,
+          CASE WHEN y > 792 * 0.55 AND length(text) > 25 AND length(text) < 160 AND regexp_matches(text, '{_q(o.CATEGORY)}') THEN text END AS ti
+        FROM (SELECT doc_id, page, line_no, y, {_UP} AS text FROM lines) WHERE page = 1) GROUP BY 1) l LEFT JOIN links k ON k.doc_id = l.doc_id""",
+    {"links": _LINK},
+)(lambda t: o.part_info(t.lines.withColumn("text", F.expr(_UP.replace("::VARCHAR", ""))), t.documents.selectExpr("doc_id", _LINK.removeprefix("SELECT doc_id, ").removesuffix(" FROM documents"))))
 query("pin_region", "SELECT * FROM region", V)(lambda t: o.pin_region(t.lines))
 query("pin_rows", "SELECT * FROM prows", V)(lambda t: o.pin_rows(o.pin_region(t.lines)))
 query("pin_column_labels", f"SELECT doc_id, arg_max(trim(regexp_extract(text, '(?i){_q(o.COLUMNS)}', 1)), line_no) AS label_a, arg_max(trim(regexp_extract(text, '(?i){_q(o.COLUMNS)}', 2)), line_no) AS label_b FROM region WHERE part = 'head' AND regexp_matches(text, '(?i){_q(o.COLUMNS)}') GROUP BY 1", V)(lambda t: o.pin_column_labels(o.pin_region(t.lines)))
 query("pin_first_wins", "SELECT * FROM pfirst", V)(lambda t: o.pin_first_wins(o.pin_rows(o.pin_region(t.lines))))
-query("pin_ep_rows")(lambda t: o.pin_ep_rows(o.pin_region(t.lines), o.pin_first_wins(o.pin_rows(o.pin_region(t.lines)))))
+query("pin_ep_rows", PIN_EP, V | PADS)(lambda t: o.pin_ep_rows(o.pin_region(t.lines), o.pin_first_wins(o.pin_rows(o.pin_region(t.lines)))))
 query("pin_confidence", 'SELECT doc_id, "set", n, CASE WHEN top > 0 THEN numbered / top ELSE 0 END AS coverage, CASE WHEN n >= 4 AND top >= 6 AND numbered / top >= 0.8 AND low = 1 THEN \'high\' ELSE \'low\' END AS confidence FROM (SELECT doc_id, "set", count(*) AS n, count(try_cast(number AS INT)) AS numbered, max(try_cast(number AS INT)) AS top, min(try_cast(number AS INT)) AS low FROM pfirst GROUP BY 1, 2)', V)(
     lambda t: o.pin_confidence(o.pin_first_wins(o.pin_rows(o.pin_region(t.lines))))
 )
@@ -70,19 +84,32 @@ query("assign_pinsets", "SELECT package_id, CASE WHEN type LIKE 'SOIC%' OR type
     lambda t: o.assign_pinsets(t.packages, t.spark.createDataFrame([(0, "D, PW"), (1, "SOIC, PDIP"), (2, "DSBGA VQFN/SOIC")], "set_no int, label string"))
 )
 query("figure_candidates", "SELECT * FROM figs", V)(lambda t: o.figure_candidates(t.lines))
-query("figure_region", f"SELECT doc_id, page, line_no, 1 - (CASE WHEN above - y <= 396 THEN above - 10.8 ELSE least(744.48, y + 356.4) END) / 792 AS y0, least(0.98, 1 - (y - 14.4) / 792) AS y1 FROM (SELECT *, last_value(CASE WHEN length(text) > 60 OR regexp_matches(text, '^\\d+(\\.\\d+)*\\s+[A-Z]') OR regexp_matches(text, '(?i)^Figure\\s+\\d+') THEN y END IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM lines) l WHERE EXISTS (SELECT 1 FROM figs f WHERE f.doc_id = l.doc_id AND f.line_no = l.line_no AND f.caption)", V)(
-    lambda t: o.figure_region(t.lines)
-)
-query("figure_finalize")(lambda t: o.figure_finalize(o.figure_region(t.lines).join(o.figure_candidates(t.lines).select("doc_id", "line_no", "kind"), ["doc_id", "line_no"])))
+_LONG = "length(text) > 60 OR regexp_matches(text, '^\\d+(\\.\\d+)*\\s+[A-Z]')"
+_BEFORE = "OVER (PARTITION BY doc_id, page ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_REGION = f"""
+SELECT l.doc_id, l.page, l.line_no, 1 - CASE WHEN f.caption THEN CASE WHEN above - l.y <= 396 THEN above - 10.8 ELSE up END
+    WHEN l.y < 435.6 THEN CASE WHEN above_long - l.y <= 396 THEN least(up, above_long - 10.8) ELSE up END ELSE l.y - 3.6 END / 792 AS y0,
+  least(0.98, 1 - CASE WHEN f.caption OR l.y < 435.6 THEN l.y - 14.4 WHEN l.y - below_long <= 396 THEN below_long + 5.4 ELSE greatest(47.52, l.y - 356.4) END / 792) AS y1
+FROM (SELECT *, least(744.48, y + 356.4) AS up, last_value(CASE WHEN {_LONG} OR regexp_matches(text, '(?i)^Figure\\s+\\d+') THEN y END IGNORE NULLS) {_BEFORE} AS above,
+    last_value(CASE WHEN {_LONG} THEN y END IGNORE NULLS) {_BEFORE} AS above_long,
+    first_value(CASE WHEN {_LONG} THEN y END IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS below_long FROM lines) l
+JOIN figs f ON f.doc_id = l.doc_id AND f.line_no = l.line_no
+"""
+query("figure_region", _REGION, V)(lambda t: o.figure_region(t.lines))
+_FINAL, _FINAL_VIEWS = final_figures(_REGION)
+query("figure_finalize", _FINAL, V | _FINAL_VIEWS)(lambda t: o.figure_finalize(o.figure_region(t.lines).join(o.figure_candidates(t.lines).select("doc_id", "line_no", "kind"), ["doc_id", "line_no"])))
 query("figure_sanitize", "SELECT doc_id, fig_no, coalesce(kind, 'other') AS kind, a AS x0, b AS y0, CASE WHEN c - a < 0.01 THEN least(1.0, a + 0.05) ELSE c END AS x1, CASE WHEN d - b < 0.01 THEN least(1.0, b + 0.05) ELSE d END AS y1 FROM (SELECT doc_id, fig_no, kind, least(p, r) AS a, least(q, s) AS b, greatest(p, r) AS c, greatest(q, s) AS d FROM (SELECT doc_id, fig_no, kind, least(1.0, greatest(0.0, x0)) AS p, least(1.0, greatest(0.0, y0)) AS q, least(1.0, greatest(0.0, x1)) AS r, least(1.0, greatest(0.0, y1)) AS s FROM rfig)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY fig_no) <= 12", V)(
     lambda t: o.figure_sanitize(_rfig(t))
 )
 query("relevant_pages", "SELECT * FROM relpages", V)(lambda t: o.relevant_pages(t.lines, o.figure_candidates(t.lines)))
 query(
     "page_strategy",
-    "SELECT doc_id, page, CASE WHEN hits = 0 THEN 'ends' WHEN hits >= n * 0.7 THEN 'all' ELSE 'slice' END AS strategy FROM (SELECT doc_id, page, hit, count(*) OVER d AS n, count(hit) OVER d AS hits, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM (SELECT DISTINCT l.doc_id, l.page, r.page AS hit FROM lines l LEFT JOIN relpages r ON r.doc_id = l.doc_id AND r.page = l.page AND r.page % 2 = 0) WINDOW d AS (PARTITION BY doc_id)) WHERE CASE WHEN hits = 0 THEN k <= 8 OR k > n - 8 WHEN hits >= n * 0.7 THEN TRUE ELSE hit IS NOT NULL END",
+    "SELECT doc_id, page, CASE WHEN hits = 0 THEN 'ends' WHEN hits >= n * 0.7 THEN 'all' ELSE 'slice' END AS strategy FROM ("
+    "SELECT doc_id, page, hit, count(*) OVER d AS n, count(hit) OVER d AS hits, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM ("
+    "SELECT DISTINCT l.doc_id, l.page, f.page AS hit FROM lines l LEFT JOIN figs f ON f.doc_id = l.doc_id AND f.page = l.page) WINDOW d AS (PARTITION BY doc_id))"
+    " WHERE CASE WHEN hits = 0 THEN k <= 8 OR k > n - 8 WHEN hits >= n * 0.7 THEN TRUE ELSE hit IS NOT NULL END",
     V,
-)(lambda t: o.page_strategy(t.lines, o.relevant_pages(t.lines, o.figure_candidates(t.lines)).where("page % 2 = 0")))
+)(lambda t: o.page_strategy(t.lines, o.figure_candidates(t.lines)))
 query("remap_pages", "SELECT f.doc_id, f.line_no, m.p AS page FROM figs f JOIN (SELECT doc_id, page AS p, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS s FROM relpages WHERE page <> 1) m ON m.doc_id = f.doc_id AND m.s = f.page", V)(
     lambda t: o.remap_pages(o.figure_candidates(t.lines), o.relevant_pages(t.lines, o.figure_candidates(t.lines)).where("page <> 1").selectExpr("doc_id", "page AS original", "row_number() OVER (PARTITION BY doc_id ORDER BY page) AS sliced"))
 )

@@ -51,7 +51,13 @@ query(
     "SELECT design_id, net, count(*) AS n_endpoints, max(c) AS conf_pct, CAST(sum(c) AS BIGINT) AS sum_pct FROM (SELECT design_id, upper(trim(name)) AS net, ref, pin, arg_max(conf_pct, batch_no) AS c FROM (SELECT *, count(*) OVER (PARTITION BY design_id, batch_no, net_id) AS n FROM batch_eps WHERE trim(name) <> '' AND NOT regexp_matches(name, '(?i)^N\\$?[0-9]+$')) WHERE n >= 2 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2",
 )(lambda t: n.batch_named_nets(t.batch_eps))
 
-query("batch_rollup", "SELECT design_id, count(*) AS n_nets, CAST(least(950, 550 + least(350, count(*) * 5)) AS BIGINT) AS conf_mille FROM nets GROUP BY 1")(lambda t: n.batch_rollup(t.nets))
+_WARN = "CASE WHEN value IS NULL THEN 'no value for ' || ref ELSE 'fine' END"
+query(
+    "batch_rollup",
+    "SELECT design_id, coalesce(n.n, 0) AS n_nets, CAST(CASE WHEN coalesce(n.n, 0) > 0 THEN least(950, 550 + least(350, n.n * 5)) ELSE 350 END AS BIGINT) AS conf_mille, coalesce(x.n, 0) AS n_no_connects, coalesce(w.n, 0) AS n_warnings"
+    " FROM (SELECT design_id, count(*) AS n FROM nets GROUP BY 1) n FULL JOIN (SELECT design_id, count(*) AS n FROM (SELECT DISTINCT * FROM ncs) GROUP BY 1) x USING (design_id)"
+    f" FULL JOIN (SELECT design_id, count(DISTINCT {_WARN}) AS n FROM batch_comps GROUP BY 1) w USING (design_id)",
+)(lambda t: n.batch_rollup(t.nets, t.ncs.union(t.ncs.selectExpr("design_id", "lower(ref)", "pin")), t.batch_comps.selectExpr("design_id", f"{_WARN} AS text")))
 
 _DUP = {"dup": "SELECT design_id, ref_no AS pos, CASE WHEN ref_no % 4 = 0 THEN 'U1' ELSE ref END AS ref FROM comps"}
 query("dedupe_refs", "SELECT design_id, pos, ref AS old_ref, CASE WHEN k = 1 THEN ref ELSE ref || '_' || k::VARCHAR END AS ref, k > 1 AS renamed FROM (SELECT *, row_number() OVER (PARTITION BY design_id, ref ORDER BY pos) AS k FROM dup)", _DUP)(
@@ -114,8 +120,8 @@ query("netlist_rename", "SELECT e.design_id, net_id, CASE WHEN c.ref_no % 5 = 0
     lambda t: n.netlist_rename(t.eps, t.pins.selectExpr("design_id", "ref", "CASE WHEN pin_no = 3 THEN number END AS pin", "CASE WHEN ref_no % 5 = 0 THEN ref || 'A' END AS new_ref", "CASE WHEN pin_no = 3 THEN '33' END AS new_pin"))
 )
 
-query("pin_peers", "SELECT a.design_id, a.ref AS of_ref, a.pin AS of_pin, a.net_id, b.ref, b.pin FROM eps a JOIN eps b ON a.design_id = b.design_id AND a.net_id = b.net_id WHERE a.pin = '1' AND (a.ref <> b.ref OR a.pin <> b.pin)")(
-    lambda t: n.pin_peers(t.eps, t.pins.where("number = '1'").select("design_id", "ref", F.col("number").alias("pin")))
+query("pin_peers", "SELECT a.design_id, a.ref AS of_ref, a.pin AS of_pin, a.net_id, b.ref, b.pin FROM eps a JOIN eps b ON a.design_id = b.design_id AND a.net_id = b.net_id WHERE a.ref <> b.ref OR a.pin <> b.pin")(
+    lambda t: n.pin_peers(t.eps, t.pins.select("design_id", "ref", F.col("number").alias("pin")))
 )
 
 query("net_search", "SELECT design_id, net_id, name FROM nets n WHERE contains(lower(name), 'u7.2') OR EXISTS (SELECT 1 FROM eps e WHERE e.design_id = n.design_id AND e.net_id = n.net_id AND contains(lower(e.ref || '.' || e.pin), 'u7.2'))")(lambda t: n.net_search(t.nets, t.eps, "U7.2"))

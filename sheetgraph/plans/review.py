@@ -10,6 +10,7 @@ from sheetgraph.plans.cleaning import V as CV
 from sheetgraph.plans.cleaning import PROV_SQL, REL, REV_SQL, _odd, _pk, reviewed
 from sheetgraph.plans.checks import HEALTH
 from sheetgraph.plans.checks import V as CHECKS
+from sheetgraph.plans.folds import LEDGER, LEDGER_SQL, LIFECYCLE, LIFECYCLE_SQL
 from sheetgraph.plans.layout import V as LV
 from sheetgraph.plans.registry import query
 
@@ -296,15 +297,15 @@ def _revised(t):
     return kept.union(t.packages.where("package_id % 6 = 0").selectExpr("package_id", "'name9'", "'new'"))
 
 
-_EDS = "SELECT package_id AS id, 'name' || CAST(pos + pos % 3 AS VARCHAR(9)) AS field, CASE WHEN (package_id + pos) % 4 = 0 THEN 'remove' ELSE 'update' END AS op, 'e' || CAST(pos AS VARCHAR(9)) AS value, pos AS seq FROM raw_pins"
-_eds = lambda t: t.raw_pins.selectExpr("package_id AS id", "'name' || (pos + pos % 3) AS field", "CASE WHEN (package_id + pos) % 4 = 0 THEN 'remove' ELSE 'update' END AS op", "'e' || pos AS value", "pos AS seq")
-_APPLY = "SELECT coalesce(o.id, l.id) AS id, coalesce(o.field, l.field) AS field, CASE WHEN l.id IS NOT NULL THEN l.value ELSE o.value END AS value, l.id IS NOT NULL AS reviewed FROM o FULL JOIN (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY id, field ORDER BY seq DESC) = 1) l ON l.id = o.id AND l.field = o.field WHERE l.op IS NULL OR l.op <> 'remove'"
-query("patch_apply", _APPLY, {"o": _OLD, "e": _EDS})(lambda t: review.patch_apply(_old(t), _eds(t)))
+_EDS = "SELECT package_id AS id, 'name' || CAST(pos + pos % 3 AS VARCHAR(9)) AS field, CASE WHEN (package_id + pos) % 4 = 0 THEN 'remove' ELSE 'update' END AS op, 'e' || CAST(pos AS VARCHAR(9)) AS value, pos AS seq, 'r' || CAST(pos AS VARCHAR(9)) AS reviewer, CASE WHEN pos = 3 THEN NULL ELSE 'why' END AS reason, CASE WHEN pos % 2 = 0 THEN pos END AS page FROM raw_pins"
+_eds = lambda t: t.raw_pins.selectExpr("package_id AS id", "'name' || (pos + pos % 3) AS field", "CASE WHEN (package_id + pos) % 4 = 0 THEN 'remove' ELSE 'update' END AS op", "'e' || pos AS value", "pos AS seq", "'r' || pos AS reviewer", "CASE WHEN pos = 3 THEN NULL ELSE 'why' END AS reason", "CASE WHEN pos % 2 = 0 THEN pos END AS page")
+_APPLY = "SELECT coalesce(o.id, l.id) AS id, coalesce(o.field, l.field) AS field, CASE WHEN l.id IS NOT NULL THEN l.value ELSE o.value END AS value, l.id IS NOT NULL AS reviewed, CASE WHEN l.id IS NOT NULL THEN 'reviewer' END AS source_type, l.reviewer, CASE WHEN l.id IS NOT NULL THEN coalesce(l.reason, '') END AS reason, l.page FROM o FULL JOIN (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY id, field ORDER BY seq DESC) = 1) l ON l.id = o.id AND l.field = o.field WHERE l.op IS NULL OR l.op <> 'remove'"
+query("patch_apply", f"SELECT * REPLACE (coalesce(page, -1) AS page) FROM ({_APPLY})", {"o": _OLD, "e": _EDS})(lambda t: review.patch_apply(_old(t), _eds(t)).na.fill(-1, ["page"]))
 query("change_log", "SELECT coalesce(o.id, n.id) AS id, coalesce(o.field, n.field) AS field, CASE WHEN o.id IS NULL THEN 'add' WHEN n.id IS NULL THEN 'remove' ELSE 'update' END AS op, o.value AS before, n.value AS after FROM o FULL JOIN (" + _APPLY + ") n ON o.id = n.id AND o.field = n.field WHERE o.id IS NULL OR n.id IS NULL OR o.value IS DISTINCT FROM n.value", {"o": _OLD, "e": _EDS})(lambda t: review.change_log(_old(t), _eds(t)))
 query("asset_keys", "SELECT 'symbol' AS kind, 'symbol:' || k::VARCHAR AS key FROM (SELECT DISTINCT package_id % 20 AS k FROM packages) UNION ALL SELECT 'footprint', 'footprint:' || package_id::VARCHAR FROM packages UNION ALL SELECT 'model3d', 'model3d:' || package_id::VARCHAR FROM packages UNION ALL SELECT 'figure', 'figure:' || doc_id::VARCHAR FROM (SELECT DISTINCT doc_id FROM lines)")(
     lambda t: review.asset_keys(t.packages.selectExpr("package_id % 20 AS k").distinct(), t.packages.select("package_id"), t.lines.select("doc_id").distinct())
 )
-query("lifecycle_state")(lambda t: review.lifecycle_state(t.lifecycle))
+query("lifecycle_state", LIFECYCLE_SQL, LIFECYCLE)(lambda t: review.lifecycle_state(t.lifecycle))
 _PATH = (
     "CASE event_id % 7 WHEN 0 THEN 'packages[' || CAST(k AS VARCHAR(9)) || '].pitch' WHEN 1 THEN 'pinsets[' || CAST(k % 20 AS VARCHAR(9)) || '].pin[3].name'"
     " WHEN 2 THEN 'figures[' || CAST(k AS VARCHAR(9)) || '].title' WHEN 3 THEN CASE WHEN k % 10 = 0 THEN 'part.mpn' ELSE 'partial' END"
@@ -347,9 +348,21 @@ _APP = "CASE WHEN job_id % 3 = 0 THEN NULL ELSE 'h' || CAST(job_id % 5 AS VARCHA
 query("approval_valid", f"SELECT j.job_id::VARCHAR AS key, coalesce(a.rev = j.job_id % 4 AND ({_APP} IS NULL OR a.h = {_APP}), FALSE) AS valid FROM jobs j LEFT JOIN (SELECT job_id AS a_id, job_id % 8 AS rev, 'h' || (job_id % 7)::VARCHAR AS h FROM jobs WHERE job_id % 5 <> 0) a ON a.a_id = j.job_id")(
     lambda t: review.approval_valid(t.jobs.where("job_id % 5 <> 0").selectExpr("CAST(job_id AS STRING) AS key", "job_id % 8 AS revision", "'h' || (job_id % 7) AS hash"), t.jobs.selectExpr("CAST(job_id AS STRING) AS key", "job_id % 4 AS revision", f"{_APP} AS hash"))
 )
-query("asset_versions", "SELECT key || '@r' || revision::VARCHAR AS version, revision, count(*) > 1 AS conflict FROM (SELECT 'footprint:' || job_id::VARCHAR AS key, expected_revision AS revision FROM edits) GROUP BY key, revision")(
-    lambda t: review.asset_versions(t.edits.selectExpr("'footprint:' || job_id AS key").distinct(), t.edits.selectExpr("'footprint:' || job_id AS key", "expected_revision AS revision"))
-)
+_PUB = "SELECT job_id, a || ':' || CAST(event_id % 40 AS VARCHAR(9)) AS key, expected_revision AS revision, event_id % 3 = 0 AS approved FROM edits CROSS JOIN (VALUES ('footprint'), ('symbol')) AS v(a)"
+query(
+    "asset_versions",
+    "SELECT * FROM vers UNION ALL SELECT job_id + 1000000, version, revision, FALSE, conflict FROM vers WHERE job_id % 5 = 0",
+    {"pub": _PUB, "vers": "SELECT job_id, key || '@r' || revision::VARCHAR AS version, revision, bool_and(approved) AS approved, count(*) > 1 AS conflict FROM pub WHERE key NOT LIKE '%:7' GROUP BY job_id, key, revision"},
+)(lambda t: _versions(t))
+
+
+def _versions(t):
+    pub = t.edits.selectExpr("job_id", "explode(array('footprint', 'symbol')) AS a", "event_id", "expected_revision AS revision")
+    pub = pub.selectExpr("job_id", "a || ':' || (event_id % 40) AS key", "revision", "event_id % 3 = 0 AS approved")
+    versions = review.asset_versions(pub.select("job_id", "key").where("key not like '%:7'").distinct(), pub)
+    return review.asset_fork(versions, t.edits.select("job_id").distinct().where("job_id % 5 = 0").selectExpr("job_id", "job_id + 1000000 AS new_job_id"))
+
+
 query("asset_hashes", "SELECT 'symbol:' || (package_id % 30)::VARCHAR AS key, sha256(string_agg(package_id::VARCHAR || '.sym ' || sha256(type), chr(10) ORDER BY package_id::VARCHAR || '.sym ' || sha256(type))) AS hash, count(*) AS files FROM packages GROUP BY package_id % 30")(
     lambda t: review.asset_hashes(t.packages.selectExpr("'symbol:' || (package_id % 30) AS key", "package_id || '.sym' AS path", "sha2(type, 256) AS sha"))
 )
@@ -362,10 +375,19 @@ query("role_access", f"SELECT event_id AS request_id, CASE WHEN user_id % 5 <> k
 query("revision_conflicts", "SELECT event_id, job_id, expected_revision, CASE WHEN row_number() OVER (PARTITION BY job_id, expected_revision ORDER BY ts, event_id) = 1 THEN 'ok' ELSE 'revision_conflict' END AS result FROM edits")(lambda t: review.revision_conflicts(t.edits))
 query("idempotency_scope", "SELECT event_id, scope, first_value(event_id) OVER (PARTITION BY scope ORDER BY ts, event_id) AS job, row_number() OVER (PARTITION BY scope ORDER BY ts, event_id) > 1 AS reused FROM (SELECT *, sha256(concat_ws(chr(0), tenant::VARCHAR, owner::VARCHAR, operation, doc::VARCHAR, key::VARCHAR)) AS scope FROM requests)")(lambda t: review.idempotency_scope(t.requests))
 query("reap_expired", "SELECT job_id, CASE WHEN status = 'active' AND TIMESTAMP '1997-06-01 00:00:00' >= created + to_days(CAST(ttl_days AS INT)) THEN 'expired' ELSE status END AS status FROM jobs")(lambda t: review.reap_expired(t.jobs, "1997-06-01 00:00:00"))
-query("manifest_check", "SELECT path, CASE WHEN f IS NULL THEN 'missing' WHEN m IS NULL THEN 'extra' ELSE 'changed' END AS problem FROM (SELECT package_id::VARCHAR AS path, CASE WHEN package_id % 7 <> 0 THEN type END AS m, CASE WHEN package_id % 5 = 0 THEN NULL WHEN package_id % 11 = 0 THEN 'x' ELSE type END AS f FROM packages) WHERE m IS DISTINCT FROM f")(
-    lambda t: review.manifest_check(t.packages.where("package_id % 7 <> 0").selectExpr("CAST(package_id AS STRING) AS path", "type AS sha"), t.packages.where("package_id % 5 <> 0").selectExpr("CAST(package_id AS STRING) AS path", "CASE WHEN package_id % 11 = 0 THEN 'x' ELSE type END AS sha"))
-)
+_DIFF = "SELECT '{area}' AS area, path, CASE WHEN f IS NULL THEN 'missing' WHEN m IS NULL THEN 'extra' ELSE 'changed' END AS problem FROM ({rows}) WHERE m IS DISTINCT FROM f"
+query(
+    "manifest_check",
+    _DIFF.format(area="files", rows="SELECT package_id::VARCHAR AS path, CASE WHEN package_id % 7 <> 0 THEN type END AS m, CASE WHEN package_id % 5 = 0 THEN NULL WHEN package_id % 11 = 0 THEN 'x' ELSE type END AS f FROM packages")
+    + " UNION ALL "
+    + _DIFF.format(area="data", rows="SELECT package_id::VARCHAR || '/pin_count' AS path, CASE WHEN package_id % 17 <> 0 THEN pin_count END AS m, CASE WHEN package_id % 19 = 0 THEN pin_count + 1 WHEN package_id % 23 <> 0 THEN pin_count END AS f FROM packages"),
+)(lambda t: review.manifest_check(
+    t.packages.where("package_id % 7 <> 0").selectExpr("CAST(package_id AS STRING) AS path", "type AS sha"),
+    t.packages.where("package_id % 5 <> 0").selectExpr("CAST(package_id AS STRING) AS path", "CASE WHEN package_id % 11 = 0 THEN 'x' ELSE type END AS sha"),
+    t.packages.where("package_id % 17 <> 0").selectExpr("package_id || '/pin_count' AS path", "pin_count AS value"),
+    t.packages.where("package_id % 23 <> 0 or package_id % 19 = 0").selectExpr("package_id || '/pin_count' AS path", "CASE WHEN package_id % 19 = 0 THEN pin_count + 1 ELSE pin_count END AS value"),
+))
 query("audit_trail", "SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS step, action, event_id FROM lifecycle")(lambda t: review.audit_trail(t.lifecycle))
 query("wallet_balance", "SELECT principal, CAST(sum(CASE WHEN op = 'topup' THEN amount ELSE 0 END) AS BIGINT) AS granted, CAST(sum(CASE WHEN op = 'reserve' THEN amount ELSE 0 END) AS BIGINT) AS spent, CAST(sum(CASE WHEN op = 'topup' THEN amount WHEN op = 'reserve' THEN -amount ELSE 0 END) AS BIGINT) AS balance FROM ledger GROUP BY 1")(lambda t: review.wallet_balance(t.ledger))
-query("ledger_fold")(lambda t: review.ledger_fold(t.ledger))
+query("ledger_fold", LEDGER_SQL, LEDGER)(lambda t: review.ledger_fold(t.ledger))
 del n

@@ -68,12 +68,14 @@ def file_manifest(files: DataFrame) -> DataFrame:
     return files.select(safe_path(F.col("path"), "asset").alias("path"), F.sha2(F.col("content").cast("binary"), 256).alias("sha"), F.octet_length("content").cast("long").alias("bytes"))
 
 
-def text_safety(rows: DataFrame, most: int = 200) -> DataFrame:
-    """Control characters become blanks, blanks collapse, long texts are cut; with what was changed."""
+def text_safety(rows: DataFrame, most: int = 200, strict_most: int = 64) -> DataFrame:
+    """Control characters become blanks, blanks collapse, long texts are cut; with what was changed. strict_error says why
+    a field that takes no mending (a part number) refuses the text."""
     text = F.coalesce("text", F.lit(""))
     v = F.trim(F.regexp_replace(F.regexp_replace(text, CONTROL, " "), r"\s+", " "))
     cut = F.substring(v, 1, most)
-    return rows.select("id", cut.alias("value"), (cut != text).alias("changed"), (F.length(v) > most).alias("truncated"), text.rlike(CONTROL).alias("had_control"))
+    strict = F.when(text.rlike(CONTROL), "control").when(F.length(text) > strict_most, "too_long").when(F.trim(text) == "", "empty")
+    return rows.select("id", cut.alias("value"), (cut != text).alias("changed"), (F.length(v) > most).alias("truncated"), text.rlike(CONTROL).alias("had_control"), strict.alias("strict_error"))
 
 
 def safe_names(rows: DataFrame) -> DataFrame:

@@ -13,21 +13,20 @@ from sheetgraph.operators.netlist import batch_named_nets
 from sheetgraph.operators.review import lifecycle_step, scope_key
 
 
-def replay(spark: SparkSession, df: DataFrame, folder: str, files: int = 4) -> DataFrame:
-    """A stream of a table's rows. They are written part after part in order of ts, a file each, and read in that order.
-
-    For batch tables played as streams; `files` sets how large a file gets.
-    """
+def replay(spark: SparkSession, df: DataFrame, folder: str, parts: int = 4) -> DataFrame:
+    """A stream of a table's rows, in order of ts, null ones first. They are written part after part, each by as many tasks
+    as it needs, and each part has a later folder; a trigger reads one folder's worth of files at most."""
     path = f"{folder}/{uuid.uuid4().hex}"
     df = df.withColumn("ts", F.col("ts").cast("timestamp"))
-    at = F.unix_micros("ts")
-    cuts = df.agg(F.percentile_approx(at, [k / files for k in range(1, files)]).alias("c")).first()["c"] or []
+    at = F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62)))
+    cuts = df.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)]).alias("c")).first()["c"] or []
     edges = [None, *sorted(set(cuts)), None]
-    for low, high in zip(edges[:-1], edges[1:], strict=True):
+    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         part = df if low is None else df.where(at >= low)
-        (part if high is None else part.where(at < high)).coalesce(1).write.mode("append").parquet(path)
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = part if high is None else part.where(at < high)
+        part.repartitionByRange(at).write.parquet(f"{path}/part={k:04d}")
+    schema = spark.read.parquet(f"{path}/part=0000").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{path}/part=*")
 
 
 def stream_idempotent_jobs(requests: DataFrame, within: str = "24 hours") -> DataFrame:
@@ -36,19 +35,48 @@ def stream_idempotent_jobs(requests: DataFrame, within: str = "24 hours") -> Dat
     return keyed.dropDuplicatesWithinWatermark(["scope"]).select("scope", "ts", "tenant", "owner", "operation")
 
 
-def stream_lifecycle(events: DataFrame) -> DataFrame:
-    """(job_id, state, applied, rejected) whenever a job's actions arrive; state is kept per job."""
+def stream_lifecycle(events: DataFrame, ttl_hours: int | None = None) -> DataFrame:
+    """(job_id, event_id, action, accepted, state, applied, rejected): a row for each action as it arrives, with what the job
+    is after it; state is kept per job. Rows that are not accepted are the side output (`lifecycle_rejected`).
+
+    With ttl_hours a job without actions for so long (in event time) expires: its state goes, and a row says `expired`.
+    """
 
     def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            _, applied, rejected = state.get
+            state.remove()
+            yield pd.DataFrame({"job_id": [key[0]], "event_id": [None], "action": ["expire"], "accepted": [True], "state": ["expired"], "applied": [applied], "rejected": [rejected]}).astype({"event_id": "Int64"})
+            return
         name, applied, rejected = state.get if state.exists else ("extracted", 0, 0)
+        rows, last = [], None
         for r in pd.concat(frames).sort_values(["ts", "event_id"]).itertuples():
             to = lifecycle_step(name, r.action)
             name, applied, rejected = (to, applied + 1, rejected) if to else (name, applied, rejected + 1)
+            rows.append((key[0], r.event_id, r.action, to is not None, name, applied, rejected))
+            last = r.ts
         state.update((name, applied, rejected))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [name], "applied": [applied], "rejected": [rejected]})
+        if ttl_hours is not None and last is not None:
+            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + ttl_hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["job_id", "event_id", "action", "accepted", "state", "applied", "rejected"])
+
+    out = "job_id long, event_id long, action string, accepted boolean, state string, applied long, rejected long"
+    if ttl_hours is not None:
+        events = events.withWatermark("ts", "0 seconds")
+    timeout = GroupStateTimeout.NoTimeout if ttl_hours is None else GroupStateTimeout.EventTimeTimeout
+    return events.groupBy("job_id").applyInPandasWithState(step, out, "state string, applied long, rejected long", "append", timeout)
+
 
-    out = "job_id long, state string, applied long, rejected long"
-    return events.groupBy("job_id").applyInPandasWithState(step, out, "state string, applied long, rejected long", "update", GroupStateTimeout.NoTimeout)
+def lifecycle_current(rows: DataFrame) -> DataFrame:
+    """(job_id, state, applied, rejected): where each job is after all rows of stream_lifecycle. Each row counts one more
+    action, and an expiry comes last."""
+    order = F.struct((F.col("action") == "expire"), F.col("applied") + F.col("rejected"))
+    return rows.groupBy("job_id").agg(F.max_by(F.struct("state", "applied", "rejected"), order).alias("r")).select("job_id", "r.*")
+
+
+def lifecycle_rejected(rows: DataFrame) -> DataFrame:
+    """Actions that were not allowed."""
+    return rows.where("not accepted").select("job_id", "event_id", "action", "state")
 
 
 def ledger_step(wallet: tuple[int, int, list[int], int], op: str, amount: int) -> tuple[int, int, list[int], int]:
@@ -96,13 +124,25 @@ def run_to_end(stream: DataFrame, folder: str, key: str | None = None, mode: str
 
 
 def stream_batches(arrivals: DataFrame, folder: str) -> DataFrame:
-    """Named nets of each design after every batch has arrived, whatever the order: each arrival is kept once per
-    (design, batch, net, ref, pin), and the merge reads what is kept."""
+    """Named nets of each design while batches arrive, whatever their order: (design_id, net, ..., arrival), after each
+    arrival the nets of the designs that it touches. `latest_nets` keeps what holds at the end.
+
+    Each arrival is kept once per (design, batch, net, ref, pin), and the merge of its designs reads what is kept of them.
+    """
     path, spark = f"{folder}/{uuid.uuid4().hex}", arrivals.sparkSession
 
     def keep(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/rows/arrival={batch}")  # a replayed batch writes itself again
+        kept = spark.read.parquet(f"{path}/rows").where(F.col("arrival") <= batch).drop("arrival")
+        touched = spark.read.parquet(f"{path}/rows/arrival={batch}").select("design_id").distinct()
+        own = kept.join(touched, "design_id", "left_semi").dropDuplicates(["design_id", "batch_no", "net_id", "ref", "pin"])
+        batch_named_nets(own).write.mode("overwrite").parquet(f"{path}/nets/arrival={batch}")
 
     arrivals.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    kept = spark.read.parquet(f"{path}/rows").drop("arrival").dropDuplicates(["design_id", "batch_no", "net_id", "ref", "pin"])
-    return batch_named_nets(kept)
+    return spark.read.parquet(f"{path}/nets")
+
+
+def latest_nets(updates: DataFrame) -> DataFrame:
+    """The nets of each design after the last arrival that touched it."""
+    last = updates.groupBy("design_id").agg(F.max("arrival").alias("arrival"))
+    return updates.join(last, ["design_id", "arrival"], "left_semi").drop("arrival")

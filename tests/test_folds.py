@@ -22,8 +22,27 @@ def test_lifecycle(spark, tmp_path):
         want[j] = (to, ok + 1, no) if to else (s, ok, no + 1)
     df = spark.createDataFrame(rows, "job_id long, ts timestamp, event_id long, action string")
     batch = {r[0]: tuple(r[1:]) for r in review.lifecycle_state(df).select("job_id", "state", "applied", "rejected").collect()}
-    stream = jobs.run_to_end(jobs.stream_lifecycle(jobs.replay(spark, df, str(tmp_path))), str(tmp_path), "job_id", "update")
-    assert batch == want == {r["job_id"]: (r["state"], r["applied"], r["rejected"]) for r in stream.collect()}
+    stream = jobs.run_to_end(jobs.stream_lifecycle(jobs.replay(spark, df, str(tmp_path))), str(tmp_path))
+    assert batch == want == {r["job_id"]: (r["state"], r["applied"], r["rejected"]) for r in jobs.lifecycle_current(stream).collect()}
+    assert jobs.lifecycle_rejected(stream).count() == sum(x[2] for x in want.values()) and stream.count() == len(rows)
+
+
+def test_jobs_expire(spark, tmp_path):
+    """A job without actions for a day expires once later events tell so."""
+    day = 24 * 60
+    rows = [(1, at(0), 1, "review"), (2, at(1), 2, "review"), (2, at(day), 3, "approve"), (3, at(3 * day), 4, "edit"), (3, at(3 * day + 1), 5, "review")]
+    df = spark.createDataFrame(rows, "job_id long, ts timestamp, event_id long, action string")
+    out = jobs.run_to_end(jobs.stream_lifecycle(jobs.replay(spark, df, str(tmp_path), parts=5), ttl_hours=24), str(tmp_path))
+    assert {r["job_id"]: r["state"] for r in jobs.lifecycle_current(out).collect()} == {1: "expired", 2: "expired", 3: "reviewed"}
+
+
+def test_nets_while_batches_arrive(spark, tmp_path):
+    """After every arrival the nets of its designs are those of all that has arrived."""
+    rows = [(d, b, 1, "A", r, "1", 50 + b, at(10 * b + d)) for b in range(3) for d in range(3) for r in (f"U{b}", f"R{d}")]
+    df = spark.createDataFrame(rows, "design_id long, batch_no long, net_id long, name string, ref string, pin string, conf_pct long, ts timestamp")
+    updates = jobs.stream_batches(jobs.replay(spark, df, str(tmp_path)), str(tmp_path))
+    got = {r["design_id"]: r["n_endpoints"] for r in jobs.latest_nets(updates).collect()}
+    assert got == {0: 4, 1: 4, 2: 4} and updates.select("arrival").distinct().count() >= 1
 
 
 def test_ledger(spark, tmp_path):
