@@ -29,19 +29,23 @@ V = {
 
 
 def _ctx(t):
+    """The one wide join that every rule reads."""
     from sheetgraph.operators.netlist import endpoint_context
 
-    return endpoint_context(t.eps, t.nets, t.pins)
+    return t.kept("ctx", lambda: endpoint_context(t.eps, t.nets, t.pins))
+
+
+def _typed(t):
+    return t.kept("typed", lambda: c.interface_type(_ctx(t)))
 
 
 def _ifaces(t):
     """For the protocol rules one interface per design and type; `interface_groups` is queried by itself."""
-    r = c.interface_role(c.interface_type(_ctx(t)).where("type <> 'POWER'"))
-    return r.select("design_id", F.col("type").alias("iface"), "type", "role", "net", "net_id")
+    return t.kept("ifaces", lambda: c.interface_role(_typed(t).where("type <> 'POWER'")).select("design_id", F.col("type").alias("iface"), "type", "role", "net", "net_id"))
 
 
-query("interface_type", "SELECT design_id, net_id, net, names, type FROM typed", V)(lambda t: c.interface_type(_ctx(t)))
-query("interface_role", "SELECT * FROM roled", V)(lambda t: c.interface_role(c.interface_type(_ctx(t))))
+query("interface_type", "SELECT design_id, net_id, net, names, type FROM typed", V)(_typed)
+query("interface_role", "SELECT * FROM roled", V)(lambda t: c.interface_role(_typed(t)))
 query("active_members", 'SELECT design_id, net_id, "set" AS members FROM sets', V)(lambda t: c.active_members(_ctx(t)).withColumn("members", F.array_join("members", ",")))
 query("interface_groups")(lambda t: c.interface_groups(c.interface_candidates(_ctx(t)).where(F.size("members") >= 2)))
 query("interface_sideband")(lambda t: c.interface_groups(c.interface_candidates(_ctx(t))))

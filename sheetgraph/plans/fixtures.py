@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
 
 
 def pick(index: str, *names: str) -> str:
@@ -17,7 +20,6 @@ def div(a: str, n: int) -> str:
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 REF = pick("ref_no % 10", "U", "IC", "R", "C", "J", "L", "R", "U", "R", "Q") + " || CAST(ref_no AS VARCHAR(20))"
-SEVEN = "(VALUES (1), (2), (3), (4), (5), (6), (7)) AS k(pin_no)"
 
 FX: dict[str, str] = {
     # Netlist
@@ -29,7 +31,7 @@ FX: dict[str, str] = {
     + pick("(ref_no * 3 + pin_no) % 16", "SDA", "SCL", "MOSI", "MISO", "SCK", "CS", "TX", "RX", "GND", "VCC", "USB_DP", "USB_DM", "SWDIO", "SWCLK", "OUT", "IN")
     + " AS name, CASE WHEN ref_no % 10 IN (2, 3, 5, 6, 8) THEN 'passive' ELSE "
     + pick("(ref_no * 7 + pin_no) % 10", "input", "output", "bidirectional", "power_in", "power_out", "passive", "tri_state", "open_collector", "no_connect", "unspecified")
-    + f" END AS type, 30 + (ref_no * 11 + pin_no * 7) % 71 AS conf_pct FROM comp_nos CROSS JOIN {SEVEN}",
+    + " END AS type, 30 + (ref_no * 11 + pin_no * 7) % 71 AS conf_pct FROM (SELECT *, {seven} AS pin_no FROM comp_nos)",
     "nets": "SELECT design_id, net_no AS net_id, CASE WHEN net_no < 20 THEN "
     + pick("net_no", "GND", "VCC", "3V3", "SDA", "SCL", "MOSI", "MISO", "SCK", "CS", "TX", "RX", "USB_D+", "USB_D-", "VBUS", "CC1", "CC2", "SWDIO", "SWCLK", "NRST", "TCK")
     + " ELSE 'N$' || CAST(net_no AS VARCHAR(20)) END AS name, min(conf_pct) AS conf_pct FROM raw_eps GROUP BY design_id, net_no",
@@ -53,7 +55,7 @@ FX: dict[str, str] = {
     "raw_pins": "SELECT p_partkey AS package_id, i AS pos, CASE WHEN (p_partkey + i) % 19 = 0 THEN NULL WHEN (p_partkey + i) % 23 = 0 THEN CAST(i AS VARCHAR(20)) || ',' || CAST(i + 1 AS VARCHAR(20)) WHEN (p_partkey + i) % 29 = 0 THEN 'EP' WHEN (p_partkey + i) % 31 = 0 THEN '1' ELSE CAST(i AS VARCHAR(20)) END AS number, CASE WHEN (p_partkey * 3 + i) % 13 = 0 THEN '' ELSE "
     + pick("(p_partkey * 3 + i) % 16", "SDA", "SCL", "MOSI", "MISO", "SCK", "CS#", "/TX", "~RX", "GND", "VCC", "USB_DP", "USB_DM", "SWDIO", "SWCLK", "OUT", "IN")
     + " END AS name, " + pick("(p_partkey * 7 + i) % 11", "input", "output", "bidirectional", "power_in", "power_out", "passive", "tri_state", "open_collector", "no_connect", "unspecified", "weird")
-    + " AS type FROM part CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6), (7), (8)) AS k(i)",
+    + " AS type FROM (SELECT p_partkey, {eight} AS i FROM part)",
     # Jobs and their history
     "ev": "SELECT event_id, ts, user_id, event_type, CAST({k} AS BIGINT) AS k FROM events",
     "jobs": "SELECT o_orderkey AS job_id, o_custkey % 5 AS tenant, o_custkey AS owner, CASE o_orderstatus WHEN 'F' THEN 'revoked' ELSE 'active' END AS status, o_orderdate AS created, o_orderkey % 400 AS ttl_days FROM orders",
@@ -89,15 +91,25 @@ SPARK = {
     "split": "SELECT doc_id, CAST(pos AS BIGINT) AS line_no, line FROM (SELECT doc_id, posexplode(split(text, '\\\\n')) AS (pos, line) FROM documents)",
     "tokens": "SELECT doc_id, page, line_no, y, CAST(pos AS BIGINT) AS token_no, str FROM (SELECT doc_id, page, line_no, y, posexplode(filter(split(text, '[ \\\\t\\\\r]+'), t -> t <> '')) AS (pos, str) FROM lines)",
     "k": "get_json_object(props, '$.k')",
+    "seven": "explode(sequence(1, 7))",
+    "eight": "explode(sequence(1, 8))",
 }
 DUCK = {
     "split": "SELECT doc_id, CAST(u.pos - 1 AS BIGINT) AS line_no, u.line AS line FROM (SELECT doc_id, unnest(list_zip(range(1, len(s) + 1), s)) AS z, z[1] AS pos, z[2] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) u",
     "tokens": "SELECT doc_id, page, line_no, y, z[1] - 1 AS token_no, z[2] AS str FROM (SELECT doc_id, page, line_no, y, unnest(list_zip(range(1, len(s) + 1), s)) AS z FROM (SELECT *, list_filter(regexp_split_to_array(text, '[ \\t\\r]+'), lambda t: t <> '') AS s FROM lines))",
     "k": "json_extract_string(props, '$.k')",
+    "seven": "unnest([1, 2, 3, 4, 5, 6, 7])",
+    "eight": "unnest([1, 2, 3, 4, 5, 6, 7, 8])",
 }
 ORDER = ["raw_eps", "eps", "comp_nos", "comps", "pins", "nets", "ncs", "ctx", "batches", "batch_eps", "batch_comps", "packages", "raw_pins", "ev", "jobs", "ledger", "lifecycle", "requests", "edits", "doc_lines", "lines", "tokens"]
 
 
+def filled(sql: str, dialect: dict[str, str]) -> str:
+    for name, text in dialect.items():
+        sql = sql.replace("{" + name + "}", text)
+    return sql
+
+
 def needed(sql: str, extra: dict[str, str]) -> list[str]:
     """The views that sql reads, in order of definition."""
     import re
@@ -116,25 +128,50 @@ def needed(sql: str, extra: dict[str, str]) -> list[str]:
 def duck_sql(sql: str, extra: dict[str, str] | None = None) -> str:
     """sql for DuckDB with the views it reads before it."""
     extra = extra or {}
-    fill = lambda s: s.replace("{split}", DUCK["split"]).replace("{tokens}", DUCK["tokens"]).replace("{k}", DUCK["k"])
+    fill = lambda s: filled(s, DUCK)
     with_ = ",\n".join(f"{n} AS MATERIALIZED ({fill({**FX, **extra}[n])})" for n in needed(sql, extra))
     return f"WITH {with_}\n{sql}" if with_ else sql
 
 
+#: Views that many queries of one session read: made once, kept by design in memory and on disk, and made again where lost.
+KEPT = ("eps", "comps", "pins", "nets", "ncs")
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table by design, made once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = make().repartition("design_id").persist(StorageLevel.MEMORY_AND_DISK)
+    return _kept[key]
+
+
+def release() -> None:
+    """Let go of all kept tables."""
+    while _kept:
+        _kept.popitem()[1].unpersist()
+
+
 class Tables:
     """The views as DataFrames, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def __getattr__(self, name: str) -> DataFrame:
-        import re
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return kept(self.spark, self.sf_dir, name, make)
 
+    def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name not in FX:
             raise AttributeError(name)
-        fill = lambda s: s.replace("{split}", SPARK["split"]).replace("{tokens}", SPARK["tokens"]).replace("{k}", SPARK["k"])
+        return self.kept(name, lambda: self._view(name)) if name in KEPT else self._view(name)
+
+    def _view(self, name: str) -> DataFrame:
+        import re
+
+        fill = lambda s: filled(s, SPARK)
         views = needed(f"SELECT * FROM {name}", {})
         with_ = ",\n".join(f"{n} AS ({fill(FX[n])})" for n in views)
         text = f"WITH {with_} SELECT * FROM {name}"
