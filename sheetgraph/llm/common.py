@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: like `cut`, for wide rows that are read several times by some of their columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the shared store."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -66,6 +74,8 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int
     """
     hot = F.col(n) > max(HOT_LEAST, total // HOT_SHARE)
     found = F.struct(*(c for c in right.columns if c not in (key, n)))
+    if right.where(hot).isEmpty():
+        return left.join(right.select(F.col(key).alias("_cold"), found.alias("_found")), F.col(key) == F.col("_cold")).select(*left.columns, "_found.*")
     few = right.where(hot).select(F.col(key).alias("_hot"), found.alias("_found"))
     marked = left.join(F.broadcast(few), F.col(key) == F.col("_hot"), "left")
     cold = marked.where("_hot is null").drop("_hot", "_found").join(right.where(~hot).select(F.col(key).alias("_cold"), found.alias("_found")), F.col(key) == F.col("_cold"))
