@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sheetgraph.operators import checks as c
+from sheetgraph.plans.folds import GROUPED, GROUPS_SQL, SIDEBAND_SQL
 from sheetgraph.plans.registry import query
 
 
@@ -47,8 +48,8 @@ def _ifaces(t):
 query("interface_type", "SELECT design_id, net_id, net, names, type FROM typed", V)(_typed)
 query("interface_role", "SELECT * FROM roled", V)(lambda t: c.interface_role(_typed(t)))
 query("active_members", 'SELECT design_id, net_id, "set" AS members FROM sets', V)(lambda t: c.active_members(_ctx(t)).withColumn("members", F.array_join("members", ",")))
-query("interface_groups")(lambda t: c.interface_groups(c.interface_candidates(_ctx(t)).where(F.size("members") >= 2)))
-query("interface_sideband")(lambda t: c.interface_groups(c.interface_candidates(_ctx(t))))
+query("interface_groups", GROUPS_SQL, V | GROUPED)(lambda t: c.interface_groups(c.interface_candidates(_ctx(t)).where(F.size("members") >= 2)))
+query("interface_sideband", SIDEBAND_SQL, V | GROUPED)(lambda t: c.interface_groups(c.interface_candidates(_ctx(t))))
 query(
     "interface_complete",
     "SELECT design_id, iface, type, coalesce(string_agg(e, ',' ORDER BY i), '') AS missing, count(e) = 0 AS complete FROM (SELECT DISTINCT f.design_id, f.iface, f.type, x.i, CASE WHEN EXISTS (SELECT 1 FROM ifaces g WHERE g.design_id = f.design_id AND g.iface = f.iface AND g.role = x.e) THEN NULL ELSE x.e END AS e FROM ifaces f JOIN (VALUES "

@@ -12,7 +12,7 @@ from sheetgraph.operators.netlist import focus_batches
 from sheetgraph.plans.cleaning import V as CV
 from sheetgraph.plans.cleaning import _pk
 from sheetgraph.plans.layout import _items
-from sheetgraph.plans.folds import ASSEMBLED, FIGURE_FILTER, FILTERED, LEDGER, LEDGER_SQL, LIFECYCLE, LIFECYCLE_STREAM, LINE_BOXES
+from sheetgraph.plans.folds import ANONYMOUS, ANONYMOUS_SQL, ASSEMBLED, FIGURE_FILTER, FIGURE_FIT, FILTERED, FITTED, INK_GROW, LEDGER, LEDGER_SQL, LIFECYCLE, LIFECYCLE_STREAM, LINE_BOXES
 from sheetgraph.plans.layout import V as LV
 from sheetgraph.plans.registry import query
 from sheetgraph.sources import records
@@ -114,13 +114,13 @@ _RANGES = "SELECT page_id, CAST(k AS BIGINT) AS range_id, CAST(k * 4 AS BIGINT)
 query("ink_bounds", f"SELECT g.page_id, g.range_id, count(*) AS cells, min(i.c) AS c0, max(i.c) AS c1 FROM ({_RANGES}) g JOIN ink i ON i.page_id = g.page_id AND i.r BETWEEN g.r0 AND g.r1 GROUP BY 1, 2", V)(
     lambda t: raster.ink_bounds(raster.ink_grid(_px(t)), t.pages.select("page_id", F.explode(F.expr("array(0L, 1L, 2L, 3L)")).alias("range_id")).selectExpr("page_id", "range_id", "range_id * 4 AS r0", "range_id * 4 + page_id % 5 AS r1"))
 )
-query("ink_grow")(lambda t: raster.ink_grow(raster.ink_grid(_px(t)), t.pages.select("page_id", F.expr("page_id % 20").alias("anchor"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("dir")).selectExpr("*", "CASE WHEN page_id % 3 = 0 THEN anchor + 6 * dir END AS stop")))
-query("figure_fit")(lambda t: raster.figure_fit(raster.ink_grid(_px(t)), t.pages.selectExpr("page_id", "1L AS fig_no", "page_id % 20 AS row"), t.pages.selectExpr("page_id", "1L AS fig_no", "page_id % 9 AS r0", "page_id % 9 + 5 AS r1", "20L AS rows")))
+query("ink_grow", INK_GROW, V)(lambda t: raster.ink_grow(raster.ink_grid(_px(t)), t.pages.select("page_id", F.expr("page_id % 20").alias("anchor"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("dir")).selectExpr("*", "CASE WHEN page_id % 3 = 0 THEN anchor + 6 * dir END AS stop")))
+query("figure_fit", FIGURE_FIT, V | FITTED)(lambda t: raster.figure_fit(raster.ink_grid(_px(t)), t.pages.selectExpr("page_id", "1L AS fig_no", "page_id % 20 AS row"), t.pages.selectExpr("page_id", "1L AS fig_no", "page_id % 9 AS r0", "page_id % 9 + 5 AS r1", "20L AS rows")))
 
 # Folds
 query("line_boxes", LINE_BOXES, LV | ASSEMBLED)(lambda t: folds.line_boxes(_items(t).selectExpr("doc_id", "page", "item_no", "str", "x AS left", "x + w AS right", "792 - y AS base", "greatest(abs(h), 8D) AS h")))
 query("figure_filter", FIGURE_FILTER, LV | FILTERED)(lambda t: folds.figure_filter(layout.figure_candidates(t.lines).selectExpr("doc_id", "line_no AS fig_no", "kind", "title", "page", "1 - y / 792 AS y0")))
-query("batch_anonymous_nets")(lambda t: folds.batch_anonymous_nets(t.batch_eps))
+query("batch_anonymous_nets", ANONYMOUS_SQL, ANONYMOUS)(lambda t: folds.batch_anonymous_nets(t.batch_eps))
 query("enrich_batches", "SELECT design_id, CAST(floor((row_number() OVER (PARTITION BY design_id ORDER BY ref) - 1) / 18) AS BIGINT) AS batch_no, ref, 'value of ' || ref AS value FROM comps")(lambda t: folds.enrich_batches(focus_batches(t.comps), lambda refs: [(r, f"value of {r}") for r in refs]))
 query("figure_image_bind", "SELECT e.event_id AS upload_id, e.k AS fig_id, CASE WHEN e.k >= 60 THEN 'unknown_figure' WHEN e.event_id % 3 <> e.k % 3 THEN 'revision_conflict' ELSE 'bound' END AS result, CASE WHEN e.k < 60 AND e.event_id % 3 = e.k % 3 THEN 'figure:' || e.k::VARCHAR END AS lapsed FROM ev e")(
     lambda t: folds.figure_image_bind(t.packages.selectExpr("package_id % 60 AS fig_id", "package_id % 60 % 3 AS revision").distinct(), t.ev.selectExpr("event_id AS upload_id", "k AS fig_id", "event_id % 3 AS expected_revision", "'s' AS sha"))
