@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,13 +38,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: like `cut`, for wide rows that are read several times by some of their columns."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the shared store."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -240,7 +240,7 @@ def test_lm_inputs_begin_at_the_training_words(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat sat on the mat", "a dog sat", "the dog ran off"] * 9)], "doc_id long, text string")
     m, _ = lm_mixing.fit(docs)
     reader, coder = lm_mixing.Reader(m.lexicon), lm_mixing.Coder(m)
-    ids, n, rare = reader(["the dog sat unheard", "the"])
+    ids, n, rare = reader(pa_array(["the dog sat unheard", "the"]))
     c = lm_mixing.texts_of(ids, n, coder(rare), reader.end)
     x, gate = lm_mixing.inputs_of(c, m.tables[-1])
     seen, first = set(), []
@@ -274,13 +274,18 @@ def test_lm_turns():
     assert t.ends[-1] == len(t.odds) and len(t.ends) == 5
 
 
+def test_text_runs():
+    got = [(k, t.to_pylist()) for k, t in lm_mixing.text_runs(pa_array(["a", None, "bb", "ccc", "", "dddddd", "e"]), 3)]
+    assert got == [(0, ["a", None, "bb"]), (3, ["ccc", ""]), (5, ["dddddd"]), (6, ["e"])] and list(lm_mixing.text_runs(pa_array([]), 3)) == []
+
+
 def test_lm_reader():
     """Leaves of the lexicon, then words in no leaf; only A-Z are lower-cased."""
     import numpy as np
 
     n = np.array([5.0, 3.0, 1.0, 9.0])
     reader = lm_mixing.Reader(lm_mixing.lexicon_of([b"the", b"cat", "é".encode(), b"\n"], n, n, 2.0))
-    ids, sizes, rare = reader(["The cat x", "", " é É y x"])
+    ids, sizes, rare = reader(pa_array(["The cat x", "", " é É y x"]))
     assert ids.tolist() == [0, 1, 4, 3, 3, 2, 5, 6, 4, 3] and sizes.tolist() == [4, 1, 5] and rare == [b"x", "É".encode(), b"y"]
 
 
