@@ -1,7 +1,8 @@
 """Chat formatting of reply trees.
 
-Messages form trees by parent ids. Chains of only children are first contracted to segments by pointer doubling, so
-a linear conversation of any length is one segment after log2(length) rounds. Iterative self-joins of the segments
+Messages form trees by parent ids. Chains of only children are first contracted to segments: runs that reply one to
+the next by a window, and chains of runs by pointer doubling, so a chain of any length is one segment after log2 of
+its runs rounds. Iterative self-joins of the segments
 then enumerate the root-to-leaf paths: one round for each branching on a path. The branches of a tree are ranked by
 score, and each chosen path is formatted as one conversation with a mask of what the loss counts.
 
@@ -87,25 +88,40 @@ def from_turns(rows: DataFrame) -> DataFrame:
 
 
 def segments(msgs: DataFrame) -> DataFrame:
-    """(tree_id, id, head, dist): the first message of the chain each message is on, and how far it is from there."""
-    ids = msgs.select(F.col("tree_id").alias("t"), F.col("id").alias("p")).distinct()
-    nodes = msgs.select("tree_id", "id", "parent_id")
-    known = nodes.join(ids, (nodes["tree_id"].eqNullSafe(ids["t"])) & (nodes["parent_id"] == ids["p"]), "left")
-    siblings = F.count("*").over(W.partitionBy("tree_id", "p"))
-    step = F.when(F.col("p").isNotNull() & (siblings == 1), F.col("p"))
-    ptr = cut(known.select("tree_id", "id", F.coalesce(step, F.col("id")).alias("head"), F.when(step.isNotNull(), 1).otherwise(0).cast("long").alias("dist"), step.isNull().alias("done")))
+    """(tree_id, id, head, dist): the first message of the chain each message is on, and how far it is from there.
+
+    Runs of messages that each reply to the one before, as in a linear conversation, are found by one window; only where
+    a chain goes on elsewhere do the runs' heads double their pointers.
+    """
+    order = W.partitionBy("tree_id").orderBy("id")
+    alone = F.count("*").over(W.partitionBy("tree_id", "parent_id")) == 1
+    nodes = msgs.select("tree_id", "id", "parent_id").repartition("tree_id")
+    nodes = nodes.select("*", alone.alias("alone"), F.row_number().over(order).alias("k"), F.lag("id").over(order).alias("before"))
+    start = ~F.coalesce(F.col("alone") & (F.col("parent_id") == F.col("before")), F.lit(False))
+    first = lambda c: F.last(F.when(start, F.col(c)), ignorenulls=True).over(order)
+    runs = cut(nodes.select("tree_id", "id", first("id").alias("head"), (F.col("k") - first("k")).cast("long").alias("dist"), "parent_id", (start & F.col("alone") & F.col("parent_id").isNotNull()).alias("jumps")))
+    on = runs.select(F.col("tree_id").alias("t"), F.col("id").alias("i"), F.col("head").alias("up"), (F.col("dist") + 1).alias("more"))
+    jumps = runs.where("jumps")
+    if jumps.isEmpty():
+        return runs.select("tree_id", "id", "head", "dist")
+    open_ = jumps.join(on, jumps["tree_id"].eqNullSafe(on["t"]) & (jumps["parent_id"] == on["i"])).select("tree_id", F.col("id").alias("h"), F.col("up").alias("to"), F.col("more").alias("d"), F.lit(False).alias("done"))
+    known = open_.select(F.col("tree_id").alias("t"), F.col("h").alias("i"))
+    still = runs.where("id = head").join(known, runs["tree_id"].eqNullSafe(known["t"]) & (runs["id"] == known["i"]), "left_anti")
+    ptr = cut(open_.union(still.select("tree_id", F.col("id").alias("h"), F.col("id").alias("to"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("done"))))
     for _ in range(64):  # doubles each time; what is left then is on a cycle
         open_ = ptr.where("not done")
         left = open_.count()
         if not left:
             break
-        up = ptr.select(F.col("tree_id").alias("t"), F.col("id").alias("i"), F.col("head").alias("up"), F.col("dist").alias("more"), F.col("done").alias("up_done"))
-        joined = open_.join(up, open_["tree_id"].eqNullSafe(up["t"]) & (open_["head"] == up["i"]))
-        moved = joined.select("tree_id", "id", F.col("up").alias("head"), (F.col("dist") + F.col("more")).alias("dist"), F.col("up_done").alias("done"))
+        up = ptr.select(F.col("tree_id").alias("t"), F.col("h").alias("i"), F.col("to").alias("up"), F.col("d").alias("more"), F.col("done").alias("up_done"))
+        joined = open_.join(up, open_["tree_id"].eqNullSafe(up["t"]) & (open_["to"] == up["i"]))
+        moved = joined.select("tree_id", "h", F.col("up").alias("to"), (F.col("d") + F.col("more")).alias("d"), F.col("up_done").alias("done"))
         ptr = cut(ptr.where("done").union(moved))
         if ptr.where("not done").count() == left:
             break
-    return ptr.where("done").drop("done")
+    heads = ptr.where("done").select(F.col("tree_id").alias("t"), "h", "to", "d")
+    out = runs.join(heads, runs["tree_id"].eqNullSafe(heads["t"]) & (runs["head"] == heads["h"]))
+    return out.select("tree_id", "id", F.col("to").alias("head"), (F.col("dist") + F.col("d")).alias("dist"))
 
 
 def paths(msgs: DataFrame, best: int | None = None) -> DataFrame:
@@ -115,7 +131,7 @@ def paths(msgs: DataFrame, best: int | None = None) -> DataFrame:
     """
     seg = cut(segments(msgs))
     on = lambda a, b: a.eqNullSafe(b)
-    m = msgs.select(F.col("tree_id").alias("t"), F.col("id").alias("i"), "parent_id", "role", "text", F.coalesce("score", F.lit(0.0)).alias("score"))
+    m = msgs.select(F.col("tree_id").alias("t"), F.col("id").alias("i"), "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     full = seg.join(m, on(seg["tree_id"], m["t"]) & (seg["id"] == m["i"])).drop("t", "i")
     parts = cut(full.groupBy("tree_id", "head").agg(F.sum("score").alias("score"), F.max_by("id", "dist").alias("tail"), F.max("dist").alias("last"), F.min_by("parent_id", "dist").alias("parent_id")))
     tails = parts.select(F.col("tree_id").alias("t"), F.col("tail").alias("above"), F.col("head").alias("up"))
@@ -137,8 +153,9 @@ def paths(msgs: DataFrame, best: int | None = None) -> DataFrame:
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
     steps = ranked.select(F.col("tree_id").alias("t"), F.col("tail").alias("path_id"), "rank", F.explode("path").alias("s")).select("t", "path_id", "rank", F.col("s.head").alias("h"), F.col("s.at").alias("at"))
-    out = full.join(steps, on(full["tree_id"], steps["t"]) & (full["head"] == steps["h"]))
-    return out.select("tree_id", "path_id", "rank", "role", "text", (F.col("at") + F.col("dist")).alias("depth"))
+    out = seg.join(steps, on(seg["tree_id"], steps["t"]) & (seg["head"] == steps["h"])).select("tree_id", "path_id", "rank", "id", (F.col("at") + F.col("dist")).alias("depth"))
+    said = msgs.select(F.col("tree_id").alias("t"), F.col("id").alias("i"), "role", "text")  # texts only now, once
+    return out.join(said, on(out["tree_id"], said["t"]) & (out["id"] == said["i"])).select("tree_id", "path_id", "rank", "role", "text", "depth")
 
 
 def format_paths(path_rows: DataFrame) -> DataFrame:
