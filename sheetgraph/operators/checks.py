@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sheetgraph.functions.rx import first_of, matches
+from sheetgraph.operators.netlist import MAX_NETS
 
 # Names of power and ground nets, references by kind, words that tell interfaces and roles.
 POWER_NAMES = r"^(GND|AGND|DGND|PGND|VSS|VEE|VBAT|VBUS|VIN|VCC|VDD|AVDD|DVDD|\+?[0-9.]+V[0-9A-Z_+-]*)$"
@@ -89,6 +90,8 @@ def interface_candidates(ctx: DataFrame) -> DataFrame:
 
 def _group_nets(pdf: pd.DataFrame) -> pd.DataFrame:
     """Groups of one design and type: nets of two or more members merge while their members overlap in two."""
+    if len(pdf) > MAX_NETS:
+        raise ValueError(f"over {MAX_NETS} nets of one type in a design: apply netlist.ir_caps first")
     groups: list[dict] = []
     pdf = pdf.sort_values("net_id")
     for r in pdf.itertuples():
@@ -122,7 +125,7 @@ def _group_nets(pdf: pd.DataFrame) -> pd.DataFrame:
 def interface_groups(candidates: DataFrame) -> DataFrame:
     """(design_id, type, iface, net_id, members, conf_pct): interfaces grown to a fixpoint.
 
-    A design has a bounded number of nets (`netlist.MAX_NETS`), so one design and type is one small group.
+    A design has a bounded number of nets (`netlist.MAX_NETS`, more raise an error), so one design and type is one small group.
     """
     out = "design_id long, type string, iface string, net_id long, members string, conf_pct long"
     return candidates.groupBy("design_id", "type").applyInPandas(_group_nets, out)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sheetgraph.functions.rx import matches
 from sheetgraph.operators.layout import clean_line_text
+from sheetgraph.operators.netlist import MAX_NETS
 
 # Which titles a kind of figure may have, and which none may.
 ALLOWED = {
@@ -22,6 +23,10 @@ ALLOWED = {
 FORBIDDEN = r"(?i)\b(curve|curves|waveform|response|characteristic|performance|graph|plot|measurement|histogram|distribution|vs\.?|versus|table)\b|曲线|波形|特性"
 
 
+#: Unnamed nets that all batches of a design may bring: the cap on a design's nets for each of 16 batches.
+MAX_BATCH_NETS = 16 * MAX_NETS
+
+
 def line_boxes(items: DataFrame) -> DataFrame:
     """Items (doc_id, page, item_no, str, left, right, base, h; y down) to lines with their boxes."""
     item = F.struct("base", "left", "item_no", "str", "right", "h")
@@ -70,6 +75,8 @@ def figure_filter(figures: DataFrame, packages: int = 1) -> DataFrame:
 def _merge_anonymous(transitive: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         groups: list[dict] = []
+        if len(pdf[["batch_no", "net_id"]].drop_duplicates()) > MAX_BATCH_NETS:
+            raise ValueError(f"over {MAX_BATCH_NETS} unnamed nets in a design")
         for _, net in pdf.sort_values(["batch_no", "net_id", "ref", "pin"]).groupby(["batch_no", "net_id"], sort=False):
             ends = list(zip(net["ref"], net["pin"], strict=True))
             if len(ends) < 2:
@@ -94,7 +101,7 @@ def _merge_anonymous(transitive: bool) -> Callable[[pd.DataFrame], pd.DataFrame]
 def batch_anonymous_nets(rows: DataFrame, transitive: bool = False) -> DataFrame:
     """Unnamed nets of a design that share an endpoint, merged in one ordered pass, named N$1, N$2, ...
 
-    A net that touches two groups joins the first only, unless transitive. A design's nets are bounded by netlist.MAX_NETS.
+    A net that touches two groups joins the first only, unless transitive. A design of more than MAX_BATCH_NETS unnamed nets raises an error.
     """
     blank = rows.where(F.trim("name") == "")
     return blank.groupBy("design_id").applyInPandas(_merge_anonymous(transitive), "design_id long, net string, ref string, pin string, conf_pct long")
