@@ -10,8 +10,12 @@ _PART = f"regexp_matches({{0}}, '[A-Za-z]') AND regexp_matches({{0}}, '[0-9]') A
 V = {
     "toks": "SELECT doc_id, unnest(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda t: t <> '')) AS token FROM lines",
     "refs": f"SELECT DISTINCT doc_id, upper(r) AS ref FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b{_P['REF_BODY']}\\b')) AS r FROM lines)",
-    "labels": f"SELECT doc_id, upper(t) AS label, count(*) AS n FROM (SELECT doc_id, translate(token, ',:;()[]{{}}', '') AS t FROM toks) WHERE regexp_matches(t, '(?i){_P['POWER']}') OR regexp_matches(t, '(?i){_P['PROTOCOL']}') GROUP BY 1, 2",
-    "sheet": "SELECT design_id, ref_no % 2 + 1 AS page, ref_no * 2 AS item_no, ref AS text, CAST(ref_no % 8 * 120 AS DOUBLE) AS x, CAST(floor(ref_no / 8) * 110 AS DOUBLE) AS y, CAST(6 * length(ref) AS DOUBLE) AS w FROM comps UNION ALL SELECT design_id, ref_no % 2 + 1, ref_no * 2 + 1, value, CAST(ref_no % 8 * 120 + 4 AS DOUBLE), CAST(floor(ref_no / 8) * 110 - 30 + design_id % 7 * 9 AS DOUBLE), CAST(6 * length(value) AS DOUBLE) FROM comps",
+    "labels": f"SELECT doc_id, upper(t) AS label, count(*) AS n FROM (SELECT doc_id, translate(token, ',:;()[]{{}}', '') AS t FROM toks) WHERE "
+        f"regexp_matches(t, '(?i){_P['POWER']}') OR regexp_matches(t, '(?i){_P['PROTOCOL']}') GROUP BY 1, 2",
+    "sheet": "SELECT design_id, ref_no % 2 + 1 AS page, ref_no * 2 AS item_no, ref AS text, CAST(ref_no % 8 * 120 AS DOUBLE) AS x, CAST(floor(ref_no / 8) "
+        "* 110 AS DOUBLE) AS y, CAST(6 * length(ref) AS DOUBLE) AS w FROM comps UNION ALL SELECT design_id, ref_no % 2 + 1, ref_no * 2 + 1, value, "
+        "CAST(ref_no % 8 * 120 + 4 AS DOUBLE), CAST(floor(ref_no / 8) * 110 - 30 + design_id % 7 * 9 AS DOUBLE), CAST(6 * length(value) AS DOUBLE) "
+        "FROM comps",
 }
 
 
@@ -41,6 +45,9 @@ query(
       WHERE dx <= 70 AND abs(dy) <= 95 GROUP BY 1, 2, 3 HAVING min(score) < 58) GROUP BY 1, 2""",
     V,
 )(lambda t: o.part_hints(_sheet(t)))
-query("census_summary", "SELECT l.doc_id, l.pages, l.chars, coalesce(r.n, 0) AS refs, coalesce(x.n, 0) AS labels, coalesce(r.n, 0) > 0 OR coalesce(x.n, 0) > 0 AS available FROM (SELECT doc_id, max(page) AS pages, CAST(sum(length(trim(text, ' '))) AS BIGINT) AS chars FROM lines GROUP BY 1) l LEFT JOIN (SELECT doc_id, count(*) AS n FROM refs GROUP BY 1) r ON r.doc_id = l.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) x ON x.doc_id = l.doc_id", V)(
+query("census_summary", "SELECT l.doc_id, l.pages, l.chars, coalesce(r.n, 0) AS refs, coalesce(x.n, 0) AS labels, coalesce(r.n, 0) > 0 OR coalesce(x.n, 0) > 0 AS "
+    "available FROM (SELECT doc_id, max(page) AS pages, CAST(sum(length(trim(text, ' '))) AS BIGINT) AS chars FROM lines GROUP BY 1) l LEFT JOIN "
+    "(SELECT doc_id, count(*) AS n FROM refs GROUP BY 1) r ON r.doc_id = l.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) "
+    "x ON x.doc_id = l.doc_id", V)(
     lambda t: o.census_summary(t.lines, o.census_refs(t.lines), o.census_labels(t.lines))
 )

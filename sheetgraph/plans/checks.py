@@ -17,15 +17,21 @@ _TYPES = " ".join(f"WHEN regexp_matches(txt, '{_b(p)}') THEN '{n}'" for n, p in
 _ROLES = " ".join(f"WHEN type = '{k}' THEN CASE " + " ".join(f"WHEN regexp_matches(txt, '{_b(p)}') THEN '{n}'" for n, p in rules) + " ELSE net END" for k, rules in c.ROLE_RULES.items())
 _LIST = "coalesce(string_agg(DISTINCT {0}, ',' ORDER BY {0}), '')"
 V = {
-    "nettext": "SELECT design_id, net_id, net, upper(net || ' ' || string_agg(DISTINCT pin_name, ' ' ORDER BY pin_name)) AS txt, string_agg(DISTINCT pin_name, ' ' ORDER BY pin_name) AS names, bool_or(type IN ('power_in', 'power_out')) AS power FROM ctx GROUP BY 1, 2, 3",
-    "typed": f"SELECT * FROM (SELECT *, CASE {_TYPES} WHEN regexp_matches(upper(net), '{_b(c.POWER_NAMES)}') OR power THEN 'POWER' END AS type FROM nettext) WHERE type IS NOT NULL",
+    "nettext": "SELECT design_id, net_id, net, upper(net || ' ' || string_agg(DISTINCT pin_name, ' ' ORDER BY pin_name)) AS txt, string_agg(DISTINCT "
+        "pin_name, ' ' ORDER BY pin_name) AS names, bool_or(type IN ('power_in', 'power_out')) AS power FROM ctx GROUP BY 1, 2, 3",
+    "typed": f"SELECT * FROM (SELECT *, CASE {_TYPES} WHEN regexp_matches(upper(net), '{_b(c.POWER_NAMES)}') OR power THEN 'POWER' END AS type FROM "
+        "nettext) WHERE type IS NOT NULL",
     "roled": f"SELECT design_id, net_id, net, type, CASE {_ROLES} ELSE net END AS role FROM typed",
     "ifaces": "SELECT design_id, type AS iface, type, role, net, net_id FROM roled WHERE type <> 'POWER'",
     "live": f"SELECT * FROM ctx WHERE NOT regexp_matches(ref, '(?i){c.PASSIVE_REF}')",
     "sets": "SELECT design_id, net_id, string_agg(DISTINCT ref, ',' ORDER BY ref) AS \"set\", count(DISTINCT ref) AS size FROM live GROUP BY 1, 2",
     "firsts": "SELECT design_id, iface, type, role, min(net_id) AS net_id FROM ifaces GROUP BY 1, 2, 3, 4",
     "drv": "SELECT design_id, net_id, count(*) AS n FROM ctx WHERE type IN ('output', 'power_out') GROUP BY 1, 2",
-    "rails": f"SELECT design_id, net_id, net, {_LIST.format('s')} AS sources, {_LIST.format('l')} AS loads, {_LIST.format('j')} AS connectors, {_LIST.format('lr')} AS load_refs, regexp_matches(upper(net), '{_b(c.GROUND_NAMES)}') AS ground FROM (SELECT *, CASE WHEN type = 'power_out' THEN ref || '.' || pin END AS s, CASE WHEN type = 'power_in' THEN ref || '.' || pin END AS l, CASE WHEN type = 'power_in' THEN ref END AS lr, CASE WHEN regexp_matches(ref, '(?i){c.CONNECTOR_REF}') THEN ref || '.' || pin END AS j FROM ctx) GROUP BY 1, 2, 3 HAVING bool_or(type IN ('power_in', 'power_out')) OR regexp_matches(upper(net), '{_b(c.POWER_NAMES)}')",
+    "rails": f"SELECT design_id, net_id, net, {_LIST.format('s')} AS sources, {_LIST.format('l')} AS loads, {_LIST.format('j')} AS connectors, "
+        f"{_LIST.format('lr')} AS load_refs, regexp_matches(upper(net), '{_b(c.GROUND_NAMES)}') AS ground FROM (SELECT *, CASE WHEN type = 'power_out' "
+        "THEN ref || '.' || pin END AS s, CASE WHEN type = 'power_in' THEN ref || '.' || pin END AS l, CASE WHEN type = 'power_in' THEN ref END AS "
+        f"lr, CASE WHEN regexp_matches(ref, '(?i){c.CONNECTOR_REF}') THEN ref || '.' || pin END AS j FROM ctx) GROUP BY 1, 2, 3 HAVING bool_or(type IN "
+        f"('power_in', 'power_out')) OR regexp_matches(upper(net), '{_b(c.POWER_NAMES)}')",
 }
 
 
@@ -52,13 +58,16 @@ query("interface_groups", GROUPS_SQL, V | GROUPED)(lambda t: c.interface_groups(
 query("interface_sideband", SIDEBAND_SQL, V | GROUPED)(lambda t: c.interface_groups(c.interface_candidates(_ctx(t))))
 query(
     "interface_complete",
-    "SELECT design_id, iface, type, coalesce(string_agg(e, ',' ORDER BY i), '') AS missing, count(e) = 0 AS complete FROM (SELECT DISTINCT f.design_id, f.iface, f.type, x.i, CASE WHEN EXISTS (SELECT 1 FROM ifaces g WHERE g.design_id = f.design_id AND g.iface = f.iface AND g.role = x.e) THEN NULL ELSE x.e END AS e FROM ifaces f JOIN (VALUES "
+    "SELECT design_id, iface, type, coalesce(string_agg(e, ',' ORDER BY i), '') AS missing, count(e) = 0 AS complete FROM (SELECT DISTINCT "
+        "f.design_id, f.iface, f.type, x.i, CASE WHEN EXISTS (SELECT 1 FROM ifaces g WHERE g.design_id = f.design_id AND g.iface = f.iface AND g.role "
+        "= x.e) THEN NULL ELSE x.e END AS e FROM ifaces f JOIN (VALUES "
     + ", ".join(f"('{k}', {i}, '{e}')" for k, v in c.EXPECTED.items() for i, e in enumerate(v))
     + ") AS x(k, i, e) ON x.k = f.type) GROUP BY 1, 2, 3",
     V,
 )(lambda t: c.interface_complete(_ifaces(t)))
 query("power_rails", "SELECT * FROM rails", V)(lambda t: c.power_rails(_ctx(t)))
-query("erc_nc_connected", "SELECT design_id, 'NC_CONNECTED' AS code, 'error' AS severity, ref AS refs, net AS nets FROM ctx c SEMI JOIN ncs n ON n.design_id = c.design_id AND n.ref = c.ref AND n.pin = c.pin")(lambda t: c.erc_nc_connected(_ctx(t), t.ncs))
+query("erc_nc_connected", "SELECT design_id, 'NC_CONNECTED' AS code, 'error' AS severity, ref AS refs, net AS nets FROM ctx c SEMI JOIN ncs n ON n.design_id = "
+    "c.design_id AND n.ref = c.ref AND n.pin = c.pin")(lambda t: c.erc_nc_connected(_ctx(t), t.ncs))
 _SHARED = "SELECT f.design_id, f.net_id FROM firsts f JOIN drv d ON f.design_id = d.design_id AND f.net_id = d.net_id WHERE f.type = 'SPI' AND f.role = 'MISO' AND d.n > 1"
 
 
@@ -68,22 +77,33 @@ def shared_miso(t, ctx):
 
 query(
     "erc_multi_driver",
-    f"SELECT design_id, 'MULTIPLE_DRIVERS' AS code, 'error' AS severity, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs, net AS nets FROM ctx c WHERE type IN ('output', 'power_out') AND NOT EXISTS (SELECT 1 FROM ({_SHARED}) s WHERE s.design_id = c.design_id AND s.net_id = c.net_id) GROUP BY design_id, net_id, net HAVING count(*) > 1",
+    "SELECT design_id, 'MULTIPLE_DRIVERS' AS code, 'error' AS severity, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs, net AS nets FROM ctx "
+        f"c WHERE type IN ('output', 'power_out') AND NOT EXISTS (SELECT 1 FROM ({_SHARED}) s WHERE s.design_id = c.design_id AND s.net_id = c.net_id) "
+        "GROUP BY design_id, net_id, net HAVING count(*) > 1",
     V,
 )(lambda t: c.erc_multi_driver(_ctx(t), shared_miso(t, _ctx(t))))
-query("erc_low_conf_net", "SELECT design_id, 'LOW_CONFIDENCE_NET' AS code, 'review' AS severity, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs, net AS nets FROM ctx WHERE net_conf < 65 GROUP BY design_id, net_id, net")(lambda t: c.erc_low_conf_net(_ctx(t)))
-query("erc_pin_multi_net", "SELECT design_id, 'PIN_MULTI_NET' AS code, 'error' AS severity, ref || '.' || pin AS refs, string_agg(DISTINCT net, ',' ORDER BY net) AS nets FROM ctx GROUP BY design_id, ref, pin HAVING count(DISTINCT net_id) > 1")(lambda t: c.erc_pin_multi_net(_ctx(t)))
+query("erc_low_conf_net", "SELECT design_id, 'LOW_CONFIDENCE_NET' AS code, 'review' AS severity, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs, net AS nets FROM "
+    "ctx WHERE net_conf < 65 GROUP BY design_id, net_id, net")(lambda t: c.erc_low_conf_net(_ctx(t)))
+query("erc_pin_multi_net", "SELECT design_id, 'PIN_MULTI_NET' AS code, 'error' AS severity, ref || '.' || pin AS refs, string_agg(DISTINCT net, ',' ORDER BY net) AS "
+    "nets FROM ctx GROUP BY design_id, ref, pin HAVING count(DISTINCT net_id) > 1")(lambda t: c.erc_pin_multi_net(_ctx(t)))
 query(
     "erc_unconnected",
-    "SELECT design_id, code, CASE WHEN code = 'PIN_LOW_CONFIDENCE' THEN 'review' ELSE 'warning' END AS severity, ref || '.' || number AS refs, '' AS nets FROM (SELECT *, CASE WHEN type = 'power_in' THEN 'POWER_INPUT_UNCONNECTED' WHEN type = 'input' AND conf_pct >= 60 THEN 'INPUT_UNCONNECTED' WHEN conf_pct < 50 THEN 'PIN_LOW_CONFIDENCE' END AS code FROM pins p ANTI JOIN eps e ON e.design_id = p.design_id AND e.ref = p.ref AND e.pin = p.number ANTI JOIN ncs x ON x.design_id = p.design_id AND x.ref = p.ref AND x.pin = p.number WHERE type <> 'no_connect') WHERE code IS NOT NULL",
+    "SELECT design_id, code, CASE WHEN code = 'PIN_LOW_CONFIDENCE' THEN 'review' ELSE 'warning' END AS severity, ref || '.' || number AS refs, '' "
+        "AS nets FROM (SELECT *, CASE WHEN type = 'power_in' THEN 'POWER_INPUT_UNCONNECTED' WHEN type = 'input' AND conf_pct >= 60 THEN "
+        "'INPUT_UNCONNECTED' WHEN conf_pct < 50 THEN 'PIN_LOW_CONFIDENCE' END AS code FROM pins p ANTI JOIN eps e ON e.design_id = p.design_id AND "
+        "e.ref = p.ref AND e.pin = p.number ANTI JOIN ncs x ON x.design_id = p.design_id AND x.ref = p.ref AND x.pin = p.number WHERE type <> "
+        "'no_connect') WHERE code IS NOT NULL",
 )(lambda t: c.erc_unconnected(t.pins, t.eps, t.ncs))
-query("erc_power_source", "SELECT design_id, 'POWER_SOURCE_MISSING' AS code, 'warning' AS severity, load_refs AS refs, net AS nets FROM rails WHERE NOT ground AND loads <> '' AND sources = '' AND connectors = ''", V)(lambda t: c.erc_power_source(c.power_rails(_ctx(t))))
+query("erc_power_source", "SELECT design_id, 'POWER_SOURCE_MISSING' AS code, 'warning' AS severity, load_refs AS refs, net AS nets FROM rails WHERE NOT ground AND "
+    "loads <> '' AND sources = '' AND connectors = ''", V)(lambda t: c.erc_power_source(c.power_rails(_ctx(t))))
 _SOME = "net_id % 3 <> design_id % 3"
 query(
     "erc_iface_incomplete",
-    "SELECT design_id, 'INTERFACE_INCOMPLETE' AS code, 'warning' AS severity, iface AS refs, string_agg(e, ',' ORDER BY i) AS nets FROM (SELECT DISTINCT f.design_id, f.iface, x.i, x.e FROM ifaces f JOIN (VALUES "
+    "SELECT design_id, 'INTERFACE_INCOMPLETE' AS code, 'warning' AS severity, iface AS refs, string_agg(e, ',' ORDER BY i) AS nets FROM (SELECT "
+        "DISTINCT f.design_id, f.iface, x.i, x.e FROM ifaces f JOIN (VALUES "
     + ", ".join(f"('{k}', {i}, '{e}')" for k, v in c.EXPECTED.items() for i, e in enumerate(v))
-    + f") AS x(k, i, e) ON x.k = f.type WHERE f.{_SOME} AND NOT EXISTS (SELECT 1 FROM ifaces g WHERE g.design_id = f.design_id AND g.iface = f.iface AND g.role = x.e AND g.net_id % 3 <> g.design_id % 3)) GROUP BY design_id, iface",
+    + f") AS x(k, i, e) ON x.k = f.type WHERE f.{_SOME} AND NOT EXISTS (SELECT 1 FROM ifaces g WHERE g.design_id = f.design_id AND g.iface = f.iface "
+        "AND g.role = x.e AND g.net_id % 3 <> g.design_id % 3)) GROUP BY design_id, iface",
     V,
 )(lambda t: c.erc_iface_incomplete(c.interface_complete(_ifaces(t).where(_SOME))))
 query(
@@ -97,42 +117,71 @@ query(
         WHERE f.type = 'I2C' AND f.role IN ('SDA', 'SCL')) GROUP BY 1, 2, 3)""",
     V,
 )(lambda t: c.proto_i2c_bias(_ifaces(t), _ctx(t), t.pins))
-query("proto_i2c_drive", "SELECT f.design_id, f.iface, 'I2C_' || f.role || '_DRIVE_TYPE' AS code, 'review' AS status, string_agg(DISTINCT c.ref, ',' ORDER BY c.ref) AS refs FROM firsts f JOIN ctx c ON c.design_id = f.design_id AND c.net_id = f.net_id WHERE f.type = 'I2C' AND f.role IN ('SDA', 'SCL') AND c.type = 'output' GROUP BY f.design_id, f.iface, f.role", V)(lambda t: c.proto_i2c_drive(_ifaces(t), _ctx(t)))
-query("proto_spi_driver", "SELECT f.design_id, f.iface, 'SPI_' || f.role || '_' || CASE coalesce(d.n, 0) WHEN 1 THEN 'DRIVER_OK' WHEN 0 THEN 'NO_DRIVER' ELSE 'MULTI_DRIVER' END AS code, CASE coalesce(d.n, 0) WHEN 1 THEN 'pass' WHEN 0 THEN 'review' ELSE 'error' END AS status FROM firsts f LEFT JOIN drv d ON d.design_id = f.design_id AND d.net_id = f.net_id WHERE f.type = 'SPI' AND f.role IN ('SCK', 'MOSI')", V)(lambda t: c.proto_spi_driver(_ifaces(t), _ctx(t)))
-query("proto_spi_miso", "SELECT f.design_id, f.iface, CASE WHEN d.n = 1 THEN 'SPI_MISO_DRIVER_OK' ELSE 'SPI_MISO_SHARED_DRIVERS' END AS code, CASE WHEN d.n = 1 THEN 'pass' WHEN EXISTS (SELECT 1 FROM ifaces i WHERE i.design_id = f.design_id AND i.iface = f.iface AND i.role = 'CS') THEN 'review' ELSE 'warning' END AS status FROM firsts f JOIN drv d ON d.design_id = f.design_id AND d.net_id = f.net_id WHERE f.type = 'SPI' AND f.role = 'MISO'", V)(lambda t: c.proto_spi_miso(_ifaces(t), _ctx(t)))
+query("proto_i2c_drive", "SELECT f.design_id, f.iface, 'I2C_' || f.role || '_DRIVE_TYPE' AS code, 'review' AS status, string_agg(DISTINCT c.ref, ',' ORDER BY c.ref) "
+    "AS refs FROM firsts f JOIN ctx c ON c.design_id = f.design_id AND c.net_id = f.net_id WHERE f.type = 'I2C' AND f.role IN ('SDA', 'SCL') AND "
+    "c.type = 'output' GROUP BY f.design_id, f.iface, f.role", V)(lambda t: c.proto_i2c_drive(_ifaces(t), _ctx(t)))
+query("proto_spi_driver", "SELECT f.design_id, f.iface, 'SPI_' || f.role || '_' || CASE coalesce(d.n, 0) WHEN 1 THEN 'DRIVER_OK' WHEN 0 THEN 'NO_DRIVER' ELSE "
+    "'MULTI_DRIVER' END AS code, CASE coalesce(d.n, 0) WHEN 1 THEN 'pass' WHEN 0 THEN 'review' ELSE 'error' END AS status FROM firsts f LEFT JOIN "
+    "drv d ON d.design_id = f.design_id AND d.net_id = f.net_id WHERE f.type = 'SPI' AND f.role IN ('SCK', 'MOSI')", V)(lambda t: c.proto_spi_driver(_ifaces(t), _ctx(t)))
+query("proto_spi_miso", "SELECT f.design_id, f.iface, CASE WHEN d.n = 1 THEN 'SPI_MISO_DRIVER_OK' ELSE 'SPI_MISO_SHARED_DRIVERS' END AS code, CASE WHEN d.n = 1 THEN "
+    "'pass' WHEN EXISTS (SELECT 1 FROM ifaces i WHERE i.design_id = f.design_id AND i.iface = f.iface AND i.role = 'CS') THEN 'review' ELSE "
+    "'warning' END AS status FROM firsts f JOIN drv d ON d.design_id = f.design_id AND d.net_id = f.net_id WHERE f.type = 'SPI' AND f.role = "
+    "'MISO'", V)(lambda t: c.proto_spi_miso(_ifaces(t), _ctx(t)))
 query(
     "proto_spi_cs",
-    "SELECT design_id, iface, 'SPI_CS_COVERAGE' AS code, 'review' AS status, string_agg(ref, ',' ORDER BY ref) AS refs FROM (SELECT DISTINCT i.design_id, i.iface, l.ref FROM ifaces i JOIN live l ON l.design_id = i.design_id AND l.net_id = i.net_id WHERE i.type = 'SPI') m WHERE NOT regexp_matches(ref, '(?i)" + c.CONNECTOR_REF + "') AND (SELECT count(DISTINCT l.ref) FROM ifaces i JOIN live l ON l.design_id = i.design_id AND l.net_id = i.net_id WHERE i.type = 'SPI' AND i.design_id = m.design_id) > 2 AND NOT EXISTS (SELECT 1 FROM firsts f JOIN ctx d ON d.design_id = f.design_id AND d.net_id = f.net_id WHERE f.design_id = m.design_id AND f.type = 'SPI' AND f.role IN ('SCK', 'MOSI') AND d.type IN ('output', 'power_out') AND d.ref = m.ref) AND NOT EXISTS (SELECT 1 FROM ifaces i JOIN live l ON l.design_id = i.design_id AND l.net_id = i.net_id WHERE i.design_id = m.design_id AND i.type = 'SPI' AND i.role = 'CS' AND l.ref = m.ref) GROUP BY design_id, iface",
+    "SELECT design_id, iface, 'SPI_CS_COVERAGE' AS code, 'review' AS status, string_agg(ref, ',' ORDER BY ref) AS refs FROM (SELECT DISTINCT "
+        "i.design_id, i.iface, l.ref FROM ifaces i JOIN live l ON l.design_id = i.design_id AND l.net_id = i.net_id WHERE i.type = 'SPI') m WHERE NOT "
+        "regexp_matches(ref, '(?i)" + c.CONNECTOR_REF + "') AND (SELECT count(DISTINCT l.ref) FROM ifaces i JOIN live l ON l.design_id = i.design_id AND l.net_id = i.net_id WHERE i.type = 'SPI' AND "
+        "i.design_id = m.design_id) > 2 AND NOT EXISTS (SELECT 1 FROM firsts f JOIN ctx d ON d.design_id = f.design_id AND d.net_id = f.net_id WHERE "
+        "f.design_id = m.design_id AND f.type = 'SPI' AND f.role IN ('SCK', 'MOSI') AND d.type IN ('output', 'power_out') AND d.ref = m.ref) AND NOT "
+        "EXISTS (SELECT 1 FROM ifaces i JOIN live l ON l.design_id = i.design_id AND l.net_id = i.net_id WHERE i.design_id = m.design_id AND i.type = "
+        "'SPI' AND i.role = 'CS' AND l.ref = m.ref) GROUP BY design_id, iface",
     V,
 )(lambda t: c.proto_spi_cs(_ifaces(t), _ctx(t)))
 _PAIR = 'SELECT design_id, iface, CASE WHEN a = b THEN \'{ok}\' ELSE \'{bad}\' END AS code, CASE WHEN a = b THEN \'pass\' ELSE \'warning\' END AS status FROM (SELECT f.design_id, f.iface, max(coalesce(s."set", \'\')) FILTER (f.role = \'{x}\') AS a, max(coalesce(s."set", \'\')) FILTER (f.role = \'{y}\') AS b FROM firsts f LEFT JOIN sets s ON s.design_id = f.design_id AND s.net_id = f.net_id WHERE f.type = \'{t}\' GROUP BY 1, 2) WHERE a IS NOT NULL AND b IS NOT NULL'
 query(
     "proto_uart",
-    "SELECT f.design_id, f.iface, 'UART_' || f.role || '_' || f.role AS code, 'warning' AS status FROM firsts f JOIN ctx c ON c.design_id = f.design_id AND c.net_id = f.net_id WHERE f.type = 'UART' AND f.role IN ('TX', 'RX') AND contains(upper(c.pin_name), f.role) GROUP BY f.design_id, f.iface, f.role HAVING count(*) >= 2 UNION ALL SELECT f.design_id, f.iface, 'UART_MULTIDROP', 'review' FROM firsts f JOIN sets s ON s.design_id = f.design_id AND s.net_id = f.net_id WHERE f.type = 'UART' AND f.role IN ('TX', 'RX') AND s.size > 2 UNION ALL "
+    "SELECT f.design_id, f.iface, 'UART_' || f.role || '_' || f.role AS code, 'warning' AS status FROM firsts f JOIN ctx c ON c.design_id = "
+        "f.design_id AND c.net_id = f.net_id WHERE f.type = 'UART' AND f.role IN ('TX', 'RX') AND contains(upper(c.pin_name), f.role) GROUP BY "
+        "f.design_id, f.iface, f.role HAVING count(*) >= 2 UNION ALL SELECT f.design_id, f.iface, 'UART_MULTIDROP', 'review' FROM firsts f JOIN sets "
+        "s ON s.design_id = f.design_id AND s.net_id = f.net_id WHERE f.type = 'UART' AND f.role IN ('TX', 'RX') AND s.size > 2 UNION ALL "
     + _PAIR.format(ok="UART_PAIR_OK", bad="UART_PAIR_MEMBER_MISMATCH", x="TX", y="RX", t="UART"),
     V,
 )(lambda t: c.proto_uart(_ifaces(t), _ctx(t)))
 query("proto_usb_pair", _PAIR.format(ok="USB_DIFF_PAIR_ENDPOINTS_OK", bad="USB_DIFF_PAIR_ENDPOINT_MISMATCH", x="D+", y="D-", t="USB"), V)(lambda t: c.proto_usb_pair(_ifaces(t), _ctx(t)))
 query(
     "proto_usb_c_cc",
-    "SELECT design_id, iface, CASE WHEN cc = 2 THEN 'USB_C_CC_PRESENT' ELSE 'USB_C_CC_INCOMPLETE' END AS code, CASE WHEN cc = 2 THEN 'pass' ELSE 'warning' END AS status, refs FROM (SELECT i.design_id, i.iface, string_agg(DISTINCT l.ref, ',' ORDER BY l.ref) AS refs, any_value((SELECT count(DISTINCT j.role) FROM ifaces j WHERE j.design_id = i.design_id AND j.iface = i.iface AND j.role IN ('CC1', 'CC2'))) AS cc FROM ifaces i JOIN live l ON l.design_id = i.design_id AND l.net_id = i.net_id JOIN comps k ON k.design_id = l.design_id AND k.ref = l.ref WHERE i.type = 'USB' AND k.value = 'USB-C' GROUP BY 1, 2)",
+    "SELECT design_id, iface, CASE WHEN cc = 2 THEN 'USB_C_CC_PRESENT' ELSE 'USB_C_CC_INCOMPLETE' END AS code, CASE WHEN cc = 2 THEN 'pass' ELSE "
+        "'warning' END AS status, refs FROM (SELECT i.design_id, i.iface, string_agg(DISTINCT l.ref, ',' ORDER BY l.ref) AS refs, any_value((SELECT "
+        "count(DISTINCT j.role) FROM ifaces j WHERE j.design_id = i.design_id AND j.iface = i.iface AND j.role IN ('CC1', 'CC2'))) AS cc FROM ifaces "
+        "i JOIN live l ON l.design_id = i.design_id AND l.net_id = i.net_id JOIN comps k ON k.design_id = l.design_id AND k.ref = l.ref WHERE i.type "
+        "= 'USB' AND k.value = 'USB-C' GROUP BY 1, 2)",
     V,
 )(lambda t: c.proto_usb_c_cc(_ifaces(t), _ctx(t), t.comps))
 _DEBUG = {
-    "dmem": "SELECT DISTINCT i.design_id, i.iface, i.type, l.ref FROM ifaces i JOIN live l ON l.design_id = i.design_id AND l.net_id = i.net_id WHERE i.type IN ('SWD', 'JTAG')",
+    "dmem": "SELECT DISTINCT i.design_id, i.iface, i.type, l.ref FROM ifaces i JOIN live l ON l.design_id = i.design_id AND l.net_id = i.net_id WHERE "
+        "i.type IN ('SWD', 'JTAG')",
     "dwired": "SELECT design_id, iface, type, count(*) AS size FROM dmem GROUP BY 1, 2, 3 HAVING bool_or(regexp_matches(ref, '(?i)" + c.CONNECTOR_REF + "'))",
-    "don": "SELECT m.design_id, m.iface, l.net FROM dmem m JOIN live l ON l.design_id = m.design_id AND l.ref = m.ref JOIN dwired w ON w.design_id = m.design_id AND w.iface = m.iface GROUP BY m.design_id, m.iface, l.net_id, l.net, w.size HAVING count(DISTINCT m.ref) >= least(2, w.size)",
-    "dout": "SELECT w.design_id, w.iface, w.type, EXISTS (SELECT 1 FROM don d WHERE d.design_id = w.design_id AND d.iface = w.iface AND regexp_matches(upper(d.net), '" + _b(c.GROUND_NAMES) + "')) AS gnd, EXISTS (SELECT 1 FROM don d WHERE d.design_id = w.design_id AND d.iface = w.iface AND regexp_matches(upper(d.net), '" + _b(c.TARGET_NAMES) + "')) AS vref, EXISTS (SELECT 1 FROM ifaces d WHERE d.design_id = w.design_id AND d.iface = w.iface AND d.role = 'NRST') AS nrst FROM dwired w",
+    "don": "SELECT m.design_id, m.iface, l.net FROM dmem m JOIN live l ON l.design_id = m.design_id AND l.ref = m.ref JOIN dwired w ON w.design_id = "
+        "m.design_id AND w.iface = m.iface GROUP BY m.design_id, m.iface, l.net_id, l.net, w.size HAVING count(DISTINCT m.ref) >= least(2, w.size)",
+    "dout": "SELECT w.design_id, w.iface, w.type, EXISTS (SELECT 1 FROM don d WHERE d.design_id = w.design_id AND d.iface = w.iface AND "
+        "regexp_matches(upper(d.net), '" + _b(c.GROUND_NAMES) + "')) AS gnd, EXISTS (SELECT 1 FROM don d WHERE d.design_id = w.design_id AND d.iface = w.iface AND regexp_matches(upper(d.net), '" + _b(c.TARGET_NAMES) + "')) AS vref, EXISTS (SELECT 1 FROM ifaces d WHERE d.design_id = w.design_id AND d.iface = w.iface AND d.role = 'NRST') AS nrst FROM dwired w",
 }
 query(
     "proto_debug",
-    "SELECT design_id, iface, type || CASE WHEN gnd THEN '_GND_OK' ELSE '_GND_MISSING' END AS code, CASE WHEN gnd THEN 'pass' ELSE 'warning' END AS status FROM dout UNION ALL SELECT design_id, iface, type || CASE WHEN vref THEN '_VTREF_OK' ELSE '_VTREF_MISSING' END, CASE WHEN vref THEN 'pass' ELSE 'review' END FROM dout UNION ALL SELECT design_id, iface, 'SWD_NRST_OPTIONAL', 'review' FROM dout WHERE type = 'SWD' AND NOT nrst",
+    "SELECT design_id, iface, type || CASE WHEN gnd THEN '_GND_OK' ELSE '_GND_MISSING' END AS code, CASE WHEN gnd THEN 'pass' ELSE 'warning' END "
+        "AS status FROM dout UNION ALL SELECT design_id, iface, type || CASE WHEN vref THEN '_VTREF_OK' ELSE '_VTREF_MISSING' END, CASE WHEN vref "
+        "THEN 'pass' ELSE 'review' END FROM dout UNION ALL SELECT design_id, iface, 'SWD_NRST_OPTIONAL', 'review' FROM dout WHERE type = 'SWD' AND "
+        "NOT nrst",
     V | _DEBUG,
 )(lambda t: c.proto_debug(_ifaces(t), _ctx(t)))
 _SPI = "SELECT f.design_id, f.iface, CASE coalesce(d.n, 0) WHEN 1 THEN 'pass' WHEN 0 THEN 'review' ELSE 'error' END AS status FROM firsts f LEFT JOIN drv d ON d.design_id = f.design_id AND d.net_id = f.net_id WHERE f.type = 'SPI' AND f.role IN ('SCK', 'MOSI')"
 query(
     "proto_summary",
-    f"SELECT design_id, iface, count(*) FILTER (status = 'pass') AS pass, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'warning') AS warning, count(*) FILTER (status = 'error') AS error, CASE max(CASE status WHEN 'pass' THEN 0 WHEN 'review' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END) WHEN 0 THEN 'pass' WHEN 1 THEN 'review' WHEN 2 THEN 'warning' ELSE 'error' END AS worst FROM ({_SPI} UNION ALL SELECT design_id, iface, status FROM ({_PAIR.format(ok='a', bad='b', x='D+', y='D-', t='USB')})) GROUP BY 1, 2",
+    "SELECT design_id, iface, count(*) FILTER (status = 'pass') AS pass, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = "
+        "'warning') AS warning, count(*) FILTER (status = 'error') AS error, CASE max(CASE status WHEN 'pass' THEN 0 WHEN 'review' THEN 1 WHEN "
+        f"'warning' THEN 2 ELSE 3 END) WHEN 0 THEN 'pass' WHEN 1 THEN 'review' WHEN 2 THEN 'warning' ELSE 'error' END AS worst FROM ({_SPI} UNION ALL "
+        f"SELECT design_id, iface, status FROM ({_PAIR.format(ok='a', bad='b', x='D+', y='D-', t='USB')})) GROUP BY 1, 2",
     V,
 )(lambda t: c.proto_summary(c.proto_spi_driver(_ifaces(t), _ctx(t)).union(c.proto_usb_pair(_ifaces(t), _ctx(t)))))
 

@@ -16,9 +16,13 @@ _IN = lambda fields: "field IN (" + ", ".join(f"'{f}'" for f in fields) + ")"  #
 REL = "CASE family " + " ".join(f"WHEN '{k}' THEN {_IN(v)}" for k, v in o.CRITICAL.items()) + f" ELSE {_IN(o.CRITICAL_ELSE)} END"
 DEF = "CASE " + " ".join(f"WHEN family = 'qfn' AND field = '{k}' THEN {v}" for k, v in o.QFN_DEFAULTS.items()) + " ELSE def END"
 V = {
-    "ex": f"SELECT *, row_number() OVER (PARTITION BY package_id, upper(number) ORDER BY pos, part) AS seen FROM (SELECT package_id, pos, z[1] - 1 AS part, z[2] AS number, name, type FROM (SELECT package_id, pos, unnest(list_zip(range(1, len(s) + 1), s)) AS z, CASE WHEN trim(coalesce(name, '')) = '' THEN 'NC' ELSE trim(name) END AS name, CASE WHEN type IN ({_TYPES}) THEN type ELSE 'unspecified' END AS type FROM (SELECT *, list_filter(regexp_split_to_array(number, '{o.SPLIT}'), lambda x: x <> '') AS s FROM raw_pins WHERE number IS NOT NULL)))",
+    "ex": "SELECT *, row_number() OVER (PARTITION BY package_id, upper(number) ORDER BY pos, part) AS seen FROM (SELECT package_id, pos, z[1] - 1 AS "
+        "part, z[2] AS number, name, type FROM (SELECT package_id, pos, unnest(list_zip(range(1, len(s) + 1), s)) AS z, CASE WHEN trim(coalesce(name, "
+        f"'')) = '' THEN 'NC' ELSE trim(name) END AS name, CASE WHEN type IN ({_TYPES}) THEN type ELSE 'unspecified' END AS type FROM (SELECT *, "
+        f"list_filter(regexp_split_to_array(number, '{o.SPLIT}'), lambda x: x <> '') AS s FROM raw_pins WHERE number IS NOT NULL)))",
     "clean": "SELECT package_id, pos, CAST(part AS INT) AS part, number, name, type FROM ex WHERE seen = 1",
-    "fam0": f"SELECT *, CASE WHEN regexp_matches(t, '{o.BGA}') AND NOT regexp_matches(t, 'LFCSP') THEN 'bga' ELSE CASE {_FAM} ELSE 'unknown' END END AS f FROM (SELECT *, upper(type) AS t FROM packages)",
+    "fam0": f"SELECT *, CASE WHEN regexp_matches(t, '{o.BGA}') AND NOT regexp_matches(t, 'LFCSP') THEN 'bga' ELSE CASE {_FAM} ELSE 'unknown' END END AS f "
+        "FROM (SELECT *, upper(type) AS t FROM packages)",
     "fam": "SELECT *, CASE WHEN f = 'sot23' AND pin_count <> 3 THEN 'dual' ELSE f END AS family FROM fam0",
     "longs": " UNION ALL ".join(
         f"SELECT package_id, family, '{k}' AS field, {k} AS raw, {lo}::DOUBLE AS lo, {hi}::DOUBLE AS hi, {d}::DOUBLE AS def FROM fam" for k, (lo, hi, d) in o.FIELDS.items()
@@ -36,12 +40,19 @@ def _pk(t):
 query("sanitize_pins", "SELECT * FROM clean", V)(lambda t: o.sanitize_pins(t.raw_pins))
 query(
     "renumber_ep",
-    f"SELECT package_id, pos, part, CASE WHEN ep THEN (coalesce(max(try_cast(CASE WHEN regexp_matches(number, '^[0-9]+$') THEN number END AS BIGINT)) OVER (PARTITION BY package_id), 0) + CAST(sum(ep::INT) OVER (PARTITION BY package_id ORDER BY pos, part) AS BIGINT))::VARCHAR ELSE number END AS number, CASE WHEN ep AND (name = 'NC' OR regexp_matches(name, '(?i){_EP}')) THEN 'EP' ELSE name END AS name, CASE WHEN ep AND type = 'unspecified' THEN 'passive' ELSE type END AS type, ep FROM (SELECT *, regexp_matches(number, '(?i){_EP}') AS ep FROM clean)",
+    "SELECT package_id, pos, part, CASE WHEN ep THEN (coalesce(max(try_cast(CASE WHEN regexp_matches(number, '^[0-9]+$') THEN number END AS "
+        "BIGINT)) OVER (PARTITION BY package_id), 0) + CAST(sum(ep::INT) OVER (PARTITION BY package_id ORDER BY pos, part) AS BIGINT))::VARCHAR ELSE "
+        f"number END AS number, CASE WHEN ep AND (name = 'NC' OR regexp_matches(name, '(?i){_EP}')) THEN 'EP' ELSE name END AS name, CASE WHEN ep AND "
+        f"type = 'unspecified' THEN 'passive' ELSE type END AS type, ep FROM (SELECT *, regexp_matches(number, '(?i){_EP}') AS ep FROM clean)",
     V,
 )(lambda t: o.renumber_ep(o.sanitize_pins(t.raw_pins)))
 query(
     "transformation_log",
-    f"SELECT package_id, op, count(*) AS n FROM (SELECT package_id, 'drop_row' AS op FROM raw_pins WHERE number IS NULL UNION ALL SELECT package_id, 'empty_name_to_nc' FROM raw_pins WHERE number IS NOT NULL AND trim(coalesce(name, '')) = '' UNION ALL SELECT package_id, 'invalid_type_fallback' FROM raw_pins WHERE number IS NOT NULL AND type NOT IN ({_TYPES}) UNION ALL SELECT package_id, 'merged_row_expanded' FROM raw_pins WHERE contains(number, ',') UNION ALL SELECT package_id, 'duplicate_number_dropped' FROM ex WHERE seen > 1 UNION ALL SELECT package_id, 'ep_renumbered' FROM ex WHERE seen = 1 AND regexp_matches(number, '(?i){_EP}')) GROUP BY 1, 2",
+    "SELECT package_id, op, count(*) AS n FROM (SELECT package_id, 'drop_row' AS op FROM raw_pins WHERE number IS NULL UNION ALL SELECT "
+        "package_id, 'empty_name_to_nc' FROM raw_pins WHERE number IS NOT NULL AND trim(coalesce(name, '')) = '' UNION ALL SELECT package_id, "
+        f"'invalid_type_fallback' FROM raw_pins WHERE number IS NOT NULL AND type NOT IN ({_TYPES}) UNION ALL SELECT package_id, 'merged_row_expanded' "
+        "FROM raw_pins WHERE contains(number, ',') UNION ALL SELECT package_id, 'duplicate_number_dropped' FROM ex WHERE seen > 1 UNION ALL SELECT "
+        f"package_id, 'ep_renumbered' FROM ex WHERE seen = 1 AND regexp_matches(number, '(?i){_EP}')) GROUP BY 1, 2",
     V,
 )(lambda t: o.transformation_log(t.raw_pins))
 _ED = "CASE WHEN package_id % 7 = 0 AND pos = 2 THEN 'update' WHEN package_id % 5 = 0 AND pos = 3 THEN 'remove' WHEN package_id % 4 = 0 AND pos = 8 THEN 'add' END"
@@ -50,13 +61,15 @@ query(
     f"""SELECT c.package_id, c.number, coalesce(u.name, c.name) AS name, u.name IS NOT NULL AS reviewed FROM clean c LEFT JOIN ed u ON u.package_id = c.package_id AND u.number = c.number AND u.action = 'update'
       WHERE NOT EXISTS (SELECT 1 FROM ed r WHERE r.package_id = c.package_id AND r.number = c.number AND r.action = 'remove')
       UNION ALL SELECT package_id, number, name, TRUE FROM ed a WHERE action = 'add' AND NOT EXISTS (SELECT 1 FROM clean c WHERE c.package_id = a.package_id AND c.number = a.number)""",
-    V | {"ed": f"SELECT package_id, CASE WHEN pos = 8 THEN '88' ELSE pos::VARCHAR END AS number, {_ED} AS action, 'R' || pos::VARCHAR AS name FROM raw_pins WHERE {_ED} IS NOT NULL"},
+    V | {"ed": f"SELECT package_id, CASE WHEN pos = 8 THEN '88' ELSE pos::VARCHAR END AS number, {_ED} AS action, 'R' || pos::VARCHAR AS name FROM raw_pins "
+        f"WHERE {_ED} IS NOT NULL"},
 )(lambda t: o.pinset_overlay(o.sanitize_pins(t.raw_pins), t.raw_pins.selectExpr("package_id", "CASE WHEN pos = 8 THEN '88' ELSE CAST(pos AS STRING) END AS number", f"{_ED} AS action", "'R' || pos AS name").where("action is not null")))
 query("package_family", "SELECT package_id, type, family, family IN ('dual', 'qfn', 'dip', 'sot23') AS supported FROM fam", V)(lambda t: o.package_family(t.packages))
 # Some values are no numbers, some are set by reviewers: one within range, one beyond, and one by nobody known.
 _ODD = "CASE WHEN field = 'body_width' AND package_id % 37 = 0 THEN CAST('NaN' AS DOUBLE) ELSE raw END"
 REVIEWED = [("pitch", 4, "0.8", "'ann'"), ("height", 5, "99.0", "'bob'"), ("body_length", 6, "3.0", "NULL")]
-_REV = " UNION ALL ".join(f"SELECT package_id, '{f}' AS field, {v}::DOUBLE AS edited, TRUE AS by_hand, {who}::VARCHAR AS reviewer FROM packages WHERE package_id % 13 = {k}" for f, k, v, who in REVIEWED)
+_REV = " UNION ALL ".join(f"SELECT package_id, '{f}' AS field, {v}::DOUBLE AS edited, TRUE AS by_hand, {who}::VARCHAR AS reviewer FROM packages WHERE package_id % 13 = "
+    f"{k}" for f, k, v, who in REVIEWED)
 _PROV = f"""
 SELECT package_id, family, field, CASE WHEN by_hand THEN CASE WHEN g < lo OR g > hi THEN 'clamped' ELSE 'reviewer' END
   WHEN g IS NULL THEN CASE WHEN {REL} THEN 'missing' ELSE 'not_applicable' END WHEN isnan(g) THEN 'invalid' WHEN g < lo OR g > hi THEN 'clamped' ELSE 'datasheet' END AS source,
@@ -81,12 +94,18 @@ def _odd(t):
 query("field_provenance", _PROV, V | {"rev": _REV})(lambda t: o.field_provenance(_odd(t), reviewed(t)))
 query(
     "optional_fields",
-    "SELECT package_id, field, CASE WHEN raw IS NULL OR raw = 0 THEN 'absent' WHEN raw < lo OR raw > hi THEN 'clamped' ELSE 'datasheet' END AS source, CASE WHEN raw IS NOT NULL AND raw <> 0 THEN least(hi, greatest(lo, raw)) END AS value FROM (SELECT package_id, 'pad_w' AS field, pad_w AS raw, 0.05::DOUBLE AS lo, 0.6::DOUBLE AS hi FROM packages UNION ALL SELECT package_id, 'pad_l', pad_l, 0.1::DOUBLE, 1.2::DOUBLE FROM packages)",
+    "SELECT package_id, field, CASE WHEN raw IS NULL OR raw = 0 THEN 'absent' WHEN raw < lo OR raw > hi THEN 'clamped' ELSE 'datasheet' END AS "
+        "source, CASE WHEN raw IS NOT NULL AND raw <> 0 THEN least(hi, greatest(lo, raw)) END AS value FROM (SELECT package_id, 'pad_w' AS field, "
+        "pad_w AS raw, 0.05::DOUBLE AS lo, 0.6::DOUBLE AS hi FROM packages UNION ALL SELECT package_id, 'pad_l', pad_l, 0.1::DOUBLE, 1.2::DOUBLE FROM "
+        "packages)",
 )(lambda t: o.optional_fields(_pk(t), {"pad_w": (0.05, 0.6), "pad_l": (0.1, 1.2)}))
-query("land_pattern", "SELECT package_id, kept, CASE WHEN kept THEN 'datasheet' ELSE 'derived_by_rules' END AS source, void FROM (SELECT package_id, v AS void, NOT v AND pad_w IS NOT NULL AND pad_l IS NOT NULL AND lp_row_span IS NOT NULL AS kept FROM (SELECT *, coalesce(pad_w < 0.1 OR pad_w > 5, FALSE) OR coalesce(pad_l < 0.1 OR pad_l > 6, FALSE) OR coalesce(lp_row_span < 1 OR lp_row_span > 90, FALSE) AS v FROM packages))")(lambda t: o.land_pattern(t.packages))
+query("land_pattern", "SELECT package_id, kept, CASE WHEN kept THEN 'datasheet' ELSE 'derived_by_rules' END AS source, void FROM (SELECT package_id, v AS void, NOT "
+    "v AND pad_w IS NOT NULL AND pad_l IS NOT NULL AND lp_row_span IS NOT NULL AS kept FROM (SELECT *, coalesce(pad_w < 0.1 OR pad_w > 5, FALSE) "
+    "OR coalesce(pad_l < 0.1 OR pad_l > 6, FALSE) OR coalesce(lp_row_span < 1 OR lp_row_span > 90, FALSE) AS v FROM packages))")(lambda t: o.land_pattern(t.packages))
 query(
     "critical_missing",
-    f"SELECT package_id, string_agg(field, ',' ORDER BY field) AS fields FROM ({_PROV}) WHERE (source IN ('missing', 'clamped', 'invalid') OR (source = 'reviewer' AND reviewer IS NULL)) AND {REL} GROUP BY 1",
+    f"SELECT package_id, string_agg(field, ',' ORDER BY field) AS fields FROM ({_PROV}) WHERE (source IN ('missing', 'clamped', 'invalid') OR "
+        f"(source = 'reviewer' AND reviewer IS NULL)) AND {REL} GROUP BY 1",
     V | {"rev": _REV},
 )(lambda t: o.critical_missing(o.field_provenance(_odd(t), reviewed(t))))
 # Packages of a part, and some whose pins repeat those of the part's first package
@@ -100,7 +119,8 @@ query(
     V
     | {
         "own": f"SELECT p.package_id, {_PART.replace('package_id', 'p.package_id')} AS part, p.type, f.fingerprint FROM packages p JOIN ("
-        "SELECT package_id, sha256(string_agg(p, chr(10) ORDER BY p)) AS fingerprint FROM (SELECT package_id, number || '|' || name || '|' || type AS p FROM clean) GROUP BY 1"
+        "SELECT package_id, sha256(string_agg(p, chr(10) ORDER BY p)) AS fingerprint FROM (SELECT package_id, number || '|' || name || '|' || type AS "
+            "p FROM clean) GROUP BY 1"
         f") f ON f.package_id = {_LIKE.replace('package_id', 'p.package_id')}"
     },
 )(lambda t: o.symbol_groups(_shared_pins(t), t.packages.selectExpr("package_id", f"{_PART} AS part", "type", "package_id AS place")))
@@ -113,6 +133,10 @@ def _shared_pins(t):
     return pins.join(ids, pins["package_id"] == ids["like_id"]).select(F.col("own").alias("package_id"), "number", "name", "type")
 
 
-query("active_low_name", "SELECT package_id, pos, part, CASE WHEN regexp_matches(name, '^[/~].+$|^.+#$') THEN '~{{' || regexp_replace(name, '^[/~]|#$', '', 'g') || '}}' ELSE name END AS name FROM clean".replace("{{", "{").replace("}}", "}"), V)(lambda t: o.sanitize_pins(t.raw_pins).select("package_id", "pos", "part", o.active_low_name(F.col("name")).alias("name")))
+query("active_low_name", "SELECT package_id, pos, part, CASE WHEN regexp_matches(name, '^[/~].+$|^.+#$') THEN '~{{' || regexp_replace(name, '^[/~]|#$', '', 'g') || "
+    "'}}' ELSE name END AS name FROM clean".replace("{{", "{").replace("}}", "}"), V)(lambda t: o.sanitize_pins(t.raw_pins).select("package_id", "pos", "part", o.active_low_name(F.col("name")).alias("name")))
 _URL = "CASE page_id % 6 WHEN 0 THEN replace(url, 'http', 'ftp') WHEN 1 THEN 'http://192.168.0.1/x' WHEN 2 THEN 'no link' ELSE url END"
-query("url_check", f"SELECT page_id, u AS url, CASE WHEN regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) = '' OR regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = '' THEN 'invalid' WHEN lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) NOT IN ('http', 'https') THEN 'scheme' WHEN regexp_matches(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '(?i){o.PRIVATE}') THEN 'private_host' ELSE 'ok' END AS result FROM (SELECT page_id, {_URL} AS u FROM pages)")(lambda t: o.url_check(t.pages.withColumn("url", F.expr(_URL))))
+query("url_check", "SELECT page_id, u AS url, CASE WHEN regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) = '' OR regexp_extract(u, "
+    "'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = '' THEN 'invalid' WHEN lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) NOT IN "
+    f"('http', 'https') THEN 'scheme' WHEN regexp_matches(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '(?i){o.PRIVATE}') THEN "
+    f"'private_host' ELSE 'ok' END AS result FROM (SELECT page_id, {_URL} AS u FROM pages)")(lambda t: o.url_check(t.pages.withColumn("url", F.expr(_URL))))

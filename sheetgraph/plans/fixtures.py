@@ -23,7 +23,8 @@ REF = pick("ref_no % 10", "U", "IC", "R", "C", "J", "L", "R", "U", "R", "Q") + "
 
 FX: dict[str, str] = {
     # Netlist
-    "raw_eps": "SELECT l_suppkey AS design_id, l_orderkey % 97 AS net_no, l_partkey % 40 AS ref_no, CAST(l_linenumber AS BIGINT) AS pin_no, max(100 - 5 * CAST(round(l_discount * 100) AS INT)) AS conf_pct FROM lineitem GROUP BY 1, 2, 3, 4",
+    "raw_eps": "SELECT l_suppkey AS design_id, l_orderkey % 97 AS net_no, l_partkey % 40 AS ref_no, CAST(l_linenumber AS BIGINT) AS pin_no, max(100 - 5 * "
+        "CAST(round(l_discount * 100) AS INT)) AS conf_pct FROM lineitem GROUP BY 1, 2, 3, 4",
     "eps": f"SELECT design_id, net_no AS net_id, {REF} AS ref, CAST(pin_no AS VARCHAR(20)) AS pin, conf_pct FROM raw_eps",
     "comp_nos": "SELECT DISTINCT design_id, ref_no FROM raw_eps",
     "comps": f"SELECT design_id, ref_no, {REF} AS ref, " + pick("(ref_no * 5 + design_id) % 8", "ADM8829", "MCP3204", "NE555", "MAX6106", "4.7k", "100n", "USB-C", "MCU") + " AS value, 40 + (ref_no * 7 + design_id) % 61 AS conf_pct FROM comp_nos",
@@ -36,11 +37,16 @@ FX: dict[str, str] = {
     + pick("net_no", "GND", "VCC", "3V3", "SDA", "SCL", "MOSI", "MISO", "SCK", "CS", "TX", "RX", "USB_D+", "USB_D-", "VBUS", "CC1", "CC2", "SWDIO", "SWCLK", "NRST", "TCK")
     + " ELSE 'N$' || CAST(net_no AS VARCHAR(20)) END AS name, min(conf_pct) AS conf_pct FROM raw_eps GROUP BY design_id, net_no",
     "ncs": "SELECT design_id, ref, number AS pin FROM pins WHERE type = 'no_connect' OR (ref_no * 13 + pin_no * 5 + design_id) % 29 = 0",
-    "ctx": "SELECT e.design_id, e.net_id, n.name AS net, n.conf_pct AS net_conf, e.ref, e.pin, p.name AS pin_name, p.type, p.conf_pct AS pin_conf FROM eps e JOIN nets n ON e.design_id = n.design_id AND e.net_id = n.net_id JOIN pins p ON e.design_id = p.design_id AND e.ref = p.ref AND e.pin = p.number",
+    "ctx": "SELECT e.design_id, e.net_id, n.name AS net, n.conf_pct AS net_conf, e.ref, e.pin, p.name AS pin_name, p.type, p.conf_pct AS pin_conf FROM "
+        "eps e JOIN nets n ON e.design_id = n.design_id AND e.net_id = n.net_id JOIN pins p ON e.design_id = p.design_id AND e.ref = p.ref AND e.pin "
+        "= p.number",
     # Batches of an extraction: one per return flag; nets from number 60 on have no name
-    "batches": "SELECT DISTINCT l_suppkey AS design_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS batch_no, l_orderkey % 97 AS net_no, l_partkey % 40 AS ref_no, CAST(l_linenumber AS BIGINT) AS pin_no, 100 - 5 * CAST(round(l_discount * 100) AS INT) AS conf_pct FROM lineitem",
-    "batch_eps": f"SELECT design_id, batch_no, net_no AS net_id, CASE WHEN net_no < 60 THEN 'Net' || CAST(net_no AS VARCHAR(20)) ELSE '' END AS name, {REF} AS ref, CAST(pin_no AS VARCHAR(20)) AS pin, max(conf_pct) AS conf_pct FROM batches GROUP BY design_id, batch_no, net_no, ref_no, pin_no",
-    "batch_comps": f"SELECT DISTINCT design_id, batch_no, {REF} AS ref, CASE WHEN (ref_no + batch_no) % 3 = 0 THEN NULL ELSE 'V' || CAST(ref_no AS VARCHAR(20)) || '.' || CAST(batch_no AS VARCHAR(20)) END AS value, 50 + (ref_no * 7 + batch_no * 13) % 50 AS conf_pct FROM batches",
+    "batches": "SELECT DISTINCT l_suppkey AS design_id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS batch_no, l_orderkey % 97 AS net_no, "
+        "l_partkey % 40 AS ref_no, CAST(l_linenumber AS BIGINT) AS pin_no, 100 - 5 * CAST(round(l_discount * 100) AS INT) AS conf_pct FROM lineitem",
+    "batch_eps": f"SELECT design_id, batch_no, net_no AS net_id, CASE WHEN net_no < 60 THEN 'Net' || CAST(net_no AS VARCHAR(20)) ELSE '' END AS name, {REF} AS "
+        "ref, CAST(pin_no AS VARCHAR(20)) AS pin, max(conf_pct) AS conf_pct FROM batches GROUP BY design_id, batch_no, net_no, ref_no, pin_no",
+    "batch_comps": f"SELECT DISTINCT design_id, batch_no, {REF} AS ref, CASE WHEN (ref_no + batch_no) % 3 = 0 THEN NULL ELSE 'V' || CAST(ref_no AS VARCHAR(20)) "
+        "|| '.' || CAST(batch_no AS VARCHAR(20)) END AS value, 50 + (ref_no * 7 + batch_no * 13) % 50 AS conf_pct FROM batches",
     # Packages and their pins
     "packages": "SELECT p_partkey AS package_id, "
     + pick("p_partkey % 12", "SOIC", "TSSOP", "VQFN", "PDIP", "SOT-23", "SOT-23-5", "DSBGA", "LQFP", "PLCC", "TO-220", "LGA", "XYZ")
@@ -51,16 +57,25 @@ FX: dict[str, str] = {
         f"CASE WHEN (p_partkey + {k}) % 11 = 0 THEN NULL WHEN (p_partkey + {k}) % 17 = 0 THEN 99.0 ELSE CAST((p_size * {m} + {a}) AS DOUBLE) / 100.0 END AS {name}"
         for k, (name, m, a) in enumerate([("pitch", 1, 40), ("body_length", 10, 200), ("body_width", 8, 180), ("height", 2, 60), ("lead_span", 9, 400), ("lead_length", 1, 30), ("row_span", 7, 500)])
     )
-    + ", CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size + 30 AS DOUBLE) / 100.0 END AS pad_w, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size + 90 AS DOUBLE) / 100.0 END AS pad_l, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 5 <> 0 THEN CAST(p_size * 7 + 450 AS DOUBLE) / 100.0 END AS lp_row_span FROM part",
-    "raw_pins": "SELECT p_partkey AS package_id, i AS pos, CASE WHEN (p_partkey + i) % 19 = 0 THEN NULL WHEN (p_partkey + i) % 23 = 0 THEN CAST(i AS VARCHAR(20)) || ',' || CAST(i + 1 AS VARCHAR(20)) WHEN (p_partkey + i) % 29 = 0 THEN 'EP' WHEN (p_partkey + i) % 31 = 0 THEN '1' ELSE CAST(i AS VARCHAR(20)) END AS number, CASE WHEN (p_partkey * 3 + i) % 13 = 0 THEN '' ELSE "
+    + ", CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size + 30 AS DOUBLE) / 100.0 END AS pad_w, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size + 90 AS "
+        "DOUBLE) / 100.0 END AS pad_l, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 5 <> 0 THEN CAST(p_size * 7 + 450 AS DOUBLE) / 100.0 END AS "
+        "lp_row_span FROM part",
+    "raw_pins": "SELECT p_partkey AS package_id, i AS pos, CASE WHEN (p_partkey + i) % 19 = 0 THEN NULL WHEN (p_partkey + i) % 23 = 0 THEN CAST(i AS "
+        "VARCHAR(20)) || ',' || CAST(i + 1 AS VARCHAR(20)) WHEN (p_partkey + i) % 29 = 0 THEN 'EP' WHEN (p_partkey + i) % 31 = 0 THEN '1' ELSE CAST(i "
+        "AS VARCHAR(20)) END AS number, CASE WHEN (p_partkey * 3 + i) % 13 = 0 THEN '' ELSE "
     + pick("(p_partkey * 3 + i) % 16", "SDA", "SCL", "MOSI", "MISO", "SCK", "CS#", "/TX", "~RX", "GND", "VCC", "USB_DP", "USB_DM", "SWDIO", "SWCLK", "OUT", "IN")
     + " END AS name, " + pick("(p_partkey * 7 + i) % 11", "input", "output", "bidirectional", "power_in", "power_out", "passive", "tri_state", "open_collector", "no_connect", "unspecified", "weird")
     + " AS type FROM (SELECT p_partkey, {eight} AS i FROM part)",
     # Jobs and their history
     "ev": "SELECT event_id, ts, user_id, event_type, CAST({k} AS BIGINT) AS k FROM events",
-    "jobs": "SELECT o_orderkey AS job_id, o_custkey % 5 AS tenant, o_custkey AS owner, CASE o_orderstatus WHEN 'F' THEN 'revoked' ELSE 'active' END AS status, o_orderdate AS created, o_orderkey % 400 AS ttl_days FROM orders",
-    "ledger": "SELECT user_id AS principal, ts, event_id, CASE event_type WHEN 'signup' THEN 'topup' WHEN 'click' THEN 'reserve' WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'refund' END AS op, CASE event_type WHEN 'signup' THEN 10 + k % 20 WHEN 'click' THEN 1 + k % 5 ELSE 0 END AS amount FROM ev WHERE event_type IN ('signup', 'click', 'purchase', 'error')",
-    "lifecycle": "SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'click' THEN 'edit' WHEN 'view' THEN 'review' WHEN 'purchase' THEN 'approve' WHEN 'signup' THEN 'publish' WHEN 'error' THEN 'revoke' END AS action FROM ev WHERE event_type IN ('click', 'view', 'purchase', 'signup') OR (event_type = 'error' AND k = 0)",
+    "jobs": "SELECT o_orderkey AS job_id, o_custkey % 5 AS tenant, o_custkey AS owner, CASE o_orderstatus WHEN 'F' THEN 'revoked' ELSE 'active' END AS "
+        "status, o_orderdate AS created, o_orderkey % 400 AS ttl_days FROM orders",
+    "ledger": "SELECT user_id AS principal, ts, event_id, CASE event_type WHEN 'signup' THEN 'topup' WHEN 'click' THEN 'reserve' WHEN 'purchase' THEN "
+        "'commit' WHEN 'error' THEN 'refund' END AS op, CASE event_type WHEN 'signup' THEN 10 + k % 20 WHEN 'click' THEN 1 + k % 5 ELSE 0 END AS "
+        "amount FROM ev WHERE event_type IN ('signup', 'click', 'purchase', 'error')",
+    "lifecycle": "SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'click' THEN 'edit' WHEN 'view' THEN 'review' WHEN 'purchase' THEN 'approve' "
+        "WHEN 'signup' THEN 'publish' WHEN 'error' THEN 'revoke' END AS action FROM ev WHERE event_type IN ('click', 'view', 'purchase', 'signup') OR "
+        "(event_type = 'error' AND k = 0)",
     "requests": "SELECT event_id, ts, user_id % 5 AS tenant, user_id AS owner, event_type AS operation, k % 10 AS doc, k % 4 AS key FROM ev",
     "edits": "SELECT event_id, ts, user_id AS job_id, "
     + pick("event_id % 14", "packages/pitch", "packages/body_length", "pins/name", "pins/type", "figures/title", "figures/bbox", "part/mpn", "part/title", "packages/unknown", "figures/page", "figures/kind", "figures/confirmed", "packages/pin_count", "packages/lead_width")
@@ -89,14 +104,17 @@ FX: dict[str, str] = {
 
 SPARK = {
     "split": "SELECT doc_id, CAST(pos AS BIGINT) AS line_no, line FROM (SELECT doc_id, posexplode(split(text, '\\\\n')) AS (pos, line) FROM documents)",
-    "tokens": "SELECT doc_id, page, line_no, y, CAST(pos AS BIGINT) AS token_no, str FROM (SELECT doc_id, page, line_no, y, posexplode(filter(split(text, '[ \\\\t\\\\r]+'), t -> t <> '')) AS (pos, str) FROM lines)",
+    "tokens": "SELECT doc_id, page, line_no, y, CAST(pos AS BIGINT) AS token_no, str FROM (SELECT doc_id, page, line_no, y, posexplode(filter(split(text, "
+        "'[ \\\\t\\\\r]+'), t -> t <> '')) AS (pos, str) FROM lines)",
     "k": "get_json_object(props, '$.k')",
     "seven": "explode(sequence(1, 7))",
     "eight": "explode(sequence(1, 8))",
 }
 DUCK = {
-    "split": "SELECT doc_id, CAST(u.pos - 1 AS BIGINT) AS line_no, u.line AS line FROM (SELECT doc_id, unnest(list_zip(range(1, len(s) + 1), s)) AS z, z[1] AS pos, z[2] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) u",
-    "tokens": "SELECT doc_id, page, line_no, y, z[1] - 1 AS token_no, z[2] AS str FROM (SELECT doc_id, page, line_no, y, unnest(list_zip(range(1, len(s) + 1), s)) AS z FROM (SELECT *, list_filter(regexp_split_to_array(text, '[ \\t\\r]+'), lambda t: t <> '') AS s FROM lines))",
+    "split": "SELECT doc_id, CAST(u.pos - 1 AS BIGINT) AS line_no, u.line AS line FROM (SELECT doc_id, unnest(list_zip(range(1, len(s) + 1), s)) AS z, "
+        "z[1] AS pos, z[2] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) u",
+    "tokens": "SELECT doc_id, page, line_no, y, z[1] - 1 AS token_no, z[2] AS str FROM (SELECT doc_id, page, line_no, y, unnest(list_zip(range(1, len(s) + "
+        "1), s)) AS z FROM (SELECT *, list_filter(regexp_split_to_array(text, '[ \\t\\r]+'), lambda t: t <> '') AS s FROM lines))",
     "k": "json_extract_string(props, '$.k')",
     "seven": "unnest([1, 2, 3, 4, 5, 6, 7])",
     "eight": "unnest([1, 2, 3, 4, 5, 6, 7, 8])",

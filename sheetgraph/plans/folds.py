@@ -8,7 +8,8 @@ _q = lambda p: p.replace("'", "''")
 
 # Lines: items in order; a line stays open while items are near its first one
 ASSEMBLED = {
-    "it": "SELECT doc_id, page, item_no, str, x, y, x + w AS x1, coalesce(nullif(abs(h), 0), 8.0) AS h, greatest(abs(h), 8.0) AS bh, row_number() OVER (PARTITION BY doc_id, page ORDER BY -y, x, item_no) AS k FROM items WHERE page <= 80 AND trim(str) <> ''",
+    "it": "SELECT doc_id, page, item_no, str, x, y, x + w AS x1, coalesce(nullif(abs(h), 0), 8.0) AS h, greatest(abs(h), 8.0) AS bh, row_number() OVER "
+        "(PARTITION BY doc_id, page ORDER BY -y, x, item_no) AS k FROM items WHERE page <= 80 AND trim(str) <> ''",
 }
 ASSEMBLE = """
 SELECT doc_id, page, CAST(line AS INTEGER) AS line_no, trim(regexp_replace(arg_max(text, k), '\\s{3,}', '  ', 'g'), ' ') AS text, arg_max(lx, k) AS x, arg_max(ly, k) AS y, arg_max(lx1, k) AS x1, arg_max(lh, k) AS h FROM (
@@ -36,7 +37,8 @@ ASSEMBLED["boxes"] = "SELECT doc_id, page, item_no, str, x, y, x + w AS x1, grea
 # Thermal pads: the k-th pad line after four pins takes the number after the largest so far
 _NONE = " AND ".join(f"NOT regexp_matches(text, '{_q(p)}')" for p in (layout.ROW_TWO, layout.ROW_NAME_FIRST, layout.ROW_NUMBER_FIRST))
 PADS = {
-    "padrows": f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, no NULLS FIRST, pin) AS k FROM (SELECT doc_id, line_no, NULL::INTEGER AS no, 0 AS pin FROM region WHERE part = 'row' AND {_NONE} AND regexp_matches(text, '{_q(layout.EP_LINE)}')"
+    "padrows": "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, no NULLS FIRST, pin) AS k FROM (SELECT doc_id, line_no, NULL::INTEGER AS "
+        f"no, 0 AS pin FROM region WHERE part = 'row' AND {_NONE} AND regexp_matches(text, '{_q(layout.EP_LINE)}')"
     " UNION ALL SELECT doc_id, line_no, try_cast(number AS INTEGER), 1 FROM pfirst WHERE \"set\" = 'A')",
 }
 PIN_EP = """
@@ -72,14 +74,17 @@ def final_figures(region: str) -> tuple[str, dict[str, str]]:
 
 _ALLOWED = "CASE kind " + " ".join(f"WHEN '{k}' THEN regexp_matches(title, '{_q(p)}')" for k, p in folds.ALLOWED.items()) + " ELSE FALSE END"
 FILTERED = {
-    "fwhy": f"SELECT doc_id, line_no, kind, title, page, 1 - y / 792 AS y0, CASE WHEN regexp_matches(title, '{_q(folds.FORBIDDEN)}') THEN 'blacklist_curve_plot' WHEN NOT {_ALLOWED} THEN 'keyword_not_matched' END AS why FROM figs",
+    "fwhy": f"SELECT doc_id, line_no, kind, title, page, 1 - y / 792 AS y0, CASE WHEN regexp_matches(title, '{_q(folds.FORBIDDEN)}') THEN "
+        f"'blacklist_curve_plot' WHEN NOT {_ALLOWED} THEN 'keyword_not_matched' END AS why FROM figs",
     "fok": "SELECT *, y0 AS y1, row_number() OVER (PARTITION BY doc_id, page, kind ORDER BY line_no) AS k FROM fwhy WHERE why IS NULL",
 }
 FIGURE_FILTER = (
     "SELECT w.doc_id, w.line_no AS fig_no, coalesce(CASE WHEN g.line_no IS NOT NULL THEN 'kept' END, why, 'duplicate_or_over_cap') AS result FROM fwhy w LEFT JOIN ("
-    "SELECT doc_id, line_no FROM (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id, s.kind ORDER BY CASE WHEN regexp_matches(o.title, '(?i)^figure\\s+\\d') THEN 0 ELSE 1 END, s.page, s.line_no) AS p FROM ("
+    "SELECT doc_id, line_no FROM (SELECT s.*, row_number() OVER (PARTITION BY s.doc_id, s.kind ORDER BY CASE WHEN regexp_matches(o.title, "
+        "'(?i)^figure\\s+\\d') THEN 0 ELSE 1 END, s.page, s.line_no) AS p FROM ("
     + _KEEP.format(rows="fok")
-    + ") s JOIN fok o ON o.doc_id = s.doc_id AND o.line_no = s.line_no) WHERE p <= CASE kind WHEN 'application' THEN 3 ELSE 1 END) g ON g.doc_id = w.doc_id AND g.line_no = w.line_no"
+    + ") s JOIN fok o ON o.doc_id = s.doc_id AND o.line_no = s.line_no) WHERE p <= CASE kind WHEN 'application' THEN 3 ELSE 1 END) g ON g.doc_id = "
+        "w.doc_id AND g.line_no = w.line_no"
 )
 
 # Lifecycle: actions in order over the table of transitions
@@ -123,13 +128,16 @@ SELECT page_id, anchor, dir, anchor + max(far) * dir AS last FROM (SELECT *, sum
   FROM (SELECT a.*, (i.r - a.anchor) * a.dir AS far FROM ({anchors}) a JOIN inkrows i ON i.page_id = a.page_id)
   WHERE far > 0 AND (stop IS NULL OR far < (stop - anchor) * dir) WINDOW w AS (PARTITION BY page_id, anchor, dir ORDER BY far))) WHERE broken = 0 GROUP BY 1, 2, 3
 """
-INK_GROW = _GROW.format(anchors="SELECT page_id, page_id % 20 AS anchor, dir, CASE WHEN page_id % 3 = 0 THEN page_id % 20 + 6 * dir END AS stop FROM pages CROSS JOIN (VALUES (1), (-1)) AS v(dir)")
+INK_GROW = _GROW.format(anchors="SELECT page_id, page_id % 20 AS anchor, dir, CASE WHEN page_id % 3 = 0 THEN page_id % 20 + 6 * dir END AS stop FROM pages CROSS JOIN (VALUES "
+    "(1), (-1)) AS v(dir)")
 FITTED = {
     "blocks": "SELECT page_id, b, min(r) AS r0, max(r) AS r1, sum(cells) AS cells FROM (SELECT *, sum(nw) OVER (PARTITION BY page_id ORDER BY r) AS b FROM ("
     "SELECT *, CASE WHEN r - lag(r) OVER (PARTITION BY page_id ORDER BY r) - 1 <= 2 THEN 0 ELSE 1 END AS nw FROM inkrows)) GROUP BY 1, 2",
     "grown": _GROW.format(anchors="SELECT page_id, page_id % 20 AS anchor, dir, NULL::BIGINT AS stop FROM pages CROSS JOIN (VALUES (1), (-1)) AS v(dir)"),
-    "seeds": "SELECT page_id, 3 AS prio, 'seed_trim' AS method, page_id % 9 AS a, page_id % 9 + 5 AS b FROM pages UNION ALL SELECT page_id, 4, 'seed_mirror', 19 - (page_id % 9 + 5), 19 - page_id % 9 FROM pages",
-    "cands": "SELECT page_id, CASE WHEN dir = -1 THEN 1 ELSE 2 END AS prio, CASE WHEN dir = -1 THEN 'caption_up' ELSE 'caption_down' END AS method, least(anchor, last) AS r0, greatest(anchor, last) AS r1 FROM grown"
+    "seeds": "SELECT page_id, 3 AS prio, 'seed_trim' AS method, page_id % 9 AS a, page_id % 9 + 5 AS b FROM pages UNION ALL SELECT page_id, 4, "
+        "'seed_mirror', 19 - (page_id % 9 + 5), 19 - page_id % 9 FROM pages",
+    "cands": "SELECT page_id, CASE WHEN dir = -1 THEN 1 ELSE 2 END AS prio, CASE WHEN dir = -1 THEN 'caption_up' ELSE 'caption_down' END AS method, "
+        "least(anchor, last) AS r0, greatest(anchor, last) AS r1 FROM grown"
     " UNION ALL SELECT s.page_id, prio, method, min(r), max(r) FROM seeds s JOIN inkrows i ON i.page_id = s.page_id AND i.r BETWEEN s.a AND s.b GROUP BY 1, 2, 3"
     " UNION ALL SELECT page_id, 5, 'largest_block', r0, r1 FROM (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY cells DESC, r0) = 1)",
 }
@@ -137,7 +145,8 @@ FIGURE_FIT = "SELECT page_id, CAST(1 AS BIGINT) AS fig_no, method, r0, r1 FROM (
 
 # Unnamed nets: each joins the first group that it shares an endpoint with
 ANONYMOUS = {
-    "anon": "SELECT *, row_number() OVER (PARTITION BY design_id ORDER BY batch_no, net_id) AS k FROM (SELECT design_id, batch_no, net_id, list(ref || '|' || pin ORDER BY ref, pin) AS ends, max(conf_pct) AS conf"
+    "anon": "SELECT *, row_number() OVER (PARTITION BY design_id ORDER BY batch_no, net_id) AS k FROM (SELECT design_id, batch_no, net_id, list(ref || "
+        "'|' || pin ORDER BY ref, pin) AS ends, max(conf_pct) AS conf"
     " FROM batch_eps WHERE trim(name) = '' GROUP BY 1, 2, 3 HAVING count(*) >= 2)",
 }
 ANONYMOUS_SQL = """
@@ -154,8 +163,10 @@ SELECT design_id, 'N$' || i::VARCHAR AS net, split_part(e, '|', 1) AS ref, split
 
 # Interfaces: nets of one type merge while their members overlap in two; nets of one member attach by their roles
 GROUPED = {
-    "cand": "SELECT r.design_id, r.type, r.net_id, r.role, c.conf, coalesce(m.members, []) AS members FROM roled r JOIN (SELECT design_id, net_id, min(net_conf) AS conf FROM ctx GROUP BY 1, 2) c ON c.design_id = r.design_id AND c.net_id = r.net_id"
-    " LEFT JOIN (SELECT design_id, net_id, list(DISTINCT ref ORDER BY ref) AS members FROM live GROUP BY 1, 2) m ON m.design_id = r.design_id AND m.net_id = r.net_id WHERE r.type <> 'POWER'",
+    "cand": "SELECT r.design_id, r.type, r.net_id, r.role, c.conf, coalesce(m.members, []) AS members FROM roled r JOIN (SELECT design_id, net_id, "
+        "min(net_conf) AS conf FROM ctx GROUP BY 1, 2) c ON c.design_id = r.design_id AND c.net_id = r.net_id"
+    " LEFT JOIN (SELECT design_id, net_id, list(DISTINCT ref ORDER BY ref) AS members FROM live GROUP BY 1, 2) m ON m.design_id = r.design_id AND "
+        "m.net_id = r.net_id WHERE r.type <> 'POWER'",
     "grouped": """
 SELECT design_id, type, arg_max(g, step) AS g FROM (
   WITH RECURSIVE f AS (
@@ -164,18 +175,26 @@ SELECT design_id, type, arg_max(g, step) AS g FROM (
     SELECT design_id, type, step + 1, list_filter(list_transform(g, lambda x, k: CASE WHEN k = p.i THEN {'m': list_distinct(list_concat(g[p.i].m, g[p.j].m)), 'nets': list_concat(g[p.i].nets, g[p.j].nets), 'conf': least(g[p.i].conf, g[p.j].conf)} ELSE x END), lambda x, k: k <> p.j)
     FROM f, LATERAL (SELECT list_filter(flatten(list_transform(range(1, len(g) + 1), lambda i: list_transform(range(i + 1, len(g) + 1), lambda j: {'i': i, 'j': j}))), lambda q: len(list_intersect(g[q.i].m, g[q.j].m)) >= 2)[1] AS p) z WHERE p IS NOT NULL)
   SELECT * FROM f) GROUP BY 1, 2""",
-    "merged": "SELECT design_id, type, i, g[i].m AS m, g[i].nets AS nets, g[i].conf AS conf FROM (SELECT design_id, type, g, unnest(range(1, len(g) + 1)) AS i FROM grouped)",
-    "single": "SELECT c.design_id, c.type, c.net_id, c.conf, c.members[1] AS m, c.role IN ('CC1', 'CC2', 'NRST', 'SWO', 'CS') AS side, min(g.i) AS home FROM cand c LEFT JOIN merged g ON g.design_id = c.design_id AND g.type = c.type"
+    "merged": "SELECT design_id, type, i, g[i].m AS m, g[i].nets AS nets, g[i].conf AS conf FROM (SELECT design_id, type, g, unnest(range(1, len(g) + 1)) "
+        "AS i FROM grouped)",
+    "single": "SELECT c.design_id, c.type, c.net_id, c.conf, c.members[1] AS m, c.role IN ('CC1', 'CC2', 'NRST', 'SWO', 'CS') AS side, min(g.i) AS home "
+        "FROM cand c LEFT JOIN merged g ON g.design_id = c.design_id AND g.type = c.type"
     " AND c.role IN ('CC1', 'CC2', 'NRST', 'SWO', 'CS') AND list_contains(g.m, c.members[1]) WHERE len(c.members) < 2 GROUP BY ALL",
-    "alone": "SELECT *, CASE WHEN side AND m IS NOT NULL THEN min(net_id) OVER (PARTITION BY design_id, type, m ORDER BY net_id) ELSE net_id END AS leader FROM single WHERE home IS NULL",
-    "own": "SELECT *, row_number() OVER (PARTITION BY design_id, type ORDER BY leader) AS place FROM (SELECT design_id, type, leader, any_value(m) AS m, min(conf) AS conf FROM alone GROUP BY 1, 2, 3)",
-    "wide": "SELECT g.design_id, g.type, g.i, g.m, least(g.conf, coalesce(min(s.conf), g.conf)) AS conf FROM merged g LEFT JOIN single s ON s.design_id = g.design_id AND s.type = g.type AND s.home = g.i GROUP BY g.design_id, g.type, g.i, g.m, g.conf",
+    "alone": "SELECT *, CASE WHEN side AND m IS NOT NULL THEN min(net_id) OVER (PARTITION BY design_id, type, m ORDER BY net_id) ELSE net_id END AS leader "
+        "FROM single WHERE home IS NULL",
+    "own": "SELECT *, row_number() OVER (PARTITION BY design_id, type ORDER BY leader) AS place FROM (SELECT design_id, type, leader, any_value(m) AS m, "
+        "min(conf) AS conf FROM alone GROUP BY 1, 2, 3)",
+    "wide": "SELECT g.design_id, g.type, g.i, g.m, least(g.conf, coalesce(min(s.conf), g.conf)) AS conf FROM merged g LEFT JOIN single s ON s.design_id = "
+        "g.design_id AND s.type = g.type AND s.home = g.i GROUP BY g.design_id, g.type, g.i, g.m, g.conf",
 }
 _IFACE = "type || ':' || array_to_string(list_sort(m), ',') AS iface, net_id, array_to_string(list_sort(m), ',') AS members, conf AS conf_pct"
 GROUPS_SQL = f"SELECT design_id, type, {_IFACE} FROM (SELECT design_id, type, m, conf, unnest(nets) AS net_id FROM merged)"
 SIDEBAND_SQL = (
-    f"SELECT design_id, type, {_IFACE} FROM (SELECT w.design_id, w.type, w.m, w.conf, unnest(g.nets) AS net_id FROM wide w JOIN merged g ON g.design_id = w.design_id AND g.type = w.type AND g.i = w.i"
+    f"SELECT design_id, type, {_IFACE} FROM (SELECT w.design_id, w.type, w.m, w.conf, unnest(g.nets) AS net_id FROM wide w JOIN merged g ON "
+        "g.design_id = w.design_id AND g.type = w.type AND g.i = w.i"
     " UNION ALL SELECT s.design_id, s.type, w.m, w.conf, s.net_id FROM single s JOIN wide w ON w.design_id = s.design_id AND w.type = s.type AND w.i = s.home)"
-    " UNION ALL SELECT a.design_id, a.type, a.type || ':' || coalesce(o.m, 'group' || (o.place + coalesce(n.n, 0))::VARCHAR), a.net_id, coalesce(o.m, ''), o.conf FROM alone a"
-    " JOIN own o ON o.design_id = a.design_id AND o.type = a.type AND o.leader = a.leader LEFT JOIN (SELECT design_id, type, count(*) AS n FROM merged GROUP BY 1, 2) n ON n.design_id = a.design_id AND n.type = a.type"
+    " UNION ALL SELECT a.design_id, a.type, a.type || ':' || coalesce(o.m, 'group' || (o.place + coalesce(n.n, 0))::VARCHAR), a.net_id, "
+        "coalesce(o.m, ''), o.conf FROM alone a"
+    " JOIN own o ON o.design_id = a.design_id AND o.type = a.type AND o.leader = a.leader LEFT JOIN (SELECT design_id, type, count(*) AS n FROM "
+        "merged GROUP BY 1, 2) n ON n.design_id = a.design_id AND n.type = a.type"
 )

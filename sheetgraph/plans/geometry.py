@@ -46,12 +46,15 @@ V = CV | {
     "wide": "SELECT p.package_id, p.family, k.type, k.pin_count, " + ", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f in FIELDS) + " FROM prov p JOIN packages k ON k.package_id = p.package_id GROUP BY 1, 2, 3, 4",
     "priors": " UNION ALL ".join(f"SELECT package_id, '{f}' AS field, {f} AS before, CAST({_prior(f)} AS DOUBLE) AS after FROM fam WHERE family IN ('dual', 'sot23')" for f in ("pitch", "body_length", "body_width", "lead_span", "height")),
     "g0": "SELECT *, (ceil(pin_count / 2) - 1) * pitch AS rw FROM wide",
-    "g1": f"SELECT *, {_SIDED} AND body_length < rw + greatest(0.4, pitch * 0.3::DOUBLE) AND body_width >= rw + greatest(0.4, pitch * 0.3::DOUBLE) AND body_width > body_length AS sw FROM g0",
-    "g2": "SELECT package_id, family, pin_count, pitch, rw, sw, lead_span, row_span, CASE WHEN sw THEN body_width ELSE body_length END AS bl, CASE WHEN sw THEN body_length ELSE body_width END AS bw FROM g1",
+    "g1": f"SELECT *, {_SIDED} AND body_length < rw + greatest(0.4, pitch * 0.3::DOUBLE) AND body_width >= rw + greatest(0.4, pitch * 0.3::DOUBLE) AND "
+        "body_width > body_length AS sw FROM g0",
+    "g2": "SELECT package_id, family, pin_count, pitch, rw, sw, lead_span, row_span, CASE WHEN sw THEN body_width ELSE body_length END AS bl, CASE WHEN "
+        "sw THEN body_length ELSE body_width END AS bw FROM g1",
     "g3": f"SELECT *, {_SIDED} AND (bl < rw + greatest(0.4, pitch * 0.3::DOUBLE) OR bl > rw + greatest(4.0, pitch * 3)) AS st FROM g2",
     "g4": "SELECT *, CASE WHEN st THEN round(rw + pitch * 1.2::DOUBLE, 2) ELSE bl END AS bl2, family = 'dual' AND NOT lead_span > bw + 0.6::DOUBLE AS sh FROM g3",
     "g5": "SELECT *, CASE WHEN sh THEN round(bw + 2.0, 2) ELSE lead_span END AS ls1 FROM g4",
-    "g6": "SELECT *, family = 'dual' AND ls1 > bw + 8 AS lg, family = 'dip' AND row_span < bw * 0.85::DOUBLE AS na, (pin_count / 4 - 1) * pitch + greatest(0.8, pitch) AS sd FROM g5",
+    "g6": "SELECT *, family = 'dual' AND ls1 > bw + 8 AS lg, family = 'dip' AND row_span < bw * 0.85::DOUBLE AS na, (pin_count / 4 - 1) * pitch + "
+        "greatest(0.8, pitch) AS sd FROM g5",
     # A page's source as a raster: 60 characters a row, 80 rows, dark where a tag begins or ends
     "pxrows": "SELECT page_id, y, substr(html, y * 60 + 1, 60) AS row FROM pages CROSS JOIN (SELECT unnest(range(80)) AS y)",
     "px": "SELECT page_id, x, y, CASE WHEN substr(row, x + 1, 1) IN ('<', '>') THEN 0 ELSE 255 END AS luma FROM pxrows CROSS JOIN (SELECT unnest(range(60)) AS x)",
@@ -66,7 +69,8 @@ def _px(t) -> DataFrame:
     return pixels.selectExpr("page_id", "x", "y", "CASE WHEN substr(row, x + 1, 1) IN ('<', '>') THEN 0 ELSE 255 END AS luma")
 
 
-query("geometry_priors", f"SELECT * FROM priors WHERE after IS NOT NULL AND (before IS NULL OR before < after * {geometry.LOW}::DOUBLE OR before > after * {geometry.HIGH}::DOUBLE)", V)(lambda t: geometry.geometry_priors(_pk(t)))
+query("geometry_priors", f"SELECT * FROM priors WHERE after IS NOT NULL AND (before IS NULL OR before < after * {geometry.LOW}::DOUBLE OR before > after * "
+    f"{geometry.HIGH}::DOUBLE)", V)(lambda t: geometry.geometry_priors(_pk(t)))
 query(
     "geometry_rules",
     f"""SELECT package_id, CASE WHEN {_ISQ} AND bl2 < sd THEN round(sd, 2) ELSE bl2 END AS body_length, CASE WHEN {_ISQ} AND bw < sd THEN round(sd, 2) ELSE bw END AS body_width, CASE WHEN lg THEN round(bw + 2.4::DOUBLE, 2) ELSE ls1 END AS lead_span,
@@ -74,7 +78,8 @@ query(
       concat_ws(',', CASE WHEN sw THEN 'body_dimensions_swapped' END, CASE WHEN st THEN 'body_length_derived' END, CASE WHEN sh THEN 'lead_span_too_small' END, CASE WHEN lg THEN 'lead_span_implausible' END, CASE WHEN na THEN 'row_span_derived' END, CASE WHEN {_ISQ} AND bl2 < sd THEN 'qfn_body_length' END, CASE WHEN {_ISQ} AND bw < sd THEN 'qfn_body_width' END) AS ops FROM g6""",
     V,
 )(lambda t: geometry.geometry_rules(_norm(t)))
-query("lga_promote", "SELECT package_id, 'lga' AS family, concat_ws(',', CASE WHEN pitch IS NULL THEN 'pitch' END, CASE WHEN body_length IS NULL THEN 'body_length' END, CASE WHEN height IS NULL THEN 'height' END) AS missing FROM packages WHERE type = 'LGA'")(lambda t: geometry.lga_promote(t.packages, ["pitch", "body_length", "height"]))
+query("lga_promote", "SELECT package_id, 'lga' AS family, concat_ws(',', CASE WHEN pitch IS NULL THEN 'pitch' END, CASE WHEN body_length IS NULL THEN "
+    "'body_length' END, CASE WHEN height IS NULL THEN 'height' END) AS missing FROM packages WHERE type = 'LGA'")(lambda t: geometry.lga_promote(t.packages, ["pitch", "body_length", "height"]))
 _NEED = "SELECT package_id, bool_or(field = 'pitch') AS p, bool_or(field IN ('body_length', 'body_width')) AS b FROM prov WHERE source IN ('missing', 'clamped') GROUP BY 1"
 query(
     "generation_block",
@@ -83,8 +88,13 @@ query(
     V,
 )(lambda t: geometry.generation_block(_pk(t), cleaning.critical_missing(cleaning.field_provenance(_pk(t))), cleaning.sanitize_pins(t.raw_pins).groupBy("package_id").agg(F.count("*").alias("n_pins"))))
 _PAD = {
-    "pad0": "SELECT w.*, i, ceil(pin_count / 2) AS half FROM wide w CROSS JOIN (SELECT unnest(range(24)) AS i) WHERE (family IN ('dual', 'dip') AND i < pin_count) OR (family = 'sot23' AND i < 3) OR (family = 'qfn' AND pin_count % 4 = 0 AND i < pin_count)",
-    "pad1": "SELECT *, CASE WHEN pin_count = 5 AND i = 3 THEN 2 WHEN pin_count = 5 AND i = 4 THEN 0 WHEN i < half THEN i ELSE pin_count - 1 - i END AS pl, lead_span / 2 + 0.4::DOUBLE AS o, greatest(body_width / 2 - 0.25, lead_span / 2 + 0.4::DOUBLE - 1.8::DOUBLE) AS n, CASE WHEN i < half THEN -1 ELSE 1 END AS sg, CAST(floor(i / (pin_count / 4)) AS INT) AS sd, (i % CAST(pin_count / 4 AS BIGINT) - (pin_count / 4 - 1) / 2) * pitch AS q, body_width / 2 + 0.3::DOUBLE AS ox, body_width / 2 - lead_length - 0.05::DOUBLE AS ix, body_length / 2 + 0.3::DOUBLE AS oy, body_length / 2 - lead_length - 0.05::DOUBLE AS iy, least(pitch - 0.15::DOUBLE, least(0.35, pitch * 0.5) + 0.05::DOUBLE) AS qw FROM pad0",
+    "pad0": "SELECT w.*, i, ceil(pin_count / 2) AS half FROM wide w CROSS JOIN (SELECT unnest(range(24)) AS i) WHERE (family IN ('dual', 'dip') AND i < "
+        "pin_count) OR (family = 'sot23' AND i < 3) OR (family = 'qfn' AND pin_count % 4 = 0 AND i < pin_count)",
+    "pad1": "SELECT *, CASE WHEN pin_count = 5 AND i = 3 THEN 2 WHEN pin_count = 5 AND i = 4 THEN 0 WHEN i < half THEN i ELSE pin_count - 1 - i END AS "
+        "pl, lead_span / 2 + 0.4::DOUBLE AS o, greatest(body_width / 2 - 0.25, lead_span / 2 + 0.4::DOUBLE - 1.8::DOUBLE) AS n, CASE WHEN i < half "
+        "THEN -1 ELSE 1 END AS sg, CAST(floor(i / (pin_count / 4)) AS INT) AS sd, (i % CAST(pin_count / 4 AS BIGINT) - (pin_count / 4 - 1) / 2) * "
+        "pitch AS q, body_width / 2 + 0.3::DOUBLE AS ox, body_width / 2 - lead_length - 0.05::DOUBLE AS ix, body_length / 2 + 0.3::DOUBLE AS oy, "
+        "body_length / 2 - lead_length - 0.05::DOUBLE AS iy, least(pitch - 0.15::DOUBLE, least(0.35, pitch * 0.5) + 0.05::DOUBLE) AS qw FROM pad0",
     "pads": """SELECT package_id, (i + 1)::VARCHAR AS number,
       round(CASE family WHEN 'dual' THEN sg * (o + n) / 2 WHEN 'qfn' THEN CASE sd WHEN 0 THEN -(ox + ix) / 2 WHEN 1 THEN q WHEN 2 THEN (ox + ix) / 2 ELSE -q END WHEN 'dip' THEN sg * (row_span / 2) + row_span / 2 ELSE CASE WHEN i < 2 THEN -(lead_span / 2 + 0.35::DOUBLE) ELSE lead_span / 2 + 0.35::DOUBLE END END, 3) + 0.0 AS x,
       round(CASE family WHEN 'dual' THEN (pl - (half - 1) / 2) * pitch WHEN 'qfn' THEN CASE sd WHEN 0 THEN q WHEN 1 THEN (oy + iy) / 2 WHEN 2 THEN -q ELSE -(oy + iy) / 2 END WHEN 'dip' THEN (pl - (half - 1) / 2) * pitch + (half - 1) / 2 * pitch ELSE CASE i WHEN 0 THEN -0.95 WHEN 1 THEN 0.95 ELSE 0 END END, 3) + 0.0 AS y,
@@ -93,25 +103,36 @@ _PAD = {
       CASE WHEN i = 0 THEN 'rect' WHEN family = 'dip' THEN 'circle' ELSE 'roundrect' END AS shape FROM pad1""",
 }
 query("pad_table", "SELECT * FROM pads", V | _PAD)(lambda t: geometry.pad_table(_norm(t)))
-query("courtyard", "SELECT w.package_id, floor((greatest(ex, body_width / 2) + g) * 100 + 0.5) / 100 AS half_x, floor((greatest(ey, body_length / 2) + g) * 100 + 0.5) / 100 AS half_y, least(1.0, least(body_width, body_length) * 0.25) AS chamfer FROM (SELECT *, CASE WHEN least(body_width, body_length) < 1.5 THEN 0.15::DOUBLE ELSE 0.25::DOUBLE END AS g FROM wide) w JOIN (SELECT package_id, max(abs(x) + w / 2) AS ex, max(abs(y) + h / 2) AS ey FROM pads GROUP BY 1) e ON e.package_id = w.package_id", V | _PAD)(
+query("courtyard", "SELECT w.package_id, floor((greatest(ex, body_width / 2) + g) * 100 + 0.5) / 100 AS half_x, floor((greatest(ey, body_length / 2) + g) * 100 "
+    "+ 0.5) / 100 AS half_y, least(1.0, least(body_width, body_length) * 0.25) AS chamfer FROM (SELECT *, CASE WHEN least(body_width, "
+    "body_length) < 1.5 THEN 0.15::DOUBLE ELSE 0.25::DOUBLE END AS g FROM wide) w JOIN (SELECT package_id, max(abs(x) + w / 2) AS ex, max(abs(y) "
+    "+ h / 2) AS ey FROM pads GROUP BY 1) e ON e.package_id = w.package_id", V | _PAD)(
     lambda t: geometry.courtyard(geometry.pad_table(_norm(t)), _norm(t))
 )
 _D = "regexp_replace(printf('%.2f', {0}), '\\.?0+$', '')"
-query("footprint_name", f"SELECT package_id, CASE WHEN family = 'dip' THEN 'P' || package_id::VARCHAR || '_' || type || '_W' || {_D.format('row_span')} || 'mm_P' || {_D.format('pitch')} || 'mm' ELSE 'P' || package_id::VARCHAR || '_' || type || '_' || {_D.format('body_width')} || 'x' || {_D.format('body_length')} || 'mm_P' || {_D.format('pitch')} || 'mm' END AS name FROM wide", V)(
+query("footprint_name", f"SELECT package_id, CASE WHEN family = 'dip' THEN 'P' || package_id::VARCHAR || '_' || type || '_W' || {_D.format('row_span')} || 'mm_P' || "
+    f"{_D.format('pitch')} || 'mm' ELSE 'P' || package_id::VARCHAR || '_' || type || '_' || {_D.format('body_width')} || 'x' || "
+    f"{_D.format('body_length')} || 'mm_P' || {_D.format('pitch')} || 'mm' END AS name FROM wide", V)(
     lambda t: geometry.footprint_name(_norm(t), F.concat(F.lit("P"), F.col("package_id").cast("string")))
 )
 _SIDE = f"CASE WHEN upper(name) IN ('EP', 'EPAD') THEN 'bottom' WHEN type IN ('power_in', 'power_out') THEN CASE WHEN regexp_matches(upper(name), '{geometry.GROUNDY}') THEN 'bottom' WHEN regexp_matches(upper(name), '{geometry.SUPPLY}') THEN 'top' WHEN type = 'power_in' THEN 'left' ELSE 'right' END WHEN type IN ('input', 'tri_state', 'open_collector') THEN 'left' ELSE 'right' END"
 query(
     "symbol_layout",
-    f"SELECT package_id, number, side, row_number() OVER (PARTITION BY package_id, side ORDER BY CASE WHEN type = 'no_connect' THEN 1 ELSE 0 END, no IS NULL, no, number) - 1 AS slot FROM (SELECT package_id, number, type, no, CASE WHEN s = 'top' AND row_number() OVER (PARTITION BY package_id, s ORDER BY no IS NULL, no, number) > 3 THEN 'left' ELSE s END AS side FROM (SELECT *, try_cast(number AS INT) AS no, {_SIDE} AS s FROM clean))",
+    "SELECT package_id, number, side, row_number() OVER (PARTITION BY package_id, side ORDER BY CASE WHEN type = 'no_connect' THEN 1 ELSE 0 END, "
+        "no IS NULL, no, number) - 1 AS slot FROM (SELECT package_id, number, type, no, CASE WHEN s = 'top' AND row_number() OVER (PARTITION BY "
+        f"package_id, s ORDER BY no IS NULL, no, number) > 3 THEN 'left' ELSE s END AS side FROM (SELECT *, try_cast(number AS INT) AS no, {_SIDE} AS "
+        "s FROM clean))",
     V,
 )(lambda t: geometry.symbol_layout(cleaning.sanitize_pins(t.raw_pins)))
 
 # Rasters
 query("ink_grid", "SELECT * FROM ink", V)(lambda t: raster.ink_grid(_px(t)))
-query("ink_blocks", "SELECT page_id, r0, r1, cells, row_number() OVER (PARTITION BY page_id ORDER BY cells DESC, r0) AS rank FROM (SELECT page_id, b, min(r) AS r0, max(r) AS r1, CAST(sum(cells) AS BIGINT) AS cells FROM (SELECT *, sum(nw) OVER (PARTITION BY page_id ORDER BY r) AS b FROM (SELECT *, CASE WHEN r - lag(r) OVER (PARTITION BY page_id ORDER BY r) - 1 <= 2 THEN 0 ELSE 1 END AS nw FROM inkrows)) GROUP BY 1, 2)", V)(lambda t: raster.ink_blocks(raster.ink_grid(_px(t))))
+query("ink_blocks", "SELECT page_id, r0, r1, cells, row_number() OVER (PARTITION BY page_id ORDER BY cells DESC, r0) AS rank FROM (SELECT page_id, b, min(r) AS "
+    "r0, max(r) AS r1, CAST(sum(cells) AS BIGINT) AS cells FROM (SELECT *, sum(nw) OVER (PARTITION BY page_id ORDER BY r) AS b FROM (SELECT *, "
+    "CASE WHEN r - lag(r) OVER (PARTITION BY page_id ORDER BY r) - 1 <= 2 THEN 0 ELSE 1 END AS nw FROM inkrows)) GROUP BY 1, 2)", V)(lambda t: raster.ink_blocks(raster.ink_grid(_px(t))))
 _RANGES = "SELECT page_id, CAST(k AS BIGINT) AS range_id, CAST(k * 4 AS BIGINT) AS r0, CAST(k * 4 + page_id % 5 AS BIGINT) AS r1 FROM pages CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(k)"
-query("ink_bounds", f"SELECT g.page_id, g.range_id, count(*) AS cells, min(i.c) AS c0, max(i.c) AS c1 FROM ({_RANGES}) g JOIN ink i ON i.page_id = g.page_id AND i.r BETWEEN g.r0 AND g.r1 GROUP BY 1, 2", V)(
+query("ink_bounds", f"SELECT g.page_id, g.range_id, count(*) AS cells, min(i.c) AS c0, max(i.c) AS c1 FROM ({_RANGES}) g JOIN ink i ON i.page_id = g.page_id AND "
+    "i.r BETWEEN g.r0 AND g.r1 GROUP BY 1, 2", V)(
     lambda t: raster.ink_bounds(raster.ink_grid(_px(t)), t.pages.select("page_id", F.explode(F.expr("array(0L, 1L, 2L, 3L)")).alias("range_id")).selectExpr("page_id", "range_id", "range_id * 4 AS r0", "range_id * 4 + page_id % 5 AS r1"))
 )
 query("ink_grow", INK_GROW, V)(lambda t: raster.ink_grow(raster.ink_grid(_px(t)), t.pages.select("page_id", F.expr("page_id % 20").alias("anchor"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("dir")).selectExpr("*", "CASE WHEN page_id % 3 = 0 THEN anchor + 6 * dir END AS stop")))
@@ -121,8 +142,11 @@ query("figure_fit", FIGURE_FIT, V | FITTED)(lambda t: raster.figure_fit(raster.i
 query("line_boxes", LINE_BOXES, LV | ASSEMBLED)(lambda t: folds.line_boxes(_items(t).selectExpr("doc_id", "page", "item_no", "str", "x AS left", "x + w AS right", "792 - y AS base", "greatest(abs(h), 8D) AS h")))
 query("figure_filter", FIGURE_FILTER, LV | FILTERED)(lambda t: folds.figure_filter(layout.figure_candidates(t.lines).selectExpr("doc_id", "line_no AS fig_no", "kind", "title", "page", "1 - y / 792 AS y0")))
 query("batch_anonymous_nets", ANONYMOUS_SQL, ANONYMOUS)(lambda t: folds.batch_anonymous_nets(t.batch_eps))
-query("enrich_batches", "SELECT design_id, CAST(floor((row_number() OVER (PARTITION BY design_id ORDER BY ref) - 1) / 18) AS BIGINT) AS batch_no, ref, 'value of ' || ref AS value FROM comps")(lambda t: folds.enrich_batches(focus_batches(t.comps), lambda refs: [(r, f"value of {r}") for r in refs]))
-query("figure_image_bind", "SELECT e.event_id AS upload_id, e.k AS fig_id, CASE WHEN e.k >= 60 THEN 'unknown_figure' WHEN e.event_id % 3 <> e.k % 3 THEN 'revision_conflict' ELSE 'bound' END AS result, CASE WHEN e.k < 60 AND e.event_id % 3 = e.k % 3 THEN 'figure:' || e.k::VARCHAR END AS lapsed FROM ev e")(
+query("enrich_batches", "SELECT design_id, CAST(floor((row_number() OVER (PARTITION BY design_id ORDER BY ref) - 1) / 18) AS BIGINT) AS batch_no, ref, 'value of ' || "
+    "ref AS value FROM comps")(lambda t: folds.enrich_batches(focus_batches(t.comps), lambda refs: [(r, f"value of {r}") for r in refs]))
+query("figure_image_bind", "SELECT e.event_id AS upload_id, e.k AS fig_id, CASE WHEN e.k >= 60 THEN 'unknown_figure' WHEN e.event_id % 3 <> e.k % 3 THEN "
+    "'revision_conflict' ELSE 'bound' END AS result, CASE WHEN e.k < 60 AND e.event_id % 3 = e.k % 3 THEN 'figure:' || e.k::VARCHAR END AS lapsed "
+    "FROM ev e")(
     lambda t: folds.figure_image_bind(t.packages.selectExpr("package_id % 60 AS fig_id", "package_id % 60 % 3 AS revision").distinct(), t.ev.selectExpr("event_id AS upload_id", "k AS fig_id", "event_id % 3 AS expected_revision", "'s' AS sha"))
 )
 
@@ -134,13 +158,23 @@ _RES = "CASE WHEN regexp_matches(regexp_extract({0}, '^[^.]*', 0), '(?i)^(CON|PR
 _FILE = lambda x: _RES.format(_CLEAN.format(x))
 query(
     "safe_names",
-    f"SELECT doc_id AS id, {_SAFE.format(f=_FILE('n'), d='unnamed')} AS file_name, coalesce(nullif(array_to_string(list_transform(list_filter(string_split(n, '/'), lambda p: p NOT IN ('', '.', '..')), lambda p: {_SAFE.format(f=_FILE('p'), d='file')}), '/'), ''), 'file') AS path FROM (SELECT doc_id, coalesce({_NAME}, '') AS n FROM documents)",
+    f"SELECT doc_id AS id, {_SAFE.format(f=_FILE('n'), d='unnamed')} AS file_name, "
+        "coalesce(nullif(array_to_string(list_transform(list_filter(string_split(n, '/'), lambda p: p NOT IN ('', '.', '..')), lambda p: "
+        f"{_SAFE.format(f=_FILE('p'), d='file')}), '/'), ''), 'file') AS path FROM (SELECT doc_id, coalesce({_NAME}, '') AS n FROM documents)",
 )(lambda t: records.safe_names(t.documents.selectExpr("doc_id AS id", f"{_NAME} AS name")))
-query("text_safety", r"SELECT doc_id AS id, substr(v, 1, 200) AS value, substr(v, 1, 200) <> t AS changed, length(v) > 200 AS truncated, regexp_matches(t, '[\x00-\x1F\x7F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]') AS had_control, CASE WHEN regexp_matches(t, '[\x00-\x1F\x7F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]') THEN 'control' WHEN length(t) > 64 THEN 'too_long' WHEN trim(t) = '' THEN 'empty' END AS strict_error FROM (SELECT doc_id, t, trim(regexp_replace(regexp_replace(t, '[\x00-\x1F\x7F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS v FROM (SELECT doc_id, coalesce(substr(text, 1, 20 + doc_id % 100), '') AS t FROM documents UNION ALL SELECT -doc_id - 1, CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE text END FROM documents))")(
+query("text_safety", r"SELECT doc_id AS id, substr(v, 1, 200) AS value, substr(v, 1, 200) <> t AS changed, length(v) > 200 AS truncated, regexp_matches(t, "
+    r"'[\x00-\x1F\x7F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]') AS had_control, CASE WHEN regexp_matches(t, "
+    r"'[\x00-\x1F\x7F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]') THEN 'control' WHEN length(t) > 64 THEN 'too_long' WHEN trim(t) = '' THEN "
+    r"'empty' END AS strict_error FROM (SELECT doc_id, t, trim(regexp_replace(regexp_replace(t, "
+    r"'[\x00-\x1F\x7F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS v FROM (SELECT doc_id, "
+    r"coalesce(substr(text, 1, 20 + doc_id % 100), '') AS t FROM documents UNION ALL SELECT -doc_id - 1, CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE "
+    r"text END FROM documents))")(
     lambda t: records.text_safety(t.documents.selectExpr("doc_id AS id", "substr(text, 1, CAST(20 + doc_id % 100 AS INT)) AS text").union(t.documents.selectExpr("-doc_id - 1", "CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE text END")))
 )
-query("object_key", "SELECT job_id AS file_id, tenant::VARCHAR || '/' || job_id::VARCHAR || '/figure/' || substr(sha256(job_id::VARCHAR), 1, 2) || '/' || sha256(job_id::VARCHAR) || '.png' AS key FROM jobs")(lambda t: records.object_key(t.jobs.selectExpr("job_id AS file_id", "tenant", "job_id", "'figure' AS kind", "sha2(CAST(job_id AS STRING), 256) AS sha", "'png' AS ext")))
-query("file_manifest", "SELECT 'docs/' || doc_id::VARCHAR || '.txt' AS path, sha256(coalesce(text, '')) AS sha, octet_length(encode(coalesce(text, ''))) AS bytes FROM documents")(lambda t: records.file_manifest(t.documents.selectExpr("'docs/../' || doc_id || '.txt' AS path", "coalesce(text, '') AS content")))
+query("object_key", "SELECT job_id AS file_id, tenant::VARCHAR || '/' || job_id::VARCHAR || '/figure/' || substr(sha256(job_id::VARCHAR), 1, 2) || '/' || "
+    "sha256(job_id::VARCHAR) || '.png' AS key FROM jobs")(lambda t: records.object_key(t.jobs.selectExpr("job_id AS file_id", "tenant", "job_id", "'figure' AS kind", "sha2(CAST(job_id AS STRING), 256) AS sha", "'png' AS ext")))
+query("file_manifest", "SELECT 'docs/' || doc_id::VARCHAR || '.txt' AS path, sha256(coalesce(text, '')) AS sha, octet_length(encode(coalesce(text, ''))) AS bytes "
+    "FROM documents")(lambda t: records.file_manifest(t.documents.selectExpr("'docs/../' || doc_id || '.txt' AS path", "coalesce(text, '') AS content")))
 _IR = "concat('{\"components\": [{\"ref\": \"U', design_id, '\", \"value\": \"v\"}], \"nets\": [{\"name\": \"n\", \"endpoints\": [{\"ref\": \"U1\", \"pin\": \"1\"}]}]}')"
 _BROKEN = f"CASE design_id % 7 WHEN 0 THEN {_IR} WHEN 1 THEN concat('```json\n', {_IR}, '\n```') WHEN 2 THEN replace({_IR}, '\"v\"}}', '\"v\",}}') WHEN 3 THEN replace({_IR}, '\"components\"', 'components') WHEN 4 THEN replace({_IR}, '\"ref\":', '\"ref\"') WHEN 5 THEN left({_IR}, 40) ELSE '{{\"components\": []}}' END".replace("{{", "{").replace("}}", "}")
 
@@ -150,7 +184,8 @@ def _lenient(t) -> DataFrame:
     return ok.select("id", F.col("components")[0]["ref"].alias("ref"), F.size("nets").cast("long").alias("nets"), F.lit(True).alias("read")).unionByName(bad.select("id", F.lit(None).cast("string").alias("ref"), F.lit(0).cast("long").alias("nets"), F.lit(False).alias("read")))
 
 
-query("lenient_json", "SELECT DISTINCT design_id AS id, CASE WHEN design_id % 7 < 5 THEN 'U' || design_id::VARCHAR END AS ref, CAST(CASE WHEN design_id % 7 < 5 THEN 1 ELSE 0 END AS BIGINT) AS nets, design_id % 7 < 5 AS read FROM comps")(_lenient)
+query("lenient_json", "SELECT DISTINCT design_id AS id, CASE WHEN design_id % 7 < 5 THEN 'U' || design_id::VARCHAR END AS ref, CAST(CASE WHEN design_id % 7 < 5 "
+    "THEN 1 ELSE 0 END AS BIGINT) AS nets, design_id % 7 < 5 AS read FROM comps")(_lenient)
 
 
 def _written(t) -> DataFrame:
@@ -171,7 +206,8 @@ def _stream(t, df: DataFrame) -> DataFrame:
     return jobs.replay(t.spark, df, folder(t))
 
 
-query("stream_idempotent_jobs", "SELECT scope, count(*) AS jobs FROM (SELECT DISTINCT tenant, owner, operation, sha256(concat_ws(chr(0), tenant::VARCHAR, owner::VARCHAR, operation, doc::VARCHAR, key::VARCHAR)) AS scope FROM requests) GROUP BY 1")(
+query("stream_idempotent_jobs", "SELECT scope, count(*) AS jobs FROM (SELECT DISTINCT tenant, owner, operation, sha256(concat_ws(chr(0), tenant::VARCHAR, owner::VARCHAR, "
+    "operation, doc::VARCHAR, key::VARCHAR)) AS scope FROM requests) GROUP BY 1")(
     lambda t: jobs.run_to_end(jobs.stream_idempotent_jobs(_stream(t, t.requests), "3650 days"), folder(t)).groupBy("scope").agg(F.count("*").alias("jobs"))
 )
 def _lifecycle(t) -> DataFrame:
@@ -185,5 +221,7 @@ query("stream_lifecycle", LIFECYCLE_STREAM, LIFECYCLE)(_lifecycle)
 query("stream_ledger", LEDGER_SQL, LEDGER)(lambda t: jobs.run_to_end(jobs.stream_ledger(_stream(t, t.ledger)), folder(t), "principal", "update"))
 query(
     "stream_batches",
-    "SELECT design_id, net, count(*) AS n_endpoints, max(c) AS conf_pct, CAST(sum(c) AS BIGINT) AS sum_pct FROM (SELECT design_id, upper(trim(name)) AS net, ref, pin, arg_max(conf_pct, batch_no) AS c FROM (SELECT *, count(*) OVER (PARTITION BY design_id, batch_no, net_id) AS n FROM batch_eps WHERE trim(name) <> '') WHERE n >= 2 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2",
+    "SELECT design_id, net, count(*) AS n_endpoints, max(c) AS conf_pct, CAST(sum(c) AS BIGINT) AS sum_pct FROM (SELECT design_id, "
+        "upper(trim(name)) AS net, ref, pin, arg_max(conf_pct, batch_no) AS c FROM (SELECT *, count(*) OVER (PARTITION BY design_id, batch_no, "
+        "net_id) AS n FROM batch_eps WHERE trim(name) <> '') WHERE n >= 2 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2",
 )(lambda t: jobs.latest_nets(jobs.stream_batches(_stream(t, t.batch_eps.withColumn("ts", F.timestamp_seconds(F.lit(2) - F.col("batch_no")))), folder(t))))
