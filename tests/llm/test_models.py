@@ -256,7 +256,7 @@ def test_lm_turns():
     import numpy as np
 
     size = np.array([2, 1, 0, 3])
-    c = lm_mixing.Coded(np.cumsum(size) - size, size, *(np.arange(6, dtype=t) for t in (np.float32, np.uint32, np.uint8)), np.arange(4, dtype=np.int32) + 10, None, None)
+    c = lm_mixing.Coded(np.cumsum(size) - size, size, *(np.arange(6, dtype=t) for t in (np.float32, np.float32, np.uint32, np.uint8)), np.arange(4, dtype=np.int32) + 10, None, None)
     rng = np.random.default_rng(1)
     words = np.array([3, 40, 1, 17])
     ids = rng.integers(0, 4, words.sum())
