@@ -30,7 +30,7 @@ def test_references_are_repaired_everywhere(spark):
 def test_every_reason_of_the_gate(spark):
     base = {"n_comps": 10, "n_nets": 10, "n_refs": 9, "components": 1.0, "n_labels": 5, "nets": 1.0, "compared": 8, "mismatched": 0, "missing": 0, "extra": 0, "conflicts": 0, "unresolved": 0, "renames": 0, "pins": 1.0, "graph": 1.0}
     cases = [
-        ({}, "accepted", ""), ({"components": 0.5}, "rejected", "COMPONENT_COVERAGE_LOW"), ({"components": 0.5, "n_refs": 3}, "review", ""), ({"n_nets": 0}, "rejected", "VISIBLE_NETS_BUT_ZERO_RECONSTRUCTED"),
+        ({}, "accepted", ""), ({"components": 0.5}, "rejected", "COMPONENT_COVERAGE_LOW"), ({"components": 0.4, "n_refs": 3}, "review", ""), ({"n_nets": 0}, "rejected", "VISIBLE_NETS_BUT_ZERO_RECONSTRUCTED"),
         ({"nets": 0.69}, "rejected", "NAMED_NET_COVERAGE_LOW"), ({"nets": None}, "accepted", ""), ({"conflicts": 1}, "rejected", "KNOWN_PINMAP_CONFLICT"), ({"unresolved": 1}, "rejected", "KNOWN_PINMAP_EXTRA_PINS"),
         ({"renames": 1}, "review", ""), ({"mismatched": 1}, "review", ""), ({"missing": 2}, "review", ""), ({"n_refs": 0, "n_labels": 0, "components": None, "nets": None, "pins": None, "graph": 0.89}, "review", ""),
         ({"n_refs": 0, "n_labels": 0, "components": None, "nets": None, "pins": None, "graph": 0.9}, "accepted", ""), ({"graph": 0.0, "pins": 0.2}, "review", ""),
