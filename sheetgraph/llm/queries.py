@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetgraph.llm import chat, decontam, langid, lm_mixing, mixing, quality, simhash, topk, toxicity, url_filter
+from sheetgraph.llm import align, caps, chat, decontam, langid, lm_mixing, mixing, quality, simhash, topk, toxicity, trie, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk_search": topk.query,
         "op9_lm_scoring": lm_mixing.query,
         "op10_source_mixing": mixing.query,
+        "op11_prefix_trie": trie.query,
+        "op12_tokenizer_alignment": align.query,
+        "op13_spherical_caps": caps.query,
     }
 
 
@@ -30,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_chat_formatting": chat.ORACLE,
         "op8_topk_search": topk.ORACLE,
         "op10_source_mixing": mixing.ORACLE.format(docs="documents"),
+        "op11_prefix_trie": trie.ORACLE,
+        "op13_spherical_caps": caps.ORACLE,
     }
