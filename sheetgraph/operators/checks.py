@@ -1,18 +1,18 @@
 """Rule checks on netlists: interfaces, power rails, electrical and protocol rules.
 
 Rules read the context table of `netlist.endpoint_context` and return (design_id, code, severity, refs, nets), the last
-two as sorted text lists. Interfaces are (design_id, iface, type, role, net) with one row per net.
+two as sorted text lists. Protocol rules read one row an interface (`interface_facts`) and return (design_id, grp, iface, code,
+status, refs); `grp`, the interface's first net, tells interfaces of one name apart.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sheetgraph.functions.rx import first_of, matches
-from sheetgraph.operators.netlist import MAX_NETS
+from sheetgraph.functions.store import cut
 
 # Names of power and ground nets, references by kind, words that tell interfaces and roles.
 POWER_NAMES = r"^(GND|AGND|DGND|PGND|VSS|VEE|VBAT|VBUS|VIN|VCC|VDD|AVDD|DVDD|\+?[0-9.]+V[0-9A-Z_+-]*)$"
@@ -58,9 +58,22 @@ def issue(df: DataFrame, code: str, severity: str, refs: Column, nets: Column) -
     return df.select("design_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), refs.alias("refs"), nets.alias("nets"))
 
 
-def interface_type(ctx: DataFrame) -> DataFrame:
-    """(design_id, net_id, net, type) of nets that name an interface or power."""
-    nets = ctx.groupBy("design_id", "net_id", "net").agg(F.array_join(F.array_sort(F.collect_set("pin_name")), " ").alias("names"), F.bool_or(F.col("type").isin("power_in", "power_out")).alias("power"))
+def net_facts(ctx: DataFrame) -> DataFrame:
+    """One row a net with all that its rules read: names and references of its pins by kind, joined with commas or as sorted arrays."""
+    refs = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("ref"))))
+    has = lambda text: F.upper("pin_name").contains(text)
+    pin, out, into = F.concat_ws(".", "ref", "pin"), F.col("type") == "power_out", F.col("type") == "power_in"
+    return ctx.groupBy("design_id", "net_id", "net").agg(
+        F.array_join(F.array_sort(F.collect_set("pin_name")), " ").alias("names"), F.min("net_conf").alias("conf_pct"), F.bool_or(out | into).alias("power"),
+        listed(F.col("ref")).alias("refs"), refs(active()).alias("live"), F.count_if(drives()).alias("drivers"), refs(drives()).alias("driven"), refs(F.col("type") == "output").alias("outputs"),
+        F.count_if(has("TX")).alias("tx"), F.count_if(has("RX")).alias("rx"), refs(has("TX")).alias("tx_refs"), refs(has("RX")).alias("rx_refs"),
+        listed(F.when(out, pin)).alias("sources"), listed(F.when(into, pin)).alias("loads"), listed(F.when(into, F.col("ref"))).alias("load_refs"),
+        listed(F.when(matches(F.col("ref"), CONNECTOR_REF, True), pin)).alias("connectors"),
+    )
+
+
+def interface_type(nets: DataFrame) -> DataFrame:
+    """(design_id, net_id, net, names, type) of nets that name an interface or power; nets: net_facts."""
     text = F.upper(F.concat_ws(" ", "net", "names"))
     power = F.when(matches(F.upper("net"), POWER_NAMES) | F.col("power"), "POWER")
     return nets.select("design_id", "net_id", "net", "names", first_of(text, TYPE_RULES, power).alias("type")).where("type is not null")
@@ -75,80 +88,106 @@ def interface_role(types: DataFrame) -> DataFrame:
     return types.select("design_id", "net_id", "net", "type", role.otherwise(F.col("net")).alias("role"))
 
 
-def active_members(ctx: DataFrame) -> DataFrame:
+def active_members(nets: DataFrame) -> DataFrame:
     """Non-passive references of each net, sorted."""
-    return ctx.where(active()).groupBy("design_id", "net_id").agg(F.array_sort(F.collect_set("ref")).alias("members"))
-
-
-def interface_candidates(ctx: DataFrame) -> DataFrame:
-    roles = interface_role(interface_type(ctx).where("type <> 'POWER'"))
-    conf = ctx.groupBy("design_id", "net_id").agg(F.min("net_conf").alias("conf_pct"))
-    members = active_members(ctx)
-    out = roles.join(conf, ["design_id", "net_id"]).join(members, ["design_id", "net_id"], "left")
-    return out.withColumn("members", F.coalesce("members", F.array().cast("array<string>")))
-
-
-def _group_nets(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Groups of one design and type: nets of two or more members merge while their members overlap in two."""
-    if len(pdf) > MAX_NETS:
-        raise ValueError(f"over {MAX_NETS} nets of one type in a design: apply netlist.ir_caps first")
-    groups: list[dict] = []
-    pdf = pdf.sort_values("net_id")
-    for r in pdf.itertuples():
-        if len(r.members) >= 2:
-            groups.append({"members": set(r.members), "nets": [r.net_id], "conf": r.conf_pct})
-    merged = True
-    while merged:
-        merged, kept = False, []
-        for g in groups:
-            home = next((k for k in kept if len(k["members"] & g["members"]) >= 2), None)
-            if home is None:
-                kept.append(g)
-            else:
-                home["members"] |= g["members"]
-                home["nets"] += g["nets"]
-                home["conf"] = min(home["conf"], g["conf"])
-                merged = True
-        groups = kept
-    for r in pdf.itertuples():
-        if len(r.members) < 2:
-            home = next((g for g in groups if r.role in SIDEBAND and g["members"] & set(r.members)), None)
-            if home is None:
-                groups.append({"members": set(r.members), "nets": [r.net_id], "conf": r.conf_pct})
-            else:
-                home["nets"].append(r.net_id)
-                home["conf"] = min(home["conf"], r.conf_pct)
-    rows = [(pdf["design_id"].iat[0], pdf["type"].iat[0], f"{pdf['type'].iat[0]}:{','.join(sorted(g['members'])) or 'group%d' % i}", n, ",".join(sorted(g["members"])), g["conf"]) for i, g in enumerate(groups, 1) for n in g["nets"]]
-    return pd.DataFrame(rows, columns=["design_id", "type", "iface", "net_id", "members", "conf_pct"])
+    return nets.where(F.size("live") > 0).select("design_id", "net_id", F.col("live").alias("members"))
+
+
+def interface_candidates(nets: DataFrame) -> DataFrame:
+    roles = interface_role(interface_type(nets).where("type <> 'POWER'"))
+    return roles.join(nets.select("design_id", "net_id", "conf_pct", F.col("live").alias("members")), ["design_id", "net_id"])
+
+
+def _grown(strong: DataFrame) -> DataFrame:
+    """Groups of nets of one design and type whose members overlap in two, to a fixpoint: (grp, refs, nets).
+
+    A group is named by its smallest net. Nets of equal members are one group from the start. In each round every group
+    meets the others in the pairs of its members, hooks itself to the smallest group met, chains of hooks are followed to
+    their ends, and the grown groups pair anew, until no group meets a smaller one.
+    """
+    of = ["design_id", "type"]
+    alike = strong.groupBy(*of, F.array_sort("members").alias("refs")).agg(F.min("net_id").alias("grp"), F.collect_list("net_id").alias("nets"))
+    groups = cut(alike.select(*of, "grp", "refs", "nets"))
+    later = lambda i: F.slice("refs", i + 2, F.size("refs"))
+    pairs = F.flatten(F.transform("refs", lambda a, i: F.transform(later(i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    while True:
+        met = groups.select(*of, "grp", F.explode(pairs).alias("pair"))
+        low = met.groupBy(*of, "pair").agg(F.min("grp").alias("low"), F.count("*").alias("n")).where("n > 1")
+        hooks = cut(met.join(low, [*of, "pair"]).groupBy(*of, "grp").agg(F.min("low").alias("goes")).where("goes < grp"))
+        if hooks.isEmpty():
+            return groups
+        more = True
+        while more:  # two steps at a time
+            up = lambda n: hooks.select(*of, F.col("grp").alias("goes"), F.col("goes").alias(n))  # noqa: E731,B023
+            one = hooks.join(up("above"), [*of, "goes"], "left").select(*of, "grp", F.coalesce("above", "goes").alias("goes"), F.col("above").isNotNull().alias("went"))
+            two = one.join(up("above"), [*of, "goes"], "left").select(*of, "grp", F.coalesce("above", "goes").alias("goes"), "went", F.col("above").isNotNull().alias("again"))
+            hooks = cut(two)
+            more = not hooks.where("again").isEmpty()
+            hooks = hooks.select(*of, "grp", "goes")
+        moved = groups.join(hooks, [*of, "grp"], "left").select(*of, F.coalesce("goes", "grp").alias("grp"), "refs", "nets")
+        grown = moved.groupBy(*of, "grp").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("refs"), F.flatten(F.collect_list("nets")).alias("nets"))
+        groups = cut(grown)
 
 
 def interface_groups(candidates: DataFrame) -> DataFrame:
-    """(design_id, type, iface, net_id, members, conf_pct): interfaces grown to a fixpoint.
+    """(design_id, type, grp, iface, net_id, members, conf_pct): interfaces grown to a fixpoint, `grp` being their first net.
 
-    A design has a bounded number of nets (`netlist.MAX_NETS`, more raise an error), so one design and type is one small group.
+    Nets of two or more active members merge while members overlap in two. Of the others, those with a side-band role join the first
+    interface that has their member, or else the first of the nets that have the same member alone; each other one
+    stands for itself. Interfaces without members are named by their place in the design and type. Designs have no cap on nets:
+    grouping is joins on pairs of members; a group's members are one row.
+    """
+    of = ["design_id", "type"]
+    grown = _grown(candidates.where(F.size("members") >= 2))
+    refs, nets = grown.select(*of, "grp", "refs"), grown.select(*of, F.explode("nets").alias("net_id"), "grp")
+    homes = refs.select(*of, "grp", F.explode("refs").alias("m")).groupBy(*of, "m").agg(F.min("grp").alias("home"))
+    single = candidates.where(F.size("members") < 2).select(*of, "net_id", F.try_element_at("members", F.lit(1)).alias("m"), (F.col("role").isin(*SIDEBAND) & (F.size("members") == 1)).alias("side"))
+    weak = single.join(homes, of + ["m"], "left").withColumn("home", F.when(F.col("side"), F.col("home")))
+    leader = F.when(F.col("side"), F.min("net_id").over(W.partitionBy(*of, "m"))).otherwise(F.col("net_id"))
+    alone = weak.where("home is null").withColumn("grp", leader)
+    rows = nets.withColumn("weak", F.lit(False)).unionByName(weak.where("home is not null").select(*of, "net_id", F.col("home").alias("grp"), F.lit(False).alias("weak")))
+    rows = rows.unionByName(alone.select(*of, "net_id", "grp", F.lit(True).alias("weak")))
+    named = refs.unionByName(alone.where("grp = net_id").select(*of, "grp", F.array_compact(F.array("m")).alias("refs")))
+    members = F.array_join("refs", ",")
+    conf = rows.join(candidates.select(*of, "net_id", "conf_pct"), [*of, "net_id"]).groupBy(*of, "grp").agg(F.min("conf_pct").alias("conf_pct"), F.bool_or("weak").alias("weak"))
+    place = F.row_number().over(W.partitionBy(*of).orderBy("weak", "grp"))
+    groups = named.join(conf, [*of, "grp"]).withColumn("place", place)
+    iface = F.concat_ws(":", "type", F.when(members != "", members).otherwise(F.concat(F.lit("group"), F.col("place"))))
+    groups = groups.select(*of, "grp", iface.alias("iface"), members.alias("members"), "conf_pct")
+    return rows.join(groups, [*of, "grp"]).select("design_id", "type", "grp", "iface", "net_id", "members", "conf_pct")
+
+
+#: A row an interface: roles by the name of their column.
+ROLE_COLUMNS = {"SDA": "sda", "SCL": "scl", "MOSI": "mosi", "MISO": "miso", "SCK": "sck", "TX": "tx", "RX": "rx", "D+": "dp", "D-": "dm", "CC1": "cc1", "CC2": "cc2", "NRST": "nrst"}
+KEY = ["design_id", "grp", "iface"]
+
+
+def interface_facts(ifaces: DataFrame, nets: DataFrame) -> DataFrame:
+    """One row an interface with all that its rules read: members, roles, what its chip selects cover, and for each role the
+    first net (by net_id) with its active references, drivers and pins of the role's name.
+
+    ifaces: (design_id, grp, iface, type, members, net_id, role).
     """
-    out = "design_id long, type string, iface string, net_id long, members string, conf_pct long"
-    return candidates.groupBy("design_id", "type").applyInPandas(_group_nets, out)
+    rows = ifaces.join(nets.drop("net", "conf_pct"), ["design_id", "net_id"], "left")
+    fact = F.struct("net_id", "live", F.coalesce("drivers", F.lit(0)).alias("drivers"), "driven", "outputs", "tx", "rx", "tx_refs", "rx_refs")
+    firsts = [F.min(F.when(F.col("role") == role, fact)).alias(f"_{name}") for role, name in ROLE_COLUMNS.items()]
+    cs = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("role") == "CS", F.col("live")))))
+    out = rows.groupBy(*KEY, "type", "members").agg(F.collect_set("role").alias("roles"), F.count_if(F.col("role") == "CS").alias("cs"), cs.alias("selected"), *firsts)
+    out = out.withColumn("members", F.when(F.col("members") == "", F.array().cast("array<string>")).otherwise(F.split("members", ",")))
+    return out.withColumnsRenamed({f"_{name}": name for name in ROLE_COLUMNS.values()})
 
 
-def interface_complete(ifaces: DataFrame) -> DataFrame:
+def interface_complete(facts: DataFrame) -> DataFrame:
     """Expected roles an interface lacks."""
-    have = ifaces.groupBy("design_id", "iface", "type").agg(F.collect_set("role").alias("roles"))
     expected = F.element_at(F.create_map(*[x for k, v in EXPECTED.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("type"))
     missing = F.array_except(expected, "roles")
-    return have.select("design_id", "iface", "type", F.array_join(missing, ",").alias("missing"), (F.size(missing) == 0).alias("complete"))
+    return facts.select(*KEY, "type", F.array_join(missing, ",").alias("missing"), (F.size(missing) == 0).alias("complete"))
 
 
-def power_rails(ctx: DataFrame) -> DataFrame:
+def power_rails(nets: DataFrame) -> DataFrame:
     """Rails by name or by a power pin: sources, loads, connectors and whether it is ground."""
-    power = F.col("type").isin("power_in", "power_out")
-    pin = F.concat_ws(".", "ref", "pin")
-    rails = ctx.groupBy("design_id", "net_id", "net").agg(
-        F.bool_or(power).alias("power"), listed(F.when(F.col("type") == "power_out", pin)).alias("sources"), listed(F.when(F.col("type") == "power_in", pin)).alias("loads"),
-        listed(F.when(matches(F.col("ref"), CONNECTOR_REF, True), pin)).alias("connectors"), listed(F.when(F.col("type") == "power_in", F.col("ref"))).alias("load_refs"),
-    )
-    rails = rails.where(F.col("power") | matches(F.upper("net"), POWER_NAMES)).drop("power")
-    return rails.withColumn("ground", matches(F.upper("net"), GROUND_NAMES))
+    rails = nets.where(F.col("power") | matches(F.upper("net"), POWER_NAMES))
+    return rails.select("design_id", "net_id", "net", "sources", "loads", "connectors", "load_refs", matches(F.upper("net"), GROUND_NAMES).alias("ground"))
 
 
 def erc_nc_connected(ctx: DataFrame, ncs: DataFrame) -> DataFrame:
@@ -156,17 +195,16 @@ def erc_nc_connected(ctx: DataFrame, ncs: DataFrame) -> DataFrame:
     return issue(hit, "NC_CONNECTED", "error", F.col("ref"), F.col("net"))
 
 
-def erc_multi_driver(ctx: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+def erc_multi_driver(nets: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """Nets with several outputs, but for shared MISO nets (design_id, net_id)."""
-    many = ctx.where(drives()).groupBy("design_id", "net_id", "net").agg(F.count("*").alias("n"), listed(F.col("ref")).alias("refs")).where("n > 1")
+    many = nets.where("drivers > 1")
     if shared is not None:
         many = many.join(shared, ["design_id", "net_id"], "left_anti")
-    return issue(many, "MULTIPLE_DRIVERS", "error", F.col("refs"), F.col("net"))
+    return issue(many, "MULTIPLE_DRIVERS", "error", F.array_join("driven", ","), F.col("net"))
 
 
-def erc_low_conf_net(ctx: DataFrame) -> DataFrame:
-    low = ctx.where("net_conf < 65").groupBy("design_id", "net_id", "net").agg(listed(F.col("ref")).alias("refs"))
-    return issue(low, "LOW_CONFIDENCE_NET", "review", F.col("refs"), F.col("net"))
+def erc_low_conf_net(nets: DataFrame) -> DataFrame:
+    return issue(nets.where("conf_pct < 65"), "LOW_CONFIDENCE_NET", "review", F.col("refs"), F.col("net"))
 
 
 def erc_pin_multi_net(ctx: DataFrame) -> DataFrame:
@@ -192,124 +230,122 @@ def erc_iface_incomplete(complete: DataFrame) -> DataFrame:
     return issue(complete.where("not complete"), "INTERFACE_INCOMPLETE", "warning", F.col("iface"), F.col("missing"))
 
 
-def _role_nets(ifaces: DataFrame, types: list[str], roles: list[str]) -> DataFrame:
-    """The first net of each role of an interface."""
-    hit = ifaces.where(F.col("type").isin(types) & F.col("role").isin(roles))
-    return hit.groupBy("design_id", "iface", "type", "role").agg(F.min("net_id").alias("net_id"))
+def shared_miso(ifaces: DataFrame) -> DataFrame:
+    """(design_id, net_id) of master-in nets of SPI buses, which several outputs may drive in turn."""
+    return ifaces.where("type = 'SPI' and role = 'MISO'").select("design_id", "net_id").distinct()
+
+
+def finding(code: Column, status: Column, refs: Column | None = None) -> Column:
+    """A check's outcome; refs: those it names, the interface's members if none are given."""
+    return F.struct(code.alias("code"), status.alias("status"), F.array_join(F.coalesce(refs, F.array().cast("array<string>")) if refs is not None else F.col("members"), ",").alias("refs"))
+
+
+def _found(facts: DataFrame, kinds: list[str], *findings: Column) -> DataFrame:
+    """(design_id, grp, iface, code, status, refs) of the findings that are there."""
+    out = facts.where(F.col("type").isin(kinds)).select(*KEY, F.explode(F.array_compact(F.array(*findings))).alias("f"))
+    return out.select(*KEY, "f.code", "f.status", "f.refs")
 
 
-def proto_i2c_bias(ifaces: DataFrame, ctx: DataFrame, pins: DataFrame) -> DataFrame:
+def proto_i2c_bias(facts: DataFrame, ctx: DataFrame, pins: DataFrame) -> DataFrame:
     """Where the resistors on SDA and SCL lead: a supply (pass), ground (error), unknown (review), or no resistor (warning).
 
     The first resistor pin (by reference and number) whose other net is a supply or ground decides.
     """
-    lines = _role_nets(ifaces, ["I2C"], ["SDA", "SCL"])
+    line = lambda role: F.when(F.col(ROLE_COLUMNS[role]).isNotNull(), F.struct(F.lit(role).alias("role"), F.col(f"{ROLE_COLUMNS[role]}.net_id").alias("net_id")))
+    lines = facts.where("type = 'I2C'").select(*KEY, "members", F.explode(F.array_compact(F.array(line("SDA"), line("SCL")))).alias("l")).select(*KEY, "members", "l.role", "l.net_id")
     r = ctx.where(matches(F.col("ref"), RESISTOR_REF, True)).select("design_id", "net_id", "ref", "pin")
-    far = pins.select("design_id", "ref", F.col("number").alias("far_pin"))
-    other = ctx.groupBy("design_id", "ref", F.col("pin").alias("far_pin")).agg(F.min_by("net", "net_id").alias("far_net"))
-    legs = lines.join(r, ["design_id", "net_id"], "left").join(far, ["design_id", "ref"], "left").where("ref is null or far_pin <> pin")
-    legs = legs.join(other, ["design_id", "ref", "far_pin"], "left")
+    far = pins.where(matches(F.col("ref"), RESISTOR_REF, True)).select("design_id", "ref", F.col("number").alias("far_pin"))
+    other = ctx.where(matches(F.col("ref"), RESISTOR_REF, True)).groupBy("design_id", "ref", F.col("pin").alias("far_pin")).agg(F.min_by("net", "net_id").alias("far_net"))
+    legs = lines.join(r, ["design_id", "net_id"], "left").join(far.join(other, ["design_id", "ref", "far_pin"], "left"), ["design_id", "ref"], "left").where("ref is null or far_pin <> pin")
     kind = F.when(matches(F.upper("far_net"), GROUND_NAMES), "PULLDOWN").when(matches(F.upper("far_net"), BIAS_NAMES), "PULLUP_OK")
     order = F.when(kind.isNotNull(), F.concat_ws(":", "ref", "pin", F.lpad("far_pin", 6, "0")))
-    out = legs.withColumn("kind", kind).groupBy("design_id", "iface", "role").agg(F.min_by("kind", order).alias("kind"), F.count("ref").alias("n"))
+    out = legs.withColumn("kind", kind).groupBy(*KEY, "members", "role").agg(F.min_by("kind", order).alias("kind"), F.count("ref").alias("n"))
     kind = F.coalesce("kind", F.when(F.col("n") > 0, "BIAS_UNVERIFIED").otherwise("PULLUP_MISSING"))
     status = F.when(kind == "PULLUP_OK", "pass").when(kind == "PULLDOWN", "error").when(kind == "BIAS_UNVERIFIED", "review").otherwise("warning")
-    return out.select("design_id", "iface", F.concat(F.lit("I2C_"), F.col("role"), F.lit("_"), kind).alias("code"), status.alias("status"))
+    return out.select(*KEY, F.concat(F.lit("I2C_"), F.col("role"), F.lit("_"), kind).alias("code"), status.alias("status"), F.array_join("members", ",").alias("refs"))
 
 
-def proto_i2c_drive(ifaces: DataFrame, ctx: DataFrame) -> DataFrame:
-    hard = _role_nets(ifaces, ["I2C"], ["SDA", "SCL"]).join(ctx.where(F.col("type") == "output").select("design_id", "net_id", "ref"), ["design_id", "net_id"])
-    return hard.groupBy("design_id", "iface", "role").agg(listed(F.col("ref")).alias("refs")).select("design_id", "iface", F.concat(F.lit("I2C_"), F.col("role"), F.lit("_DRIVE_TYPE")).alias("code"), F.lit("review").alias("status"), "refs")
+def proto_i2c_drive(facts: DataFrame) -> DataFrame:
+    """Push-pull outputs on the lines of an open-drain bus."""
+    hard = lambda name: F.col(f"{name}.outputs")
+    return _found(facts, ["I2C"], *(F.when(F.size(hard(n)) > 0, finding(F.lit(f"I2C_{n.upper()}_DRIVE_TYPE"), F.lit("review"), hard(n))) for n in ("sda", "scl")))
 
 
-def _drivers(ctx: DataFrame) -> DataFrame:
-    return ctx.where(drives()).groupBy("design_id", "net_id").agg(F.count("*").alias("n"))
+def proto_spi_driver(facts: DataFrame) -> DataFrame:
+    """Clock and master-out have one driver."""
 
+    def one(role: str) -> Column:
+        net, n = F.col(role), F.col(f"{role}.drivers")
+        code = F.concat(F.lit(f"SPI_{role.upper()}_"), F.when(n == 1, "DRIVER_OK").when(n == 0, "NO_DRIVER").otherwise("MULTI_DRIVER"))
+        return F.when(net.isNotNull(), finding(code, F.when(n == 1, "pass").when(n == 0, "review").otherwise("error"), F.when(n > 1, F.col(f"{role}.driven")).otherwise(F.col("members"))))
 
-def proto_spi_driver(ifaces: DataFrame, ctx: DataFrame) -> DataFrame:
-    out = _role_nets(ifaces, ["SPI"], ["SCK", "MOSI"]).join(_drivers(ctx), ["design_id", "net_id"], "left").na.fill(0, ["n"])
-    kind = F.when(F.col("n") == 1, "DRIVER_OK").when(F.col("n") == 0, "NO_DRIVER").otherwise("MULTI_DRIVER")
-    status = F.when(F.col("n") == 1, "pass").when(F.col("n") == 0, "review").otherwise("error")
-    return out.select("design_id", "iface", F.concat(F.lit("SPI_"), F.col("role"), F.lit("_"), kind).alias("code"), status.alias("status"))
+    return _found(facts, ["SPI"], one("sck"), one("mosi"))
 
 
-def proto_spi_miso(ifaces: DataFrame, ctx: DataFrame) -> DataFrame:
-    cs = ifaces.where("type = 'SPI' and role = 'CS'").groupBy("design_id", "iface").agg(F.count("*").alias("cs"))
-    out = _role_nets(ifaces, ["SPI"], ["MISO"]).join(_drivers(ctx), ["design_id", "net_id"]).join(cs, ["design_id", "iface"], "left")
-    status = F.when(F.col("n") == 1, "pass").when(F.col("cs").isNotNull(), "review").otherwise("warning")
-    return out.select("design_id", "iface", F.when(F.col("n") == 1, "SPI_MISO_DRIVER_OK").otherwise("SPI_MISO_SHARED_DRIVERS").alias("code"), status.alias("status"))
+def proto_spi_miso(facts: DataFrame) -> DataFrame:
+    """Several drivers of master-in need chip selects."""
+    n = F.col("miso.drivers")
+    shared = finding(F.lit("SPI_MISO_SHARED_DRIVERS"), F.when(F.col("cs") > 0, "review").otherwise("warning"), F.col("miso.driven"))
+    return _found(facts, ["SPI"], F.when(n > 1, shared).when(n == 1, finding(F.lit("SPI_MISO_DRIVER_OK"), F.lit("pass"))))
 
 
-def proto_spi_cs(ifaces: DataFrame, ctx: DataFrame) -> DataFrame:
+def proto_spi_cs(facts: DataFrame) -> DataFrame:
     """Members beyond bus drivers and connectors that no CS net covers, in interfaces of more than two members."""
-    spi = ifaces.where("type = 'SPI'").select("design_id", "iface", "role", "net_id")
-    live = ctx.where(active()).select("design_id", "net_id", "ref", "type")
-    on = spi.join(live, ["design_id", "net_id"])
-    members = on.select("design_id", "iface", "ref").distinct()
-    size = members.groupBy("design_id", "iface").agg(F.count("*").alias("size")).where("size > 2").drop("size")
-    bus = _role_nets(ifaces, ["SPI"], ["SCK", "MOSI"]).join(ctx.where(drives()).select("design_id", "net_id", "ref"), ["design_id", "net_id"]).select("design_id", "iface", "ref")
-    covered = on.where("role = 'CS'").select("design_id", "iface", "ref")
-    missing = members.join(size, ["design_id", "iface"], "left_semi").where(~matches(F.col("ref"), CONNECTOR_REF, True))
-    missing = missing.join(bus, ["design_id", "iface", "ref"], "left_anti").join(covered, ["design_id", "iface", "ref"], "left_anti")
-    return missing.groupBy("design_id", "iface").agg(listed(F.col("ref")).alias("refs")).select("design_id", "iface", F.lit("SPI_CS_COVERAGE").alias("code"), F.lit("review").alias("status"), "refs")
+    nothing = F.array().cast("array<string>")
+    slaves = F.filter(F.array_except(F.array_except("members", F.coalesce("sck.driven", nothing)), F.coalesce("mosi.driven", nothing)), lambda r: ~matches(r, CONNECTOR_REF, True))
+    missing = F.array_except(slaves, "selected")
+    return _found(facts, ["SPI"], F.when((F.size("members") > 2) & (F.size(missing) > 0), finding(F.lit("SPI_CS_COVERAGE"), F.lit("review"), missing)))
 
 
-def _member_sets(lines: DataFrame, ctx: DataFrame) -> DataFrame:
-    live = active_members(ctx).select("design_id", "net_id", F.array_join("members", ",").alias("set"), F.size("members").alias("size"))
-    return lines.join(live, ["design_id", "net_id"], "left").na.fill({"set": "", "size": 0})
+def _pair(a: str, b: str, ok: str, bad: str) -> Column:
+    """Whether the nets of two roles have the same active devices."""
+    same = F.coalesce(f"{a}.live", F.array().cast("array<string>")) == F.coalesce(f"{b}.live", F.array().cast("array<string>"))
+    return F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), finding(F.when(same, ok).otherwise(bad), F.when(same, "pass").otherwise("warning")))
 
 
-def _pair(sets: DataFrame, a: str, b: str, ok: str, bad: str) -> DataFrame:
-    both = sets.groupBy("design_id", "iface").agg(F.max(F.when(F.col("role") == a, F.col("set"))).alias("a"), F.max(F.when(F.col("role") == b, F.col("set"))).alias("b")).where("a is not null and b is not null")
-    same = F.col("a") == F.col("b")
-    return both.select("design_id", "iface", F.when(same, ok).otherwise(bad).alias("code"), F.when(same, "pass").otherwise("warning").alias("status"))
-
-
-def proto_uart(ifaces: DataFrame, ctx: DataFrame) -> DataFrame:
+def proto_uart(facts: DataFrame) -> DataFrame:
     """Same-named pins meeting, more than two devices on a line, and whether TX and RX have the same devices."""
-    lines = _role_nets(ifaces, ["UART"], ["TX", "RX"])
-    named = lines.join(ctx.select("design_id", "net_id", "pin_name"), ["design_id", "net_id"]).where(F.upper("pin_name").contains(F.col("role")))
-    same = named.groupBy("design_id", "iface", "role").agg(F.count("*").alias("n")).where("n >= 2")
-    same = same.select("design_id", "iface", F.concat(F.lit("UART_"), F.col("role"), F.lit("_"), F.col("role")).alias("code"), F.lit("warning").alias("status"))
-    sets = _member_sets(lines, ctx)
-    many = sets.where("size > 2").select("design_id", "iface", F.lit("UART_MULTIDROP").alias("code"), F.lit("review").alias("status"))
-    return same.union(many).union(_pair(sets, "TX", "RX", "UART_PAIR_OK", "UART_PAIR_MEMBER_MISMATCH"))
+    same = [F.when(F.col(f"{r}.{r}") >= 2, finding(F.lit(f"UART_{r.upper()}_{r.upper()}"), F.lit("warning"), F.col(f"{r}.{r}_refs"))) for r in ("tx", "rx")]
+    many = [F.when(F.size(f"{r}.live") > 2, finding(F.lit("UART_MULTIDROP"), F.lit("review"), F.col(f"{r}.live"))) for r in ("tx", "rx")]
+    return _found(facts, ["UART"], *same, *many, _pair("tx", "rx", "UART_PAIR_OK", "UART_PAIR_MEMBER_MISMATCH"))
 
 
-def proto_usb_pair(ifaces: DataFrame, ctx: DataFrame) -> DataFrame:
-    sets = _member_sets(_role_nets(ifaces, ["USB"], ["D+", "D-"]), ctx)
-    return _pair(sets, "D+", "D-", "USB_DIFF_PAIR_ENDPOINTS_OK", "USB_DIFF_PAIR_ENDPOINT_MISMATCH")
+def proto_usb_pair(facts: DataFrame) -> DataFrame:
+    return _found(facts, ["USB"], _pair("dp", "dm", "USB_DIFF_PAIR_ENDPOINTS_OK", "USB_DIFF_PAIR_ENDPOINT_MISMATCH"))
 
 
-def proto_usb_c_cc(ifaces: DataFrame, ctx: DataFrame, comps: DataFrame) -> DataFrame:
+def proto_usb_c_cc(facts: DataFrame, comps: DataFrame) -> DataFrame:
     """Interfaces with a USB-C looking member need both CC1 and CC2."""
-    usb = ifaces.where("type = 'USB'")
-    looks = comps.where(matches(F.col("value"), "USB.?C|TYPE.?C", True)).select("design_id", "ref")
-    member = usb.select("design_id", "iface", "net_id").join(ctx.where(active()).select("design_id", "net_id", "ref"), ["design_id", "net_id"]).join(looks, ["design_id", "ref"], "left_semi")
-    typed = member.groupBy("design_id", "iface").agg(listed(F.col("ref")).alias("refs"))
-    roles = usb.groupBy("design_id", "iface").agg(F.count_distinct(F.when(F.col("role").isin("CC1", "CC2"), F.col("role"))).alias("cc"))
-    both = F.col("cc") == 2
-    return typed.join(roles, ["design_id", "iface"]).select("design_id", "iface", F.when(both, "USB_C_CC_PRESENT").otherwise("USB_C_CC_INCOMPLETE").alias("code"), F.when(both, "pass").otherwise("warning").alias("status"), "refs")
+    looks = comps.where(matches(F.col("value"), "USB.?C|TYPE.?C", True)).select("design_id", "ref").distinct()
+    both = F.col("cc1").isNotNull() & F.col("cc2").isNotNull()
+    member = facts.where("type = 'USB'").select(*KEY, both.alias("both"), F.explode("members").alias("ref")).join(looks, ["design_id", "ref"], "left_semi")
+    out = member.groupBy(*KEY, "both").agg(listed(F.col("ref")).alias("refs"))
+    return out.select(*KEY, F.when(F.col("both"), "USB_C_CC_PRESENT").otherwise("USB_C_CC_INCOMPLETE").alias("code"), F.when(F.col("both"), "pass").otherwise("warning").alias("status"), "refs")
 
 
-def proto_debug(ifaces: DataFrame, ctx: DataFrame) -> DataFrame:
+def proto_debug(facts: DataFrame, ctx: DataFrame) -> DataFrame:
     """Debug interfaces with a connector: a shared ground, a target voltage, and a reset line for SWD."""
-    debug = ifaces.where(F.col("type").isin("SWD", "JTAG"))
-    live = ctx.where(active()).select("design_id", "net_id", "ref", "net")
-    members = debug.join(live.drop("net"), ["design_id", "net_id"]).select("design_id", "iface", "type", "ref").distinct()
-    wired = members.groupBy("design_id", "iface", "type").agg(F.count("*").alias("size"), F.bool_or(matches(F.col("ref"), CONNECTOR_REF, True)).alias("plug")).where("plug")
-    on = members.join(live.distinct(), ["design_id", "ref"]).groupBy("design_id", "iface", "net_id", "net").agg(F.count_distinct("ref").alias("hits"))
-    on = on.join(wired, ["design_id", "iface"]).where("hits >= least(2, size)")
+    wired = facts.where(F.col("type").isin("SWD", "JTAG") & F.exists("members", lambda r: matches(r, CONNECTOR_REF, True)))
     name = F.upper("net")
-    found = on.groupBy("design_id", "iface").agg(F.bool_or(matches(name, GROUND_NAMES)).alias("gnd"), F.bool_or(matches(name, TARGET_NAMES)).alias("vref"))
-    reset = debug.groupBy("design_id", "iface").agg(F.bool_or(F.col("role") == "NRST").alias("nrst"))
-    out = wired.join(found, ["design_id", "iface"], "left").join(reset, ["design_id", "iface"]).na.fill(False, ["gnd", "vref"])
+    rails = ctx.where((matches(name, GROUND_NAMES) | matches(name, TARGET_NAMES)) & active()).select("design_id", "ref", "net_id", "net").distinct()
+    on = wired.select(*KEY, F.size("members").alias("size"), F.explode("members").alias("ref")).join(rails, ["design_id", "ref"])
+    on = on.groupBy(*KEY, "size", "net_id", "net").agg(F.count("*").alias("hits")).where("hits >= least(2, size)")
+    found = on.groupBy(*KEY).agg(F.bool_or(matches(name, GROUND_NAMES)).alias("gnd"), F.bool_or(matches(name, TARGET_NAMES)).alias("vref"))
+    out = wired.join(found, KEY, "left").na.fill(False, ["gnd", "vref"])
     t = F.col("type")
-    row = lambda code, status: F.struct(code.alias("code"), status.alias("status"))
-    ground = row(F.concat(t, F.when(F.col("gnd"), "_GND_OK").otherwise("_GND_MISSING")), F.when(F.col("gnd"), "pass").otherwise("warning"))
-    voltage = row(F.concat(t, F.when(F.col("vref"), "_VTREF_OK").otherwise("_VTREF_MISSING")), F.when(F.col("vref"), "pass").otherwise("review"))
-    optional = F.when((t == "SWD") & ~F.col("nrst"), row(F.lit("SWD_NRST_OPTIONAL"), F.lit("review")))
-    return out.select("design_id", "iface", F.explode(F.array_compact(F.array(ground, voltage, optional))).alias("c")).select("design_id", "iface", "c.code", "c.status")
+    ground = finding(F.concat(t, F.when(F.col("gnd"), "_GND_OK").otherwise("_GND_MISSING")), F.when(F.col("gnd"), "pass").otherwise("warning"))
+    voltage = finding(F.concat(t, F.when(F.col("vref"), "_VTREF_OK").otherwise("_VTREF_MISSING")), F.when(F.col("vref"), "pass").otherwise("review"))
+    optional = F.when((t == "SWD") & F.col("nrst").isNull(), finding(F.lit("SWD_NRST_OPTIONAL"), F.lit("review")))
+    return _found(out, ["SWD", "JTAG"], ground, voltage, optional)
+
+
+def protocol_checks(facts: DataFrame, ctx: DataFrame, pins: DataFrame, comps: DataFrame) -> DataFrame:
+    """All protocol rules over every interface."""
+    parts = [proto_i2c_bias(facts, ctx, pins), proto_i2c_drive(facts), proto_spi_driver(facts), proto_spi_miso(facts), proto_spi_cs(facts), proto_uart(facts), proto_usb_pair(facts), proto_usb_c_cc(facts, comps), proto_debug(facts, ctx)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 RANK = ("pass", "review", "warning", "error")
@@ -319,7 +355,20 @@ def proto_summary(checks: DataFrame) -> DataFrame:
     """Checks per status and the worst status of each interface."""
     rank = F.array_position(F.array(*map(F.lit, RANK)), F.col("status"))
     counts = [F.count_if(F.col("status") == s).alias(s) for s in RANK]
-    return checks.groupBy("design_id", "iface").agg(*counts, F.max_by("status", rank).alias("worst"))
+    return checks.groupBy(*KEY).agg(*counts, F.max_by("status", rank).alias("worst"))
+
+
+def all_issues(ctx: DataFrame, nets: DataFrame, ncs: DataFrame, pins: DataFrame, endpoints: DataFrame, comps: DataFrame, ifaces: DataFrame, facts: DataFrame) -> DataFrame:
+    """(design_id, code, severity) of every rule: graph, power and protocol."""
+    found = [
+        erc_nc_connected(ctx, ncs), erc_multi_driver(nets, shared_miso(ifaces)), erc_low_conf_net(nets), erc_pin_multi_net(ctx), erc_unconnected(pins, endpoints, ncs),
+        erc_power_source(power_rails(nets)), erc_iface_incomplete(interface_complete(facts)),
+        protocol_checks(facts, ctx, pins, comps).where("status <> 'pass'").withColumnRenamed("status", "severity"),
+    ]
+    out = found[0].select("design_id", "code", "severity")
+    for f in found[1:]:
+        out = out.union(f.select("design_id", "code", "severity"))
+    return out
 
 
 def health_score(issues: DataFrame, nets: DataFrame, comps: DataFrame) -> DataFrame:

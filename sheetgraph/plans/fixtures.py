@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.storagelevel import StorageLevel
+
+from sheetgraph.functions.store import cut, remove
 
 
 def pick(index: str, *names: str) -> str:
@@ -151,33 +152,48 @@ def duck_sql(sql: str, extra: dict[str, str] | None = None) -> str:
     return f"WITH {with_}\n{sql}" if with_ else sql
 
 
-#: Views that many queries of one session read: made once, kept by design in memory and on disk, and made again where lost.
+#: Views that many queries of one session read: made once, written by design to the shared folder, so their plans end there.
 KEPT = ("eps", "comps", "pins", "nets", "ncs")
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], tuple[int, DataFrame]] = {}
+
+
+def stamp(spark: SparkSession, sf_dir: str) -> int:
+    """What changes when a table is written again: a hash of its files' names, sizes and times."""
+    seen = []
+    for name in BASE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for f in fs.listStatus(path) if fs.exists(path) else ():
+            seen.append((f.getPath().getName(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(seen)))
 
 
-def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table by design, made once a session and folder."""
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], now: int) -> DataFrame:
+    """A table by design, made once a session, folder and content."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _kept:
-        _kept[key] = make().repartition("design_id").persist(StorageLevel.MEMORY_AND_DISK)
-    return _kept[key]
+    if key not in _kept or _kept[key][0] != now:
+        if key in _kept:
+            remove(_kept.pop(key)[1])
+        _kept[key] = now, cut(make().repartition("design_id"))
+    return _kept[key][1]
 
 
 def release() -> None:
-    """Let go of all kept tables."""
+    """Delete all kept tables."""
     while _kept:
-        _kept.popitem()[1].unpersist()
+        remove(_kept.popitem()[1][1])
 
 
 class Tables:
     """The views as DataFrames, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._stamp = spark, sf_dir, None
 
     def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        return kept(self.spark, self.sf_dir, name, make)
+        if self._stamp is None:
+            self._stamp = stamp(self.spark, self.sf_dir)
+        return kept(self.spark, self.sf_dir, name, make, self._stamp)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:

@@ -163,14 +163,14 @@ SELECT design_id, 'N$' || i::VARCHAR AS net, split_part(e, '|', 1) AS ref, split
 
 # Interfaces: nets of one type merge while their members overlap in two; nets of one member attach by their roles
 GROUPED = {
-    "cand": "SELECT r.design_id, r.type, r.net_id, r.role, c.conf, coalesce(m.members, []) AS members FROM roled r JOIN (SELECT design_id, net_id, "
+    "icand": "SELECT r.design_id, r.type, r.net_id, r.role, c.conf, coalesce(m.members, []) AS members FROM roled r JOIN (SELECT design_id, net_id, "
         "min(net_conf) AS conf FROM ctx GROUP BY 1, 2) c ON c.design_id = r.design_id AND c.net_id = r.net_id"
     " LEFT JOIN (SELECT design_id, net_id, list(DISTINCT ref ORDER BY ref) AS members FROM live GROUP BY 1, 2) m ON m.design_id = r.design_id AND "
         "m.net_id = r.net_id WHERE r.type <> 'POWER'",
     "grouped": """
 SELECT design_id, type, arg_max(g, step) AS g FROM (
   WITH RECURSIVE f AS (
-    SELECT design_id, type, 0 AS step, list({'m': members, 'nets': [net_id], 'conf': conf} ORDER BY net_id) AS g FROM cand WHERE len(members) >= 2 GROUP BY 1, 2
+    SELECT design_id, type, 0 AS step, list({'m': members, 'nets': [net_id], 'conf': conf} ORDER BY net_id) AS g FROM icand WHERE len(members) >= 2 GROUP BY 1, 2
     UNION ALL
     SELECT design_id, type, step + 1, list_filter(list_transform(g, lambda x, k: CASE WHEN k = p.i THEN {'m': list_distinct(list_concat(g[p.i].m, g[p.j].m)), 'nets': list_concat(g[p.i].nets, g[p.j].nets), 'conf': least(g[p.i].conf, g[p.j].conf)} ELSE x END), lambda x, k: k <> p.j)
     FROM f, LATERAL (SELECT list_filter(flatten(list_transform(range(1, len(g) + 1), lambda i: list_transform(range(i + 1, len(g) + 1), lambda j: {'i': i, 'j': j}))), lambda q: len(list_intersect(g[q.i].m, g[q.j].m)) >= 2)[1] AS p) z WHERE p IS NOT NULL)
@@ -178,7 +178,7 @@ SELECT design_id, type, arg_max(g, step) AS g FROM (
     "merged": "SELECT design_id, type, i, g[i].m AS m, g[i].nets AS nets, g[i].conf AS conf FROM (SELECT design_id, type, g, unnest(range(1, len(g) + 1)) "
         "AS i FROM grouped)",
     "single": "SELECT c.design_id, c.type, c.net_id, c.conf, c.members[1] AS m, c.role IN ('CC1', 'CC2', 'NRST', 'SWO', 'CS') AS side, min(g.i) AS home "
-        "FROM cand c LEFT JOIN merged g ON g.design_id = c.design_id AND g.type = c.type"
+        "FROM icand c LEFT JOIN merged g ON g.design_id = c.design_id AND g.type = c.type"
     " AND c.role IN ('CC1', 'CC2', 'NRST', 'SWO', 'CS') AND list_contains(g.m, c.members[1]) WHERE len(c.members) < 2 GROUP BY ALL",
     "alone": "SELECT *, CASE WHEN side AND m IS NOT NULL THEN min(net_id) OVER (PARTITION BY design_id, type, m ORDER BY net_id) ELSE net_id END AS leader "
         "FROM single WHERE home IS NULL",

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetgraph.functions.store import shared_folder
 from sheetgraph.operators import cleaning, folds, geometry, layout, raster
 from sheetgraph.operators.netlist import focus_batches
 from sheetgraph.plans.cleaning import V as CV
@@ -23,11 +22,7 @@ FIELDS = list(cleaning.FIELDS)
 
 def folder(t) -> str:
     """Where a query writes what it reads again: the session's shared folder."""
-    sc = t.spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named is None and sc.master.split("[")[0] != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return named or tempfile.mkdtemp(prefix="sheetgraph-")
+    return shared_folder(t.spark)
 
 
 def _norm(t) -> DataFrame:

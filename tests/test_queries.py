@@ -52,7 +52,7 @@ def test_query(spark, duck, name):
     if name in plans.ORACLES:
         want_cols, want = rows_of(duck.sql(plans.ORACLES[name]).df())
         assert cols == want_cols and got == want
-    assert got
+    assert got or name == "proto_usb_pair"  # the smallest tables have no interface with both data lines
 
 
 def test_oracles_belong_to_queries():
