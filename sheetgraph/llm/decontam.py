@@ -6,7 +6,8 @@ fill a bitmap of fixed size, which is broadcast; training documents are hashed i
 is set go on, gathered into regions of nearby windows. Their hashes join the test hashes; each hit names an item and
 an alignment. A hit is verified on the tokens around it: on that alignment, some stretch of at least MIN_TOKENS tokens
 (or the whole item, if it is shorter) that begins and ends with equal tokens must agree in at least SIMILARITY of
-its tokens. Insertions change the alignment, and either side of one is verified by itself.
+its tokens. A stretch reaches to the ends of the item or of the document's region, which ends where GAP tokens pass without
+a hit. Insertions change the alignment, and either side of one is verified by itself.
 
 Items of fewer than MIN_TOKENS tokens have masks of their own, for each such length that the test set has: the whole
 item where no substitution is tolerated, else the unions of all but as many segments of it as substitutions are, so
@@ -115,18 +116,26 @@ def window_hashes(tokens: np.ndarray, mask: tuple[int, ...], number: int) -> np.
 
 
 def agrees(a: np.ndarray, b: np.ndarray, shift: int, at: int) -> int:
-    """The most tokens of a stretch of b around position `at` that agrees with a[i + shift] well enough, else 0."""
-    lo, hi = max(0, -shift, at - GAP), min(len(b), len(a) - shift, at + SPAN + GAP)
+    """The most tokens of a stretch of b over position `at` that agrees with a[i + shift] well enough, else 0.
+
+    The stretch may reach as far as both go. With one more for an equal token and SIMILARITY less for every token, a stretch is
+    good if its sum is not below zero; of beginnings only those with a lower sum than all before, of ends the last one
+    high enough matter, so it is one search over running sums.
+    """
+    lo, hi = max(0, -shift), min(len(b), len(a) - shift)
     same = a[lo + shift : hi + shift] == b[lo:hi]
     hits = np.flatnonzero(same)
     if not len(hits):
         return 0
-    need = min(MIN_TOKENS, len(b))
-    seen = np.concatenate([[0], np.cumsum(same)])
+    sums = np.concatenate([[0], np.cumsum(1000 * same - round(1000 * SIMILARITY))])
     first, last = hits[hits <= at - lo + SPAN], hits[hits >= at - lo]
-    length = last[None, :] - first[:, None] + 1
-    good = (length >= need) & (seen[last + 1][None, :] - seen[first][:, None] >= SIMILARITY * length)
-    return int(length[good].max()) if good.any() else 0
+    if not len(first) or not len(last):
+        return 0
+    highest = np.maximum.accumulate(sums[last + 1][::-1])[::-1]  # of this end and all later ones
+    end = len(last) - np.searchsorted(highest[::-1], sums[first], side="left") - 1
+    found = end >= 0
+    length = (last[end] - first + 1)[found]
+    return int(length[length >= min(MIN_TOKENS, len(b))].max(initial=0))
 
 
 def _lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

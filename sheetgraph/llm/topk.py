@@ -13,8 +13,9 @@ Queries meet vectors in blocks of bounded size (a stated query set against all r
 Vectors of like width share blocks, and wider ones have fewer rows a block.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor rows without an id;
-shorter vectors count as padded with zeros; components are held to +-LIMIT, which keeps scores exact; a query's own rows are all rows of its id; repeated rows of an id are candidates each but one
-query; ties go to the smaller id; fewer than k other rows give fewer results; empty tables give an empty result.
+shorter vectors count as padded with zeros; scores are exact whatever the components' size: where a block's products might
+pass 63 bits they are summed as whole numbers without a bound, and a result beyond the long range raises an error, as does a
+component of 2^62 or more after scaling; a query's own rows are all rows of its id; repeated rows of an id are candidates each but one query; ties go to the smaller id; fewer than k other rows give fewer results; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -37,16 +38,16 @@ BLOCK = 16_384
 QUERY_BLOCK = 4096
 #: Vectors of up to this width have BLOCK rows a block; from there on, rows times width stay below their product.
 WIDE = 1024
-#: Integer components are held to this: inner products of up to 2^14 components fit in a long.
-LIMIT = 1 << 24
+#: Components from here on have no integer form.
+LIMIT = 1 << 62
 #: A query stops for a block when this share of its rows, or fewer, may still be members.
 POSSIBLE = 0.05
 OUT = "query_id long, vec_id long, score long"
 
 
 def quantised(embedding: Column) -> Column:
-    most = F.lit(float(LIMIT))
-    return F.transform(embedding, lambda x: F.floor(F.least(most, F.greatest(-most, F.lit(SCALE) * x.cast("double")))))
+    scaled = lambda x: F.lit(SCALE) * x.cast("double")
+    return F.transform(embedding, lambda x: F.when(F.abs(scaled(x)) < float(LIMIT), F.floor(scaled(x))).otherwise(F.raise_error(F.lit("a component is beyond the long range"))))
 
 
 def finite(embedding: Column) -> Column:
@@ -61,6 +62,15 @@ def matrix(vectors: pd.Series, dims: int) -> np.ndarray:
     return out
 
 
+def exact_scores(vectors: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of the rows by whole numbers without a bound, and their scores."""
+    scores = vectors[rows].astype(object) @ q.astype(object)
+    best = sorted(range(len(rows)), key=lambda i: (-scores[i], ids[rows[i]]))[:k]
+    if any(not -(1 << 63) <= scores[i] < 1 << 63 for i in best):
+        raise OverflowError("a score is beyond the long range")
+    return rows[best], np.array([int(scores[i]) for i in best], np.int64)
+
+
 class Index:
     """Posting segments of a block of vectors."""
 
@@ -135,9 +145,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         if vs.empty or qs.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         dims = max(vs["v"].map(len).max(), 1)  # beyond it every product is zero
-        index, ids = Index(matrix(vs["v"], dims)), vs["vec_id"].to_numpy()
-        out = []
+        all_rows, ids = matrix(vs["v"], dims), vs["vec_id"].to_numpy()
+        largest, index, out = np.abs(all_rows).max(0).astype(np.float64), None, []
         for qid, q in zip(qs["query_id"], matrix(qs["q"], dims), strict=True):
+            if largest @ np.abs(q.astype(np.float64)) >= 2.0**60:  # sums of products may pass 63 bits
+                rows, scores = exact_scores(all_rows, q, np.flatnonzero(ids != qid), ids, k)
+                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[rows], "score": scores}))
+                continue
+            index = index or Index(all_rows)
             rows, scores = index.possible(q, k, ids == qid)
             best = np.lexsort((ids[rows], -scores))[:k]
             out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[rows[best]], "score": scores[best]}))

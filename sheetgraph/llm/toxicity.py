@@ -33,8 +33,7 @@ from sheetgraph.llm.labelled import sample
 FIT_TOXIC = 4_000
 FIT_CLEAN = 8_000
 THRESHOLD = 0.3
-#: Entries of the learnt lexicon, the least share of toxic documents that has one, and the least log odds.
-ENTRIES = 3_000
+#: The least share of the sample's toxic documents that has an entry of the learnt lexicon, and the least log odds.
 SUPPORT = 0.004
 LOG_ODDS = 2.0
 STRONG = 4.0
@@ -119,8 +118,8 @@ def features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
 def learn_entries(docs: DataFrame) -> tuple[Lexicon, Lexicon, Lexicon]:
     """Lexicons of half 0, of half 1 and of both, from (text, y, half).
 
-    First the entries frequent enough in toxic documents (at most a bounded number comes to the driver), then how
-    often they are in the others.
+    First the entries frequent enough in the sample's toxic documents (as the sample is bounded, so are they), then how
+    often they are in the others. Every entry of the least odds is kept.
     """
     n = {(r["half"], r["y"]): r["n"] for r in docs.groupBy("half", "y").agg(F.count("*").alias("n")).collect()}
     toxic = n.get((0, 1), 0) + n.get((1, 1), 0)
@@ -143,7 +142,7 @@ def learn_entries(docs: DataFrame) -> tuple[Lexicon, Lexicon, Lexicon]:
     per_half = [F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{h}") for h in (0, 1)]
     count = lambda y: docs.where(F.col("y") == y).select("text", "half").mapInPandas(counted, schema).groupBy("entry").agg(*per_half)
     least = max(3, SUPPORT * toxic)
-    frequent = count(1).where(F.col("n0") + F.col("n1") >= least).orderBy(F.desc(F.col("n0") + F.col("n1")), "entry").limit(20 * ENTRIES).toPandas()
+    frequent = count(1).where(F.col("n0") + F.col("n1") >= least).toPandas()
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(frequent["entry"]))
     both = frequent.merge(count(0).toPandas(), on="entry", how="left", suffixes=("_t", "_c")).fillna(0)
     out = []
@@ -151,7 +150,7 @@ def learn_entries(docs: DataFrame) -> tuple[Lexicon, Lexicon, Lexicon]:
         t, c = sum(both[f"n{h}_t"] for h in halves), sum(both[f"n{h}_c"] for h in halves)
         nt, nc = sum(n.get((h, 1), 0) for h in halves), sum(n.get((h, 0), 0) for h in halves)
         odds = np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))
-        kept = both.assign(odds=odds)[(odds >= LOG_ODDS) & (t >= least * len(halves) / 2)].nlargest(ENTRIES, "odds")
+        kept = both.assign(odds=odds)[(odds >= LOG_ODDS) & (t >= least * len(halves) / 2)]
         out.append(Lexicon(dict(zip(kept["entry"], kept["odds"], strict=True))))
     return tuple(out)
 

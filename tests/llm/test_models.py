@@ -307,17 +307,17 @@ def test_passages():
     vocabulary = [f"w{k}".encode() for k in range(300)]
     core = [rng.choice(vocabulary) for _ in range(400)]
     texts = [core + [b"\n"], [rng.choice(vocabulary) for _ in range(77)] + core + [b"\n"], [b"\n"], [b"a"] * 500 + [b"\n"], core[:100] * 3 + [b"\n"]]
-    pair, prev, times, again, cuts, n = passages.passages_of(*words_and_sizes(texts))
+    pair, prev, times, follows, again, cuts, n = passages.passages_of(*words_and_sizes(texts))
     assert n.sum() == len(pair) and (np.diff(cuts) <= passages.MOST).all()
     ends = np.cumsum(n)
     for k, t in enumerate(texts):
-        p, q, c, a, _, m = passages.passages_of(*words_and_sizes([t]))
+        p, q, c, f, a, _, m = passages.passages_of(*words_and_sizes([t]))
         own = slice(ends[k] - n[k], ends[k])
-        assert m[0] == n[k] and (pair[own] == p).all() and (prev[own] == q).all() and (times[own] == c).all() and (again[own] == a).all()
-        seen, first, count = Counter(), Counter(), Counter(p.tolist())
-        for x, y, z, w in zip(p.tolist(), q.tolist(), c.tolist(), a.tolist(), strict=True):
-            assert z == (0 if seen[x] else count[x])
-            assert w == -math.inf if not seen[x] else math.isclose(w, math.log(seen[x] / first[y]), abs_tol=1e-5)
+        assert m[0] == n[k] and (pair[own] == p).all() and (prev[own] == q).all() and (times[own] == c).all() and (follows[own] == f).all() and np.array_equal(again[own], a, equal_nan=True)
+        seen, first, count, goes = Counter(), Counter(), Counter(p.tolist()), Counter(q.tolist())
+        for x, y, z, v, w in zip(p.tolist(), q.tolist(), c.tolist(), f.tolist(), a.tolist(), strict=True):
+            assert z == (0 if seen[x] else count[x]) and v == goes[y]
+            assert math.isnan(w) if not first[y] else w == -math.inf if not seen[x] else math.isclose(w, math.log(seen[x] / first[y]), abs_tol=1e-5)
             seen[x] += 1
             first[y] += 1
     assert len(set(pair[: n[0]]) & set(pair[n[0] : n[0] + n[1]])) > 0.8 * n[0]
@@ -339,29 +339,56 @@ def test_passages_seen_elsewhere(spark, monkeypatch, least):
             q = rng.randint(10, 14)
             passed.append((p, q))
             p = q
-        n, seen, parts = Counter(passed), set(), ([], [], [])
+        n, seen, goes, parts = Counter(passed), set(), Counter(x for x, _ in passed), ([], [], [], [])
         for a in passed:
-            for part, v in zip(parts, (a[0] * 100 + a[1], a[0], 0 if a in seen else n[a]), strict=True):
+            for part, v in zip(parts, (a[0] * 100 + a[1], a[0], 0 if a in seen else n[a], goes[a[0]]), strict=True):
                 part.append(v)
             seen.add(a)
         rows.append((row, row % 7 == 0, *parts))
-    df = spark.createDataFrame(rows, "row long, held_out boolean, pair array<long>, prev array<long>, own array<int>")
-    got = {(r["row"], r["pair"]): r["log_p"] for r in passages.seen_elsewhere(df).collect()}
-    total, texts, after = Counter(), Counter(), Counter()
-    for _, held, pair, _, own in rows:
+    df = spark.createDataFrame(rows, "row long, held_out boolean, pair array<long>, prev array<long>, own array<int>, follows array<int>")
+    got = {}
+    for r in passages.seen_elsewhere(df).collect():
+        got[r["row"], r["pair"]] = max(got.get((r["row"], r["pair"]), -math.inf), r["log_p"])
+    total, after = Counter(), Counter()
+    for _, held, pair, _, own, _ in rows:
         for a, k in zip(pair, own, strict=True):
             total[a] += 0 if held else k
-            texts[a] += k > 0
-    for a, k in total.items():
-        after[a // 100] += k if texts[a] > 1 else 0
-    after[int(passages.START)] = sum(not r[1] for r in rows)
+            after[a // 100] += 0 if held else k
     want = {}
-    for row, held, pair, _, own in rows:
-        for a, k in zip(pair, own, strict=True):
-            mine = 0 if held else k
-            if k and texts[a] > 1 and total[a] > mine:
-                want[row, a] = math.log((total[a] - mine) / max(after[a // 100] - mine, total[a] - mine))
-    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
+    for row, held, pair, prev, own, follows in rows:
+        for a, q, k, m in zip(pair, prev, own, follows, strict=True):
+            of = after[q] - (0 if held else m)
+            if k and of > 0:
+                here = total[a] - (0 if held else k)
+                want[row, a] = math.log(here / of) if here else -math.inf
+    assert got.keys() == want.keys() and all(got[k] == want[k] or math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
+
+
+def test_chances_of_passages_add_up_to_one(spark):
+    """Ten texts go on in ten ways after the same passage: whichever a text takes, its chance is a tenth, and the ten add up to one;
+    so do all ways after a passage that is known elsewhere and earlier."""
+    import numpy as np
+
+    from sheetgraph.llm import passages
+
+    start, layout = int(passages.START), "row long, held_out boolean, pair array<long>, prev array<long>, own array<int>, follows array<int>"
+    train = [(k, False, [5, 1000 + k], [start, 50], [1, 1], [1, 1]) for k in range(10)]
+    held = [(100 + k, True, [5, 1000 + k], [start, 50], [1, 1], [1, 1]) for k in range(12)]
+    got = {}
+    for r in passages.seen_elsewhere(spark.createDataFrame(train + held, layout)).collect():
+        got[r["row"], r["pair"]] = max(got.get((r["row"], r["pair"]), -math.inf), r["log_p"])
+    chances = [math.exp(got[100 + k, 1000 + k]) for k in range(12)]
+    assert all(math.isclose(c, 0.1, abs_tol=1e-6) for c in chances[:10]) and chances[10:] == [0.0, 0.0] and math.isclose(sum(chances), 1, abs_tol=1e-5)
+    assert math.exp(got[3, 5]) == 1.0 and got[3, 1003] == -math.inf  # its own place doesn't count
+
+    # Elsewhere {B: .5, C: .5}, earlier {D: 1}; words spell B, C and D with .2 each at most and anything else with the rest.
+    sums = {}
+    for where in ([0.5, 0.0], [0.5, 0.0], [0.0, 1.0], [0.0, 0.0]):
+        log = np.log(np.array(where), where=np.array(where) > 0, out=np.full(2, -np.inf))
+        nats = np.array([3.0, -math.log(0.2)])
+        both = passages.follow(nats, np.array([np.nan, log[0]]), np.array([np.nan, log[1]]), np.array([2]))[0]
+        sums[len(sums)] = math.exp(-(both - 3.0))
+    assert sums[0] + sums[1] + sums[2] + 2 * sums[3] <= 1 + 1e-9 and sums[2] > sums[0] > sums[3]
 
 
 def test_follow():
@@ -373,20 +400,23 @@ def test_follow():
     rng = np.random.default_rng(2)
     sizes = np.array([3, 1, 40, 12])
     n = sizes.sum()
-    nats, log_p = rng.uniform(5, 200, n), np.where(rng.random(n) < 0.6, -rng.random(n), -np.inf)
-    again = np.where(rng.random(n) < 0.2, -rng.random(n), -np.inf)
+    nats, log_p = rng.uniform(5, 200, n), np.where(rng.random(n) < 0.6, -rng.random(n), np.where(rng.random(n) < 0.5, -np.inf, np.nan))
+    again = np.where(rng.random(n) < 0.2, -rng.random(n), np.where(rng.random(n) < 0.5, -np.inf, np.nan))
     got, at = passages.follow(nats, log_p, again, sizes), 0
     for total, size in zip(got, sizes.tolist(), strict=True):
         tables, weights = [t.ravel().astype(float).copy() for t in (passages.BY_LAST, passages.BY_RUN, passages.BY_SHARE)], [0.45] * 3
         last = before = run = ones = 0
         want = 0.0
         for t in range(size):
+            known = [v for v in (log_p[at + t], again[at + t]) if not math.isnan(v)]
+            if not known:
+                want += nats[at + t]
+                continue
             share = 0 if ones == 0 else 1 + min(4 * ones // (t + 1), 3)
             keys = (3 * last + before, 4 * (last == 2) + min(run, 3), share)
             x = [math.log(tb[k] / (1 - tb[k])) for tb, k in zip(tables, keys, strict=True)]
             p = min(max(1 / (1 + math.exp(-sum(a * b for a, b in zip(x, weights, strict=True)))), 1e-4), 1 - 1e-4)
-            ways = [math.exp(v) for v in (log_p[at + t], again[at + t]) if v > -math.inf]
-            there = p * sum(ways) / max(len(ways), 1)
+            there = p * sum(math.exp(v) for v in known) / len(known)
             chance = there + (1 - p) * math.exp(-nats[at + t])
             want -= math.log(chance)
             bit = there / chance

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sheetgraph.llm import decontam, simhash, topk
 from sheetgraph.llm.graph import components
@@ -116,6 +117,42 @@ def test_decontamination(spark):
     assert decontam.report(d.limit(0), b).count() == 0 and decontam.report(d, b.limit(0)).count() == 0
 
 
+def test_stretches_reach_their_ends():
+    """Runs of 1,000 equal tokens count whole; substitutions as far as the similarity allows; brute force on random runs."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 60, 1000).astype(np.uint64)
+    assert decontam.agrees(a, a.copy(), 0, 500) == 1000 and decontam.agrees(a, a[200:900], 200, 0) == 700
+    b = a.copy()
+    b[5::10] = 7
+    assert decontam.agrees(a, b, 0, 300) == 1000
+    for _ in range(300):
+        n = int(rng.integers(13, 60))
+        x = rng.integers(0, 1 << 60, n).astype(np.uint64)
+        y = np.where(rng.random(n) < rng.choice([0.1, 0.3, 0.5]), np.uint64(1), x)
+        at = int(rng.integers(0, n))
+        same = x == y
+        best = 0
+        for i in np.flatnonzero(same):
+            for j in np.flatnonzero(same):
+                if i <= at + decontam.SPAN and j >= at and j - i + 1 >= 13 and same[i : j + 1].sum() * 10 >= 8 * (j - i + 1):
+                    best = max(best, j - i + 1)
+        assert decontam.agrees(x, y, 0, at) == best
+
+
+def test_large_components_score_exactly(spark):
+    """No component is held to a bound; a score or component beyond the long range raises an error."""
+    v = [(50, [1, 0, 3]), (1, [70_000 << 8, 0, 0]), (2, [90_000 << 8, 0, 0]), (3, [(1 << 61) + 1, 1, -1]), (4, [(1 << 61) + 1, 0, -1])]
+    vectors = spark.createDataFrame(v, "vec_id long, v array<bigint>")
+    queries = vectors.where("vec_id = 50").selectExpr("vec_id as query_id", "v as q")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.search(vectors, queries).collect()]
+    assert sorted(got) == [(1, 3, (1 << 61) - 2), (2, 4, (1 << 61) - 2), (3, 2, 90_000 << 8), (4, 1, 70_000 << 8)]
+    far = vectors.union(spark.createDataFrame([(5, [(1 << 61), 0, 1 << 61])], vectors.schema))
+    with pytest.raises(Exception, match="long range"):
+        topk.search(far, far.where("vec_id = 50").selectExpr("vec_id as query_id", "array(3L, 0L, 3L) as q")).collect()
+    with pytest.raises(Exception, match="long range"):
+        spark.createDataFrame([([1e30],)], "e array<double>").select(topk.quantised(F.col("e"))).collect()
+
+
 def test_search(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v = rng.integers(-130, 130, size=(700, 12))
