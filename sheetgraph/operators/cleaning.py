@@ -189,11 +189,80 @@ def active_low_name(name: Column) -> Column:
     return F.when(matches(name, r"^[/~].+$|^.+#$"), F.concat(F.lit("~{"), body, F.lit("}"))).otherwise(name)
 
 
-PRIVATE = r"^(localhost|127\.|0\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|\[::1\]|\[fc|\[fd|\[fe80)"
+# Ports that links may name, and networks that no link may reach, as first and last address or group.
+PORTS = ("", "80", "443", "8080", "8443")
+PRIVATE_V4 = [("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("100.64.0.0", "100.127.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"),
+              ("172.16.0.0", "172.31.255.255"), ("192.168.0.0", "192.168.255.255"), ("224.0.0.0", "255.255.255.255")]
+PRIVATE_GROUPS = [(0xFC, 0xFD), (0xFC0, 0xFDF), (0xFC00, 0xFDFF), (0xFE80, 0xFE80)]  # of an IPv6 address' first group
+LINK = r"^([A-Za-z][A-Za-z0-9+.-]*):[/\\]{2}([^/?#\\]*)"
+
+
+def v4_number(dotted: str) -> int:
+    a, b, c, d = map(int, dotted.split("."))
+    return ((a * 256 + b) * 256 + c) * 256 + d
+
+
+def private_v4(number: Column) -> Column:
+    """Whether a number is the address of a private, reserved or multicast network."""
+    out = F.lit(False)
+    for low, high in PRIVATE_V4:
+        out = out | number.between(v4_number(low), v4_number(high))
+    return out
+
+
+def with_v4(rows: DataFrame) -> DataFrame:
+    """Column v4: the number that a host of one to four decimal, octal or hexadecimal parts stands for, the last of which fills
+    up the address; -1 if its last part is a number but it is no address, null for names."""
+    is_hex, is_octal, is_decimal = (lambda p, r=r: p.rlike(r) for r in ("^0x[0-9a-f]{0,8}$", "^0[0-7]{1,11}$", "^(0|[1-9][0-9]{0,9})$"))
+    one = lambda p: F.when(p == "0x", "0").when(is_hex(p), F.conv(F.substring(p, 3, 8), 16, 10)).when(is_octal(p), F.conv(p, 8, 10)).when(is_decimal(p), p)
+    rows = rows.withColumn("_parts", F.split(F.regexp_replace("host", r"\.$", ""), r"\."))
+    rows = rows.withColumn("_looks", F.element_at("_parts", -1).rlike("^([0-9]+|0x[0-9a-f]*)$"))
+    rows = rows.withColumn("_numbers", F.transform("_parts", lambda p: one(p).cast("long"))).withColumn("_n", F.size("_parts"))
+    rows = rows.withColumn("_before", F.slice("_numbers", 1, F.col("_n") - 1)).withColumn("_last", F.element_at("_numbers", -1))
+    rows = rows.withColumn("_room", F.pow(F.lit(256.0), 5 - F.col("_n")).cast("long"))
+    fine = (F.col("_n") <= 4) & ~F.exists("_numbers", lambda x: x.isNull()) & ~F.exists("_before", lambda x: x > 255) & (F.col("_last") < F.col("_room"))
+    number = F.aggregate("_before", F.lit(0).cast("long"), lambda a, x: a * 256 + x) * F.col("_room") + F.col("_last")
+    v4 = F.when(F.col("_looks"), F.when(F.coalesce(fine, F.lit(False)), number).otherwise(F.lit(-1).cast("long")))
+    return rows.withColumn("v4", v4).drop("_parts", "_looks", "_numbers", "_n", "_before", "_last", "_room")
+
+
+def with_v6(rows: DataFrame) -> DataFrame:
+    """Column v6: the eight numbers of an IPv6 address in brackets (a dotted tail is two of them), null if it is none."""
+    tail = r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+    rows = rows.withColumn("_text", F.when(F.col("host").startswith("["), F.regexp_extract("host", r"^\[(.*)\]$", 1)))
+    rows = rows.withColumn("_bytes", F.when(F.col("_text").rlike(":" + tail), F.array(*(F.regexp_extract("_text", tail, i).cast("int") for i in range(1, 5)))))
+    pair = lambda i: F.lower(F.hex(F.col("_bytes")[i] * 256 + F.col("_bytes")[i + 1]))
+    dotted = F.when(~F.exists("_bytes", lambda x: x > 255), F.concat(F.regexp_replace("_text", tail, ""), pair(0), F.lit(":"), pair(2)))
+    rows = rows.withColumn("_halves", F.split(F.when(F.col("_bytes").isNotNull(), dotted).otherwise(F.col("_text")), "::", -1))
+    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":", -1))
+    rows = rows.withColumn("_left", groups(F.col("_halves")[0])).withColumn("_right", F.when(F.size("_halves") == 2, groups(F.try_element_at("_halves", F.lit(2)))))
+    rows = rows.withColumn("_gap", F.when(F.col("_right").isNotNull(), 8 - F.size("_left") - F.size("_right")))
+    filled = F.concat("_left", F.array_repeat(F.lit("0"), F.greatest(F.col("_gap"), F.lit(0))), "_right")
+    rows = rows.withColumn("_every", F.when(F.size("_halves") == 1, F.col("_left")).when((F.size("_halves") == 2) & (F.col("_gap") >= 1), filled))
+    fine = (F.size("_every") == 8) & ~F.exists("_every", lambda g: ~g.rlike("^[0-9a-f]{1,4}$"))
+    v6 = F.when(fine, F.transform("_every", lambda g: F.conv(g, 16, 10).cast("long")))
+    return rows.withColumn("v6", v6).drop("_text", "_bytes", "_halves", "_left", "_right", "_gap", "_every")
+
+
+def private_v6(groups: Column) -> Column:
+    """Loopback, unspecified, link-local and unique local addresses, and IPv4 addresses in IPv6 form by their number."""
+    g = lambda i: F.element_at(groups, i)
+    zero = lambda n: F.aggregate(F.slice(groups, 1, n), F.lit(0).cast("long"), lambda a, x: a + x) == 0
+    out = zero(7) & (g(8) <= 1)
+    for low, high in PRIVATE_GROUPS:
+        out = out | g(1).between(low, high)
+    return out | (zero(5) & (g(6) == 0xFFFF) & private_v4(g(7) * 65536 + g(8)))
 
 
 def url_check(pages: DataFrame) -> DataFrame:
-    """Whether a link may be fetched: http or https, and no private host."""
-    scheme, host = F.lower(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    why = F.when((scheme == "") | (host == ""), "invalid").when(~scheme.isin("http", "https"), "scheme").when(matches(host, PRIVATE, True), "private_host").otherwise("ok")
-    return pages.select("page_id", "url", why.alias("result"))
+    """Whether a link may be fetched: http or https, an allowed port, and no host that is, in any notation, an address of a
+    private, reserved or multicast network (or localhost). User info before the host is left aside."""
+    scheme, place = F.lower(F.regexp_extract("url", LINK, 1)), F.regexp_extract("url", LINK, 2)
+    place = F.regexp_replace(place, r"^.*@", "")
+    rows = pages.select("page_id", "url", scheme.alias("scheme"), F.lower(F.regexp_extract(place, r"^(\[[^\]]*\]|[^:\[\]]*)(:[0-9]*)?$", 1)).alias("host"), F.regexp_extract(place, r":([0-9]*)$", 1).alias("port"), place.rlike(r"^(\[[^\]]*\]|[^:\[\]]+)(:[0-9]*)?$").alias("formed"))
+    rows = with_v6(with_v4(rows))
+    port = F.regexp_replace("port", "^0+(?=.)", "")
+    broken = (F.col("scheme") == "") | ~F.col("formed") | (F.col("host") == "") | F.col("v4").eqNullSafe(-1) | (F.col("host").startswith("[") & F.col("v6").isNull())
+    private = F.coalesce(private_v4(F.col("v4")), F.lit(False)) | F.coalesce(private_v6(F.col("v6")), F.lit(False)) | F.col("host").rlike(r"^(.*\.)?localhost\.?$")
+    why = F.when(F.coalesce(broken, F.lit(True)), "invalid").when(~F.col("scheme").isin("http", "https"), "scheme").when(~port.isin(*PORTS), "port").when(private, "private_host").otherwise("ok")
+    return rows.select("page_id", "url", why.alias("result"))

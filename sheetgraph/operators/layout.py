@@ -92,12 +92,18 @@ def sparse_pages(lines: DataFrame, least: int = 20) -> DataFrame:
 
 
 def ocr_merge(lines: DataFrame, recognized: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Lines per page after recognised ones are appended; a page is never lost. wanted: pages that should be recognised."""
+    """(doc_id, page, n_lines, status, must_keep): lines per page after recognised ones are appended; a page is never lost.
+
+    wanted: (doc_id, page) that should be recognised, with `failed` where it was tried in vain. Pages still to be
+    recognised must be kept by any later choice of pages.
+    """
     own = lines.groupBy("doc_id", "page").agg(F.count("*").alias("own"))
     more = recognized.groupBy("doc_id", "page").agg(F.count("*").alias("more"))
-    out = own.join(more, ["doc_id", "page"], "full").join(wanted.select("doc_id", "page", F.lit(True).alias("want")).distinct(), ["doc_id", "page"], "full").na.fill(0, ["own", "more"])
-    status = F.when(F.col("want").isNull(), "not_needed").when(F.col("more") > 0, "done").otherwise("pending_no_worker")
-    return out.select("doc_id", "page", (F.col("own") + F.col("more")).alias("n_lines"), status.alias("status"))
+    failed = F.col("failed") if "failed" in wanted.columns else F.lit(False)
+    want = wanted.groupBy("doc_id", "page").agg(F.bool_or(failed).alias("failed"))
+    out = own.join(more, ["doc_id", "page"], "full").join(want, ["doc_id", "page"], "full").na.fill(0, ["own", "more"])
+    status = F.when(F.col("failed").isNull(), "not_needed").when(F.col("more") > 0, "done").when(F.col("failed"), "failed").otherwise("pending_no_worker")
+    return out.select("doc_id", "page", (F.col("own") + F.col("more")).alias("n_lines"), status.alias("status"), status.isin("failed", "pending_no_worker").alias("must_keep"))
 
 
 def part_info(lines: DataFrame, links: DataFrame, height: float = 792.0) -> DataFrame:
@@ -284,13 +290,41 @@ def relevant_pages(lines: DataFrame, figures: DataFrame) -> DataFrame:
     return pages.union(figures.select("doc_id", "page")).distinct()
 
 
-def page_strategy(lines: DataFrame, relevant: DataFrame, ends: int = 8, most: float = 0.7) -> DataFrame:
-    """Pages to send on: the relevant ones, or all if they are 70 % or more, or the first and last ones if there are none."""
-    pages = lines.select("doc_id", "page").distinct().join(relevant.select("doc_id", "page", F.lit(1).alias("hit")).distinct(), ["doc_id", "page"], "left")
+# What a page that is worth sending on says, if no page was found relevant.
+KEY_PAGE = r"(?i)pin (configuration|functions)|package (outline|option|information)|mechanical|land pattern|dimension|引脚|封装|机械"
+
+
+def page_strategy(lines: DataFrame, relevant: DataFrame, ocr: DataFrame | None = None, most: float = 0.7, keyed: int = 20, tail: int = 8) -> DataFrame:
+    """(doc_id, page, strategy, sliced): the pages to send on, and why these.
+
+    The relevant ones; if there are none, page 1 and those that a keyword is on (the first `keyed` of them), else page 1 and the
+    last `tail` pages with text. Pages to be recognised count as pages without text; of these the ones that must be kept go
+    with any choice. Where nothing is chosen, or `most` of all pages or more, the document goes whole (sliced is false).
+    ocr: (doc_id, page, must_keep) of pages to be recognised.
+    """
+    pages = lines.groupBy("doc_id", "page").agg(F.bool_or(F.trim("text") != "").alias("written"), F.bool_or(matches(F.col("text"), KEY_PAGE)).alias("key"))
+    pages = pages.join(relevant.select("doc_id", "page", F.lit(True).alias("rel")).distinct(), ["doc_id", "page"], "left")
+    if ocr is None:
+        pages = pages.select("*", F.lit(None).cast("boolean").alias("keep"))
+    else:
+        pages = pages.join(ocr.groupBy("doc_id", "page").agg(F.bool_or("must_keep").alias("keep")), ["doc_id", "page"], "full").na.fill(False, ["written", "key"])
+    text = F.col("written") & F.col("keep").isNull()
+    pages = pages.select("doc_id", "page", F.col("rel").isNotNull().alias("rel"), text.alias("text"), (text & F.col("key")).alias("key"), F.col("keep").isNotNull().alias("ocr"), F.coalesce("keep", F.lit(False)).alias("keep"))
     doc = W.partitionBy("doc_id")
-    pages = pages.select("*", F.count("*").over(doc).alias("n"), F.count("hit").over(doc).alias("hits"), F.row_number().over(doc.orderBy("page")).alias("k"))
-    send = F.when(F.col("hits") == 0, (F.col("k") <= ends) | (F.col("k") > F.col("n") - ends)).when(F.col("hits") >= F.col("n") * most, F.lit(True)).otherwise(F.col("hit").isNotNull())
-    return pages.where(send).select("doc_id", "page", F.when(F.col("hits") == 0, "ends").when(F.col("hits") >= F.col("n") * most, "all").otherwise("slice").alias("strategy"))
+    n = lambda c, over=doc: F.count_if(c).over(over)
+    first_keyed, back = (F.col("page") == 1) | F.col("key"), doc.orderBy(F.desc("page"))
+    strategy = F.when(n(F.col("rel")) > 0, "parser_relevant_pages").when(n(F.col("key")) > 0, "keyword_pages").when(n(F.col("text")) > 0, "first_plus_text_tail").when(n(F.col("ocr")) > 0, "scanned_no_ocr_worker").otherwise("none")
+    pages = pages.select("*", strategy.alias("strategy"), n(first_keyed, doc.orderBy("page")).alias("k"), n(F.col("text"), back).alias("t"))
+    picked = (
+        F.when(F.col("strategy") == "parser_relevant_pages", F.col("rel")).when(F.col("strategy") == "keyword_pages", first_keyed & (F.col("k") <= keyed))
+        .when(F.col("strategy") == "first_plus_text_tail", (F.col("page") == 1) | (F.col("text") & (F.col("t") <= tail))).otherwise(False)
+    )
+    pages = pages.withColumn("picked", picked)
+    some = n(F.col("picked")) > 0
+    pages = pages.select("*", (F.col("picked") | (F.col("keep") & some)).alias("sent"), F.when(some & (n(F.col("keep")) > 0), "+ocr_must_keep").otherwise("").alias("more"))
+    pages = pages.select("*", n(F.col("sent")).alias("n_sent"), F.count("*").over(doc).alias("n"))
+    sliced = (F.col("n_sent") > 0) & (F.col("n_sent") < F.col("n") * most)
+    return pages.where(~sliced | F.col("sent")).select("doc_id", "page", F.concat("strategy", "more").alias("strategy"), sliced.alias("sliced"))
 
 
 def remap_pages(figures: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -135,8 +135,36 @@ def _shared_pins(t):
 
 query("active_low_name", "SELECT package_id, pos, part, CASE WHEN regexp_matches(name, '^[/~].+$|^.+#$') THEN '~{{' || regexp_replace(name, '^[/~]|#$', '', 'g') || "
     "'}}' ELSE name END AS name FROM clean".replace("{{", "{").replace("}}", "}"), V)(lambda t: o.sanitize_pins(t.raw_pins).select("package_id", "pos", "part", o.active_low_name(F.col("name")).alias("name")))
-_URL = "CASE page_id % 6 WHEN 0 THEN replace(url, 'http', 'ftp') WHEN 1 THEN 'http://192.168.0.1/x' WHEN 2 THEN 'no link' ELSE url END"
-query("url_check", "SELECT page_id, u AS url, CASE WHEN regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) = '' OR regexp_extract(u, "
-    "'^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = '' THEN 'invalid' WHEN lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) NOT IN "
-    f"('http', 'https') THEN 'scheme' WHEN regexp_matches(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '(?i){o.PRIVATE}') THEN "
-    f"'private_host' ELSE 'ok' END AS result FROM (SELECT page_id, {_URL} AS u FROM pages)")(lambda t: o.url_check(t.pages.withColumn("url", F.expr(_URL))))
+# Links of pages, and addresses in every notation derived from their ids
+_AT = " || '.' || ".join(f"CAST(page_id * {m} % 256 AS VARCHAR(20))" for m in (37, 11, 101, 7))
+_URL = (
+    f"CASE page_id % 12 WHEN 0 THEN replace(url, 'http', 'ftp') WHEN 1 THEN 'http://user@' || {_AT} || '/x' WHEN 2 THEN 'no link'"
+    " WHEN 3 THEN 'https://' || CAST(page_id * 265443573 % 4300000000 AS VARCHAR(20)) || '/'"
+    f" WHEN 4 THEN 'http://[::ffff:' || {_AT} || ']:8080/' WHEN 5 THEN 'http://0x7f.0' || CAST(page_id % 8 AS VARCHAR(20)) || '.1' WHEN 6 THEN 'http://[f' || CAST(page_id * 7 % 10 AS VARCHAR(20)) || 'd0::' || CAST(page_id AS VARCHAR(20)) || ']'"
+    " WHEN 7 THEN 'http://example.com:' || CASE page_id % 4 WHEN 3 THEN '22' ELSE '8443' END || '/' WHEN 8 THEN 'http://' || CAST(page_id * 37 % 300 AS VARCHAR(20)) || '.16.1/'"
+    " WHEN 9 THEN 'http://[fc' || CAST(page_id % 90 AS VARCHAR(20)) || '::1:2]:443' ELSE url END"
+)
+_BASE = "list_reduce(list_concat([0::BIGINT], list_transform(string_split({0}, ''), lambda c: strpos('0123456789abcdef', c) - 1)), lambda a, x: a * {1} + x)"
+_DEC, _HEX = "^(0|[1-9][0-9]{0,9})$", "^0x[0-9a-f]{1,8}$"
+_V4 = " OR ".join("{0} BETWEEN " + f"{o.v4_number(lo)} AND {o.v4_number(hi)}" for lo, hi in o.PRIVATE_V4)
+_GROUPS = " OR ".join(f"v6[1] BETWEEN {lo} AND {hi}" for lo, hi in o.PRIVATE_GROUPS)
+URLS = {
+    "u0": f"SELECT page_id, url, lower(regexp_extract(url, '{o.LINK}', 1)) AS scheme, regexp_replace(regexp_extract(url, '{o.LINK}', 2), '^.*@', '') AS place FROM (SELECT page_id, {_URL} AS url FROM pages)",
+    "u1": "SELECT *, lower(regexp_extract(place, '^(\\[[^\\]]*\\]|[^:\\[\\]]*)(:[0-9]*)?$', 1)) AS host, regexp_replace(regexp_extract(place, ':([0-9]*)$', 1), '^0+(.)', '\\1') AS port FROM u0",
+    "u2": "SELECT *, string_split(regexp_replace(host, '\\.$', ''), '.') AS parts, CASE WHEN host[1] = '[' THEN host[2:-2] END AS six FROM u1",
+    "u3": f"SELECT *, list_transform(parts, lambda p: CASE WHEN regexp_matches(p, '{_HEX}') THEN {_BASE.format('p[3:]', 16)} WHEN regexp_matches(p, '^0[0-7]+$') THEN {_BASE.format('p', 8)}"
+    f" WHEN regexp_matches(p, '{_DEC}') THEN p::BIGINT END) AS nums, CASE WHEN contains(six, '.') THEN regexp_extract(six, '^(.*:)[^:]*$', 1) ELSE six END AS front,"
+    " list_transform(string_split(regexp_extract(six, '([0-9.]*)$', 1), '.'), lambda x: TRY_CAST(x AS BIGINT)) AS tail FROM u2",
+    "u4": "SELECT *, len(nums) AS n, nums[-1] AS lastn, list_reduce(list_concat([0::BIGINT], nums[:-2]), lambda a, x: a * 256 + x) AS high, CASE len(nums) WHEN 1 THEN 4294967296 WHEN 2 THEN 16777216 WHEN 3 THEN 65536 ELSE 256 END AS room,"
+    " string_split(CASE WHEN contains(six, '.') THEN front || printf('%x:%x', tail[1] * 256 + tail[2], tail[3] * 256 + tail[4]) ELSE six END, '::') AS halves FROM u3",
+    "u5": "SELECT *, CASE WHEN regexp_matches(parts[-1], '^([0-9]+|0x[0-9a-f]*)$') THEN CASE WHEN n <= 4 AND len(list_filter(nums, lambda x: x IS NULL)) = 0 AND len(list_filter(nums[:-2], lambda x: x > 255)) = 0 AND lastn < room THEN high * room + lastn ELSE -1 END END AS v4,"
+    f" list_transform(CASE len(halves) WHEN 1 THEN string_split(halves[1], ':') WHEN 2 THEN list_concat(list_filter(string_split(halves[1], ':'), lambda g: g <> ''), list_transform(range(8 - len(list_filter(string_split(halves[1] || ':' || halves[2], ':'), lambda g: g <> ''))), lambda i: '0'),"
+    f" list_filter(string_split(halves[2], ':'), lambda g: g <> '')) END, lambda g: {_BASE.format('g', 16)}) AS v6 FROM u4",
+}
+query(
+    "url_check",
+    "SELECT page_id, url, CASE WHEN scheme = '' OR coalesce(host, '') = '' OR v4 = -1 OR (six IS NOT NULL AND coalesce(len(v6), 0) <> 8) THEN 'invalid' WHEN scheme NOT IN ('http', 'https') THEN 'scheme'"
+    f" WHEN port NOT IN ({', '.join(repr(x) for x in o.PORTS)}) THEN 'port' WHEN {_V4.format('v4')} OR {_GROUPS} OR (list_sum(v6[1:7]) = 0 AND v6[8] <= 1)"
+    f" OR (list_sum(v6[1:5]) = 0 AND v6[6] = 65535 AND ({_V4.format('(v6[7] * 65536 + v6[8])')})) OR regexp_matches(host, '^(.*[.])?localhost[.]?$') THEN 'private_host' ELSE 'ok' END AS result FROM u5",
+    URLS,
+)(lambda t: o.url_check(t.pages.withColumn("url", F.expr(_URL))))

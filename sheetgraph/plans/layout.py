@@ -73,11 +73,11 @@ query("clean_line_text", r"SELECT doc_id, line_no, trim(regexp_replace(text, '\s
 query("sparse_pages", "SELECT doc_id, count(*) AS n_lines, count(*) <= 20 AS needs_ocr FROM lines GROUP BY 1")(lambda t: o.sparse_pages(t.lines))
 query(
     "ocr_merge",
-    "SELECT coalesce(a.doc_id, w.doc_id) AS doc_id, coalesce(a.page, w.page) AS page, coalesce(a.n, 0) AS n_lines, CASE WHEN w.page IS NULL THEN "
-        "'not_needed' WHEN a.m > 0 THEN 'done' ELSE 'pending_no_worker' END AS status"
+    "SELECT *, status IN ('failed', 'pending_no_worker') AS must_keep FROM (SELECT coalesce(a.doc_id, w.doc_id) AS doc_id, coalesce(a.page, w.page) AS page, coalesce(a.n, 0) AS n_lines,"
+    " CASE WHEN w.page IS NULL THEN 'not_needed' WHEN a.m > 0 THEN 'done' WHEN w.page % 2 = 0 THEN 'failed' ELSE 'pending_no_worker' END AS status"
     " FROM (SELECT doc_id, page, count(*) AS n, count(*) FILTER (line_no % 5 = 0) AS m FROM lines GROUP BY 1, 2) a"
-    " FULL JOIN (SELECT DISTINCT doc_id, page + 1 AS page FROM lines WHERE doc_id % 2 = 0) w ON a.doc_id = w.doc_id AND a.page = w.page",
-)(lambda t: o.ocr_merge(t.lines.where("line_no % 5 <> 0"), t.lines.where("line_no % 5 = 0"), t.lines.where("doc_id % 2 = 0").selectExpr("doc_id", "page + 1 AS page")))
+    " FULL JOIN (SELECT DISTINCT doc_id, page + 1 AS page FROM lines WHERE doc_id % 2 = 0) w ON a.doc_id = w.doc_id AND a.page = w.page)",
+)(lambda t: o.ocr_merge(t.lines.where("line_no % 5 <> 0"), t.lines.where("line_no % 5 = 0"), t.lines.where("doc_id % 2 = 0").selectExpr("doc_id", "page + 1 AS page", "(page + 1) % 2 = 0 AS failed")))
 _UP = (
     "CASE WHEN (doc_id + line_no) % 9 = 0 THEN 'ADM8829, ADM8828' WHEN (doc_id + line_no) % 7 = 0 THEN 'A precise low power switch for ' || "
         "line_no::VARCHAR || ' channels'"
@@ -133,14 +133,21 @@ query("figure_sanitize", "SELECT doc_id, fig_no, coalesce(kind, 'other') AS kind
     lambda t: o.figure_sanitize(_rfig(t))
 )
 query("relevant_pages", "SELECT * FROM relpages", V)(lambda t: o.relevant_pages(t.lines, o.figure_candidates(t.lines)))
+# Pages of every fourth document wait for recognition, in every 16th all of them; in every third nothing is relevant
+_OCR = "doc_id % 4 = 1 AND (page % 3 = 2 OR doc_id % 16 = 5)"
 query(
     "page_strategy",
-    "SELECT doc_id, page, CASE WHEN hits = 0 THEN 'ends' WHEN hits >= n * 0.7 THEN 'all' ELSE 'slice' END AS strategy FROM ("
-    "SELECT doc_id, page, hit, count(*) OVER d AS n, count(hit) OVER d AS hits, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM ("
-    "SELECT DISTINCT l.doc_id, l.page, f.page AS hit FROM lines l LEFT JOIN figs f ON f.doc_id = l.doc_id AND f.page = l.page) WINDOW d AS (PARTITION BY doc_id))"
-    " WHERE CASE WHEN hits = 0 THEN k <= 8 OR k > n - 8 WHEN hits >= n * 0.7 THEN TRUE ELSE hit IS NOT NULL END",
+    "SELECT doc_id, page, strategy || CASE WHEN n_keep > 0 AND n_picked > 0 THEN '+ocr_must_keep' ELSE '' END AS strategy, n_sent > 0 AND n_sent < n * 0.7 AS sliced FROM ("
+    "SELECT *, count(*) FILTER (picked OR (keep AND n_picked > 0)) OVER d AS n_sent, picked OR (keep AND n_picked > 0) AS sent FROM (SELECT *, count(*) FILTER (picked) OVER d AS n_picked FROM ("
+    "SELECT *, CASE strategy WHEN 'parser_relevant_pages' THEN rel WHEN 'keyword_pages' THEN (page = 1 OR key) AND k <= 20 WHEN 'first_plus_text_tail' THEN page = 1 OR (txt AND t <= 8) ELSE FALSE END AS picked FROM ("
+    "SELECT *, CASE WHEN count(*) FILTER (rel) OVER d > 0 THEN 'parser_relevant_pages' WHEN count(*) FILTER (key) OVER d > 0 THEN 'keyword_pages' WHEN count(*) FILTER (txt) OVER d > 0 THEN 'first_plus_text_tail'"
+    " WHEN count(*) FILTER (ocr) OVER d > 0 THEN 'scanned_no_ocr_worker' ELSE 'none' END AS strategy, count(*) OVER d AS n, count(*) FILTER (keep) OVER d AS n_keep,"
+    " count(*) FILTER (page = 1 OR key) OVER (PARTITION BY doc_id ORDER BY page) AS k, count(*) FILTER (txt) OVER (PARTITION BY doc_id ORDER BY page DESC) AS t FROM ("
+    f"SELECT doc_id, page, {_OCR} AS ocr, {_OCR} AND doc_id % 8 = 1 AS keep, bool_or(trim(text) <> '') AND NOT ({_OCR}) AS txt, bool_or(regexp_matches(text, '{_q(o.KEY_PAGE)}')) AND NOT ({_OCR}) AS key,"
+    " doc_id % 3 <> 0 AND EXISTS (SELECT 1 FROM figs f WHERE f.doc_id = l.doc_id AND f.page = l.page) AS rel FROM lines l GROUP BY doc_id, page) WINDOW d AS (PARTITION BY doc_id)))"
+    " WINDOW d AS (PARTITION BY doc_id)) WINDOW d AS (PARTITION BY doc_id)) WHERE sent OR NOT (n_sent > 0 AND n_sent < n * 0.7)",
     V,
-)(lambda t: o.page_strategy(t.lines, o.figure_candidates(t.lines)))
+)(lambda t: o.page_strategy(t.lines, o.figure_candidates(t.lines).where("doc_id % 3 <> 0"), t.lines.where(_OCR).selectExpr("doc_id", "page", "doc_id % 8 = 1 AS must_keep").distinct()))
 query("remap_pages", "SELECT f.doc_id, f.line_no, m.p AS page FROM figs f JOIN (SELECT doc_id, page AS p, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS "
     "s FROM relpages WHERE page <> 1) m ON m.doc_id = f.doc_id AND m.s = f.page", V)(
     lambda t: o.remap_pages(o.figure_candidates(t.lines), o.relevant_pages(t.lines, o.figure_candidates(t.lines)).where("page <> 1").selectExpr("doc_id", "page AS original", "row_number() OVER (PARTITION BY doc_id ORDER BY page) AS sliced"))
