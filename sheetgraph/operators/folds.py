@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from sheetgraph.functions.rx import matches
 from sheetgraph.operators.layout import clean_line_text
-from sheetgraph.operators.netlist import MAX_NETS
 
 # Which titles a kind of figure may have, and which none may.
 ALLOWED = {
@@ -23,10 +22,6 @@ ALLOWED = {
 FORBIDDEN = r"(?i)\b(curve|curves|waveform|response|characteristic|performance|graph|plot|measurement|histogram|distribution|vs\.?|versus|table)\b|曲线|波形|特性"
 
 
-#: Unnamed nets that all batches of a design may bring: the cap on a design's nets for each of 16 batches.
-MAX_BATCH_NETS = 16 * MAX_NETS
-
-
 def line_boxes(items: DataFrame) -> DataFrame:
     """Items (doc_id, page, item_no, str, left, right, base, h; y down) to lines with their boxes."""
     item = F.struct("base", "left", "item_no", "str", "right", "h")
@@ -74,25 +69,33 @@ def figure_filter(figures: DataFrame, packages: int = 1) -> DataFrame:
 
 def _merge_anonymous(transitive: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: list[dict] = []
-        if len(pdf[["batch_no", "net_id"]].drop_duplicates()) > MAX_BATCH_NETS:
-            raise ValueError(f"over {MAX_BATCH_NETS} unnamed nets in a design")
+        groups: list[dict | None] = []
+        first: dict[tuple, int] = {}  # the first group that has an endpoint
+        goes: list[int] = []  # groups that have been merged into an earlier one
+
+        def home_of(g: int) -> int:
+            while goes[g] != g:
+                goes[g] = g = goes[goes[g]]
+            return g
+
         for _, net in pdf.sort_values(["batch_no", "net_id", "ref", "pin"]).groupby(["batch_no", "net_id"], sort=False):
-            ends = list(zip(net["ref"], net["pin"], strict=True))
+            ends, conf = list(zip(net["ref"], net["pin"], strict=True)), int(net["conf_pct"].max())
             if len(ends) < 2:
                 continue
-            hits = [g for g in groups if any(e in g["ends"] for e in ends)]
-            if not hits:
-                groups.append({"ends": dict.fromkeys(ends), "conf": int(net["conf_pct"].max())})
-                continue
+            hits = sorted({home_of(first[e]) for e in ends if e in first}) or [len(groups)]
             home = hits[0]
+            if home == len(groups):
+                groups.append({"ends": {}, "conf": conf})
+                goes.append(home)
             for other in hits[1:] if transitive else ():
-                home["ends"] |= other["ends"]
-                home["conf"] = max(home["conf"], other["conf"])
-                groups.remove(other)
-            home["ends"] |= dict.fromkeys(ends)
-            home["conf"] = max(home["conf"], int(net["conf_pct"].max()))
-        rows = [(pdf["design_id"].iat[0], f"N${i}", r, p, g["conf"]) for i, g in enumerate(groups, 1) for r, p in g["ends"]]
+                groups[home]["ends"] |= groups[other]["ends"]
+                groups[home]["conf"] = max(groups[home]["conf"], groups[other]["conf"])
+                groups[other], goes[other] = None, home
+            groups[home]["ends"] |= dict.fromkeys(ends)
+            groups[home]["conf"] = max(groups[home]["conf"], conf)
+            for e in ends:
+                first[e] = min(first.get(e, home), home)
+        rows = [(pdf["design_id"].iat[0], f"N${i}", r, p, g["conf"]) for i, g in enumerate((g for g in groups if g), 1) for r, p in g["ends"]]
         return pd.DataFrame(rows, columns=["design_id", "net", "ref", "pin", "conf_pct"])
 
     return run
@@ -101,7 +104,8 @@ def _merge_anonymous(transitive: bool) -> Callable[[pd.DataFrame], pd.DataFrame]
 def batch_anonymous_nets(rows: DataFrame, transitive: bool = False) -> DataFrame:
     """Unnamed nets of a design that share an endpoint, merged in one ordered pass, named N$1, N$2, ...
 
-    A net that touches two groups joins the first only, unless transitive. A design of more than MAX_BATCH_NETS unnamed nets raises an error.
+    A net that touches two groups joins the first only, unless transitive. The pass looks its endpoints up in an index of the
+    first group that has each, so it is linear in them; a design's unnamed endpoints are one task, without a cap.
     """
     blank = rows.where(F.trim("name") == "")
     return blank.groupBy("design_id").applyInPandas(_merge_anonymous(transitive), "design_id long, net string, ref string, pin string, conf_pct long")

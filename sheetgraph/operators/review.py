@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -206,20 +209,51 @@ def revision_conflicts(writes: DataFrame) -> DataFrame:
 
 
 def scope_key() -> Column:
-    return F.sha2(F.concat_ws("\0", F.col("tenant").cast("string"), F.col("owner").cast("string"), "operation", F.col("doc").cast("string"), F.col("key").cast("string")), 256)
+    """What a request's key holds for; null without a key."""
+    parts = F.concat_ws("\0", F.col("tenant").cast("string"), F.col("owner").cast("string"), "operation", F.col("doc").cast("string"), F.col("key").cast("string"))
+    return F.when(F.col("key").isNotNull(), F.sha2(parts, 256))
+
 
+def idempotency_scope(requests: DataFrame, ttl_seconds: int, revoked: DataFrame | None = None) -> DataFrame:
+    """(event_id, scope, job, reused): the job that each request gets. A request makes a job unless its scope has one that is
+    neither expired (ttl_seconds after it was made; the last instant counts) nor revoked; without a key it always makes one.
 
-def idempotency_scope(requests: DataFrame) -> DataFrame:
-    """The first request of each scope makes the job; later ones reuse it."""
-    k = F.row_number().over(W.partitionBy("scope").orderBy("ts", "event_id"))
-    first = F.min_by("event_id", F.struct("ts", "event_id")).over(W.partitionBy("scope"))
-    return requests.withColumn("scope", scope_key()).select("event_id", "scope", first.alias("job"), (k > 1).alias("reused"))
+    revoked: (scope, ts) of revocations, which clear the scope. A scope's requests stream through a task in order of time, and only its
+    job is held.
+    """
+    made = requests.select(scope_key().alias("scope"), "ts", "event_id", F.lit(False).alias("clears"))
+    loose = made.where("scope is null").select("event_id", "scope", F.col("event_id").alias("job"), F.lit(False).alias("reused"))
+    rows = made.where("scope is not null")
+    if revoked is not None:
+        rows = rows.unionByName(revoked.where("scope is not null").select("scope", "ts", F.lit(None).cast("long").alias("event_id"), F.lit(True).alias("clears")))
+
+    def chain(frames):
+        scope, job, until = None, None, None
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples():
+                if r.scope != scope:
+                    scope, job = r.scope, None
+                if r.clears:
+                    job = None
+                    continue
+                reused = job is not None and r.at <= until
+                if not reused:
+                    job, until = int(r.event_id), r.at + ttl_seconds * 1_000_000
+                out.append((int(r.event_id), scope, job, reused))
+            yield pd.DataFrame(out, columns=["event_id", "scope", "job", "reused"])
+
+    ordered = rows.select("scope", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "clears").repartition("scope").sortWithinPartitions("scope", "at", "clears", "event_id")
+    return ordered.mapInPandas(chain, "event_id long, scope string, job long, reused boolean").unionByName(loose)
 
 
 def reap_expired(jobs: DataFrame, now: str) -> DataFrame:
-    """Active jobs past their time become expired."""
-    over = (F.col("status") == "active") & (F.to_timestamp_ntz(F.lit(now)) >= F.col("created") + F.make_dt_interval(F.col("ttl_days").cast("int")))
-    return jobs.select("job_id", F.when(over, "expired").otherwise(F.col("status")).alias("status"))
+    """(job_id, status, scope, code): active jobs past their time become expired; a job that is expired or revoked leaves its
+    scope, and the guard's code says why it can't be used."""
+    over = F.to_timestamp_ntz(F.lit(now)) > F.col("created") + F.make_dt_interval(F.col("ttl_days").cast("int"))
+    status = F.when((F.col("status") == "active") & over, "expired").otherwise(F.col("status"))
+    code = F.when(F.col("status") == "revoked", "job_revoked").when(over, "job_expired")
+    return jobs.select("job_id", status.alias("status"), F.when(status == "active", F.col("scope")).alias("scope"), code.alias("code"))
 
 
 def manifest_check(manifest: DataFrame, files: DataFrame, bundle: DataFrame, data: DataFrame) -> DataFrame:
@@ -246,22 +280,59 @@ def wallet_balance(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("principal").agg(total("topup").alias("granted"), total("reserve").alias("spent")).withColumn("balance", F.col("granted") - F.col("spent"))
 
 
+@dataclass
+class Wallet:
+    """A principal's sums: open reservations count as spent until they are refunded."""
+
+    balance: int = 0
+    spent: int = 0
+    open: int = 0
+    refused: int = 0
+
+    def step(self, op: str, amount: int, known: tuple[int, str] | None) -> tuple[int, str] | None:
+        """Takes an entry; known: the (cost, state) of its reservation so far. Gives the reservation's new (cost, state) if that changes.
+
+        A reservation needs the balance, and costs above zero. Only one that is still reserved can be committed or refunded, so
+        repeated entries, and a refund after a commit, change nothing; nor does an id that is reserved again.
+        """
+        if op == "topup":
+            self.balance += amount
+        elif op == "reserve" and known is None and amount > 0:
+            if self.balance >= amount:
+                self.balance, self.spent, self.open = self.balance - amount, self.spent + amount, self.open + 1
+                return amount, "reserved"
+            self.refused += 1
+        elif op in ("commit", "refund") and known is not None and known[1] == "reserved":
+            self.open -= 1
+            if op == "refund":
+                self.balance, self.spent = self.balance + known[0], max(0, self.spent - known[0])
+            return known[0], "committed" if op == "commit" else "refunded"
+        return None
+
+
 def ledger_fold(ledger: DataFrame) -> DataFrame:
-    """Wallets after the entries in order: a reservation needs the balance, commit and refund settle the oldest open one."""
-    rows = ledger.groupBy("principal").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "op", "amount"))).alias("e"))
-
-    def step(a: Column, x: Column) -> Column:
-        enough, some = a["balance"] >= x["amount"], F.size(a["open"]) > 0
-        oldest = F.coalesce(F.try_element_at(a["open"], F.lit(1)), F.lit(0).cast("long"))
-        rest = F.when(some, F.slice(a["open"], 2, F.greatest(F.size(a["open"]), F.lit(1)))).otherwise(a["open"])
-        reserve, settle, refund = (x["op"] == "reserve") & enough, x["op"].isin("commit", "refund") & some, (x["op"] == "refund") & some
-        gain = F.when(x["op"] == "topup", x["amount"]).when(reserve, -x["amount"]).when(refund, oldest).otherwise(0)
-        spent = F.when(reserve, a["spent"] + x["amount"]).when(refund, F.greatest(F.lit(0).cast("long"), a["spent"] - oldest)).otherwise(a["spent"])
-        open_ = F.when(reserve, F.concat(a["open"], F.array(x["amount"]))).when(settle, rest).otherwise(a["open"])
-        refused = a["refused"] + F.when((x["op"] == "reserve") & ~enough, 1).otherwise(0)
-        return F.struct((a["balance"] + gain).alias("balance"), spent.alias("spent"), open_.alias("open"), refused.alias("refused"))
-
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("balance"), zero.alias("spent"), F.array().cast("array<bigint>").alias("open"), F.lit(0).alias("refused"))
-    out = rows.select("principal", F.aggregate("e", start, step).alias("w"))
-    return out.select("principal", "w.balance", "w.spent", F.size("w.open").alias("open"), "w.refused")
+    """(principal, balance, spent, open, refused): wallets after the entries (principal, ts, event_id, op, amount, reservation) in order.
+
+    Whether a reservation fits depends on all before it, so a principal's entries pass one task in order; they stream through
+    it, and only the principal's reservations are held.
+    """
+
+    def fold(frames):
+        principal, wallet, reservations, begun = None, Wallet(), {}, False
+        for pdf in frames:
+            rows = []
+            for r in pdf.itertuples():
+                if not begun or r.principal != principal:
+                    if begun:
+                        rows.append((principal, wallet.balance, wallet.spent, wallet.open, wallet.refused))
+                    principal, wallet, reservations, begun = r.principal, Wallet(), {}, True
+                after = wallet.step(r.op, int(r.amount), reservations.get(r.reservation))
+                if after is not None and r.reservation == r.reservation:
+                    reservations[r.reservation] = after
+            yield pd.DataFrame(rows, columns=["principal", "balance", "spent", "open", "refused"])
+        if begun:
+            yield pd.DataFrame([(principal, wallet.balance, wallet.spent, wallet.open, wallet.refused)], columns=["principal", "balance", "spent", "open", "refused"])
+
+    rows = ledger.where("principal is not null").select("principal", "ts", "event_id", "op", F.coalesce("amount", F.lit(0)).alias("amount"), "reservation")
+    ordered = rows.repartition("principal").sortWithinPartitions("principal", "ts", "event_id")
+    return ordered.mapInPandas(fold, "principal long, balance long, spent long, open long, refused long")

@@ -73,7 +73,8 @@ FX: dict[str, str] = {
         "status, o_orderdate AS created, o_orderkey % 400 AS ttl_days FROM orders",
     "ledger": "SELECT user_id AS principal, ts, event_id, CASE event_type WHEN 'signup' THEN 'topup' WHEN 'click' THEN 'reserve' WHEN 'purchase' THEN "
         "'commit' WHEN 'error' THEN 'refund' END AS op, CASE event_type WHEN 'signup' THEN 10 + k % 20 WHEN 'click' THEN 1 + k % 5 ELSE 0 END AS "
-        "amount FROM ev WHERE event_type IN ('signup', 'click', 'purchase', 'error')",
+        "amount, CASE WHEN event_type <> 'signup' THEN {reserved} OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN event_type <> 'click' AND k % 7 = 0 THEN 1 ELSE 0 END END AS "
+        "reservation FROM ev WHERE event_type IN ('signup', 'click', 'purchase', 'error')",
     "lifecycle": "SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'click' THEN 'edit' WHEN 'view' THEN 'review' WHEN 'purchase' THEN 'approve' "
         "WHEN 'signup' THEN 'publish' WHEN 'error' THEN 'revoke' END AS action FROM ev WHERE event_type IN ('click', 'view', 'purchase', 'signup') OR "
         "(event_type = 'error' AND k = 0)",
@@ -108,6 +109,7 @@ SPARK = {
     "tokens": "SELECT doc_id, page, line_no, y, CAST(pos AS BIGINT) AS token_no, str FROM (SELECT doc_id, page, line_no, y, posexplode(filter(split(text, "
         "'[ \\\\t\\\\r]+'), t -> t <> '')) AS (pos, str) FROM lines)",
     "k": "get_json_object(props, '$.k')",
+    "reserved": "last_value(CASE WHEN event_type = 'click' THEN event_id END) IGNORE NULLS",
     "seven": "explode(sequence(1, 7))",
     "eight": "explode(sequence(1, 8))",
 }
@@ -117,6 +119,7 @@ DUCK = {
     "tokens": "SELECT doc_id, page, line_no, y, z[1] - 1 AS token_no, z[2] AS str FROM (SELECT doc_id, page, line_no, y, unnest(list_zip(range(1, len(s) + "
         "1), s)) AS z FROM (SELECT *, list_filter(regexp_split_to_array(text, '[ \\t\\r]+'), lambda t: t <> '') AS s FROM lines))",
     "k": "json_extract_string(props, '$.k')",
+    "reserved": "last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS)",
     "seven": "unnest([1, 2, 3, 4, 5, 6, 7])",
     "eight": "unnest([1, 2, 3, 4, 5, 6, 7, 8])",
 }

@@ -106,18 +106,19 @@ LIFECYCLE_STREAM = (
     f" UNION ALL SELECT 'refused', job_id, event_id, state, 0, 0 FROM ({_FOLD}) WHERE NOT ok"
 )
 
-# Ledger: a reservation needs the balance; commit and refund settle the oldest open one
+# Ledger: a reservation needs the balance; only one that is still open can be committed or refunded
 LEDGER = {"entries": "SELECT *, row_number() OVER (PARTITION BY principal ORDER BY ts, event_id) AS k FROM ledger"}
 LEDGER_SQL = """
 SELECT * FROM (WITH RECURSIVE f AS (
-  SELECT principal, 0::BIGINT AS k, 0::BIGINT AS balance, 0::BIGINT AS spent, []::BIGINT[] AS open, 0::BIGINT AS refused FROM (SELECT DISTINCT principal FROM entries)
+  SELECT principal, 0::BIGINT AS k, 0::BIGINT AS balance, 0::BIGINT AS spent, []::STRUCT(id BIGINT, cost BIGINT)[] AS open, 0::BIGINT AS refused FROM (SELECT DISTINCT principal FROM entries)
   UNION ALL
   SELECT e.principal, e.k,
-    f.balance + CASE WHEN e.op = 'topup' THEN e.amount WHEN e.op = 'reserve' AND f.balance >= e.amount THEN -e.amount WHEN e.op = 'refund' AND len(f.open) > 0 THEN f.open[1] ELSE 0 END,
-    CASE WHEN e.op = 'reserve' AND f.balance >= e.amount THEN f.spent + e.amount WHEN e.op = 'refund' AND len(f.open) > 0 THEN greatest(0, f.spent - f.open[1]) ELSE f.spent END,
-    CASE WHEN e.op = 'reserve' AND f.balance >= e.amount THEN list_append(f.open, e.amount) WHEN e.op IN ('commit', 'refund') AND len(f.open) > 0 THEN f.open[2:] ELSE f.open END,
+    f.balance + CASE WHEN e.op = 'topup' THEN e.amount WHEN e.op = 'reserve' AND e.amount > 0 AND f.balance >= e.amount THEN -e.amount WHEN e.op = 'refund' THEN coalesce(cost, 0) ELSE 0 END,
+    CASE WHEN e.op = 'reserve' AND e.amount > 0 AND f.balance >= e.amount THEN f.spent + e.amount WHEN e.op = 'refund' AND cost IS NOT NULL THEN greatest(0, f.spent - cost) ELSE f.spent END,
+    CASE WHEN e.op = 'reserve' AND e.amount > 0 AND f.balance >= e.amount THEN list_append(f.open, {'id': e.reservation, 'cost': e.amount})
+      WHEN e.op IN ('commit', 'refund') THEN list_filter(f.open, lambda r: r.id IS DISTINCT FROM e.reservation) ELSE f.open END,
     f.refused + CASE WHEN e.op = 'reserve' AND f.balance < e.amount THEN 1 ELSE 0 END
-  FROM f JOIN entries e ON e.principal = f.principal AND e.k = f.k + 1)
+  FROM f JOIN entries e ON e.principal = f.principal AND e.k = f.k + 1, LATERAL (SELECT list_filter(f.open, lambda r: r.id = e.reservation)[1].cost AS cost) z)
 SELECT principal, arg_max(balance, k) AS balance, arg_max(spent, k) AS spent, arg_max(len(open), k) AS open, arg_max(refused, k) AS refused FROM f GROUP BY 1)
 """
 

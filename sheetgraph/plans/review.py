@@ -422,11 +422,28 @@ query("role_access", "SELECT event_id AS request_id, CASE WHEN user_id % 5 <> k
 )
 query("revision_conflicts", "SELECT event_id, job_id, expected_revision, CASE WHEN row_number() OVER (PARTITION BY job_id, expected_revision ORDER BY ts, event_id) = 1 "
     "THEN 'ok' ELSE 'revision_conflict' END AS result FROM edits")(lambda t: review.revision_conflicts(t.edits))
-query("idempotency_scope", "SELECT event_id, scope, first_value(event_id) OVER (PARTITION BY scope ORDER BY ts, event_id) AS job, row_number() OVER (PARTITION BY scope "
-    "ORDER BY ts, event_id) > 1 AS reused FROM (SELECT *, sha256(concat_ws(chr(0), tenant::VARCHAR, owner::VARCHAR, operation, doc::VARCHAR, "
-    "key::VARCHAR)) AS scope FROM requests)")(lambda t: review.idempotency_scope(t.requests))
-query("reap_expired", "SELECT job_id, CASE WHEN status = 'active' AND TIMESTAMP '1997-06-01 00:00:00' >= created + to_days(CAST(ttl_days AS INT)) THEN 'expired' "
-    "ELSE status END AS status FROM jobs")(lambda t: review.reap_expired(t.jobs, "1997-06-01 00:00:00"))
+# Requests of which some have no key; a job lives for two days, and errors revoke the job of the click with their key
+_KEYED = "CASE WHEN event_id % 11 = 0 THEN NULL ELSE key END"
+TTL = 2 * 86_400
+_SCOPE = "sha256(concat_ws(chr(0), tenant::VARCHAR, owner::VARCHAR, {op}, doc::VARCHAR, key::VARCHAR))"
+SCOPES = {
+    "asked": f"SELECT CASE WHEN key IS NOT NULL THEN {_SCOPE.format(op='operation')} END AS scope, ts, event_id, FALSE AS clears FROM (SELECT * REPLACE ({_KEYED} AS key) FROM requests)",
+    "turns": f"SELECT *, row_number() OVER (PARTITION BY scope ORDER BY ts, clears, event_id) AS i FROM (SELECT * FROM asked WHERE scope IS NOT NULL UNION ALL SELECT {_SCOPE.format(op=repr('click'))}, ts, NULL, TRUE FROM requests WHERE operation = 'error')",
+}
+query(
+    "idempotency_scope",
+    "SELECT event_id, scope, job, reused FROM (WITH RECURSIVE f AS (SELECT scope, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BIGINT AS job, NULL::TIMESTAMP AS since, FALSE AS reused FROM (SELECT DISTINCT scope FROM turns)"
+    " UNION ALL SELECT r.scope, r.i, r.event_id, CASE WHEN r.clears THEN NULL WHEN again THEN f.job ELSE r.event_id END, CASE WHEN r.clears THEN NULL WHEN again THEN f.since ELSE r.ts END, again"
+    f" FROM f JOIN turns r ON r.scope = f.scope AND r.i = f.i + 1, LATERAL (SELECT coalesce(f.job IS NOT NULL AND r.ts <= f.since + to_seconds({TTL}), FALSE) AND NOT r.clears AS again) z) SELECT * FROM f) WHERE event_id IS NOT NULL"
+    " UNION ALL SELECT event_id, scope, event_id, FALSE FROM asked WHERE scope IS NULL",
+    SCOPES,
+)(lambda t: review.idempotency_scope(t.requests.withColumn("key", F.expr(_KEYED)), TTL, t.requests.where("operation = 'error'").withColumn("operation", F.lit("click")).select(review.scope_key().alias("scope"), "ts")))
+query(
+    "reap_expired",
+    "SELECT job_id, status, CASE WHEN status = 'active' THEN scope END AS scope, CASE WHEN was = 'revoked' THEN 'job_revoked' WHEN over THEN 'job_expired' END AS code FROM ("
+    "SELECT job_id, status AS was, CASE WHEN status = 'active' AND over THEN 'expired' ELSE status END AS status, over, 's' || job_id::VARCHAR AS scope FROM ("
+    "SELECT *, TIMESTAMP '1997-06-01 00:00:00' > created + to_days(CAST(ttl_days AS INT)) AS over FROM jobs))",
+)(lambda t: review.reap_expired(t.jobs.withColumn("scope", F.concat(F.lit("s"), F.col("job_id").cast("string"))), "1997-06-01 00:00:00"))
 _DIFF = "SELECT '{area}' AS area, path, CASE WHEN f IS NULL THEN 'missing' WHEN m IS NULL THEN 'extra' ELSE 'changed' END AS problem FROM ({rows}) WHERE m IS DISTINCT FROM f"
 query(
     "manifest_check",

@@ -2,36 +2,45 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sheetgraph.operators.netlist import batch_named_nets
-from sheetgraph.operators.review import lifecycle_step, scope_key
+from sheetgraph.operators.review import Wallet, lifecycle_step, scope_key
 
 
 def replay(spark: SparkSession, df: DataFrame, folder: str, parts: int = 4) -> DataFrame:
     """A stream of a table's rows, in order of ts, null ones first. They are written part after part, each by as many tasks
-    as it needs, and each part has a later folder; a trigger reads one folder's worth of files at most."""
+    as it needs, which deal out ranges of ts; a stream takes files by their times, so the files get times in order of what
+    they hold."""
     path = f"{folder}/{uuid.uuid4().hex}"
     df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     at = F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62)))
     cuts = df.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)]).alias("c")).first()["c"] or []
     edges = [None, *sorted(set(cuts)), None]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs, files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), []
     for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         part = df if low is None else df.where(at >= low)
         part = part if high is None else part.where(at < high)
         part.repartitionByRange(at).write.parquet(f"{path}/part={k:04d}")
+        files += sorted(f.getPath().toString() for f in fs.listStatus(hadoop(f"{path}/part={k:04d}")) if f.getPath().getName().startswith("part-"))
+    began = int(time.time() * 1000) - 2000 * len(files)
+    for k, f in enumerate(files):
+        fs.setTimes(hadoop(f), began + 2000 * k, -1)
     schema = spark.read.parquet(f"{path}/part=0000").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{path}/part=*")
 
 
 def stream_idempotent_jobs(requests: DataFrame, within: str = "24 hours") -> DataFrame:
-    """The first request of each scope within the time becomes a job."""
-    keyed = requests.withColumn("scope", scope_key()).withWatermark("ts", within)
+    """The first request of each scope within the time becomes a job, as does each request without a key."""
+    keyed = requests.withColumn("scope", F.coalesce(scope_key(), F.concat(F.lit("event:"), F.col("event_id").cast("string")))).withWatermark("ts", within)
     return keyed.dropDuplicatesWithinWatermark(["scope"]).select("scope", "ts", "tenant", "owner", "operation")
 
 
@@ -79,32 +88,43 @@ def lifecycle_rejected(rows: DataFrame) -> DataFrame:
     return rows.where("not accepted").select("job_id", "event_id", "action", "state")
 
 
-def ledger_step(wallet: tuple[int, int, list[int], int], op: str, amount: int) -> tuple[int, int, list[int], int]:
-    """(balance, spent, open reservations, refused) after one entry."""
-    balance, spent, open_, refused = wallet
-    if op == "topup":
-        return balance + amount, spent, open_, refused
-    if op == "reserve":
-        return (balance - amount, spent + amount, [*open_, amount], refused) if balance >= amount else (balance, spent, open_, refused + 1)
-    if not open_:
-        return wallet
-    back = open_[0] if op == "refund" else 0
-    return balance + back, max(0, spent - back), open_[1:], refused
+def stream_ledger(entries: DataFrame, remember: str | None = None) -> DataFrame:
+    """(principal, balance, spent, open, refused) whenever entries of a principal arrive.
 
+    The state of a principal is one row of sums and one small row a reservation, known by its id, so a repeated or late commit
+    or refund changes nothing. With `remember` (a time such as "30 days") a reservation is forgotten so long after its last
+    change: later entries on it find none. The state lives in RocksDB.
+    """
+    conf = entries.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ms = None if remember is None else int(pd.Timedelta(remember).total_seconds() * 1000)
+    out = "principal long, balance long, spent long, open long, refused long"
+    return entries.groupBy("principal").transformWithStateInPandas(Wallets(ms), out, "update", "none" if ms is None else "processingTime")
 
-def stream_ledger(entries: DataFrame) -> DataFrame:
-    """(principal, balance, spent, open, refused) whenever entries of a principal arrive."""
 
-    def step(key, frames, state: GroupState):
-        w = state.get if state.exists else (0, 0, "", 0)
-        wallet = (w[0], w[1], [int(x) for x in w[2].split(",") if x], w[3])
-        for r in pd.concat(frames).sort_values(["ts", "event_id"]).itertuples():
-            wallet = ledger_step(wallet, r.op, int(r.amount))
-        state.update((wallet[0], wallet[1], ",".join(map(str, wallet[2])), wallet[3]))
-        yield pd.DataFrame({"principal": [key[0]], "balance": [wallet[0]], "spent": [wallet[1]], "open": [len(wallet[2])], "refused": [wallet[3]]})
+class Wallets(StatefulProcessor):
+    """Folds the entries of a principal as they arrive."""
 
-    out = "principal long, balance long, spent long, open long, refused long"
-    return entries.groupBy("principal").applyInPandasWithState(step, out, "balance long, spent long, open string, refused long", "update", GroupStateTimeout.NoTimeout)
+    def __init__(self, forget_ms: int | None = None):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.wallet = handle.getValueState("wallet", "balance long, spent long, open long, refused long")
+        self.reservations = handle.getMapState("reservations", "id long", "cost long, state string", self.forget_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = self.wallet.get()
+        wallet = Wallet(*map(int, before)) if before is not None else Wallet()
+        for r in pd.concat(rows).sort_values(["ts", "event_id"]).itertuples():
+            known = None if pd.isna(r.reservation) else self.reservations.getValue((int(r.reservation),))
+            after = wallet.step(r.op, int(r.amount), None if known is None else (int(known[0]), known[1]))
+            if after is not None and not pd.isna(r.reservation):
+                self.reservations.updateValue((int(r.reservation),), after)
+        self.wallet.update((wallet.balance, wallet.spent, wallet.open, wallet.refused))
+        yield pd.DataFrame({"principal": [key[0]], "balance": [wallet.balance], "spent": [wallet.spent], "open": [wallet.open], "refused": [wallet.refused]})
+
+    def close(self) -> None:
+        pass
 
 
 def run_to_end(stream: DataFrame, folder: str, key: str | None = None, mode: str = "append") -> DataFrame:
@@ -112,11 +132,11 @@ def run_to_end(stream: DataFrame, folder: str, key: str | None = None, mode: str
     path, spark = f"{folder}/{uuid.uuid4().hex}", stream.sparkSession
 
     def keep(df: DataFrame, batch: int) -> None:
-        df.withColumn("_batch", F.lit(batch)).write.mode("append").parquet(f"{path}/out")
+        df.write.mode("overwrite").parquet(f"{path}/out/_batch={batch}")  # a replayed batch writes itself again
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    out = spark.read.parquet(f"{path}/out")
+    out = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out/_batch=*")
     if key is None:
         return out.drop("_batch")
     rest = [c for c in out.columns if c not in (key, "_batch")]

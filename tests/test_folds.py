@@ -46,16 +46,46 @@ def test_nets_while_batches_arrive(spark, tmp_path):
 
 
 def test_ledger(spark, tmp_path):
-    rng = random.Random(2)
-    rows = [(i % 3, at(i), i, op, rng.randint(1, 9)) for i in range(200) for op in (rng.choice(["topup", "reserve", "reserve", "commit", "refund"]),)]
-    want = {}
-    for p, _, _, op, n in rows:
-        want[p] = jobs.ledger_step(want.get(p, (0, 0, [], 0)), op, n)
-    want = {p: (b, s, len(o), x) for p, (b, s, o, x) in want.items()}
-    df = spark.createDataFrame(rows, "principal long, ts timestamp, event_id long, op string, amount long")
+    """Batch and stream against a plain loop over reservations by id; repeated and late entries change nothing."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for p in range(8):
+        wallet, seen = [0, 0, 0, 0], {}
+        for k in range(60):
+            op, amount, rid = rng.choice(["topup", "reserve", "reserve", "commit", "refund"]), rng.randint(0, 6), rng.randint(1, 25)
+            rows.append((p, 1_700_000_000 + 7 * k, 100 * p + k, op, amount, None if op == "topup" else 1000 * p + rid))
+            if op == "topup":
+                wallet[0] += amount
+            elif op == "reserve":
+                if rid in seen or not amount:
+                    continue
+                if wallet[0] < amount:
+                    wallet[3] += 1
+                    continue
+                seen[rid] = [amount, True]
+                wallet = [wallet[0] - amount, wallet[1] + amount, wallet[2] + 1, wallet[3]]
+            elif seen.get(rid, [0, False])[1]:
+                seen[rid][1], back = False, seen[rid][0] if op == "refund" else 0
+                wallet = [wallet[0] + back, wallet[1] - back, wallet[2] - 1, wallet[3]]
+        want[p] = tuple(wallet)
+    df = spark.createDataFrame(rows, "principal long, s long, event_id long, op string, amount long, reservation long").selectExpr("principal", "timestamp_seconds(s) AS ts", "event_id", "op", "amount", "reservation")
     batch = {r["principal"]: (r["balance"], r["spent"], r["open"], r["refused"]) for r in review.ledger_fold(df).collect()}
-    stream = jobs.run_to_end(jobs.stream_ledger(jobs.replay(spark, df, str(tmp_path))), str(tmp_path), "principal", "update")
+    stream = jobs.run_to_end(jobs.stream_ledger(jobs.replay(spark, df, str(tmp_path), parts=6)), str(tmp_path), "principal", "update")
     assert batch == want == {r["principal"]: (r["balance"], r["spent"], r["open"], r["refused"]) for r in stream.collect()}
+    assert review.ledger_fold(df.limit(0)).count() == 0
+
+
+def test_a_repeated_commit_or_refund_changes_nothing():
+    w = review.Wallet()
+    w.step("topup", 10, None)
+    one = w.step("reserve", 4, None)
+    assert one == (4, "reserved") and w.step("reserve", 4, one) is None and w.balance == 6
+    done = w.step("commit", 0, one)
+    assert done == (4, "committed") and w.step("commit", 0, done) is None and w.step("refund", 0, done) is None and (w.balance, w.spent, w.open) == (6, 4, 0)
+    two = w.step("reserve", 6, None)
+    back = w.step("refund", 0, two)
+    assert back == (6, "refunded") and w.step("refund", 0, back) is None and (w.balance, w.spent, w.open) == (6, 4, 0)
+    assert w.step("refund", 0, None) is None and w.step("reserve", 7, None) is None and w.refused == 1
 
 
 def test_first_request_makes_the_job(spark, tmp_path):
