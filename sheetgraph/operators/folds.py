@@ -111,19 +111,45 @@ def batch_anonymous_nets(rows: DataFrame, transitive: bool = False) -> DataFrame
     return blank.groupBy("design_id").applyInPandas(_merge_anonymous(transitive), "design_id long, net string, ref string, pin string, conf_pct long")
 
 
-def enrich_batches(batches: DataFrame, extract: Callable[[list[str]], list[tuple[str, str]]], most: int = 220) -> DataFrame:
+#: What an extractor is told of the source at most: references, labels, and pairs of a reference and its value, and how sure a pair must be.
+HINT_REFS, HINT_LABELS, HINT_PAIRS, HINT_SURE = 220, 100, 80, 0.65
+
+
+def census_hints(refs: DataFrame, labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(design_id, refs, labels, pairs): what the source shows of a design, in order and bounded, as one row.
+
+    refs: (design_id, ref); labels: (design_id, label); pairs: (design_id, ref, value, confidence), as `ref=value`.
+    """
+    sure = pairs.where(F.col("confidence") >= HINT_SURE).select("design_id", F.concat_ws("=", "ref", "value").alias("text"))
+    out = None
+    for df, name, most in ((refs.select("design_id", F.col("ref").alias("text")), "refs", HINT_REFS), (labels.select("design_id", F.col("label").alias("text")), "labels", HINT_LABELS), (sure, "pairs", HINT_PAIRS)):
+        place = F.row_number().over(W.partitionBy("design_id").orderBy("text"))
+        one = df.distinct().withColumn("place", place).where(F.col("place") <= most).groupBy("design_id").agg(F.array_sort(F.collect_list("text")).alias(name))
+        out = one if out is None else out.join(one, "design_id", "full")
+    return out
+
+
+def enrich_batches(batches: DataFrame, extract: Callable[..., list[tuple[str, str]]], most: int = 220, hints: DataFrame | None = None) -> DataFrame:
     """An extractor's (ref, value) rows for each batch of references; a call gets at most `most` references, and a batch
-    of more takes several calls.
+    of more takes several calls. With hints (census_hints) a call also gets what the source shows of the design, as
+    {"refs": [...], "labels": [...], "pairs": [...]}.
 
     batches: (design_id, batch_no, ref). Filter to what needs extraction before this: filters don't pass it.
     """
     place = F.row_number().over(W.partitionBy("design_id", "batch_no").orderBy("ref"))
     part = batches.select("design_id", "batch_no", "ref", F.floor((place - 1) / most).alias("part"))
     grouped = part.groupBy("design_id", "batch_no", "part").agg(F.array_sort(F.collect_list("ref")).alias("refs"))
+    if hints is not None:
+        grouped = grouped.join(hints.select("design_id", F.struct("refs", "labels", "pairs").alias("hints")), "design_id", "left")
+
+    told = hints is not None
 
     def run(frames):
         for pdf in frames:
-            rows = [(d, b, r, v) for d, b, refs in zip(pdf["design_id"], pdf["batch_no"], pdf["refs"], strict=True) for r, v in extract(list(refs))]
+            rows = []
+            for r in pdf.itertuples():
+                more = () if not told else ({k: list((r.hints or {}).get(k) if (r.hints or {}).get(k) is not None else []) for k in ("refs", "labels", "pairs")},)
+                rows += [(r.design_id, r.batch_no, ref, value) for ref, value in extract(list(r.refs), *more)]
             yield pd.DataFrame(rows, columns=["design_id", "batch_no", "ref", "value"])
 
     return grouped.mapInPandas(run, "design_id long, batch_no long, ref string, value string")

@@ -137,8 +137,21 @@ query("figure_fit", FIGURE_FIT, V | FITTED)(lambda t: raster.figure_fit(raster.i
 query("line_boxes", LINE_BOXES, LV | ASSEMBLED)(lambda t: folds.line_boxes(_items(t).selectExpr("doc_id", "page", "item_no", "str", "x AS left", "x + w AS right", "792 - y AS base", "greatest(abs(h), 8D) AS h")))
 query("figure_filter", FIGURE_FILTER, LV | FILTERED)(lambda t: folds.figure_filter(layout.figure_candidates(t.lines).selectExpr("doc_id", "line_no AS fig_no", "kind", "title", "page", "1 - y / 792 AS y0")))
 query("batch_anonymous_nets", ANONYMOUS_SQL, ANONYMOUS)(lambda t: folds.batch_anonymous_nets(t.batch_eps))
-query("enrich_batches", "SELECT design_id, CAST(floor((row_number() OVER (PARTITION BY design_id ORDER BY ref) - 1) / 18) AS BIGINT) AS batch_no, ref, 'value of ' || "
-    "ref AS value FROM comps")(lambda t: folds.enrich_batches(focus_batches(t.comps), lambda refs: [(r, f"value of {r}") for r in refs]))
+
+
+def _told(refs, hints):
+    """An extractor that says what it was told: a sure value, or how much the source shows."""
+    values = dict(p.split("=", 1) for p in hints["pairs"])
+    return [(r, values.get(r, f"{len(refs)} of {len(hints['refs'])} references, {len(hints['labels'])} labels from {hints['labels'][0]}")) for r in refs]
+
+
+query(
+    "enrich_batches",
+    "SELECT c.design_id, c.batch_no, c.ref, coalesce(p.value, c.n::VARCHAR || ' of ' || least(220, c.total)::VARCHAR || ' references, ' || l.n::VARCHAR || ' labels from ' || l.first) AS value FROM ("
+    "SELECT design_id, ref, batch_no, count(*) OVER (PARTITION BY design_id, batch_no) AS n, count(*) OVER (PARTITION BY design_id) AS total FROM (SELECT design_id, ref, CAST(floor((row_number() OVER (PARTITION BY design_id ORDER BY ref) - 1) / 18) AS BIGINT) AS batch_no FROM comps)) c"
+    " LEFT JOIN (SELECT * FROM (SELECT design_id, ref, value, row_number() OVER (PARTITION BY design_id ORDER BY ref || '=' || value) AS k FROM comps WHERE conf_pct >= 65) WHERE k <= 80) p ON p.design_id = c.design_id AND p.ref = c.ref"
+    " LEFT JOIN (SELECT design_id, least(100, count(DISTINCT name)) AS n, min(name) AS first FROM nets GROUP BY 1) l ON l.design_id = c.design_id",
+)(lambda t: folds.enrich_batches(focus_batches(t.comps), _told, hints=folds.census_hints(t.comps, t.nets.selectExpr("design_id", "name AS label"), t.comps.selectExpr("design_id", "ref", "value", "CAST(conf_pct AS DOUBLE) / 100 AS confidence"))))
 query("figure_image_bind", "SELECT e.event_id AS upload_id, e.k AS fig_id, CASE WHEN e.k >= 60 THEN 'unknown_figure' WHEN e.event_id % 3 <> e.k % 3 THEN "
     "'revision_conflict' ELSE 'bound' END AS result, CASE WHEN e.k < 60 AND e.event_id % 3 = e.k % 3 THEN 'figure:' || e.k::VARCHAR END AS lapsed "
     "FROM ev e")(
