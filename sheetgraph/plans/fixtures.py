@@ -73,7 +73,7 @@ FX: dict[str, str] = {
         "status, o_orderdate AS created, o_orderkey % 400 AS ttl_days FROM orders",
     "ledger": "SELECT user_id AS principal, ts, event_id, CASE event_type WHEN 'signup' THEN 'topup' WHEN 'click' THEN 'reserve' WHEN 'purchase' THEN "
         "'commit' WHEN 'error' THEN 'refund' END AS op, CASE event_type WHEN 'signup' THEN 10 + k % 20 WHEN 'click' THEN 1 + k % 5 ELSE 0 END AS "
-        "amount, CASE WHEN event_type <> 'signup' THEN {reserved} OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN event_type <> 'click' AND k % 7 = 0 THEN 1 ELSE 0 END END AS "
+        "amount, coalesce(CASE WHEN event_type <> 'signup' THEN {reserved} OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN event_type <> 'click' AND k % 7 = 0 THEN 1 ELSE 0 END END, 0) AS "
         "reservation FROM ev WHERE event_type IN ('signup', 'click', 'purchase', 'error')",
     "lifecycle": "SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'click' THEN 'edit' WHEN 'view' THEN 'review' WHEN 'purchase' THEN 'approve' "
         "WHEN 'signup' THEN 'publish' WHEN 'error' THEN 'revoke' END AS action FROM ev WHERE event_type IN ('click', 'view', 'purchase', 'signup') OR "

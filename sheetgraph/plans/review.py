@@ -197,7 +197,7 @@ _AN = "SELECT owner_id, field, CASE WHEN dn THEN 'unverified' ELSE coalesce(sour
 
 
 def _anchors(t):
-    p = t.part.crossJoin(t.spark.createDataFrame([(0, "pitch"), (1, "height"), (2, "body_length")], "i int, f string"))
+    p = t.part.select("*", F.posexplode(F.array(*map(F.lit, ("pitch", "height", "body_length")))).alias("i", "f"))
     return evidence.evidence_anchor(p.selectExpr(
         "p_partkey AS owner_id", "f AS field", "CASE (p_partkey + i) % 8 WHEN 0 THEN 'datasheet_text' WHEN 1 THEN 'datasheet_table' WHEN 2 THEN 'ocr' WHEN 3 THEN 'model_inference' WHEN 4 "
             "THEN 'reviewer' WHEN 5 THEN 'default' WHEN 6 THEN NULL ELSE 'datasheet_drawing' END AS source_type",
