@@ -123,26 +123,53 @@ SELECT principal, arg_max(balance, k) AS balance, arg_max(spent, k) AS spent, ar
 """
 
 # Ink that goes on from an anchor, and the first candidate that fits a figure
+_CELL_ROW = "greatest(0, least(gh - 1, CAST(floor({0} / 4 + 0.5::DOUBLE) AS BIGINT)))"
+_ROUND = "CAST(floor({0} + 0.5::DOUBLE) AS BIGINT)"
+PROFILE = {
+    "sz0": "SELECT page_id, w, h, chrome_top, chrome_bottom, greatest(1, CAST(ceil(w / 4) AS BIGINT)) AS gw, greatest(1, CAST(ceil(h / 4) AS BIGINT)) AS gh FROM pxsize",
+    "sz": f"SELECT *, {_CELL_ROW.format('chrome_top')} AS t, {_CELL_ROW.format('chrome_bottom')} AS b, greatest(2, {_ROUND.format('gw * 0.006::DOUBLE')}) AS least_ink, "
+    f"greatest(2, {_ROUND.format('gh * 0.03::DOUBLE')}) AS gap, greatest(3, {_ROUND.format('gh * 0.055::DOUBLE')}) AS lead, {_ROUND.format('gh * 0.8::DOUBLE')} AS most FROM sz0",
+    "stopped": f"SELECT DISTINCT page_id, unnest(range({_CELL_ROW.format('top')}, {_CELL_ROW.format('bottom')} + 1)) AS r FROM pxlines JOIN sz USING (page_id) WHERE length(text) > 40",
+    "cellrows": "SELECT page_id, r, count(*) AS n, min(c) AS c0, max(c) AS c1 FROM ink GROUP BY 1, 2",
+}
+# Columns page_id, anchor, dir, lead_rows of {anchors}; rows count from the anchor on
 _GROW = """
-SELECT page_id, anchor, dir, anchor + max(far) * dir AS last FROM (SELECT *, sum(b) OVER (PARTITION BY page_id, anchor, dir ORDER BY far) AS broken FROM (
-  SELECT *, CASE WHEN lag(far) OVER w IS NULL THEN CAST(far - 1 > 3 AS INTEGER) ELSE CAST(far - lag(far) OVER w - 1 > 2 AS INTEGER) END AS b
-  FROM (SELECT a.*, (i.r - a.anchor) * a.dir AS far FROM ({anchors}) a JOIN inkrows i ON i.page_id = a.page_id)
-  WHERE far > 0 AND (stop IS NULL OR far < (stop - anchor) * dir) WINDOW w AS (PARTITION BY page_id, anchor, dir ORDER BY far))) WHERE broken = 0 GROUP BY 1, 2, 3
+SELECT page_id, anchor, dir, lead_rows, anchor + max(far) * dir AS last FROM (SELECT *, sum(cut) OVER (PARTITION BY page_id, anchor, dir, lead_rows ORDER BY far) AS broken FROM (
+  SELECT *, CAST(CASE WHEN lag(far) OVER w IS NULL THEN far - 1 > lead_rows ELSE far - lag(far) OVER w - 1 > gap END AS INTEGER) AS cut
+  FROM (SELECT a.*, z.gap, (i.r - a.anchor) * a.dir AS far FROM (SELECT DISTINCT * FROM ({anchors})) a JOIN sz z ON z.page_id = a.page_id
+    JOIN cellrows i ON i.page_id = a.page_id AND i.n >= z.least_ink AND i.r BETWEEN z.t AND z.b AND (i.r - a.anchor) * a.dir BETWEEN 1 AND z.most + 1
+    WHERE a.anchor BETWEEN 0 AND z.gh - 1 AND CASE WHEN dir = 1 THEN anchor + 1 >= z.t ELSE anchor - 1 <= z.b END
+      AND NOT EXISTS (FROM stopped s WHERE s.page_id = a.page_id AND (s.r - a.anchor) * a.dir BETWEEN 1 AND (i.r - a.anchor) * a.dir AND s.r BETWEEN z.t AND z.b))
+  WINDOW w AS (PARTITION BY page_id, anchor, dir, lead_rows ORDER BY far))) WHERE broken = 0 GROUP BY 1, 2, 3, 4
 """
-INK_GROW = _GROW.format(anchors="SELECT page_id, page_id % 20 AS anchor, dir, CASE WHEN page_id % 3 = 0 THEN page_id % 20 + 6 * dir END AS stop FROM pages CROSS JOIN (VALUES "
-    "(1), (-1)) AS v(dir)")
+INK_GROW = "SELECT page_id, anchor, dir, last FROM (" + _GROW.format(anchors="SELECT page_id, page_id % 20 AS anchor, dir, lead AS lead_rows FROM sz CROSS JOIN (VALUES (1), (-1)) AS v(dir)") + ")"
+_INK_IN = "(SELECT coalesce(sum(n), 0) FROM cellrows k WHERE k.page_id = {p}.page_id AND k.r BETWEEN {a} AND {b})"
+_FIT_EDGE = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, {0} * 4 / {1} {2} 0.014::DOUBLE))"
 FITTED = {
-    "blocks": "SELECT page_id, b, min(r) AS r0, max(r) AS r1, sum(cells) AS cells FROM (SELECT *, sum(nw) OVER (PARTITION BY page_id ORDER BY r) AS b FROM ("
-    "SELECT *, CASE WHEN r - lag(r) OVER (PARTITION BY page_id ORDER BY r) - 1 <= 2 THEN 0 ELSE 1 END AS nw FROM inkrows)) GROUP BY 1, 2",
-    "grown": _GROW.format(anchors="SELECT page_id, page_id % 20 AS anchor, dir, NULL::BIGINT AS stop FROM pages CROSS JOIN (VALUES (1), (-1)) AS v(dir)"),
-    "seeds": "SELECT page_id, 3 AS prio, 'seed_trim' AS method, page_id % 9 AS a, page_id % 9 + 5 AS b FROM pages UNION ALL SELECT page_id, 4, "
-        "'seed_mirror', 19 - (page_id % 9 + 5), 19 - page_id % 9 FROM pages",
-    "cands": "SELECT page_id, CASE WHEN dir = -1 THEN 1 ELSE 2 END AS prio, CASE WHEN dir = -1 THEN 'caption_up' ELSE 'caption_down' END AS method, "
-        "least(anchor, last) AS r0, greatest(anchor, last) AS r1 FROM grown"
-    " UNION ALL SELECT s.page_id, prio, method, min(r), max(r) FROM seeds s JOIN inkrows i ON i.page_id = s.page_id AND i.r BETWEEN s.a AND s.b GROUP BY 1, 2, 3"
-    " UNION ALL SELECT page_id, 5, 'largest_block', r0, r1 FROM (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY cells DESC, r0) = 1)",
+    "caps0": f"SELECT c.*, {_CELL_ROW.format('top')} AS q0, {_CELL_ROW.format('bottom')} AS q1 FROM pxcaps c JOIN sz USING (page_id)",
+    "caps1": "SELECT *, " + _INK_IN.format(p="x", a="greatest(t, q0 - span)", b="q0 - 1") + " AS over, " + _INK_IN.format(p="x", a="q1 + 1", b="least(b, q1 + span)")
+    + f" AS under FROM (SELECT c.*, t, b, lead, {_ROUND.format('gh * 0.3::DOUBLE')} AS span FROM caps0 c JOIN sz USING (page_id)) x",
+    "caps2": "SELECT *, CASE WHEN regexp_matches(text, '(?i)^\\s*(figure|fig\\.?|图|圖)\\s*\\d') THEN -1 WHEN regexp_matches(text, '^\\s*\\d+(\\.\\d+)*[\\s.、]') THEN 1 WHEN under > over THEN 1 ELSE -1 END AS way FROM caps1",
+    "capgrown": _GROW.format(anchors="SELECT page_id, q0 AS anchor, -1 AS dir, lead AS lead_rows FROM caps2 UNION ALL SELECT page_id, q1, 1, lead FROM caps2"),
+    "boxes": f"SELECT page_id, 0 AS turned, {_CELL_ROW.format('y0 * h')} AS a, {_CELL_ROW.format('y1 * h')} AS z FROM pxfigs JOIN sz USING (page_id) WHERE y0 IS NOT NULL UNION ALL SELECT page_id, 1, {_CELL_ROW.format('(1 - y1) * h')}, {_CELL_ROW.format('(1 - y0) * h')} FROM pxfigs JOIN sz USING (page_id) WHERE y0 IS NOT NULL",
+    "best": "SELECT * FROM (SELECT x.*, gw, gap, least_ink, CASE WHEN z >= a THEN " + _INK_IN.format(p="x", a="a", b="z") + " / ((z - a + 1) * gw) ELSE 0 END AS ratio FROM boxes x JOIN sz USING (page_id)) "
+    "QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY ratio DESC, turned) = 1",
+    "trimmed": "SELECT x.page_id, turned, min(r) AS a, max(r) AS z, greatest(2, CAST(floor(any_value(gap) / 2 + 0.5::DOUBLE) AS BIGINT)) AS half FROM best x JOIN cellrows k ON k.page_id = x.page_id AND k.r BETWEEN a AND z AND n >= least_ink WHERE ratio >= 0.003 GROUP BY 1, 2",
+    "trimgrown": _GROW.format(anchors="SELECT page_id, a AS anchor, -1 AS dir, half AS lead_rows FROM trimmed UNION ALL SELECT page_id, z, 1, half FROM trimmed"),
+    "islands": "SELECT page_id, min(r) AS r0, max(r) AS r1 FROM (SELECT *, sum(nw) OVER (PARTITION BY page_id ORDER BY r) AS i FROM (SELECT k.page_id, r, CASE WHEN r - lag(r) OVER (PARTITION BY k.page_id ORDER BY r) - 1 <= gap THEN 0 ELSE 1 END AS nw "
+    "FROM cellrows k JOIN sz z ON z.page_id = k.page_id AND r BETWEEN t AND b AND n >= least_ink)) GROUP BY page_id, i",
+    "cands": "SELECT c.page_id, CASE WHEN g.dir = way THEN 1 ELSE 2 END AS prio, CASE WHEN g.dir = -1 THEN 'caption_up' ELSE 'caption_down' END AS method, least(q0, last) AS r0, greatest(q1, last) AS r1, 0.0::DOUBLE AS score, 0 AS n "
+    "FROM caps2 c JOIN capgrown g ON g.page_id = c.page_id AND g.anchor = CASE WHEN g.dir = -1 THEN q0 ELSE q1 END"
+    " UNION ALL SELECT x.page_id, 3, CASE WHEN turned = 1 THEN 'seed_mirror' ELSE 'seed_trim' END, coalesce(u.last, a), coalesce(d.last, z), 0, 0 FROM trimmed x LEFT JOIN trimgrown u ON u.page_id = x.page_id AND u.dir = -1 AND u.anchor = a "
+    "LEFT JOIN trimgrown d ON d.page_id = x.page_id AND d.dir = 1 AND d.anchor = z"
+    " UNION ALL SELECT page_id, 4, 'largest_block', r0, r1, n * CASE WHEN (a + z) / 2 BETWEEN r0 AND r1 THEN 1.5::DOUBLE ELSE 1 END, n FROM (SELECT i.*, s.a, s.z, " + _INK_IN.format(p="i", a="i.r0", b="i.r1") + " AS n FROM islands i LEFT JOIN best s ON s.page_id = i.page_id)",
+    "bounded": "SELECT c.page_id, prio, method, r0, r1, score, c.n, sum(k.n) AS cells, min(c0) AS c0, max(c1) AS c1 FROM cands c JOIN cellrows k ON k.page_id = c.page_id AND k.r BETWEEN c.r0 AND c.r1 GROUP BY ALL",
 }
-FIGURE_FIT = "SELECT page_id, CAST(1 AS BIGINT) AS fig_no, method, r0, r1 FROM (SELECT * FROM cands WHERE r1 - r0 + 1 >= 3 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY prio) = 1)"
+FIGURE_FIT = (
+    "SELECT page_id, fig_no, method, r0, r1, " + ", ".join(f"{_FIT_EDGE.format(*e)} AS {n}" for n, e in {"x0": ("c0", "w", "-"), "y0": ("r0", "h", "-"), "x1": ("(c1 + 1)", "w", "+"), "y1": ("(r1 + 1)", "h", "+")}.items())
+    + " FROM bounded JOIN sz USING (page_id) JOIN pxfigs USING (page_id) WHERE (r1 - r0 + 1) / gh BETWEEN 0.04::DOUBLE AND 0.8::DOUBLE AND cells / ((r1 - r0 + 1) * (c1 - c0 + 1)) >= 0.003::DOUBLE "
+    "QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY prio, score DESC, n DESC, r0) = 1"
+)
 
 # Unnamed nets: each joins the first group that it shares an endpoint with
 ANONYMOUS = {

@@ -11,7 +11,7 @@ from sheetgraph.operators.netlist import focus_batches
 from sheetgraph.plans.cleaning import V as CV
 from sheetgraph.plans.cleaning import _pk
 from sheetgraph.plans.layout import _items
-from sheetgraph.plans.folds import ANONYMOUS, ANONYMOUS_SQL, ASSEMBLED, FIGURE_FILTER, FIGURE_FIT, FILTERED, FITTED, INK_GROW, LEDGER, LEDGER_SQL, LIFECYCLE, LIFECYCLE_STREAM, LINE_BOXES
+from sheetgraph.plans.folds import ANONYMOUS, ANONYMOUS_SQL, ASSEMBLED, FIGURE_FILTER, FIGURE_FIT, FILTERED, FITTED, INK_GROW, LEDGER, LEDGER_SQL, LIFECYCLE, LIFECYCLE_STREAM, LINE_BOXES, PROFILE
 from sheetgraph.plans.layout import V as LV
 from sheetgraph.plans.registry import query
 from sheetgraph.sources import records
@@ -35,6 +35,18 @@ def _prior(field: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(type, '{p}') THEN {v.get(field, 'NULL')}" for p, v in geometry.PRIORS) + " END"
 
 
+# Sizes of the rasters, paragraphs as their lines, a figure a page with a box or without, and captions of all kinds
+_HIGH = "CAST(ceil(length(html) / CAST(32 AS DOUBLE)) AS BIGINT)"
+_SIZES_COLUMNS = ["page_id", "CAST(32 AS BIGINT) AS w", f"{_HIGH} AS h", f"CASE WHEN page_id % 4 = 0 THEN 8 ELSE 0 END AS chrome_top", f"{_HIGH} - CASE WHEN page_id % 4 < 2 THEN 6 ELSE 0 END AS chrome_bottom"]
+_PARAGRAPH = "CAST(floor(page_id % 7 * {0} / 8) AS BIGINT)".format(_HIGH)
+_LINES_COLUMNS = ["page_id", f"substr(html, 1, CAST(20 + page_id % 3 * 30 AS INT)) AS text", f"{_PARAGRAPH} AS top", f"{_PARAGRAPH} + page_id % 5 AS bottom"]
+_FIGS_COLUMNS = ["page_id", "CAST(1 AS BIGINT) AS fig_no", "CASE WHEN page_id % 5 <> 0 THEN page_id % 9 / CAST(10 AS DOUBLE) END AS y0", "CASE WHEN page_id % 5 <> 0 THEN page_id % 9 / CAST(10 AS DOUBLE) + CAST(0.3 AS DOUBLE) END AS y1"]
+_AT = "CAST(floor(page_id % 11 * {0} / 12) AS BIGINT)".format(_HIGH)
+_CAPS_COLUMNS = ["page_id", "CAST(1 AS BIGINT) AS fig_no", "CASE page_id % 4 WHEN 0 THEN 'Figure 3. Overview' WHEN 1 THEN '7.2 Overview' ELSE 'Overview' END AS text", f"CASE WHEN page_id % 3 <> 1 THEN {_AT} END AS top", f"{_AT} + 3 AS bottom"]
+_SIZES = "SELECT " + ", ".join(_SIZES_COLUMNS) + " FROM pages WHERE length(html) > 0"
+_LINES = "SELECT " + ", ".join(_LINES_COLUMNS) + " FROM pages WHERE length(html) > 0"
+_FIGS = "SELECT " + ", ".join(_FIGS_COLUMNS) + " FROM pages"
+_CAPS = "SELECT * FROM (SELECT " + ", ".join(_CAPS_COLUMNS) + " FROM pages) WHERE top IS NOT NULL"
 _ISQ = "family = 'qfn' AND pin_count % 4 = 0"
 _SIDED = "family IN ('dual', 'dip')"
 V = CV | {
@@ -50,20 +62,29 @@ V = CV | {
     "g5": "SELECT *, CASE WHEN sh THEN round(bw + 2.0, 2) ELSE lead_span END AS ls1 FROM g4",
     "g6": "SELECT *, family = 'dual' AND ls1 > bw + 8 AS lg, family = 'dip' AND row_span < bw * 0.85::DOUBLE AS na, (pin_count / 4 - 1) * pitch + "
         "greatest(0.8, pitch) AS sd FROM g5",
-    # A page's source as a raster: 60 characters a row, 80 rows, dark where a tag begins or ends
-    "pxrows": "SELECT page_id, y, substr(html, y * 60 + 1, 60) AS row FROM pages CROSS JOIN (SELECT unnest(range(80)) AS y)",
-    "px": "SELECT page_id, x, y, CASE WHEN substr(row, x + 1, 1) IN ('<', '>') THEN 0 ELSE 255 END AS luma FROM pxrows CROSS JOIN (SELECT unnest(range(60)) AS x)",
+    # A page's whole source as a raster: 32 characters a row, dark where a tag begins or ends; rows without one are its text
+    "pxrows": "SELECT page_id, y, substr(html, y * 32 + 1, 32) AS row FROM (SELECT page_id, html, unnest(range(CAST(ceil(length(html) / 32) AS BIGINT))) AS y FROM pages)",
+    "px": "SELECT page_id, x, y, CASE WHEN substr(row, x + 1, 1) IN ('<', '>') THEN 0 ELSE 255 END AS luma FROM pxrows CROSS JOIN (SELECT unnest(range(32)) AS x)",
+    "pxsize": _SIZES,
+    "pxlines": _LINES,
+    "pxfigs": _FIGS,
+    "pxcaps": _CAPS,
     "ink": "SELECT DISTINCT page_id, CAST(floor(y / 4) AS BIGINT) AS r, CAST(floor(x / 4) AS BIGINT) AS c FROM px WHERE luma < 236",
     "inkrows": "SELECT page_id, r, count(*) AS cells FROM ink GROUP BY 1, 2",
 }
 
 
 def _px(t) -> DataFrame:
-    rows = t.pages.select("page_id", "html", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("y")).selectExpr("page_id", "y", "substr(html, y * 60 + 1, 60) AS row")
-    pixels = rows.select("page_id", "y", "row", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("x"))
+    high = F.ceil(F.length("html") / 32).cast("int")
+    rows = t.pages.where("html <> ''").select("page_id", "html", F.explode(F.sequence(F.lit(0), high - 1)).alias("y")).selectExpr("page_id", "y", "substr(html, y * 32 + 1, 32) AS row")
+    pixels = rows.select("page_id", "y", "row", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("x"))
     return pixels.selectExpr("page_id", "x", "y", "CASE WHEN substr(row, x + 1, 1) IN ('<', '>') THEN 0 ELSE 255 END AS luma")
 
 
+def _profile(t) -> DataFrame:
+    return raster.ink_profile(raster.ink_grid(_px(t)), t.pages.selectExpr(*_SIZES_COLUMNS).where("h > 0"), t.pages.selectExpr(*_LINES_COLUMNS).where("text <> ''"))
+
+
 query("geometry_priors", f"SELECT * FROM priors WHERE after IS NOT NULL AND (before IS NULL OR before < after * {geometry.LOW}::DOUBLE OR before > after * "
     f"{geometry.HIGH}::DOUBLE)", V)(lambda t: geometry.geometry_priors(_pk(t)))
 query(
@@ -130,8 +151,8 @@ query("ink_bounds", f"SELECT g.page_id, g.range_id, count(*) AS cells, min(i.c)
     "i.r BETWEEN g.r0 AND g.r1 GROUP BY 1, 2", V)(
     lambda t: raster.ink_bounds(raster.ink_grid(_px(t)), t.pages.select("page_id", F.explode(F.expr("array(0L, 1L, 2L, 3L)")).alias("range_id")).selectExpr("page_id", "range_id", "range_id * 4 AS r0", "range_id * 4 + page_id % 5 AS r1"))
 )
-query("ink_grow", INK_GROW, V)(lambda t: raster.ink_grow(raster.ink_grid(_px(t)), t.pages.select("page_id", F.expr("page_id % 20").alias("anchor"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("dir")).selectExpr("*", "CASE WHEN page_id % 3 = 0 THEN anchor + 6 * dir END AS stop")))
-query("figure_fit", FIGURE_FIT, V | FITTED)(lambda t: raster.figure_fit(raster.ink_grid(_px(t)), t.pages.selectExpr("page_id", "1L AS fig_no", "page_id % 20 AS row"), t.pages.selectExpr("page_id", "1L AS fig_no", "page_id % 9 AS r0", "page_id % 9 + 5 AS r1", "20L AS rows")))
+query("ink_grow", INK_GROW, V | PROFILE)(lambda t: raster.ink_grow(_profile(t), t.pages.select("page_id", F.expr("page_id % 20").alias("anchor"), F.explode(F.array(F.lit(1), F.lit(-1))).alias("dir"))))
+query("figure_fit", FIGURE_FIT, V | PROFILE | FITTED)(lambda t: raster.figure_fit(_profile(t), t.pages.selectExpr(*_FIGS_COLUMNS), t.pages.selectExpr(*_CAPS_COLUMNS).where("top IS NOT NULL")))
 
 # Folds
 query("line_boxes", LINE_BOXES, LV | ASSEMBLED)(lambda t: folds.line_boxes(_items(t).selectExpr("doc_id", "page", "item_no", "str", "x AS left", "x + w AS right", "792 - y AS base", "greatest(abs(h), 8D) AS h")))

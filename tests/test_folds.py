@@ -143,11 +143,38 @@ def test_figures_near_a_kept_one_go(spark):
     assert got == {0: "kept", 1: "duplicate_or_over_cap", 2: "kept", 3: "kept", 9: "blacklist_curve_plot", 10: "keyword_not_matched"}
 
 
+def _profile(spark, rows, high=100, lines=(), **chrome):
+    """A page of ten cells across and `high` down, with the given rows inked from side to side."""
+    grid = spark.createDataFrame([(1, r, c) for r in rows for c in range(10)], "page_id long, r long, c long")
+    sizes = spark.createDataFrame([(1, 40, high * 4, chrome.get("top"), chrome.get("bottom"))], "page_id long, w long, h long, chrome_top long, chrome_bottom long")
+    return raster.ink_profile(grid, sizes, spark.createDataFrame(list(lines), "page_id long, text string, top long, bottom long"))
+
+
 def test_ink_growth(spark):
-    grid = spark.createDataFrame([(1, r, 0) for r in (5, 6, 9, 14, 15)], "page_id long, r long, c long")
-    anchors = spark.createDataFrame([(1, 2, 1, None), (1, 3, 1, 9), (1, 20, -1, None), (1, 12, -1, None)], "page_id long, anchor long, dir int, stop long")
-    got = {(r["anchor"], r["dir"]): r["last"] for r in raster.ink_grow(grid, anchors).collect()}
-    assert got == {(2, 1): 9, (3, 1): 6, (12, -1): 5}
+    """At a height of 100 rows: gaps of 3 inside, of 6 before, 80 rows at most; body text and chrome stop."""
+    grow = lambda profile, *anchors: {(r["anchor"], r["dir"]): r["last"] for r in raster.ink_grow(profile, spark.createDataFrame([(1, a, d) for a, d in anchors], "page_id long, anchor long, dir int")).collect()}
+    rows = [5, 6, 10, 15, 16]
+    assert grow(_profile(spark, rows), (2, 1), (20, -1), (13, -1), (30, 1), (9, 1), (500, -1)) == {(2, 1): 10, (20, -1): 15, (13, -1): 5, (9, 1): 10}
+    text = [(1, "x" * 41, 32, 34), (1, "x" * 40, 20, 24)]
+    assert grow(_profile(spark, rows, lines=text), (2, 1), (13, -1)) == {(2, 1): 6, (13, -1): 10}
+    assert grow(_profile(spark, rows, top=24, bottom=40), (2, 1), (9, -1), (9, 1), (13, -1)) == {(9, -1): 6, (9, 1): 10}
+    assert grow(_profile(spark, range(100)), (0, 1), (99, -1)) == {(0, 1): 81, (99, -1): 18}
+
+
+def test_figure_fit(spark):
+    fit = lambda profile, box=(None, None), *caps: [(r["method"], r["r0"], r["r1"]) for r in raster.figure_fit(profile, spark.createDataFrame([(1, 7, *box)], "page_id long, fig_no long, y0 double, y1 double"), spark.createDataFrame([(1, 7, *c) for c in caps], "page_id long, fig_no long, text string, top long, bottom long")).collect()]
+    page = _profile(spark, [*range(10, 21), *range(26, 28), *range(33, 60)])
+    assert fit(page, (None, None), ("Figure 1. Both", 96, 100)) == [("caption_up", 10, 25)]
+    assert fit(page, (None, None), ("7.2 Both", 112, 116)) == [("caption_down", 28, 59)]
+    assert fit(page, (None, None), ("Both", 112, 116)) == [("caption_down", 28, 59)]  # more ink below
+    assert fit(page, (None, None), ("Figure 1. Last", 352, 356)) == [("largest_block", 33, 59)]  # nothing near on either side
+    assert fit(page, (None, None), ("7.2 Last", 248, 252)) == [("caption_up", 33, 63)]  # nothing below
+    assert fit(page, (0.05, 0.15)) == [("seed_trim", 10, 20)] and fit(page, (0.8, 0.92)) == [("seed_mirror", 10, 20)]
+    # Too low a block is none; a block that holds the middle of the box counts half as much again
+    assert fit(_profile(spark, [10, 11, 50])) == []
+    blocks = _profile(spark, [*range(0, 30), *range(40, 64)], lines=[(1, "x" * 50, 200, 200)])
+    assert fit(blocks) == [("largest_block", 0, 29)]
+    assert fit(_profile(spark, [])) == [] and fit(_profile(spark, range(100))) == []  # blank, and higher than a figure may be
 
 
 def test_lenient_json(spark):
