@@ -230,10 +230,15 @@ def figure_candidates(lines: DataFrame) -> DataFrame:
     text = F.col("text")
     caption = matches(text, FIGURE, True)
     title = F.trim(F.when(caption, F.regexp_extract(text, "(?i)" + FIGURE, 2)).otherwise(text))
-    kind = first_of(title, FIGURE_KINDS)
-    as_caption = F.when(~matches(title, CURVE), kind)
-    bare = F.when((F.length(text) < 60) & ~matches(text, POINTER) & (kind != "pin_configuration") & ((kind != "application") | matches(text, BARE_APPLICATION)), kind)
-    out = lines.select("doc_id", "page", "line_no", "y", title.alias("title"), caption.alias("caption"), F.when(caption, as_caption).otherwise(bare).alias("kind"))
+
+    def kind(title: Column) -> Column:
+        """Bound once, so the patterns of the kinds stand in the plan once."""
+        bare = (F.length(text) < 60) & ~matches(text, POINTER)
+        usable = lambda k: F.when(caption, ~matches(title, CURVE)).otherwise(bare & (k != "pin_configuration") & ((k != "application") | matches(text, BARE_APPLICATION)))
+        return F.filter(F.array(first_of(title, FIGURE_KINDS)), usable)
+
+    out = lines.select("doc_id", "page", "line_no", "y", "text").withColumn("title", title)
+    out = out.select("doc_id", "page", "line_no", "y", "title", caption.alias("caption"), F.explode_outer(kind(F.col("title"))).alias("kind"))
     return out.where("kind is not null")
 
 

@@ -170,18 +170,15 @@ def figure_fit(profile: DataFrame, figures: DataFrame, captions: DataFrame) -> D
     trimmed = a_try(F.col("t0").isNotNull(), F.col("seed_method"), F.coalesce("t_up", "t0"), F.coalesce("t_down", "t1"))
     blocks = F.transform("blocks", lambda b: F.struct(F.lit("largest_block").alias("method"), b["r0"].alias("r0"), b["r1"].alias("r1")))
     tries = F.concat(F.array(F.when(F.col("down"), down).otherwise(up), F.when(F.col("down"), up).otherwise(down), trimmed), blocks)
-    j = j.withColumn("tries", F.filter(tries, lambda t: t.isNotNull()))
-
-    def bounded(t: Column) -> Column:
-        rows = F.slice("rows", t["r0"] + 1, t["r1"] - t["r0"] + 1)
-        ends = [F.array_min(F.transform(rows, lambda x: x["c0"])).alias("c0"), F.array_max(F.transform(rows, lambda x: x["c1"])).alias("c1")]
-        return F.struct(t["method"].alias("method"), t["r0"].alias("r0"), t["r1"].alias("r1"), *ends, cells_between(t["r0"], t["r1"]).alias("n"))
-
-    def fits(t: Column) -> Column:
-        high = (t["r1"] - t["r0"] + 1) / F.col("gh")
-        return t["c0"].isNotNull() & (high >= MIN_BLOCK) & (high <= MAX_BLOCK) & (t["n"] / ((t["r1"] - t["r0"] + 1) * (t["c1"] - t["c0"] + 1)) >= MIN_INK)
-
-    j = j.withColumn("tries", F.transform("tries", bounded)).withColumn("fit", F.get(F.filter("tries", fits), F.lit(0))).where("fit is not null")
+    # One row a candidate: a filter on the fit itself would be moved down through every step above and repeat it
+    j = j.select("page_id", "fig_no", "w", "h", "gh", "rows", F.posexplode_outer(tries).alias("k", "t")).where("t is not null")
+    none = F.expr("named_struct('c0', CAST(NULL AS BIGINT), 'c1', CAST(NULL AS BIGINT))")
+    rows = F.slice("rows", F.col("t.r0") + 1, F.col("t.r1") - F.col("t.r0") + 1)
+    j = j.select("page_id", "fig_no", "w", "h", "gh", "k", "t.*", cells_between(F.col("t.r0"), F.col("t.r1")).alias("n"), F.aggregate(rows, none, lambda e, x: F.struct(F.least(e["c0"], x["c0"]).alias("c0"), F.greatest(e["c1"], x["c1"]).alias("c1"))).alias("e"))
+    high = F.col("r1") - F.col("r0") + 1
+    share = F.col("n") / (high * (F.col("e.c1") - F.col("e.c0") + 1))
+    j = j.where((high / F.col("gh")).between(MIN_BLOCK, MAX_BLOCK) & (share >= MIN_INK))
+    j = j.groupBy("page_id", "fig_no").agg(F.min_by(F.struct("method", "r0", "r1", "e.c0", "e.c1", "w", "h"), "k").alias("fit")).select("page_id", "fig_no", "fit.*")
     edge = lambda cells, size, pad: F.greatest(F.lit(0.0), F.least(F.lit(1.0), cells * CELL / F.col(size) + pad))
-    box = [edge(F.col("fit.c0"), "w", -PAD).alias("x0"), edge(F.col("fit.r0"), "h", -PAD).alias("y0"), edge(F.col("fit.c1") + 1, "w", PAD).alias("x1"), edge(F.col("fit.r1") + 1, "h", PAD).alias("y1")]
-    return j.select("page_id", "fig_no", "fit.method", F.col("fit.r0").cast("long").alias("r0"), F.col("fit.r1").cast("long").alias("r1"), *box)
+    box = [edge(F.col("c0"), "w", -PAD).alias("x0"), edge(F.col("r0"), "h", -PAD).alias("y0"), edge(F.col("c1") + 1, "w", PAD).alias("x1"), edge(F.col("r1") + 1, "h", PAD).alias("y1")]
+    return j.select("page_id", "fig_no", "method", F.col("r0").cast("long").alias("r0"), F.col("r1").cast("long").alias("r1"), *box)
