@@ -152,15 +152,15 @@ query("remap_pages", "SELECT f.doc_id, f.line_no, m.p AS page FROM figs f JOIN (
     "s FROM relpages WHERE page <> 1) m ON m.doc_id = f.doc_id AND m.s = f.page", V)(
     lambda t: o.remap_pages(o.figure_candidates(t.lines), o.relevant_pages(t.lines, o.figure_candidates(t.lines)).where("page <> 1").selectExpr("doc_id", "page AS original", "row_number() OVER (PARTITION BY doc_id ORDER BY page) AS sliced"))
 )
-_BG = "len(list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1) + 1), lambda i: substr({0}, i, 2))))"
-_BGL = "list_distinct(list_transform(range(1, greatest(length({0}) - 1, 1) + 1), lambda i: substr({0}, i, 2)))"
+_GRAMS = lambda s: f"list_distinct(list_transform(range(1, length({s})), lambda i: substr({s}, i, 2)))"
+_PLAIN = lambda c: f"regexp_replace(lower(translate(coalesce({c}, ''), '" + o.FULL_WIDTH + "', '" + o.HALF_WIDTH.replace("'", "''") + "')), '" + o.NO_WORD.replace("'", "''") + "', '', 'g')"
 query(
     "caption_match",
-    "SELECT doc_id, page, title, max(score) AS score, arg_max(line_no, score * 1000000 - line_no) AS line_no FROM (SELECT *, CASE WHEN a = b THEN "
-        f"1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.92 ELSE 2.0 * len(list_intersect({_BGL.format('a')}, {_BGL.format('b')})) / "
-        f"({_BG.format('a')} + {_BG.format('b')}) END AS score FROM (SELECT t.doc_id, t.page, t.title, l.line_no, regexp_replace(lower(t.title), "
-        "'[^a-z0-9]+', '', 'g') AS a, regexp_replace(lower(l.text), '[^a-z0-9]+', '', 'g') AS b FROM (SELECT DISTINCT doc_id, page, title FROM figs) "
-        "t JOIN lines l ON l.doc_id = t.doc_id AND l.page = t.page) WHERE a <> '' AND b <> '') WHERE score >= 0.58 GROUP BY 1, 2, 3",
+    "SELECT doc_id, page, title, max(score) AS score, arg_max(line_no, score * 1000000 - line_no) AS line_no FROM (SELECT *, CASE WHEN a = b THEN 1.0::DOUBLE "
+    "WHEN length(a) >= 4 AND length(b) >= 4 AND (contains(a, b) OR contains(b, a)) THEN 0.92::DOUBLE ELSE 2.0 * len(list_intersect(ag, bg)) / (len(ag) + len(bg)) END AS score "
+    f"FROM (SELECT DISTINCT doc_id, page, title, {_PLAIN('title')} AS a, {_GRAMS(_PLAIN('title'))} AS ag FROM figs) t "
+    f"JOIN (SELECT doc_id, page, line_no, {_PLAIN('text')} AS b, {_GRAMS(_PLAIN('text'))} AS bg FROM lines) USING (doc_id, page) "
+    "WHERE length(a) >= 3 AND length(b) >= 3) WHERE score >= 0.58 GROUP BY 1, 2, 3",
     V,
 )(lambda t: o.caption_match(o.figure_candidates(t.lines).select("doc_id", "page", "title").distinct(), t.lines))
 query("page_chrome", "SELECT doc_id, page, min(y) FILTER (y > 728.64) AS header_y, max(y) FILTER (y < 63.36) AS footer_y FROM lines GROUP BY 1, 2")(lambda t: o.page_chrome(t.lines))
