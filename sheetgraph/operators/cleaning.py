@@ -101,7 +101,7 @@ def _long(packages: DataFrame, fields: list[str]) -> DataFrame:
 
 def field_provenance(packages: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:
     """(package_id, family, field, source, raw, value, reviewer): missing fields get defaults, those out of range are
-    clamped, a pin count that isn't whole is invalid; what reviewers set stands if it is in range. Fields that a family
+    clamped, what isn't a number (NaN) is invalid; what reviewers set stands if it is in range. Fields that a family
     has no use for are not_applicable when missing.
 
     packages carries its family; reviewed: (package_id, field, value, reviewer).
@@ -139,12 +139,13 @@ def relevant_fields() -> Column:
 
 
 def optional_fields(packages: DataFrame, fields: dict[str, tuple[float, float]]) -> DataFrame:
-    """Fields that may be absent: null and 0 are absent, out of range is clamped."""
+    """Fields that may be absent: null and 0 are absent, what isn't a number (NaN) is invalid and has no value, out of range is clamped."""
     ranges = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), F.array(*(F.lit(float(y)) for y in v)))])
     r = F.element_at(ranges, F.col("field"))
     gone = F.col("raw").isNull() | (F.col("raw") == 0)
-    source = F.when(gone, "absent").when((F.col("raw") < r[0]) | (F.col("raw") > r[1]), "clamped").otherwise("datasheet")
-    return _long(packages, list(fields)).select("package_id", "field", source.alias("source"), F.when(~gone, F.least(r[1], F.greatest(r[0], F.col("raw")))).alias("value"))
+    odd = ~gone & F.isnan("raw")
+    source = F.when(gone, "absent").when(odd, "invalid").when((F.col("raw") < r[0]) | (F.col("raw") > r[1]), "clamped").otherwise("datasheet")
+    return _long(packages, list(fields)).select("package_id", "field", source.alias("source"), F.when(~gone & ~odd, F.least(r[1], F.greatest(r[0], F.col("raw")))).alias("value"))
 
 
 def land_pattern(packages: DataFrame) -> DataFrame:

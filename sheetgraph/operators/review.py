@@ -182,10 +182,22 @@ def asset_fork(versions: DataFrame, forks: DataFrame) -> DataFrame:
     return versions.union(copies)
 
 
-def asset_hashes(files: DataFrame) -> DataFrame:
-    """A hash over the files of each asset key (key, path, sha)."""
-    line = F.concat_ws(" ", "path", "sha")
-    return files.groupBy("key").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("hash"), F.count("*").alias("files"))
+def asset_hashes(manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """(job_id, key, hash, files): a hash over the own files of each asset key, and over all keys of a job as its `revision`.
+
+    Hashes roll up from files to keys to the revision, so a file that changes moves its own keys and the revision, and nothing
+    else. Files belong to a key by kind and owner: a symbol's to its pin set, those of a footprint or model to its package, an
+    image to its figure. A key without files has the hash of `instead` (a figure's box), or of the empty text.
+    manifest: (job_id, kind, owner, path, sha); keys: (job_id, kind, owner, key, instead). Rows that come again count once.
+    """
+    own = ["job_id", "kind", "owner"]
+    files = manifest.groupBy(*own, "path", "sha").agg(F.first(F.concat_ws(" ", "path", "sha")).alias("line"))
+    files = files.groupBy(*own).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"), F.count("*").alias("files"))
+    one = keys.groupBy(*own, "key").agg(F.min("instead").alias("instead")).join(files, own, "left")
+    one = one.select("job_id", "key", F.sha2(F.coalesce("text", "instead", F.lit("")), 256).alias("hash"), F.coalesce("files", F.lit(0)).alias("files"))
+    line = F.concat_ws(" ", "key", "hash")
+    whole = one.groupBy("job_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("hash"), F.sum("files").alias("files"))
+    return one.union(whole.select("job_id", F.lit("revision"), "hash", "files"))
 
 
 def can_publish(assets: DataFrame) -> DataFrame:

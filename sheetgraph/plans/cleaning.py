@@ -94,11 +94,11 @@ def _odd(t):
 query("field_provenance", _PROV, V | {"rev": _REV})(lambda t: o.field_provenance(_odd(t), reviewed(t)))
 query(
     "optional_fields",
-    "SELECT package_id, field, CASE WHEN raw IS NULL OR raw = 0 THEN 'absent' WHEN raw < lo OR raw > hi THEN 'clamped' ELSE 'datasheet' END AS "
-        "source, CASE WHEN raw IS NOT NULL AND raw <> 0 THEN least(hi, greatest(lo, raw)) END AS value FROM (SELECT package_id, 'pad_w' AS field, "
-        "pad_w AS raw, 0.05::DOUBLE AS lo, 0.6::DOUBLE AS hi FROM packages UNION ALL SELECT package_id, 'pad_l', pad_l, 0.1::DOUBLE, 1.2::DOUBLE FROM "
+    "SELECT package_id, field, CASE WHEN raw IS NULL OR raw = 0 THEN 'absent' WHEN isnan(raw) THEN 'invalid' WHEN raw < lo OR raw > hi THEN 'clamped' ELSE 'datasheet' END AS "
+        "source, CASE WHEN raw IS NOT NULL AND raw <> 0 AND NOT isnan(raw) THEN least(hi, greatest(lo, raw)) END AS value FROM (SELECT package_id, 'pad_w' AS field, "
+        "CASE WHEN package_id % 13 = 0 THEN 'NaN'::DOUBLE ELSE pad_w END AS raw, 0.05::DOUBLE AS lo, 0.6::DOUBLE AS hi FROM packages UNION ALL SELECT package_id, 'pad_l', pad_l, 0.1::DOUBLE, 1.2::DOUBLE FROM "
         "packages)",
-)(lambda t: o.optional_fields(_pk(t), {"pad_w": (0.05, 0.6), "pad_l": (0.1, 1.2)}))
+)(lambda t: o.optional_fields(_pk(t).withColumn("pad_w", F.expr("CASE WHEN package_id % 13 = 0 THEN double('NaN') ELSE pad_w END")), {"pad_w": (0.05, 0.6), "pad_l": (0.1, 1.2)}))
 query("land_pattern", "SELECT package_id, kept, CASE WHEN kept THEN 'datasheet' ELSE 'derived_by_rules' END AS source, void FROM (SELECT package_id, v AS void, NOT "
     "v AND pad_w IS NOT NULL AND pad_l IS NOT NULL AND lp_row_span IS NOT NULL AS kept FROM (SELECT *, coalesce(pad_w < 0.1 OR pad_w > 5, FALSE) "
     "OR coalesce(pad_l < 0.1 OR pad_l > 6, FALSE) OR coalesce(lp_row_span < 1 OR lp_row_span > 90, FALSE) AS v FROM packages))")(lambda t: o.land_pattern(t.packages))

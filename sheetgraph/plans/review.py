@@ -408,10 +408,40 @@ def _versions(t):
     return review.asset_fork(versions, t.edits.select("job_id").distinct().where("job_id % 5 = 0").selectExpr("job_id", "job_id + 1000000 AS new_job_id"))
 
 
-query("asset_hashes", "SELECT 'symbol:' || (package_id % 30)::VARCHAR AS key, sha256(string_agg(package_id::VARCHAR || '.sym ' || sha256(type), chr(10) ORDER BY "
-    "package_id::VARCHAR || '.sym ' || sha256(type))) AS hash, count(*) AS files FROM packages GROUP BY package_id % 30")(
-    lambda t: review.asset_hashes(t.packages.selectExpr("'symbol:' || (package_id % 30) AS key", "package_id || '.sym' AS path", "sha2(type, 256) AS sha"))
+# Jobs of packages with the files of their symbols, footprints and models; some files are missing, and figures may lack an image
+_JOB_FILES = (
+    "SELECT package_id % 40 AS job_id, 'symbol' AS kind, package_id % 30 AS owner, CAST(package_id % 30 AS VARCHAR(9)) || '.sym' AS path, type AS content FROM packages"
+    " UNION ALL SELECT package_id % 40, 'footprint', package_id, CAST(package_id AS VARCHAR(9)) || '.mod', type || CAST(pin_count AS VARCHAR(9)) FROM packages"
+    " UNION ALL SELECT package_id % 40, 'model3d', package_id, CAST(package_id AS VARCHAR(9)) || '.wrl', type FROM packages WHERE package_id % 9 <> 0"
+    " UNION ALL SELECT package_id % 40, 'figure', package_id, CAST(package_id AS VARCHAR(9)) || '.png', 'image' FROM packages WHERE package_id % 4 <> 0"
 )
+_JOB_KEYS = (
+    "SELECT job_id, kind, owner, kind || ':' || CAST(owner AS VARCHAR(9)) AS key, CASE WHEN kind = 'figure' THEN '0.1,0.2,0.3,0.' || CAST(owner % 10 AS VARCHAR(9)) END AS instead FROM ("
+    "SELECT DISTINCT package_id % 40 AS job_id, v.kind, CASE WHEN v.kind = 'symbol' THEN package_id % 30 ELSE package_id END AS owner FROM packages CROSS JOIN (VALUES ('symbol'), ('footprint'), ('model3d'), ('figure')) AS v(kind))"
+)
+
+
+def _job_files(t):
+    kind = lambda name, owner, ending, content, some="true": t.packages.where(some).selectExpr("package_id % 40 AS job_id", f"'{name}' AS kind", f"{owner} AS owner", f"{owner} || '{ending}' AS path", f"sha2({content}, 256) AS sha")
+    return (
+        kind("symbol", "package_id % 30", ".sym", "type").union(kind("footprint", "package_id", ".mod", "type || pin_count"))
+        .union(kind("model3d", "package_id", ".wrl", "type", "package_id % 9 <> 0")).union(kind("figure", "package_id", ".png", "'image'", "package_id % 4 <> 0"))
+    )
+
+
+def _job_keys(t):
+    k = t.packages.select("package_id", F.explode(F.array(*map(F.lit, ("symbol", "footprint", "model3d", "figure")))).alias("kind"))
+    k = k.selectExpr("package_id % 40 AS job_id", "kind", "CASE WHEN kind = 'symbol' THEN package_id % 30 ELSE package_id END AS owner").distinct()
+    return k.selectExpr("*", "kind || ':' || owner AS key", "CASE WHEN kind = 'figure' THEN '0.1,0.2,0.3,0.' || owner % 10 END AS instead")
+
+
+query(
+    "asset_hashes",
+    "SELECT * FROM (WITH one AS (SELECT k.job_id, k.key, sha256(coalesce(f.lines, k.instead, '')) AS hash, coalesce(f.n, 0) AS files FROM jobkeys k LEFT JOIN (SELECT job_id, kind, owner, string_agg(line, chr(10) ORDER BY line) AS lines, count(*) AS n "
+    "FROM (SELECT DISTINCT job_id, kind, owner, path || ' ' || sha256(content) AS line FROM jobfiles) GROUP BY 1, 2, 3) f ON f.job_id = k.job_id AND f.kind = k.kind AND f.owner = k.owner) "
+    "SELECT * FROM one UNION ALL SELECT job_id, 'revision', sha256(string_agg(key || ' ' || hash, chr(10) ORDER BY key || ' ' || hash)), CAST(sum(files) AS BIGINT) FROM one GROUP BY 1)",
+    {"jobfiles": _JOB_FILES, "jobkeys": _JOB_KEYS},
+)(lambda t: review.asset_hashes(_job_files(t), _job_keys(t)))
 query("can_publish", "SELECT job_id::VARCHAR AS key, job_id % 2 = 0 AND job_id % 3 = 0 AND tenant <> 1 AS can_publish FROM jobs")(lambda t: review.can_publish(t.jobs.selectExpr("CAST(job_id AS STRING) AS key", "job_id % 2 = 0 AS approved", "job_id % 3 = 0 AS promotable", "tenant <> 1 AS publisher")))
 _ROLE = "CASE event_id % 5 WHEN 0 THEN 'Publisher' WHEN 1 THEN 'reviewer' WHEN 2 THEN 'editor' WHEN 3 THEN 'viewer' ELSE 'guest' END"
 _NEED = "CASE k % 3 WHEN 0 THEN 'viewer' WHEN 1 THEN 'editor' ELSE 'publisher' END"

@@ -1,5 +1,7 @@
 """Scopes of requests, hints for an extractor, pages to send, on small made-up rows."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from sheetgraph.operators import folds, layout, review
@@ -38,3 +40,13 @@ def test_pages_to_send(spark):
         (1, "parser_relevant_pages+ocr_must_keep", True): [3, 4, 9], (2, "keyword_pages", True): [1, 7, 29], (3, "first_plus_text_tail", True): [1, *range(22, 30)],
         (4, "scanned_no_ocr_worker", False): [1, 2], (5, "first_plus_text_tail", True): [1, *range(23, 31)],
     }
+
+
+def test_a_changed_file_moves_its_keys_and_the_revision(spark):
+    keys = spark.createDataFrame([(1, "symbol", 4, "symbol:4", None), (1, "figure", 2, "figure:2", "0,0,1,1"), (1, "model3d", 9, "model3d:9", None), (2, "symbol", 4, "symbol:4", None)], "job_id long, kind string, owner long, key string, instead string")
+    files = [(1, "symbol", 4, "a.sym", "s1"), (1, "symbol", 4, "b.sym", "s2"), (2, "symbol", 4, "a.sym", "s1"), (1, "symbol", 5, "c.sym", "s3")]
+    hashes = lambda files: {(r["job_id"], r["key"]): (r["hash"], r["files"]) for r in review.asset_hashes(spark.createDataFrame(files, "job_id long, kind string, owner long, path string, sha string"), keys).collect()}
+    before, again, after = hashes(files), hashes(files + files), hashes([(1, "symbol", 4, "a.sym", "new"), *files[1:]])
+    assert before == again and {k for k in before if before[k] != after[k]} == {(1, "symbol:4"), (1, "revision")}
+    assert before[1, "figure:2"] == (hashlib.sha256(b"0,0,1,1").hexdigest(), 0) and before[1, "model3d:9"][0] == hashlib.sha256(b"").hexdigest()
+    assert before[1, "symbol:4"][1] == 2 and before[1, "revision"][1] == 2 and before[2, "revision"][1] == 1
