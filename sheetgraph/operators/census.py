@@ -65,14 +65,18 @@ def part_token_filter(lines: DataFrame) -> DataFrame:
 def part_hints(items: DataFrame) -> DataFrame:
     """The nearest part token of each reference: within 70 across and 95 up or down, by a score under 58.
 
-    items(design_id, page, item_no, text, x, y, w). References and parts meet in buckets of 70 across.
+    items(design_id, page, item_no, text, x, y, w). References and parts meet in cells of 70
+    across and 95 down, a part in the nine around it, so a crowded page compares neighbours only.
     """
     mid = F.col("x") + F.col("w") / 2
     refs = items.where(matches(F.col("text"), f"^{REF_BODY}$", True)).select("design_id", "page", F.upper("text").alias("ref"), mid.alias("rx"), F.col("y").alias("ry"))
     parts = items.where(is_part(F.col("text"))).select("design_id", "page", "item_no", "text", mid.alias("px"), F.col("y").alias("py"))
-    cell = lambda c: F.floor(F.col(c) / 70)
-    parts = parts.withColumn("cell", F.explode(F.array(cell("px") - 1, cell("px"), cell("px") + 1)))
-    near = refs.withColumn("cell", cell("rx")).join(parts, ["design_id", "page", "cell"])
+    cells = lambda x, y: (F.floor(F.col(x) / 70), F.floor(F.col(y) / 95))
+    across, down = cells("px", "py")
+    around = F.array(*(F.struct((across + i).alias("cx"), (down + k).alias("cy")) for i in (-1, 0, 1) for k in (-1, 0, 1)))
+    parts = parts.select("*", F.inline(around))
+    cx, cy = cells("rx", "ry")
+    near = refs.select("*", cx.alias("cx"), cy.alias("cy")).join(parts, ["design_id", "page", "cx", "cy"])
     dx, dy = F.abs(F.col("px") - F.col("rx")), F.col("py") - F.col("ry")
     score = dx * 1.2 + F.abs(dy) * 0.55 - F.when(dy < 0, 7).otherwise(0) - F.when(matches(F.col("text"), MPN_LIKE, True), 4).otherwise(0)
     near = near.where((dx <= 70) & (F.abs(dy) <= 95)).withColumn("score", score)

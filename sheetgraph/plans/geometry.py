@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetgraph.functions.store import shared_folder
-from sheetgraph.operators import cleaning, folds, geometry, layout, raster
+from sheetgraph.operators import cleaning, folds, geometry, layout, raster, review
 from sheetgraph.operators.netlist import focus_batches
 from sheetgraph.plans.cleaning import V as CV
 from sheetgraph.plans.cleaning import _pk
@@ -14,6 +16,7 @@ from sheetgraph.plans.layout import _items
 from sheetgraph.plans.folds import ANONYMOUS, ANONYMOUS_SQL, ASSEMBLED, FIGURE_FILTER, FIGURE_FIT, FILTERED, FITTED, INK_GROW, LEDGER, LEDGER_SQL, LIFECYCLE, LIFECYCLE_STREAM, LINE_BOXES, PROFILE
 from sheetgraph.plans.layout import V as LV
 from sheetgraph.plans.registry import query
+from sheetgraph.plans.review import JOB_VIEWS, _job_files, _job_keys
 from sheetgraph.sources import records
 from sheetgraph.streaming import jobs
 
@@ -221,13 +224,28 @@ def _written(t) -> DataFrame:
     import uuid
 
     path = f"{folder(t)}/jobs-{uuid.uuid4().hex}"
-    frames = {"jobs": t.jobs.selectExpr("tenant", "job_id", "job_id % 3 AS revision", "status"), "audit": t.lifecycle.selectExpr("job_id % 5 AS tenant", "job_id", "event_id AS revision", "action")}
+    assets = review.asset_hashes(_job_files(t), _job_keys(t)).selectExpr("job_id % 5 AS tenant", "job_id", "job_id % 3 AS revision", "key", "hash")
+    frames = {
+        "jobs": t.jobs.selectExpr("tenant", "job_id", "job_id % 3 AS revision", "status"),
+        "audit": t.lifecycle.selectExpr("job_id % 5 AS tenant", "job_id", "event_id AS revision", "action"),
+        "manifests": assets.where("key = 'revision'").drop("key"),
+        "versions": assets.where("key <> 'revision'").withColumn("version", F.expr("key || '@r' || revision")),
+        "files": _job_files(t).selectExpr("job_id % 5 AS tenant", "job_id", "job_id % 3 AS revision", "kind", "owner", "path", "sha"),
+    }
     records.job_write(frames, path, 1)
     records.job_write(frames, path, 1)  # as after a failure
-    return records.job_read(t.spark, path, "jobs").groupBy(F.col("tenant").cast("long").alias("tenant"), "status").agg(F.count("*").alias("n"), F.sum("job_id").alias("ids"))
+    label = {"jobs": "status", "audit": "action", "manifests": "'manifest'", "versions": "'version'", "files": "kind"}
+    every = [records.job_read(t.spark, path, n).selectExpr(f"'{n}' AS in", "CAST(tenant AS BIGINT) AS tenant", f"{c} AS what", "job_id") for n, c in label.items()]
+    return functools.reduce(DataFrame.union, every).groupBy("in", "tenant", "what").agg(F.count("*").alias("n"), F.sum("job_id").alias("ids"))
 
 
-query("job_write", "SELECT tenant, status, count(*) AS n, CAST(sum(job_id) AS BIGINT) AS ids FROM jobs GROUP BY 1, 2")(_written)
+query(
+    "job_write",
+    "SELECT tbl AS \"in\", tenant, what, count(*) AS n, CAST(sum(job_id) AS BIGINT) AS ids FROM (SELECT 'jobs' AS tbl, CAST(tenant AS BIGINT) AS tenant, status AS what, job_id FROM jobs UNION ALL SELECT 'audit', job_id % 5, action, job_id FROM lifecycle "
+    "UNION ALL SELECT DISTINCT 'manifests', job_id % 5, 'manifest', job_id FROM jobkeys UNION ALL SELECT 'versions', job_id % 5, 'version', job_id FROM jobkeys "
+    "UNION ALL SELECT 'files', job_id % 5, kind, job_id FROM (SELECT DISTINCT job_id, kind, owner, path, content FROM jobfiles)) GROUP BY 1, 2, 3",
+    JOB_VIEWS,
+)(_written)
 
 
 # Streams: everything the table holds arrives in files by time

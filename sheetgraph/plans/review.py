@@ -420,6 +420,8 @@ _JOB_KEYS = (
     "SELECT DISTINCT package_id % 40 AS job_id, v.kind, CASE WHEN v.kind = 'symbol' THEN package_id % 30 ELSE package_id END AS owner FROM packages CROSS JOIN (VALUES ('symbol'), ('footprint'), ('model3d'), ('figure')) AS v(kind))"
 )
 
+JOB_VIEWS = {"jobfiles": _JOB_FILES, "jobkeys": _JOB_KEYS}
+
 
 def _job_files(t):
     kind = lambda name, owner, ending, content, some="true": t.packages.where(some).selectExpr("package_id % 40 AS job_id", f"'{name}' AS kind", f"{owner} AS owner", f"{owner} || '{ending}' AS path", f"sha2({content}, 256) AS sha")
@@ -440,7 +442,7 @@ query(
     "SELECT * FROM (WITH one AS (SELECT k.job_id, k.key, sha256(coalesce(f.lines, k.instead, '')) AS hash, coalesce(f.n, 0) AS files FROM jobkeys k LEFT JOIN (SELECT job_id, kind, owner, string_agg(line, chr(10) ORDER BY line) AS lines, count(*) AS n "
     "FROM (SELECT DISTINCT job_id, kind, owner, path || ' ' || sha256(content) AS line FROM jobfiles) GROUP BY 1, 2, 3) f ON f.job_id = k.job_id AND f.kind = k.kind AND f.owner = k.owner) "
     "SELECT * FROM one UNION ALL SELECT job_id, 'revision', sha256(string_agg(key || ' ' || hash, chr(10) ORDER BY key || ' ' || hash)), CAST(sum(files) AS BIGINT) FROM one GROUP BY 1)",
-    {"jobfiles": _JOB_FILES, "jobkeys": _JOB_KEYS},
+    JOB_VIEWS,
 )(lambda t: review.asset_hashes(_job_files(t), _job_keys(t)))
 query("can_publish", "SELECT job_id::VARCHAR AS key, job_id % 2 = 0 AND job_id % 3 = 0 AND tenant <> 1 AS can_publish FROM jobs")(lambda t: review.can_publish(t.jobs.selectExpr("CAST(job_id AS STRING) AS key", "job_id % 2 = 0 AS approved", "job_id % 3 = 0 AS promotable", "tenant <> 1 AS publisher")))
 _ROLE = "CASE event_id % 5 WHEN 0 THEN 'Publisher' WHEN 1 THEN 'reviewer' WHEN 2 THEN 'editor' WHEN 3 THEN 'viewer' ELSE 'guest' END"
