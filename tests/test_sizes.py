@@ -46,3 +46,21 @@ def test_grown_group_makes_no_pairs_alone(spark, monkeypatch):
     monkeypatch.setattr(checks, "cut", lambda d: made.append(plan_of(d)) or real(d))
     checks._grown(df).count()
     assert made and not any("BroadcastExchange" in p for p in made)
+
+
+@tables
+def test_netlist_reads_the_line_items_once(spark, monkeypatch):
+    made, real = [], fixtures.cut
+    monkeypatch.setattr(fixtures, "cut", lambda d: made.append(plan_of(d)) or real(d))
+    fixtures.release()
+    t = fixtures.Tables(spark, SF)
+    for name in ("eps", "comps", "pins", "nets", "ncs"):
+        getattr(t, name).count()
+    assert sum("lineitem.parquet" in p for p in made) == 1
+
+
+def test_pin_of_several_nets_counts_nets_of_one_name(spark):
+    ctx = spark.createDataFrame([(1, "U1", "1", 1, "A"), (1, "U1", "1", 2, "A"), (1, "U1", "2", 3, "B"), (1, "U1", "2", 3, "B")], "design_id int, ref string, pin string, net_id int, net string")
+    out = checks.erc_pin_multi_net(ctx)
+    assert plan_of(out).count("Exchange") == 1
+    assert [(r["refs"], r["nets"]) for r in out.collect()] == [("U1.1", "A")]
