@@ -64,3 +64,17 @@ def test_pin_of_several_nets_counts_nets_of_one_name(spark):
     out = checks.erc_pin_multi_net(ctx)
     assert plan_of(out).count("Exchange") == 1
     assert [(r["refs"], r["nets"]) for r in out.collect()] == [("U1.1", "A")]
+
+
+@tables
+def test_url_check_and_its_sql_on_large_page_ids(spark, tmp_path):
+    """Groups of an IPv6 address have at most four digits; ids of five digits made such groups, which the SQL took."""
+    import duckdb
+
+    (tmp_path / "pages.parquet").mkdir()
+    duck = duckdb.connect()
+    duck.sql(f"COPY (SELECT range AS page_id, 'http://example.com/' AS url, '' AS html FROM range(9990, 10038)) TO '{tmp_path}/pages.parquet/part.parquet'")
+    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = {r["page_id"]: r["result"] for r in plans.QUERIES["url_check"](spark, str(tmp_path)).collect()}
+    want = dict(duck.sql(f"SELECT page_id, result FROM ({plans.ORACLES['url_check']})").fetchall())
+    assert got == want and got[10002] == "invalid" and got[9990] != "invalid"
