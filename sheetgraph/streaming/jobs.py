@@ -17,19 +17,20 @@ from sheetgraph.operators.review import Wallet, lifecycle_step, scope_key
 
 def replay(spark: SparkSession, df: DataFrame, folder: str, parts: int = 4) -> DataFrame:
     """A stream of a table's rows, in order of ts, null ones first. They are written part after part, each by as many tasks
-    as it needs, which deal out ranges of ts; a stream takes files by their times, so the files get times in order of what
-    they hold."""
+    as it needs, which deal out ranges of ts, and of event_id (or else of the other columns) where many rows have one ts; a
+    stream takes files by their times, so the files get times in order of what they hold."""
     path = f"{folder}/{uuid.uuid4().hex}"
     df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     at = F.coalesce(F.unix_micros("ts"), F.lit(-(1 << 62)))
     cuts = df.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)]).alias("c")).first()["c"] or []
     edges = [None, *sorted(set(cuts)), None]
+    ties = ["event_id"] if "event_id" in df.columns else [c for c in df.columns if c != "ts"]
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs, files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), []
     for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         part = df if low is None else df.where(at >= low)
         part = part if high is None else part.where(at < high)
-        part.repartitionByRange(at).write.parquet(f"{path}/part={k:04d}")
+        part.repartitionByRange(at, *ties).write.parquet(f"{path}/part={k:04d}")
         files += sorted(f.getPath().toString() for f in fs.listStatus(hadoop(f"{path}/part={k:04d}")) if f.getPath().getName().startswith("part-"))
     began = int(time.time() * 1000) - 2000 * len(files)
     for k, f in enumerate(files):

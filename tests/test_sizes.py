@@ -78,3 +78,20 @@ def test_url_check_and_its_sql_on_large_page_ids(spark, tmp_path):
     got = {r["page_id"]: r["result"] for r in plans.QUERIES["url_check"](spark, str(tmp_path)).collect()}
     want = dict(duck.sql(f"SELECT page_id, result FROM ({plans.ORACLES['url_check']})").fetchall())
     assert got == want and got[10002] == "invalid" and got[9990] != "invalid"
+
+
+def test_replay_deals_rows_of_one_time_out_in_order(spark, tmp_path):
+    """All rows of one ts went through one task into one file."""
+    from sheetgraph.streaming import jobs
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(4000).select(F.timestamp_seconds(F.lit(5)).alias("ts"), (3999 - F.col("id")).alias("event_id"))
+        jobs.replay(spark, rows, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(tmp_path.glob("*/part=*/part-*.parquet"), key=lambda f: f.stat().st_mtime)
+    spans = [spark.read.parquet(str(f)).agg(F.min("event_id"), F.max("event_id"), F.count("*")).first() for f in files]
+    spans = [s for s in spans if s[2]]
+    assert len(spans) > 1 and sum(s[2] for s in spans) == 4000 and max(s[2] for s in spans) < 2000
+    assert all(a[1] < b[0] for a, b in zip(spans[:-1], spans[1:], strict=True))
