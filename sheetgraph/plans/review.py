@@ -143,6 +143,11 @@ QV = CHECKS | KV | HV | {
 
 
 def _signals(t):
+    """One row a design, made once for the score, the gate and its issues."""
+    return t.kept("signals", lambda: _made_signals(t))
+
+
+def _made_signals(t):
     from sheetgraph.plans.checks import flagship
 
     labels = t.nets.selectExpr("design_id", f"{_LBL} AS value")

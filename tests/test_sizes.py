@@ -95,3 +95,16 @@ def test_replay_deals_rows_of_one_time_out_in_order(spark, tmp_path):
     spans = [s for s in spans if s[2]]
     assert len(spans) > 1 and sum(s[2] for s in spans) == 4000 and max(s[2] for s in spans) < 2000
     assert all(a[1] < b[0] for a, b in zip(spans[:-1], spans[1:], strict=True))
+
+
+@tables
+@pytest.mark.parametrize("name", ["interface_groups", "interface_sideband", "quality_score", "quality_gate", "quality_issues", "health_score"])
+def test_groups_and_signals_are_not_broadcast(spark, monkeypatch, name):
+    """Rows exploded from groups, and a row a design, were broadcast for as small as their compressed files."""
+    made, real = [], fixtures.cut
+    monkeypatch.setattr(fixtures, "cut", lambda d: made.append(plan_of(d)) or real(d))
+    fixtures.release()
+    made.append(plan_of(plans.QUERIES[name](spark, SF)))
+    fixtures.release()
+    joins = [line for p in made for line in p.splitlines() if "BroadcastHashJoin" in line and "part#" not in line]
+    assert not joins
