@@ -446,3 +446,28 @@ def test_lm_knows_a_text_that_stands_twice(spark):
     got = {r["doc_id"]: r["bits_per_byte"] for r in lm_mixing.score(docs, m, counts).collect()}
     twice = {*range(5), *range(100, 105), 200}  # 30 is only repeated in a held-out row
     assert max(got[i] for i in twice) < 0.3 < 1 < min(got[i] for i in got if i not in twice)
+
+
+def test_coding_a_chunk_copies_no_lexicon():
+    """Every chunk copied what the lexicon says of its leaves' decisions; now a chunk holds those of its own rare words."""
+    import numpy as np
+    import pandas as pd
+
+    words = [f"w{k:05}".encode() for k in range(3000)]
+    n = np.arange(3000, 0, -1)
+    lex = lm_mixing.lexicon_of(words, n, n.astype(float), 10.0)
+    wide = [*(1 << bits for bits in lm_mixing.TABLE_BITS), lm_mixing.CLASSES * (lm_mixing.TOP + 1)]
+    tables = [np.zeros(w, np.int8) for w in wide]
+    trees = lm_mixing.trees_of(pd.DataFrame({"key": [ord("x")], "n": [3]}))
+    m = lm_mixing.Model(lex, trees, tables, np.full((lm_mixing.ORDERS, lm_mixing.BYTE_GATES), 0.3, np.float32), None, None, 1, 1)
+    coder = lm_mixing.Coder(m)
+    c = coder([b"xyz", b"x"])
+    at = np.concatenate([np.arange(50), np.arange(len(lex.node) - 5, len(lex.node) + 20)])
+    assert c.odds.own is coder.odds and c.context.own is coder.context and c.state.own is coder.state
+    assert np.shares_memory(coder.context, lex.node)
+    assert max(len(c.odds.more), len(c.context.more), len(c.state.more)) == c.size[-2:].sum() < 1000
+    for both, own in ((c.odds, lex.odds[lex.node]), (c.context, lex.node.astype(np.uint32))):
+        assert (both.take(at) == np.concatenate([own, both.more]).take(at)).all()
+    assert (c.prior.take(at) == lm_mixing.prior_of(c.odds.take(at))).all()
+    escape = slice(lex.start[-1], lex.start[-1] + lex.size[-1])
+    assert (c.context.take(np.arange(c.start[-1], c.start[-1] + lex.size[-1])) == lex.node[escape]).all()
