@@ -116,11 +116,22 @@ class Wallets(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         before = self.wallet.get()
         wallet = Wallet(*map(int, before)) if before is not None else Wallet()
-        for r in pd.concat(rows).sort_values(["ts", "event_id"]).itertuples():
-            known = None if pd.isna(r.reservation) else self.reservations.getValue((int(r.reservation),))
-            after = wallet.step(r.op, int(r.amount), None if known is None else (int(known[0]), known[1]))
-            if after is not None and not pd.isna(r.reservation):
-                self.reservations.updateValue((int(r.reservation),), after)
+        entries = pd.concat(rows).sort_values(["ts", "event_id"])
+        known, changed = {}, set()  # every look into the state is a message to the JVM: one a reservation, none of a new principal
+        for op, amount, r in zip(entries["op"], entries["amount"].astype("int64").tolist(), entries["reservation"], strict=True):
+            if pd.isna(r) or op == "topup":
+                wallet.step(op, amount, None)
+                continue
+            r = int(r)
+            if r not in known:
+                value = None if before is None else self.reservations.getValue((r,))
+                known[r] = None if value is None else (int(value[0]), value[1])
+            after = wallet.step(op, amount, known[r])
+            if after is not None:
+                known[r] = after
+                changed.add(r)
+        for r in changed:
+            self.reservations.updateValue((r,), known[r])
         self.wallet.update((wallet.balance, wallet.spent, wallet.open, wallet.refused))
         yield pd.DataFrame({"principal": [key[0]], "balance": [wallet.balance], "spent": [wallet.spent], "open": [wallet.open], "refused": [wallet.refused]})
 

@@ -242,3 +242,40 @@ def test_approvals_lapse(spark):
     for r in review.approvals_invalidated(changes, packages, approvals).collect():
         got.setdefault(r["job_id"], set()).add(r["key"])
     assert got == {1: set(keys), 2: {"symbol:a", "footprint:p", "model3d:p"}, 3: {"symbol:a", "symbol:b", "footprint:p", "model3d:p"}, 4: {"figure:f"}}
+
+
+def test_ledger_stream_looks_once_at_a_reservation():
+    """Every entry read its reservation's state, and wrote it, by messages to the JVM; a new principal has none to read."""
+    import pandas as pd
+
+    from sheetgraph.streaming import jobs
+
+    class Store(dict):
+        looks = writes = 0
+
+        def getValue(self, k):
+            self.looks += 1
+            return self.get(k)
+
+        def updateValue(self, k, v):
+            self.writes += 1
+            self[k] = v
+
+    class Sums:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.value = v
+
+    w = jobs.Wallets()
+    w.wallet, w.reservations = Sums(), Store()
+    ops = [("topup", 10, None), ("reserve", 4, 7), ("commit", 0, 7), ("refund", 0, 7), ("refund", 0, 7), ("reserve", 3, 8), ("reserve", 9, 9)]
+    frame = lambda ops, at: pd.DataFrame([(at, at + i, *o) for i, o in enumerate(ops)], columns=["ts", "event_id", "op", "amount", "reservation"])
+    got = [next(iter(w.handleInputRows((1,), iter([frame(ops, 0)]), None)))]
+    assert (w.reservations.looks, w.reservations.writes) == (0, 2) and w.reservations == {(7,): (4, "committed"), (8,): (3, "reserved")}
+    got.append(next(iter(w.handleInputRows((1,), iter([frame([("refund", 0, 8), ("refund", 0, 8), ("commit", 0, 7)], 100)]), None))))
+    assert (w.reservations.looks, w.reservations.writes) == (2, 3) and w.reservations[8,] == (3, "refunded")
+    assert [tuple(g.iloc[0]) for g in got] == [(1, 3, 7, 1, 1), (1, 6, 4, 0, 1)]
