@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -78,8 +80,11 @@ def _merge_anonymous(transitive: bool) -> Callable[[pd.DataFrame], pd.DataFrame]
                 goes[g] = g = goes[goes[g]]
             return g
 
-        for _, net in pdf.sort_values(["batch_no", "net_id", "ref", "pin"]).groupby(["batch_no", "net_id"], sort=False):
-            ends, conf = list(zip(net["ref"], net["pin"], strict=True)), int(net["conf_pct"].max())
+        rows = pdf.dropna(subset=["batch_no", "net_id"]).sort_values(["batch_no", "net_id", "ref", "pin"])
+        plain = zip(*(rows[c].tolist() for c in ("batch_no", "net_id", "ref", "pin", "conf_pct")), strict=True)
+        for _, net in groupby(plain, key=lambda r: r[:2]):  # a data frame a net costs far more than its rows
+            net = list(net)
+            ends, conf = [r[2:4] for r in net], int(np.nanmax([r[4] for r in net]))
             if len(ends) < 2:
                 continue
             hits = sorted({home_of(first[e]) for e in ends if e in first}) or [len(groups)]

@@ -279,3 +279,14 @@ def test_ledger_stream_looks_once_at_a_reservation():
     got.append(next(iter(w.handleInputRows((1,), iter([frame([("refund", 0, 8), ("refund", 0, 8), ("commit", 0, 7)], 100)]), None))))
     assert (w.reservations.looks, w.reservations.writes) == (2, 3) and w.reservations[8,] == (3, "refunded")
     assert [tuple(g.iloc[0]) for g in got] == [(1, 3, 7, 1, 1), (1, 6, 4, 0, 1)]
+
+
+def test_anonymous_nets_make_no_frame_a_net(monkeypatch):
+    """A design's nets were taken as one data frame each."""
+    import pandas as pd
+
+    rows = [(1, b, n, f"R{(n + k) % 9}", "1", 50 + n) for b in (1, 0) for n in (3, 2, 1) for k in (0, b + 1)] + [(1, 0, 9, "X", "1", 99)]
+    pdf = pd.DataFrame(rows, columns=["design_id", "batch_no", "net_id", "ref", "pin", "conf_pct"])
+    monkeypatch.setattr(pd.DataFrame, "groupby", lambda *a, **k: 1 / 0)
+    got = folds._merge_anonymous(False)(pdf)
+    assert {(r.net, r.ref, r.conf_pct) for r in got.itertuples()} == {("N$1", f"R{k}", 53) for k in (1, 2, 3, 4, 5)}
