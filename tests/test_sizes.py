@@ -108,3 +108,19 @@ def test_groups_and_signals_are_not_broadcast(spark, monkeypatch, name):
     fixtures.release()
     joins = [line for p in made for line in p.splitlines() if "BroadcastHashJoin" in line and "part#" not in line]
     assert not joins
+
+
+@tables
+def test_named_queries_group_nets_once_and_broadcast_nothing_that_grows(spark, monkeypatch):
+    """Three queries grouped the nets each for itself and told types and roles at every reading; the signals' plan held the health's."""
+    names = ["interface_groups", "interface_sideband", "interface_complete", "erc_iface_incomplete", "proto_spi_cs", "proto_uart", "proto_usb_c_cc", "proto_debug", "proto_spi_miso", "proto_spi_driver", "health_score", "quality_gate"]
+    made, real, rounds, grown = [], fixtures.cut, [], checks._grown
+    monkeypatch.setattr(fixtures, "cut", lambda d: made.append(plan_of(d)) or real(d))
+    monkeypatch.setattr(checks, "_grown", lambda strong: rounds.append(plan_of(strong)) or grown(strong))
+    fixtures.release()
+    for name in names:
+        made.append(plan_of(plans.QUERIES[name](spark, SF)))
+    tables = {k[2] for k in fixtures._kept}
+    fixtures.release()
+    assert len(rounds) == 1 and "RLIKE" not in rounds[0] and {"candidates", "groups", "health", "signals"} <= tables
+    assert not [line for p in made for line in p.splitlines() if "BroadcastHashJoin" in line and "part#" not in line]
