@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,22 +60,28 @@ def stream_lifecycle(events: DataFrame, ttl_hours: int | None = None) -> DataFra
             yield pd.DataFrame({"job_id": [key[0]], "event_id": [None], "action": ["expire"], "accepted": [True], "state": ["expired"], "applied": [applied], "rejected": [rejected]}).astype({"event_id": "Int64"})
             return
         name, applied, rejected = state.get if state.exists else ("extracted", 0, 0)
-        rows, last = [], None
-        for r in pd.concat(frames).sort_values(["ts", "event_id"]).itertuples():
-            to = lifecycle_step(name, r.action)
+        frames = list(frames)
+        rows = frames[0] if len(frames) == 1 else pd.concat(frames)
+        at, ids = rows["at"].to_numpy(), rows["event_id"].to_numpy()
+        order = np.lexsort((ids, at))  # arrays: a sort of a frame, and its rows as tuples, cost more than the steps
+        actions, gone = rows["action"].to_numpy()[order], []
+        for action in actions:
+            to = lifecycle_step(name, action)
             name, applied, rejected = (to, applied + 1, rejected) if to else (name, applied, rejected + 1)
-            rows.append((key[0], r.event_id, r.action, to is not None, name, applied, rejected))
-            last = r.ts
+            gone.append((to is not None, name, applied, rejected))
         state.update((name, applied, rejected))
-        if ttl_hours is not None and last is not None:
-            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + ttl_hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["job_id", "event_id", "action", "accepted", "state", "applied", "rejected"])
+        last = at[order[-1]]
+        if ttl_hours is not None and last == last:
+            state.setTimeoutTimestamp(max(int(last) // 1000 + ttl_hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+        accepted, names, applies, rejects = zip(*gone, strict=True)
+        yield pd.DataFrame({"job_id": [key[0]] * len(gone), "event_id": ids[order], "action": actions, "accepted": accepted, "state": names, "applied": applies, "rejected": rejects})
 
     out = "job_id long, event_id long, action string, accepted boolean, state string, applied long, rejected long"
+    cols = ["job_id", F.unix_micros("ts").alias("at"), "event_id", "action"]  # each column, a time above all, costs every group
     if ttl_hours is not None:
-        events = events.withWatermark("ts", "0 seconds")
+        events, cols = events.withWatermark("ts", "0 seconds"), [*cols, "ts"]
     timeout = GroupStateTimeout.NoTimeout if ttl_hours is None else GroupStateTimeout.EventTimeTimeout
-    return events.groupBy("job_id").applyInPandasWithState(step, out, "state string, applied long, rejected long", "append", timeout)
+    return events.select(*cols).groupBy("job_id").applyInPandasWithState(step, out, "state string, applied long, rejected long", "append", timeout)
 
 
 def lifecycle_current(rows: DataFrame) -> DataFrame:

@@ -36,6 +36,24 @@ def test_jobs_expire(spark, tmp_path):
     assert {r["job_id"]: r["state"] for r in jobs.lifecycle_current(out).collect()} == {1: "expired", 2: "expired", 3: "reviewed"}
 
 
+def test_expiry_does_not_depend_on_the_time_zone(spark, tmp_path):
+    """Times of a group came as local times and were taken for UTC, so a job expired eight hours early."""
+    df = spark.createDataFrame([(1, 10**9, 1, "review"), (3, 10**9 + 20 * 3600, 2, "edit")], "job_id long, s long, event_id long, action string").selectExpr("job_id", "timestamp_seconds(s) AS ts", "event_id", "action")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        out = jobs.run_to_end(jobs.stream_lifecycle(jobs.replay(spark, df, str(tmp_path)), ttl_hours=24), str(tmp_path))
+        assert {r["job_id"]: r["state"] for r in jobs.lifecycle_current(out).collect()} == {1: "reviewed", 3: "edited"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_lifecycle_groups_get_whole_numbers_for_times(spark):
+    """Every column of a group is converted by itself, and a timestamp costs most."""
+    plan = jobs.stream_lifecycle(spark.readStream.format("rate").load().selectExpr("value AS job_id", "timestamp AS ts", "value AS event_id", "'edit' AS action", "'' AS note"))
+    assert "unix_micros(ts" in plan._jdf.queryExecution().analyzed().toString()
+
+
 def test_nets_while_batches_arrive(spark, tmp_path):
     """After every arrival the nets of its designs are those of all that has arrived."""
     rows = [(d, b, 1, "A", r, "1", 50 + b, at(10 * b + d)) for b in range(3) for d in range(3) for r in (f"U{b}", f"R{d}")]
